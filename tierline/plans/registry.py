@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "tierline.plans.core",
+    "tierline.plans.inference",
 ]
 
 

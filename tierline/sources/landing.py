@@ -171,7 +171,7 @@ def land_json(spark: SparkSession, path: str, source: str, tenant_id: str,
             .unionByName(whole_ok.select("_file", F.col("_w").alias("_d"))))
     is_arr = F.schema_of_variant(F.col("_d")).startswith("ARRAY")
     doc_arrays = docs.filter(is_arr).select(
-        "_file", F.expr("posexplode(cast(_d as array<variant>))").alias("_pos", "_r"))
+        "_file", F.posexplode(F.try_variant_get("_d", "$", "array<variant>")).alias("_pos", "_r"))
     doc_single = docs.filter(~is_arr).select("_file", F.lit(0).alias("_pos"), F.col("_d").alias("_r"))
     # line-wise files (all lines parse, or whole text does not parse either)
     linewise = (lines.filter(F.col("_n") > 1)
