@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "tierline.plans.core",
     "tierline.plans.inference",
+    "tierline.plans.landing",
 ]
 
 

@@ -22,14 +22,15 @@ def file_row_number(df: DataFrame, out_col: str = "_row_number") -> DataFrame:
     base = df.select("*", F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_blk"),
                      F.monotonically_increasing_id().alias("_mid"))
-    blocks = (base.groupBy("_file", "_blk", F.shiftright("_mid", 33).alias("_pid"))
-              .agg(F.min(F.col("_mid").bitwiseAND(F.lit(_ROW_MASK))).alias("_first"),
-                   F.count(F.lit(1)).alias("_cnt")))
-    w = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    out = base.join(blocks.select("_file", "_blk", "_pid", "_first", "_before"),
-                    on=[base._file == blocks._file, base._blk == blocks._blk,
-                        F.shiftright(base._mid, 33) == blocks._pid], how="inner")
-    pos = F.col("_before") + (base._mid.bitwiseAND(F.lit(_ROW_MASK)) - F.col("_first"))
-    keep = [base[c] for c in df.columns] + [base._file]
-    return out.select(*keep, pos.cast("long").alias(out_col))
+    base = base.withColumn("_pid", F.shiftright("_mid", 33)) \
+        .withColumn("_row", F.col("_mid").bitwiseAND(F.lit(_ROW_MASK)))
+    blocks = (base.groupBy("_file", "_blk", "_pid")
+              .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_cnt")))
+    w = Window.partitionBy("_file").orderBy("_blk", "_pid").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("_file").alias("_kf"), F.col("_blk").alias("_kb"),
+                           F.col("_pid").alias("_kp"), "_first",
+                           F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_before"))
+    out = base.join(blocks, (F.col("_file") == F.col("_kf")) & (F.col("_blk") == F.col("_kb"))
+                    & (F.col("_pid") == F.col("_kp")), "inner")
+    pos = F.col("_before") + (F.col("_row") - F.col("_first"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], "_file", pos.cast("long").alias(out_col))
