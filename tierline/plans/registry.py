@@ -8,6 +8,7 @@ MODULES = [
     "tierline.plans.core",
     "tierline.plans.inference",
     "tierline.plans.landing",
+    "tierline.plans.governance",
 ]
 
 
