@@ -9,6 +9,7 @@ MODULES = [
     "tierline.plans.inference",
     "tierline.plans.landing",
     "tierline.plans.governance",
+    "tierline.plans.reports",
 ]
 
 
