@@ -10,6 +10,7 @@ MODULES = [
     "tierline.plans.landing",
     "tierline.plans.governance",
     "tierline.plans.reports",
+    "tierline.plans.lineage",
 ]
 
 
