@@ -11,6 +11,8 @@ MODULES = [
     "tierline.plans.governance",
     "tierline.plans.reports",
     "tierline.plans.lineage",
+    "tierline.plans.recall",
+    "tierline.plans.charts",
 ]
 
 
