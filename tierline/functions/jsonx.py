@@ -108,6 +108,13 @@ def renest(df: DataFrame, group_cols: list[str], item_cols: list[str],
     TypedImperativeAggregate); the array per parent is bounded by the parent's
     children, which is the output itself.
     """
+    out = renest_structs(df, group_cols, item_cols, order_col, alias)
+    return out.select(*group_cols, F.to_json(alias, TO_JSON_OPTS).alias(alias))
+
+
+def renest_structs(df: DataFrame, group_cols: list[str], item_cols: list[str],
+                   order_col: str, alias: str = "items") -> DataFrame:
+    """A6 as a native ``array<struct>`` column (field order kept)."""
     ordered = [order_col] + [c for c in item_cols if c != order_col]
     agg = F.array_sort(F.collect_list(F.struct(*ordered)))
-    return df.groupBy(*group_cols).agg(F.to_json(agg, TO_JSON_OPTS).alias(alias))
+    return df.groupBy(*group_cols).agg(agg.alias(alias))

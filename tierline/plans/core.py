@@ -103,12 +103,12 @@ def orders_with_items(spark, sf_dir) -> DataFrame:
     """Nested orders: one JSON payload per order holding its line items as an
     array (A6), landed as an envelope."""
     li = table(spark, sf_dir, "lineitem")
-    nested = jsonx.renest(li, ["l_orderkey"], ITEM_COLS, "l_linenumber", alias="line_items")
+    nested = jsonx.renest_structs(li, ["l_orderkey"], ITEM_COLS, "l_linenumber", alias="line_items")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
     rec = o.join(nested, o.o_orderkey == nested.l_orderkey, "left").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("created_at"),
         F.col("o_totalprice").alias("total"),
-        F.parse_json(F.col("line_items")).alias("line_items"))
+        F.col("line_items"))
     return envelope(rec, "orders_nested", TENANT, BATCH, INGESTED_AT, position=rec["order_id"],
                     payload=F.to_json(F.struct(*[F.col(c) for c in rec.columns]), jsonx.TO_JSON_OPTS))
 

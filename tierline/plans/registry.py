@@ -13,6 +13,7 @@ MODULES = [
     "tierline.plans.lineage",
     "tierline.plans.recall",
     "tierline.plans.charts",
+    "tierline.plans.catalog",
 ]
 
 
