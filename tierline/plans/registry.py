@@ -14,6 +14,7 @@ MODULES = [
     "tierline.plans.recall",
     "tierline.plans.charts",
     "tierline.plans.catalog",
+    "tierline.plans.streaming",
 ]
 
 
