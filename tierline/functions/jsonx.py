@@ -101,6 +101,14 @@ def unnest(df: DataFrame, json_col, path: str, alias: str = "elem") -> DataFrame
     return df.select("*", F.posexplode(arr).alias(f"{alias}_pos", alias))
 
 
+def unnest_variant(df: DataFrame, v_col, path: str, alias: str = "elem") -> DataFrame:
+    """J6 on an already parsed VARIANT: the array at ``path`` exploded to
+    VARIANT elements (no re-parse of the element text); rows without an
+    array are dropped."""
+    arr = F.try_variant_get(_c(v_col), dotted_path(path), "array<variant>")
+    return df.select("*", F.posexplode(arr).alias(f"{alias}_pos", alias))
+
+
 def renest(df: DataFrame, group_cols: list[str], item_cols: list[str],
            order_col: str, alias: str = "items") -> DataFrame:
     """A6 re-nest child rows to one JSON array per parent, ordered by

@@ -35,7 +35,7 @@ SAMPLE_CHARS = 80
 def _kind(schema_col):
     """JSON kind of one value from ``schema_of_variant``."""
     s = schema_col
-    return (F.when(s == "VOID", "null").when(s == "BOOLEAN", "bool")
+    return (F.when(s.isNull() | (s == "VOID"), "null").when(s == "BOOLEAN", "bool")
             .when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | s.rlike(r"^DECIMAL\(\d+,0\)$"), "int")
             .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "float")
             .when(s == "STRING", "string").when(s.startswith("ARRAY"), "array")
@@ -43,7 +43,7 @@ def _kind(schema_col):
 
 
 def key_values(bronze: DataFrame, position: str, payload: str = "payload",
-               entity: str | None = None) -> DataFrame:
+               entity: str | None = None, sentinel: bool = False) -> DataFrame:
     """(entity, record, key_pos, key, kind, text) for every key of every object
     payload.  Key order comes from the text (``json_object_keys``), since
     VARIANT objects store keys sorted."""
@@ -52,9 +52,12 @@ def key_values(bronze: DataFrame, position: str, payload: str = "payload",
                          F.col(payload).alias("_p"), F.try_parse_json(payload).alias("_v"))
     objs = base.filter(F.schema_of_variant("_v").startswith("OBJECT")).select(
         "entity", "rec", F.json_object_keys("_p").alias("_keys"), "_v")
-    vals = objs.select("entity", "rec", "_keys",
-                       F.explode(F.try_variant_get("_v", "$", "map<string,variant>"))
-                       .alias("key", "value"))
+    entries = F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>"))
+    if sentinel:
+        # one extra (null key) row per record: record totals in the same pass
+        entries = F.concat(entries, F.array(F.struct(F.lit(None).cast("string").alias("key"),
+                                                     F.lit(None).cast("variant").alias("value"))))
+    vals = objs.select("entity", "rec", "_keys", F.inline(entries))
     kind = _kind(F.schema_of_variant("value"))
     text = F.when(F.schema_of_variant("value") == "STRING", F.variant_get("value", "$", "string")) \
         .otherwise(F.to_json("value"))
@@ -69,12 +72,14 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
     """One row per key: entity, name, ordinal (first-seen order),
     data_type, nullable, is_pii, samples (first three non-null values in record
     order, JSON text cut to 80 chars for nested ones; none for PII),
-    n_present, is_pk."""
-    kv = key_values(bronze, position, payload, entity)
-    records = (bronze.select((F.col(entity) if entity else F.lit("")).alias("entity"),
-                             F.try_parse_json(payload).alias("_v"))
-               .filter(F.schema_of_variant("_v").startswith("OBJECT"))
-               .groupBy("entity").agg(F.count(F.lit(1)).alias("total")))
+    n_present, is_pk.
+
+    Two passes over the exploded (record, key) rows, neither of which shuffles
+    them whole: the rule aggregate (partial aggregation per key) and the
+    samples (a top-3 window whose group limit runs map-side first).  Record
+    totals ride along in the rule aggregate as one sentinel row per record.
+    """
+    kv = key_values(bronze, position, payload, entity, sentinel=True)
     nn = F.col("kind") != "null"
     stripped = F.regexp_replace(F.col("text"), r"(?U)^\s+|\s+$", "")
 
@@ -83,7 +88,9 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
         return F.coalesce(F.bool_and(F.when(nn, cond)), F.lit(True))
 
     g = kv.groupBy("entity", "key").agg(
-        F.min(F.struct("rec", "key_pos")).alias("first_seen"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("rec").alias("first_rec"),
+        F.min_by("key_pos", "rec").alias("first_pos"),
         F.count_if(nn).alias("n_present"),
         all_(F.col("kind") == "array").alias("all_array"),
         all_(F.col("kind") == "object").alias("all_object"),
@@ -99,7 +106,11 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
         all_(stripped.rlike(INT_TEXT)).alias("t_int"),
         all_(F.col("kind").isin("int", "float") | stripped.rlike(FLOAT_TEXT)).alias("t_float"),
     )
-    g = g.join(F.broadcast(records), "entity")
+    # totals from the sentinel group, by a window over the aggregated rows
+    # (keys per entity) rather than a self join that would recompute them
+    per_entity = Window.partitionBy("entity")
+    g = g.withColumn("total", F.max(F.when(F.col("key").isNull(), F.col("n_rows"))).over(per_entity)) \
+        .filter(F.col("key").isNotNull())
     is_id = F.col("key").rlike(ID_FIELD)
     # bool / list / object values inside a mixed set never satisfy a text rule
     txt = F.col("all_scalar_text")
@@ -113,7 +124,7 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
              .when(txt & ~is_id & F.col("t_int"), "int")
              .when(txt & ~is_id & F.col("t_float"), "float")
              .otherwise("string"))
-    w = Window.partitionBy("entity").orderBy("first_seen")
+    w = Window.partitionBy("entity").orderBy("first_rec", "first_pos")     # one row per key
     fields = g.select(
         "entity", F.col("key").alias("name"),
         (F.row_number().over(w) - 1).alias("ordinal"),
@@ -122,7 +133,7 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
         is_pii_col("key").alias("is_pii"),
         F.col("n_present").cast("long").alias("n_present"),
     )
-    samples = first_values(kv, SAMPLES)
+    samples = first_values(kv.filter(F.col("key").isNotNull()), SAMPLES)
     fields = fields.join(samples, ["entity", "name"], "left").withColumn(
         "samples", F.when(F.col("is_pii"), F.array().cast("array<string>"))
         .otherwise(F.coalesce(F.col("samples"), F.array().cast("array<string>"))))
@@ -130,25 +141,17 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
 
 
 def first_values(kv: DataFrame, k: int) -> DataFrame:
-    """First ``k`` non-null values per key in record order.  Each round is a
-    grouped ``min`` (partial aggregation, skew-proof) over rows after the
-    previous round's position; the per-key frame joined back is bounded by the
-    number of keys, so it is broadcast."""
+    """First ``k`` non-null values per key in record order: ``row_number <= k``
+    over (entity, key) ordered by record, which Spark plans with a map-side
+    group limit (at most k rows per key leave each task) before the
+    shuffle."""
     nn = kv.filter(F.col("kind") != "null").select(
         "entity", F.col("key").alias("name"), "rec",
         F.when(F.col("kind").isin("array", "object"), F.substring("text", 1, SAMPLE_CHARS))
         .otherwise(F.col("text")).alias("text"))
-    picked = None
-    last = None
-    for i in range(k):
-        rest = nn if last is None else nn.join(F.broadcast(last), ["entity", "name"]) \
-            .filter(F.col("rec") > F.col("_after")).drop("_after")
-        m = rest.groupBy("entity", "name").agg(F.min_by(F.struct("rec", "text"), "rec").alias("_s"))
-        m = m.select("entity", "name", F.lit(i).alias("_i"), F.col("_s.rec").alias("_after"),
-                     F.col("_s.text").alias("text"))
-        picked = m if picked is None else picked.unionByName(m)
-        last = m.select("entity", "name", "_after")
-    return picked.groupBy("entity", "name").agg(
+    w = Window.partitionBy("entity", "name").orderBy("rec")
+    top = nn.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k)
+    return top.groupBy("entity", "name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "text"))), lambda s: s["text"])
         .alias("samples"))
 
@@ -163,9 +166,9 @@ def with_primary_key(fields: DataFrame, entity_name: str | None = None) -> DataF
             .when((F.length(ent) > 0) & (n == singular_id), 2)
             .when(n.endswith("_id") & (n != "tenant_id"), 3)
             .when(n.endswith(PK_SUFFIXES[0]) | n.endswith(PK_SUFFIXES[1]) | n.endswith(PK_SUFFIXES[2]), 4))
-    pk = (fields.filter(rank.isNotNull())
-          .groupBy("entity").agg(F.min_by("name", F.struct(rank, F.col("ordinal"))).alias("_pk")))
-    out = fields.join(F.broadcast(pk), "entity", "left")
+    # a window over the field rows (schema-sized) instead of aggregate + join
+    pick = F.min_by(F.when(rank.isNotNull(), n), F.when(rank.isNotNull(), F.struct(rank, F.col("ordinal"))))
+    out = fields.withColumn("_pk", pick.over(Window.partitionBy("entity")))
     return out.withColumn("is_pk", F.coalesce(F.col("name") == F.col("_pk"), F.lit(False))).drop("_pk")
 
 

@@ -57,17 +57,24 @@ def recall(queries: DataFrame, memories: DataFrame, k: int = MAX_INJECTED) -> Da
     """M1-M3 for every query row (``query_id, tenant_id, text``): the top
     ``k`` notes by score = base x (1 + 0.5 x hits), hit = a keyword contained
     in the lower-cased summary (duplicates count); ties keep candidate order
-    (a stable sort).  Without keywords the score is the base score."""
-    cand = candidates(memories).select("tenant_id", F.col("id").alias("memory_id"), "summary",
-                                       "relevance_score", "cand_rank")
+    (a stable sort).  Without keywords the score is the base score.
+
+    Queries are hash-partitioned by ``query_id`` before the (broadcast)
+    pairing, so the per-query ranking window needs no second shuffle of the
+    up-to-100-times larger pair rows.
+    """
+    cand = candidates(memories).select(
+        "tenant_id", F.col("id").alias("memory_id"), "relevance_score", "cand_rank",
+        F.lower(F.coalesce(F.col("summary"), F.lit(""))).alias("_low"))      # once per note
     q = queries.select("query_id", "tenant_id", keywords("text").alias("_kw"))
+    q = q.repartition(max(q.rdd.getNumPartitions(), q.sparkSession.sparkContext.defaultParallelism),
+                      "query_id")
     pairs = _pair(q, cand)
-    low = F.lower(F.coalesce(F.col("summary"), F.lit("")))
-    hits = F.size(F.filter("_kw", lambda w: low.contains(w)))
-    base = base_score()
-    score = F.when(F.size("_kw") == 0, base).otherwise(base * (1 + hits * HIT_WEIGHT))
-    scored = pairs.select("query_id", "tenant_id", "memory_id", "cand_rank", hits.alias("hits"),
-                          score.alias("score"))
+    hits = F.size(F.filter("_kw", lambda w: F.col("_low").contains(w)))
+    scored = pairs.select("query_id", "tenant_id", "memory_id", "cand_rank", F.size("_kw").alias("_nkw"),
+                          base_score().alias("_base"), hits.alias("hits"))
+    score = F.when(F.col("_nkw") == 0, F.col("_base")).otherwise(F.col("_base") * (1 + F.col("hits") * HIT_WEIGHT))
+    scored = scored.withColumn("score", score).drop("_nkw", "_base")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("cand_rank"))  # <= 100 rows each
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -81,7 +88,8 @@ def boost(memories: DataFrame, recalled: DataFrame, now: str) -> DataFrame:
     hit = F.col("_n").isNotNull()
     new_score = F.least(F.lit(MAX_SCORE), base_score() * F.pow(F.lit(BOOST_FACTOR), F.col("_n")))
     return j.select(*[F.when(hit, new_score).otherwise(F.col(c)).alias(c) if c == "relevance_score"
-                      else F.when(hit, F.coalesce(F.col(c), F.lit(0)) + F.col("_n")).alias(c) if c == "use_count"
+                      else F.when(hit, F.coalesce(F.col(c), F.lit(0)) + F.col("_n")).otherwise(F.col(c)).alias(c)
+                      if c == "use_count"
                       else F.when(hit, F.lit(now).cast("timestamp_ntz")).otherwise(F.col(c)).alias(c)
                       if c == "last_used_at" else F.col(c) for c in memories.columns])
 

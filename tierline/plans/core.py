@@ -115,10 +115,10 @@ def orders_with_items(spark, sf_dir) -> DataFrame:
 
 def q_unnest_line_items(spark, sf_dir):
     b = orders_with_items(spark, sf_dir)
-    ex = jsonx.unnest(b.select("payload"), "payload", "line_items", alias="item")
-    v = ex.select(F.col("payload").alias("_p"), jsonx.parse("item").alias("_e"))
-    return v.select(
-        F.try_variant_get(F.try_parse_json(F.col("_p")), "$.order_id", "bigint").alias("l_orderkey"),
+    v = b.select(jsonx.parse("payload").alias("_v"))            # one parse per order
+    ex = jsonx.unnest_variant(v, "_v", "line_items", alias="_e")
+    return ex.select(
+        jsonx.typed("_v", "order_id", "int").alias("l_orderkey"),
         jsonx.typed("_e", "l_linenumber", "int").alias("l_linenumber"),
         jsonx.typed("_e", "l_partkey", "int").alias("l_partkey"),
         r2(jsonx.typed("_e", "l_quantity", "float")).alias("l_quantity"),

@@ -83,7 +83,7 @@ SELECT m.id,
        ROUND(CASE WHEN top.n IS NULL THEN m.relevance_score
                   ELSE LEAST(2.0::DOUBLE, (CASE WHEN m.relevance_score IS NULL OR m.relevance_score = 0 THEN 1.0::DOUBLE
                                         ELSE m.relevance_score END) * POW(1.2::DOUBLE, CAST(top.n AS DOUBLE))) END, 4) AS relevance_score,
-       CASE WHEN top.n IS NULL THEN NULL ELSE m.use_count + top.n END AS use_count,
+       CASE WHEN top.n IS NULL THEN m.use_count ELSE m.use_count + top.n END AS use_count,
        strftime(CASE WHEN top.n IS NULL THEN m.last_used_at ELSE TIMESTAMP '2024-06-01' END,
                 '%Y-%m-%d %H:%M:%S.%f') AS last_used_at
 FROM m LEFT JOIN top ON top.memory_id = m.id
