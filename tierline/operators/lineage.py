@@ -109,6 +109,9 @@ def resolve(transforms: DataFrame, entities: DataFrame) -> DataFrame:
 def edges(resolved: DataFrame) -> DataFrame:
     """R3 one edge per (source, target); a transform with no source or no
     target keeps one edge with null ends."""
+    for c in ("name", "status"):
+        if c not in resolved.columns:
+            resolved = resolved.withColumn(c, F.lit(None).cast("string"))
     full = resolved.filter(F.col("target_id").isNotNull() & (F.size("source_ids") > 0))
     e1 = full.select(F.col("id").alias("transform_id"), "name", "status", "source_layer", "target_layer",
                      F.explode("source_ids").alias("source_entity_id"), F.col("target_id").alias("target_entity_id"))

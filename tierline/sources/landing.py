@@ -130,7 +130,12 @@ def land_csv(spark: SparkSession, path: str, source: str, tenant_id: str,
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
            .option("encoding", "UTF-8").csv(path))
     raw = file_row_number(raw, "_row_number")
-    good = raw.filter(F.col("_corrupt").isNull())
+    # Spark refuses a CSV scan whose only referenced column is the corrupt-
+    # record column (a count of rejects would prune to that).  The second
+    # conjunct is always true but ties the flag to a data column.
+    bad = F.col("_corrupt").isNotNull() & (F.length(F.concat_ws("", F.lit("x"), F.col(f"`{header[0]}`"))) > 0)
+    raw = raw.withColumn("_bad", bad)
+    good = raw.filter(~F.col("_bad"))
     filled = [F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for h in header]
     payload = F.to_json(F.struct(*filled), TO_JSON_OPTS)
     meta = F.to_json(F.struct(F.lit("csv").alias("format"), F.col("_row_number").alias("row_number")))
@@ -138,7 +143,7 @@ def land_csv(spark: SparkSession, path: str, source: str, tenant_id: str,
         record_id(batch_id, source, F.concat_ws("#", F.col("_file"), F.col("_row_number"))).alias("id"),
         F.lit(tenant_id).alias("tenant_id"), F.lit(ingested_at).alias("ingested_at"),
         F.lit(source).alias("source"), payload.alias("payload"), meta.alias("metadata"))
-    rejects = raw.filter(F.col("_corrupt").isNotNull()).select(
+    rejects = raw.filter(F.col("_bad")).select(
         F.col("_file").alias("file"), F.col("_row_number").alias("row_number"),
         F.col("_corrupt").alias("raw"))
     return Landing(bronze, rejects, landing_run(bronze, rejects, batch_id, ingested_at, target))
@@ -157,13 +162,20 @@ def land_json(spark: SparkSession, path: str, source: str, tenant_id: str,
     """
     lines = file_row_number(spark.read.text(path), "_line")
     lines = lines.filter(F.trim("value") != "").withColumn("_v", F.try_parse_json("value"))
-    per_file = lines.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"),
-                                          F.count_if(F.col("_v").isNull()).alias("_bad"))
+    # Per file: non-blank lines, lines that do not parse, and whether the
+    # first line is a complete value.  Spark's JSON parsers ignore trailing
+    # text, so "the whole text is one document" is decided as: several lines,
+    # some not parsing alone, the first not parsing alone (NDJSON starts with
+    # a complete value), and the whole text parsing.
+    per_file = lines.groupBy("_file").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col("_v").isNull()).alias("_bad"),
+        F.min_by(F.col("_v").isNotNull(), F.col("_line")).alias("_first_ok"))
     lines = lines.join(per_file, "_file")
-    # whole text of the files that are not line-wise JSON
+    doc_files = per_file.filter((F.col("_n") > 1) & (F.col("_bad") > 0) & ~F.col("_first_ok")).select("_file")
     whole = (spark.read.text(path, wholetext=True)
              .select(F.col("_metadata.file_path").alias("_file"), F.col("value"))
-             .join(per_file.filter((F.col("_bad") > 0) & (F.col("_n") > 1)).select("_file"), "_file")
+             .join(doc_files, "_file")
              .withColumn("_w", F.try_parse_json("value")))
     whole_ok = whole.filter(F.col("_w").isNotNull())
     # documents: single-line files and whole-parsed files use document rules
@@ -173,7 +185,7 @@ def land_json(spark: SparkSession, path: str, source: str, tenant_id: str,
     doc_arrays = docs.filter(is_arr).select(
         "_file", F.posexplode(F.try_variant_get("_d", "$", "array<variant>")).alias("_pos", "_r"))
     doc_single = docs.filter(~is_arr).select("_file", F.lit(0).alias("_pos"), F.col("_d").alias("_r"))
-    # line-wise files (all lines parse, or whole text does not parse either)
+    # line-wise files: every other multi-line file
     linewise = (lines.filter(F.col("_n") > 1)
                 .join(whole_ok.select("_file"), "_file", "left_anti"))
     line_recs = linewise.filter(F.col("_v").isNotNull()).select(
