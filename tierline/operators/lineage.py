@@ -200,7 +200,9 @@ def debounce(events: DataFrame, key: str, ts: str, order_tie: str, seconds: int
     bucket's last event carried over, so a busy key is spread over many
     window partitions instead of one.  Output: the fired events.
     """
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    # microseconds since the epoch without a session-zone conversion
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                          F.col(ts).cast("timestamp_ntz"))
     b = events.withColumn("_t", us).withColumn("_b", F.date_trunc(bucket, F.col(ts)))
     per = b.groupBy(key, "_b").agg(F.max("_t").alias("_last"))
     wb = Window.partitionBy(key).orderBy("_b")          # keys x buckets rows

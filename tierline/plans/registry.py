@@ -29,8 +29,19 @@ def _entries():
     return out
 
 
+def _utc(fn):
+    """Driver timestamps are zone-less (NTZ) and compared with a UTC oracle;
+    pin the session zone so casts to TIMESTAMP and day windows agree."""
+    def run(spark, sf_dir):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def all_queries():
-    return {k: fn for k, (fn, _) in _entries().items()}
+    return {k: _utc(fn) for k, (fn, _) in _entries().items()}
 
 
 def all_oracle_sql():

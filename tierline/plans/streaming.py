@@ -71,7 +71,8 @@ def q_stream_debounce(spark, sf_dir):
     q.awaitTermination()
     o = spark.read.parquet(d + "/out")
     return o.select(F.col("key").alias("user_id"), "event_id",
-                    ts_text(F.timestamp_micros("fired_us").cast("timestamp_ntz")).alias("ts"))
+                    ts_text(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+                            + F.make_dt_interval(secs=F.col("fired_us") / F.lit(1_000_000))).alias("ts"))
 
 
 def q_stream_daily(spark, sf_dir):

@@ -94,7 +94,9 @@ def debounce_stream(spark: SparkSession, src: str, schema, key: str, ts: str, id
     key must arrive in time order across micro-batches (they are sorted within
     a batch)."""
     s = _read(spark, src, schema, max_files)
-    s = s.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"),
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    s = s.select(F.col(key).alias("key"),
+                 F.timestamp_diff("MICROSECOND", epoch, F.col(ts).cast("timestamp_ntz")).alias("_t"),
                  F.col(id_col).alias("_id"))
     out = s.groupBy("key").applyInPandasWithState(
         _debounce_fn, outputStructType="key long, event_id long, fired_us long",
