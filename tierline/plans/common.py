@@ -19,7 +19,7 @@ TS_FMT_SQL = "%Y-%m-%d %H:%M:%S.%f"     # the same text in DuckDB strftime
 # fewer partitions than the cluster has cores (one file, one row group) is
 # spread round-robin so per-row JSON / regex work uses every core.  With real
 # inputs (many files / row groups) the check is false and nothing moves.
-FACT_TABLES = {"lineitem", "orders", "events", "documents", "pages", "conversations", "customer", "part"}
+FACT_TABLES = {"lineitem", "orders", "events", "documents", "pages", "conversations"}
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ MODULES = [
     "tierline.plans.charts",
     "tierline.plans.catalog",
     "tierline.plans.streaming",
+    "tierline.plans.storage",
 ]
 
 
