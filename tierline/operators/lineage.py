@@ -190,7 +190,7 @@ def cascade_plan(transforms: DataFrame, resolved: DataFrame, changed: DataFrame,
 
 
 def debounce(events: DataFrame, key: str, ts: str, order_tie: str, seconds: int = DEBOUNCE_SECONDS,
-             bucket: str = "day") -> DataFrame:
+             bucket: str = "hour") -> DataFrame:
     """R8 per key, an event fires when at least ``seconds`` passed since the
     key's last *fired* event (a lag is not enough: it depends on firing).
 

@@ -4,7 +4,6 @@ and read back, so the readers are exercised on real files."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tierline.functions import jsonx
@@ -112,30 +111,32 @@ FROM events GROUP BY 1
 """
 
 # ---------------------------------------------------------- S4-S10 pages
-PAGE_SIZE = 15
+PAGE_SIZE = 10
 BASE = "https://api.example.com"
+KEYS_PER_PAGE = 250      # a page holds the brand's parts of one key range (about 10 at any scale)
 
 
 def fetched_pages(spark, sf_dir):
-    """Fetched page bodies of one pull per brand; page = size band of the
-    part.  Cursor ends on the last page; the Link header is left out after
-    page 2 for odd brands; ``next`` is a number (ends the chain) at page 1 for
-    brands divisible by 3."""
+    """Fetched page bodies of one pull per brand; page = part-key range, so a
+    page holds a bounded number of records at any scale.  The cursor ends on
+    the last page; the Link header is left out after page 2 for odd brands;
+    ``next`` is a number (ends the chain) at page 1 for brands divisible by 3."""
     p = table(spark, sf_dir, "part")
     p = p.select(F.col("p_brand").alias("pull_id"),
-                 F.floor((F.col("p_size") - 1) / 10).cast("int").alias("page"),
+                 F.floor(F.col("p_partkey") / KEYS_PER_PAGE).cast("int").alias("page"),
                  "p_partkey", "p_name", "p_retailprice")
-    # Re-nest the records of each page (bounded by the page's records)
+    # Re-nest the records of each page (at most KEYS_PER_PAGE records)
     items = p.groupBy("pull_id", "page").agg(
         F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_retailprice"))).alias("items"))
+    # one row per pull, broadcast (the number of pulls, not of records)
+    last = items.groupBy("pull_id").agg(F.max("page").alias("_last"))
+    items = items.join(F.broadcast(last), "pull_id")
     brand_no = F.regexp_extract("pull_id", r"(\d+)$", 1).cast("int")
-    w = Window.partitionBy("pull_id")
-    last = F.max("page").over(w)
     url_of = lambda pgc: F.concat(F.lit(BASE), F.lit("/parts/"), brand_no.cast("string"),
                                   F.lit("?page="), pgc.cast("string"))
     rel_of = lambda pgc: F.concat(F.lit("/parts/"), brand_no.cast("string"),
                                   F.lit("?page="), pgc.cast("string"))
-    has_next = F.col("page") < last
+    has_next = F.col("page") < F.col("_last")
     cursor = F.when(has_next, F.concat(F.lit("c"), (F.col("page") + 1).cast("string")))
     link = F.when(has_next & ~((brand_no % 2 == 1) & (F.col("page") >= 2)),
                   F.concat(F.lit("<"), url_of(F.col("page") + 1), F.lit('>; rel="next"')))
@@ -177,7 +178,7 @@ def q_pages_single(spark, sf_dir):
 
 
 _PAGES_CTE = """
-WITH p AS (SELECT p_brand AS pull_id, CAST(floor((p_size - 1) / 10) AS INTEGER) AS page, p_partkey,
+WITH p AS (SELECT p_brand AS pull_id, CAST(floor(p_partkey / 250) AS INTEGER) AS page, p_partkey,
                   CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) AS brand_no
            FROM part),
 pp AS (SELECT pull_id, page, brand_no, COUNT(*) AS n FROM p GROUP BY ALL),

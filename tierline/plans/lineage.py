@@ -4,15 +4,14 @@ derived from ``supplier`` (they grow with it):
 * entities: per supplier s, ``bronze.raw_s{s}``, ``silver.clean_s{s}``,
   ``gold.report_s{s}`` (ids ``e-b-s``, ``e-s-s``, ``e-g-s``);
 * ``ta-s`` loads raw -> clean (approved, on_change, watches ``e-b-s``);
-* ``tb-s`` builds the report from clean_s{s} JOIN clean_s{m}, m = the next
-  supplier of the same nation (wrapping); for s % 10 = 0 the join names a
-  table that does not exist; approved when s is even;
+* ``tb-s`` builds the report from clean_s{s} JOIN clean_s{m}, m = s XOR 1
+  (its neighbour key, absent for the last odd key and for key 1's partner 0);
+  for s % 10 = 0 the join names a missing table; approved when s is even;
 * ``tc-s`` for s % 7 = 0 names only unknown tables (unresolved edge).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tierline.functions.text import inject_tenant_schemas, strip_tenant_schemas
@@ -24,10 +23,10 @@ TENANT = "t0"
 
 
 def _suppliers(spark, sf_dir):
+    """Each supplier's partner is ``s_suppkey XOR 1`` (its neighbour key); a
+    partner that does not exist leaves that join table unresolved."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    nxt = F.coalesce(F.lead("s_suppkey").over(w), F.first("s_suppkey").over(w))
-    return s.withColumn("m", nxt)
+    return s.withColumn("m", F.col("s_suppkey").bitwiseXOR(F.lit(1)))
 
 
 def entities(spark, sf_dir):
@@ -52,7 +51,7 @@ def transforms(spark, sf_dir):
                   F.lit("approved").alias("status"),
                   F.to_json(F.array(F.concat(F.lit("e-b-"), k))).alias("watch_entities"))
     join_tbl = F.when(missing, F.concat(F.lit("missing_s"), k)).otherwise(F.concat(F.lit("clean_s"), m))
-    watch = F.when(missing | (F.col("m") == F.col("s_suppkey")), F.array(F.concat(F.lit("e-s-"), k))) \
+    watch = F.when(missing, F.array(F.concat(F.lit("e-s-"), k))) \
         .otherwise(F.array(F.concat(F.lit("e-s-"), k), F.concat(F.lit("e-s-"), m)))
     tb = s.select(F.concat(F.lit("tb-"), k).alias("id"), F.concat(F.lit("report_s"), k).alias("name"),
                   F.lit("silver").alias("source_layer"), F.lit("gold").alias("target_layer"),
@@ -77,16 +76,15 @@ def q_lineage_edges(spark, sf_dir):
 
 
 _SUPP_SQL = """
-WITH s AS (SELECT s_suppkey AS k, s_nationkey,
-                  COALESCE(LEAD(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey),
-                           FIRST_VALUE(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)) AS m
+WITH s AS (SELECT s_suppkey AS k, s_nationkey, xor(s_suppkey, 1) AS m,
+                  xor(s_suppkey, 1) IN (SELECT s_suppkey FROM supplier) AS m_exists
            FROM supplier),
 e AS (SELECT 'ta-' || k AS transform_id, 'approved' AS status, 'e-b-' || k AS src, 'e-s-' || k AS tgt FROM s
       UNION ALL
       SELECT 'tb-' || k, CASE WHEN k % 2 = 0 THEN 'approved' ELSE 'draft' END, 'e-s-' || k, 'e-g-' || k FROM s
       UNION ALL
       SELECT 'tb-' || k, CASE WHEN k % 2 = 0 THEN 'approved' ELSE 'draft' END, 'e-s-' || m, 'e-g-' || k FROM s
-      WHERE k % 10 <> 0 AND m <> k)
+      WHERE k % 10 <> 0 AND m_exists)
 """
 SQL_LINEAGE_EDGES = _SUPP_SQL + """
 SELECT transform_id || '_' || src AS edge_id, transform_id, status, src AS source_entity_id,
@@ -157,7 +155,7 @@ def q_cascade_plan(spark, sf_dir):
 SQL_CASCADE = _SUPP_SQL + """
 , w AS (SELECT 'ta-' || k AS tid, 'e-b-' || k AS watched, 'e-s-' || k AS target FROM s
         UNION ALL SELECT 'tb-' || k, 'e-s-' || k, 'e-g-' || k FROM s WHERE k % 2 = 0
-        UNION ALL SELECT 'tb-' || k, 'e-s-' || m, 'e-g-' || k FROM s WHERE k % 2 = 0 AND k % 10 <> 0 AND m <> k),
+        UNION ALL SELECT 'tb-' || k, 'e-s-' || m, 'e-g-' || k FROM s WHERE k % 2 = 0 AND k % 10 <> 0),
 plan AS (
   WITH RECURSIVE p(tid, target, depth) AS (
     SELECT tid, target, 0 FROM w WHERE watched IN (SELECT 'e-b-' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)
