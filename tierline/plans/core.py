@@ -162,6 +162,7 @@ def q_event_props_typed(spark, sf_dir):
                     jsonx.typed("_v", "k", "int").alias("k"),
                     r2(jsonx.typed("_v", "k", "float")).alias("k_float"),
                     jsonx.text("_p", "k").alias("k_text"),
+                    jsonx.strict("_v", "k", "int").alias("k_strict"),
                     jsonx.typed("_v", "missing", "int").alias("missing"))
 
 
@@ -170,6 +171,7 @@ SELECT event_id,
        TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k,
        ROUND(TRY_CAST(json_extract(props, '$.k') AS DOUBLE), 2) AS k_float,
        json_extract_string(props, '$.k') AS k_text,
+       CAST(json_extract(props, '$.k') AS BIGINT) AS k_strict,
        TRY_CAST(json_extract(props, '$.missing') AS BIGINT) AS missing
 FROM events
 """
@@ -221,7 +223,30 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) A
 """
 
 
+# ------------------------------------------------------ J5 payload-field join
+
+
+def q_payload_join(spark, sf_dir):
+    """J5 two bronze envelopes joined on fields extracted from their payloads
+    (orders.o_custkey = customers.c_custkey), order counts per segment."""
+    ob = bronze_table(spark, sf_dir, "orders", "o_orderkey")
+    cb = bronze_table(spark, sf_dir, "customer", "c_custkey")
+    o = ob.select(jsonx.parse("payload").alias("_v")).select(
+        jsonx.typed("_v", "o_custkey", "int").alias("ck"), jsonx.typed("_v", "o_totalprice", "float").alias("p"))
+    c = cb.select(F.col("payload").alias("_p"), jsonx.parse("payload").alias("_v")).select(
+        jsonx.typed("_v", "c_custkey", "int").alias("ck"), jsonx.text("_p", "c_mktsegment").alias("segment"))
+    j = o.join(c, "ck")
+    return j.groupBy("segment").agg(F.count(F.lit(1)).alias("n_orders"), r2(F.sum("p")).alias("revenue"))
+
+
+SQL_PAYLOAD_JOIN = """
+SELECT c.c_mktsegment AS segment, COUNT(*) AS n_orders, ROUND(SUM(o.o_totalprice), 2) AS revenue
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1
+"""
+
+
 QUERIES = {
+    "payload_join": (q_payload_join, SQL_PAYLOAD_JOIN),
     "revenue_by_day_segment": (q_revenue_by_day_segment, SQL_REVENUE),
     "flatten_orders": (q_flatten_orders, SQL_FLATTEN_ORDERS),
     "unnest_line_items": (q_unnest_line_items, SQL_UNNEST),

@@ -147,7 +147,42 @@ SELECT DISTINCT user_id AS id, 'https://api.example.com/conn_' || CAST(user_id A
 FROM events WHERE user_id % 2 = 0
 """
 
+def q_preview_masked(spark, sf_dir):
+    """L3 + G4 a viewer's preview of silver customers: 500 asked, capped at
+    100, PII masked (flags from the catalogue)."""
+    from tierline.operators.query import preview
+    p = preview(_customers(spark, sf_dir), ["customer_id"], n=500)
+    return G.mask_frame(p, "viewer", pii_columns=["full_name", "email", "phone", "zip"])
+
+
+SQL_PREVIEW_MASKED = f"""
+SELECT * FROM ({SQL_MASK_CUSTOMER}) ORDER BY customer_id LIMIT 100
+"""
+
+
+def q_source_names(spark, sf_dir):
+    """S11 name normalisation: a safe source table name for every distinct
+    part name, and an ASCII tenant slug for every region name."""
+    from tierline.functions.text import source_table_name, tenant_slug
+    p = table(spark, sf_dir, "part").select("p_name").distinct()
+    r = table(spark, sf_dir, "region").select("r_name")
+    return (p.select(F.lit("source").alias("kind"), F.col("p_name").alias("raw"),
+                     source_table_name("p_name").alias("normalized"))
+            .unionByName(r.select(F.lit("tenant").alias("kind"), F.col("r_name").alias("raw"),
+                                  tenant_slug("r_name").alias("normalized"))))
+
+
+SQL_SOURCE_NAMES = """
+SELECT 'source' AS kind, p_name AS raw, regexp_replace(lower(p_name), '[^\\pL\\pN]', '_', 'g') AS normalized
+FROM (SELECT DISTINCT p_name FROM part)
+UNION ALL
+SELECT 'tenant', r_name, regexp_replace(lower(r_name), '[^a-z0-9]', '_', 'g') FROM region
+"""
+
+
 QUERIES = {
+    "preview_masked": (q_preview_masked, SQL_PREVIEW_MASKED),
+    "source_names": (q_source_names, SQL_SOURCE_NAMES),
     "mask_customer": (q_mask_customer, SQL_MASK_CUSTOMER),
     "role_visible_entities": (q_role_visible_entities, SQL_ROLE_VISIBLE),
     "permission_matrix": (q_permission_matrix, SQL_PERMISSION_MATRIX),
