@@ -79,3 +79,27 @@ def test_top_k_per_group_hot_key(spark):
     out = Q.top_k_per_group(df, ["g"], [F.col("v").desc()], 3, salt_buckets=16)
     assert sorted((r.g, r.rank, r.v) for r in out.collect()) == \
         [(0, 1, 1999), (0, 2, 1998), (0, 3, 1997), (1, 1, 9), (1, 2, 8), (1, 3, 7)]
+
+
+def test_debounce_long_bursts_match_fold(spark):
+    """The pointer-doubling path for long bursts equals the fold."""
+    import random
+    rnd = random.Random(7)
+    rows, t = [], 0
+    for i in range(400):
+        t += rnd.choice([1, 3, 7, 12, 20, 29, 31, 45, 90])
+        rows.append((i % 3, i, t))
+    df = spark.createDataFrame(rows, "k long, id long, sec long") \
+        .withColumn("ts", F.timestamp_seconds(F.col("sec") + 1704067200).cast("timestamp_ntz"))
+    folded = sorted((r.k, r.id) for r in L.debounce(df, "k", "ts", "id").collect())
+    jumped = sorted((r.k, r.id) for r in L.debounce(df, "k", "ts", "id", fold_limit=0).collect())
+    assert folded == jumped and len(folded) > 0
+    # brute force
+    want = []
+    for k in range(3):
+        last = None
+        for (kk, i, s) in sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1])):
+            if last is None or s - last >= 30:
+                last = s
+                want.append((k, i))
+    assert folded == sorted(want)

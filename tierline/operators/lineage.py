@@ -10,6 +10,8 @@ with the frontier cut from its lineage by a reliable checkpoint each round.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,41 +191,106 @@ def cascade_plan(transforms: DataFrame, resolved: DataFrame, changed: DataFrame,
     return planned
 
 
+DEBOUNCE_FOLD_LIMIT = 100_000
+
+
 def debounce(events: DataFrame, key: str, ts: str, order_tie: str, seconds: int = DEBOUNCE_SECONDS,
-             bucket: str = "hour") -> DataFrame:
+             bucket: str = "hour", fold_limit: int = DEBOUNCE_FOLD_LIMIT) -> DataFrame:
     """R8 per key, an event fires when at least ``seconds`` passed since the
     key's last *fired* event (a lag is not enough: it depends on firing).
+    ``order_tie`` must be unique per key.
 
     Events are cut into bursts (consecutive gap < ``seconds``); the first event
-    of a burst always fires, so bursts are independent and each one is folded
-    alone.  Gaps are computed per (key, time bucket) with the previous
-    bucket's last event carried over, so a busy key is spread over many
-    window partitions instead of one.  Output: the fired events.
+    of a burst always fires, so bursts are independent.  Gaps are computed per
+    (key, hour) with the previous hour's last event carried over, so a busy key
+    is spread over many window partitions.  A burst of at most ``fold_limit``
+    events is folded as one sorted array; a longer one (a key with continuous
+    traffic) is solved exactly without gathering it: every event points to the
+    first event ``seconds`` later (``_next_fire``) and the fired chain from the
+    burst start is found by pointer doubling (``_chain``).  Output: the fired
+    events.
     """
+    w_us = seconds * 1_000_000
     # microseconds since the epoch without a session-zone conversion
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                           F.col(ts).cast("timestamp_ntz"))
-    b = events.withColumn("_t", us).withColumn("_b", F.date_trunc(bucket, F.col(ts)))
+    b = events.select(key, order_tie, us.alias("_t"), F.date_trunc(bucket, F.col(ts)).alias("_b"))
     per = b.groupBy(key, "_b").agg(F.max("_t").alias("_last"))
     wb = Window.partitionBy(key).orderBy("_b")          # keys x buckets rows
     per = per.withColumn("_prev_last", F.lag("_last").over(wb))
     b = b.join(per.select(key, "_b", "_prev_last"), [key, "_b"])
     w = Window.partitionBy(key, "_b").orderBy("_t", order_tie)
     prev = F.coalesce(F.lag("_t").over(w), F.col("_prev_last"))
-    b = b.withColumn("_start", (prev.isNull() | (F.col("_t") - prev >= seconds * 1_000_000)).cast("int"))
+    b = b.withColumn("_start", (prev.isNull() | (F.col("_t") - prev >= w_us)).cast("int"))
     b = b.withColumn("_seg_local", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     starts = b.groupBy(key, "_b").agg(F.sum("_start").alias("_ns"))
     starts = starts.withColumn("_off", F.coalesce(F.sum("_ns").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
                                                   F.lit(0)))
-    b = b.join(starts.select(key, "_b", "_off"), [key, "_b"]).withColumn("_seg", F.col("_seg_local") + F.col("_off"))
-    bursts = b.groupBy(key, "_seg").agg(F.array_sort(F.collect_list(F.struct("_t", order_tie))).alias("_ev"))
+    b = b.join(starts.select(key, "_b", "_off"), [key, "_b"]) \
+        .select(key, order_tie, "_t", (F.col("_seg_local") + F.col("_off")).alias("_seg"))
+    sizes = b.groupBy(key, "_seg").agg(F.count(F.lit(1)).alias("_n"))
+    biggest = sizes.agg(F.max("_n")).first()[0] or 0        # one number
+    b = b.join(sizes, [key, "_seg"])                       # same partitioning as the fold below
+    small = b.filter(F.col("_n") <= fold_limit)
+    bursts = small.groupBy(key, "_seg").agg(F.array_sort(F.collect_list(F.struct("_t", order_tie))).alias("_ev"))
     init = F.struct(F.lit(None).cast("long").alias("last"),
                     F.array().cast(f"array<{b.schema[order_tie].dataType.simpleString()}>").alias("fired"))
     fold = F.aggregate(
         "_ev", init,
-        lambda acc, x: F.when(acc["last"].isNull() | (x["_t"] - acc["last"] >= seconds * 1_000_000),
+        lambda acc, x: F.when(acc["last"].isNull() | (x["_t"] - acc["last"] >= w_us),
                               F.struct(x["_t"].alias("last"),
                                        F.concat(acc["fired"], F.array(x[order_tie])).alias("fired")))
         .otherwise(acc))
     fired = bursts.select(key, F.explode(fold["fired"]).alias(order_tie))
+    if biggest > fold_limit:
+        large = b.filter(F.col("_n") > fold_limit).select(key, F.col(order_tie).alias("_id"), "_t", "_seg")
+        fired = fired.unionByName(_chain(large, key, w_us, biggest).withColumnRenamed("_id", order_tie))
     return events.join(fired, [key, order_tie], "left_semi")
+
+
+def _next_fire(ev: DataFrame, key: str, w_us: int) -> DataFrame:
+    """For every event, the first event of the same key and burst at least
+    ``w_us`` later (null at the end of a burst).
+
+    Events are put in ``w_us``-wide buckets; the answer lies in the next
+    bucket (found by a range window over that bucket's events, which are
+    copied into the current bucket's partition) or is the first event of a
+    later bucket (a window over the per-bucket minimum).  Every window
+    partition holds at most two buckets of one key.
+    """
+    q = F.floor(F.col("_t") / F.lit(w_us)).cast("long")
+    ev = ev.withColumn("_q", q)
+    own = ev.select(key, "_id", "_t", "_seg", F.col("_q").alias("_part"), F.lit(True).alias("_own"))
+    tgt = ev.select(key, "_id", "_t", "_seg", (F.col("_q") - 1).alias("_part"), F.lit(False).alias("_own"))
+    w = Window.partitionBy(key, "_part").orderBy("_t").rangeBetween(w_us, Window.unboundedFollowing)
+    near = own.unionByName(tgt).withColumn(
+        "_near", F.min(F.when(~F.col("_own"), F.struct("_t", "_id", "_seg"))).over(w)) \
+        .filter(F.col("_own")).select(key, "_id", "_t", "_seg", F.col("_part").alias("_q"), "_near")
+    firsts = ev.groupBy(key, "_q").agg(F.min(F.struct("_t", "_id", "_seg")).alias("_first"))
+    wq = Window.partitionBy(key).orderBy("_q").rangeBetween(2, Window.unboundedFollowing)
+    firsts = firsts.withColumn("_later", F.min("_first").over(wq))
+    j = near.join(firsts.select(key, "_q", "_later"), [key, "_q"])
+    nxt = F.coalesce(F.col("_near"), F.col("_later"))
+    return j.select(key, "_id", "_seg", F.when(nxt["_seg"] == F.col("_seg"), nxt["_id"]).alias("_to"))
+
+
+def _chain(large: DataFrame, key: str, w_us: int, longest: int) -> DataFrame:
+    """Fired events of long bursts: the chain start, nxt(start),
+    nxt(nxt(start)), ...  Pointer doubling: after round i the reached set
+    holds every chain member within 2^(i+1) - 1 steps and the jump table holds
+    2^(i+1) steps, so ceil(log2(longest)) rounds reach the chain's end.  All
+    joins are on unique (key, event) ids; each round is checkpointed."""
+    jump = cut_lineage(_next_fire(large, key, w_us).select(key, "_id", "_to"))
+    reached = large.groupBy(key, "_seg").agg(F.min_by("_id", F.struct("_t", "_id")).alias("_id")) \
+        .select(key, "_id")
+    rounds = max(1, math.ceil(math.log2(max(2, longest))))
+    for _ in range(rounds):
+        step = reached.join(jump, [key, "_id"]).filter(F.col("_to").isNotNull()) \
+            .select(key, F.col("_to").alias("_id"))
+        reached = cut_lineage(reached.unionByName(step).distinct())
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = cut_lineage(a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._to") == F.col("b._id")),
+                                  "left")
+                           .select(F.col(f"a.{key}").alias(key), F.col("a._id").alias("_id"),
+                                   F.col("b._to").alias("_to")))
+    return reached
