@@ -173,10 +173,15 @@ def land_json(spark: SparkSession, path: str, source: str, tenant_id: str,
         F.min_by(F.col("_v").isNotNull(), F.col("_line")).alias("_first_ok"))
     lines = lines.join(per_file, "_file")
     doc_files = per_file.filter((F.col("_n") > 1) & (F.col("_bad") > 0) & ~F.col("_first_ok")).select("_file")
-    whole = (spark.read.text(path, wholetext=True)
-             .select(F.col("_metadata.file_path").alias("_file"), F.col("value"))
-             .join(doc_files, "_file")
-             .withColumn("_w", F.try_parse_json("value")))
+    # only those files are read whole (a list of paths: file metadata, not
+    # data); line-delimited files are never turned into one giant row
+    doc_paths = [r["_file"] for r in doc_files.collect()]
+    if doc_paths:
+        whole = (spark.read.text(doc_paths, wholetext=True)
+                 .select(F.col("_metadata.file_path").alias("_file"), F.col("value"))
+                 .withColumn("_w", F.try_parse_json("value")))
+    else:
+        whole = spark.createDataFrame([], "_file string, value string").withColumn("_w", F.try_parse_json("value"))
     whole_ok = whole.filter(F.col("_w").isNotNull())
     # documents: single-line files and whole-parsed files use document rules
     docs = (lines.filter(F.col("_n") == 1).select("_file", F.col("_v").alias("_d"))
