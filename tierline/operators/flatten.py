@@ -17,13 +17,14 @@ TYPED = ("int", "float", "bool", "timestamp")
 
 
 def flatten_select(bronze: DataFrame, fields: list[tuple[str, str]], pk: str | None,
-                   payload: str = "payload") -> DataFrame:
+                   payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
     """W10 projection: typed fields via one VARIANT parse, text fields via the
     JSON text extractor (json / array stay JSON text), rows without a key
     dropped (E6).  Narrow: filter and projection only; both reach the scan's
-    column pruning (only ``payload`` is read).
+    column pruning (only ``payload`` and ``keep`` columns are read).
     """
-    parsed = bronze.select(F.col(payload).alias("_p"), jsonx.parse(payload).alias("_v"))
+    keep = keep or []
+    parsed = bronze.select(*keep, F.col(payload).alias("_p"), jsonx.parse(payload).alias("_v"))
     cols = []
     for name, dtype in fields:
         if dtype in TYPED:
@@ -33,20 +34,29 @@ def flatten_select(bronze: DataFrame, fields: list[tuple[str, str]], pk: str | N
     out = parsed
     if pk:
         out = out.filter(jsonx.text("_p", pk).isNotNull())
-    return out.select(*cols)
+    return out.select(*cols, *keep)
 
 
 def flatten(bronze: DataFrame, fields: list[tuple[str, str]], pk: str | None,
             target: DataFrame | None = None, order_by: list | None = None) -> DataFrame:
-    """W10 = W2 (empty typed target when missing) + projection + W3 upsert on pk."""
-    rows = flatten_select(bronze, fields, pk)
-    if target is None or not pk:
-        if pk and order_by is None:
-            return rows
-        target = rows.limit(0)
-    if order_by is None:
-        order_by = [pk]
-    return merge.upsert(target, rows, pk, order_by=order_by)
+    """W10 = W2 (empty typed target when missing) + projection + W3 upsert on
+    pk.  Within the batch the newest landing wins (H3): ``order_by`` if
+    given, else the envelope's (ingested_at, id), else the key alone."""
+    if not pk:
+        return flatten_select(bronze, fields, None)
+    envelope_order = [c for c in ("ingested_at", "id") if c in bronze.columns]
+    names = [n for n, _ in fields]
+    if order_by is None and envelope_order:
+        keep = [c for c in envelope_order if c not in names]
+        rows = flatten_select(bronze, fields, pk, keep=keep)
+        order = envelope_order
+    else:
+        rows = flatten_select(bronze, fields, pk)
+        order = order_by or [pk]
+    if target is None:
+        target = rows.select(*names).limit(0)
+    out = merge.upsert(target, rows, pk, order_by=order)
+    return out.select(*names)
 
 
 def field_tuples(fields_df: DataFrame) -> list[tuple[str, str]]:
