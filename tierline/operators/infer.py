@@ -33,10 +33,16 @@ SAMPLE_CHARS = 80
 
 
 def _kind(schema_col):
-    """JSON kind of one value from ``schema_of_variant``."""
+    """JSON kind of one value from ``schema_of_variant``.
+
+    An integer literal that fits a long parses to BIGINT; a number written
+    with a fraction or exponent becomes DECIMAL / DOUBLE, and the parser
+    drops zero fractions (``1.0`` -> DECIMAL(1,0)).  So DECIMAL(p,0) is a
+    float literal unless p >= 19 (an integer literal beyond a long)."""
     s = schema_col
     return (F.when(s.isNull() | (s == "VOID"), "null").when(s == "BOOLEAN", "bool")
-            .when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | s.rlike(r"^DECIMAL\(\d+,0\)$"), "int")
+            .when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT")
+                  | s.rlike(r"^DECIMAL\((19|[2-9]\d|\d{3,}),0\)$"), "int")
             .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "float")
             .when(s == "STRING", "string").when(s.startswith("ARRAY"), "array")
             .when(s.startswith("OBJECT"), "object").otherwise("string"))
@@ -103,7 +109,8 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
         all_(stripped.rlike(ISO_DATE)).alias("t_date"),
         all_(stripped.rlike(EMAIL)).alias("t_email"),
         all_(stripped.rlike(URL)).alias("t_url"),
-        all_(stripped.rlike(INT_TEXT)).alias("t_int"),
+        # a float value's text is never int text (its str() has a '.' or 'e')
+        all_((F.col("kind") == "int") | ((F.col("kind") == "string") & stripped.rlike(INT_TEXT))).alias("t_int"),
         all_(F.col("kind").isin("int", "float") | stripped.rlike(FLOAT_TEXT)).alias("t_float"),
     )
     # totals from the sentinel group, by a window over the aggregated rows
