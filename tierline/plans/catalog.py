@@ -41,14 +41,21 @@ FROM (VALUES ('l_linenumber', 0), ('l_partkey', 1), ('l_suppkey', 2), ('l_quanti
 
 
 def q_storage_class(spark, sf_dir):
+    """P10 storage kind per table, with each table's physical columns
+    discovered from its rows (keys of every row as JSON, de-duplicated)."""
     bronze = bronze_orders(spark, sf_dir)
     csv_like = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("_id"), F.lit("t0").alias("_tenant_id"),
         F.lit("2024-02-01").alias("_ingested_at"), F.col("c_name").cast("string"))
     silver = orders_cleaned(bronze)
-    cols = I.columns_frame(spark, {"bronze.orders": bronze, "bronze.customers_csv": csv_like,
-                                   "silver.orders_cleaned": silver})
-    return I.storage_class(cols)
+    rows = None
+    for name, df in (("bronze.orders", bronze), ("bronze.customers_csv", csv_like),
+                     ("silver.orders_cleaned", silver)):
+        keys = df.select(F.lit(name).alias("table_name"),
+                         F.posexplode(F.json_object_keys(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})))
+                         .alias("ordinal", "name")).distinct()
+        rows = keys if rows is None else rows.unionByName(keys)
+    return I.storage_class(rows)
 
 
 SQL_STORAGE_CLASS = """
@@ -56,6 +63,49 @@ SELECT * FROM (VALUES ('bronze.orders', 'webhook'), ('bronze.customers_csv', 'cs
                       ('silver.orders_cleaned', 'flat')) AS v(table_name, storage)
 """
 
+
+def _entity_bronzes(spark, sf_dir):
+    """Bronze payloads of three entities in one frame (entity column)."""
+    from tierline.plans.inference import customer_records
+    from tierline.sources.landing import envelope
+    o = bronze_orders(spark, sf_dir).select(F.lit("orders").alias("entity"), "payload",
+                                            F.get_json_object("payload", "$.order_id").cast("long").alias("_pos"))
+    c = envelope(customer_records(spark, sf_dir), "customers", "t0", "b1", "2024-02-01T00:00:00",
+                 position="_pos").select(F.lit("customers").alias("entity"), "payload",
+                                         F.get_json_object("payload", "$.customer_id").cast("long").alias("_pos"))
+    e = table(spark, sf_dir, "events")
+    ev = e.select(F.lit("events").alias("entity"), F.to_json(F.struct(*[F.col(x) for x in e.columns]))
+                  .alias("payload"), F.col("event_id").alias("_pos"))
+    return o.unionByName(c).unionByName(ev)
+
+
+def q_pk_guess(spark, sf_dir):
+    """P6 the key guessed for each entity from its inferred fields."""
+    from tierline.operators.infer import infer_fields
+    f = infer_fields(_entity_bronzes(spark, sf_dir), "_pos", entity="entity")
+    return f.filter("is_pk").select("entity", F.col("name").alias("pk"))
+
+
+SQL_PK_GUESS = """
+SELECT * FROM (VALUES ('orders', 'order_id'), ('customers', 'customer_id'), ('events', 'event_id'))
+  AS v(entity, pk)
+"""
+
+
+def q_pii_columns(spark, sf_dir):
+    """P5 PII columns of each entity (by name), with their inferred type."""
+    from tierline.operators.infer import infer_fields
+    f = infer_fields(_entity_bronzes(spark, sf_dir), "_pos", entity="entity")
+    return f.filter("is_pii").select("entity", "name", "data_type")
+
+
+SQL_PII_COLUMNS = """
+SELECT * FROM (VALUES ('customers', 'full_name', 'string'), ('customers', 'email', 'string'),
+                      ('customers', 'phone', 'string'), ('customers', 'zip', 'int'),
+                      ('customers', 'address', 'json')) AS v(entity, name, data_type)
+"""
+
+
 # ------------------------------------------------------------------ J8
 
 
@@ -152,6 +202,8 @@ FROM i GROUP BY ALL
 """
 
 QUERIES = {
+    "pk_guess": (q_pk_guess, SQL_PK_GUESS),
+    "pii_columns": (q_pii_columns, SQL_PII_COLUMNS),
     "payload_keys": (q_payload_keys, SQL_PAYLOAD_KEYS),
     "array_subkeys": (q_array_subkeys, SQL_ARRAY_SUBKEYS),
     "storage_class": (q_storage_class, SQL_STORAGE_CLASS),

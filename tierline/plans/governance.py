@@ -94,32 +94,38 @@ FROM customer WHERE c_mktsegment <> 'AUTOMOBILE'
 """
 
 
+def _supplier_tenants(spark, sf_dir):
+    """One tenant per supplier (``s{key}``), so the overlay grows with data."""
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), "s_suppkey", "s_name")
+
+
 def q_config_overlay(spark, sf_dir):
-    """E16 tenants from ``region``; even regions store a higher run quota
-    and odd ones a custom model."""
-    t = control.tenants(spark, sf_dir)
-    r = table(spark, sf_dir, "region")
-    tid = F.concat(F.lit("t"), F.col("r_regionkey").cast("string"))
-    stored = (r.filter(F.col("r_regionkey") % 2 == 0)
-              .select(tid.alias("tenant_id"), F.lit("max_connector_runs_per_day").alias("key"),
-                      (F.col("r_regionkey") * 100 + 200).cast("string").alias("value"))
-              .unionByName(r.filter(F.col("r_regionkey") % 2 == 1)
-                           .select(tid.alias("tenant_id"), F.lit("llm_model").alias("key"),
-                                   F.concat(F.lit('"model-'), F.lower("r_name"), F.lit('"')).alias("value"))))
-    return G.config_overlay(t, stored)
+    """E16 one tenant per supplier; even suppliers store a higher run quota,
+    odd ones a custom model."""
+    t = _supplier_tenants(spark, sf_dir)
+    stored = (t.filter(F.col("s_suppkey") % 2 == 0)
+              .select(F.col("id").alias("tenant_id"), F.lit("max_connector_runs_per_day").alias("key"),
+                      (F.col("s_suppkey") * 10 + 200).cast("string").alias("value"))
+              .unionByName(t.filter(F.col("s_suppkey") % 2 == 1)
+                           .select(F.col("id").alias("tenant_id"), F.lit("llm_model").alias("key"),
+                                   F.concat(F.lit('"model-'), F.lower("s_name"), F.lit('"')).alias("value"))))
+    return G.config_overlay(t.select("id"), stored)
 
 
 _DEF_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in G.CONFIG_DEFAULTS.items())
 SQL_CONFIG_OVERLAY = f"""
 WITH d AS (SELECT * FROM (VALUES {_DEF_VALUES}) AS v(key, value)),
-s AS (SELECT 't' || CAST(r_regionkey AS VARCHAR) AS tenant_id, 'max_connector_runs_per_day' AS key,
-             CAST(r_regionkey * 100 + 200 AS VARCHAR) AS value FROM region WHERE r_regionkey % 2 = 0
+s AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS tenant_id, 'max_connector_runs_per_day' AS key,
+             CAST(s_suppkey * 10 + 200 AS VARCHAR) AS value FROM supplier WHERE s_suppkey % 2 = 0
       UNION ALL
-      SELECT 't' || CAST(r_regionkey AS VARCHAR), 'llm_model', '"model-' || lower(r_name) || '"'
-      FROM region WHERE r_regionkey % 2 = 1)
-SELECT 't' || CAST(r.r_regionkey AS VARCHAR) AS tenant_id, d.key, COALESCE(s.value, d.value) AS value
-FROM region r CROSS JOIN d
-LEFT JOIN s ON s.tenant_id = 't' || CAST(r.r_regionkey AS VARCHAR) AND s.key = d.key
+      SELECT 's' || CAST(s_suppkey AS VARCHAR), 'llm_model', '"model-' || lower(s_name) || '"'
+      FROM supplier WHERE s_suppkey % 2 = 1),
+t AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS tenant_id FROM supplier)
+SELECT t.tenant_id, d.key, COALESCE(s.value, d.value) AS value
+FROM t CROSS JOIN d LEFT JOIN s ON s.tenant_id = t.tenant_id AND s.key = d.key
+UNION ALL
+SELECT s.tenant_id, s.key, s.value FROM s WHERE s.key NOT IN (SELECT key FROM d)
 """
 
 

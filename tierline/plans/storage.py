@@ -126,27 +126,29 @@ FROM orders
 
 def q_config_conflict_update(spark, sf_dir):
     """W5 ``ON CONFLICT (tenant, key) DO UPDATE SET value``: the overlay of
-    every tenant (E16) updated by one write per even region, plus new keys."""
-    t = control.tenants(spark, sf_dir)
-    stored = G.config_overlay(t, spark.createDataFrame([], "tenant_id string, key string, value string"))
+    every supplier tenant (E16) updated by one write per even supplier, plus
+    a new key for those tenants."""
+    t = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), "s_suppkey")
+    stored = G.config_overlay(t.select("id"), spark.createDataFrame([], "tenant_id string, key string, value string"))
     stored = stored.withColumn("updated_by", F.lit("seed"))
-    r = table(spark, sf_dir, "region").filter(F.col("r_regionkey") % 2 == 0)
-    tid = F.concat(F.lit("t"), F.col("r_regionkey").cast("string"))
-    writes = r.select(tid.alias("tenant_id"), F.lit("data_retention_days").alias("key"),
-                      (F.col("r_regionkey") + 30).cast("string").alias("value")) \
-        .unionByName(r.select(tid.alias("tenant_id"), F.lit("theme").alias("key"), F.lit('"dark"').alias("value")))
+    ev = t.filter(F.col("s_suppkey") % 2 == 0)
+    writes = ev.select(F.col("id").alias("tenant_id"), F.lit("data_retention_days").alias("key"),
+                       (F.col("s_suppkey") + 30).cast("string").alias("value")) \
+        .unionByName(ev.select(F.col("id").alias("tenant_id"), F.lit("theme").alias("key"),
+                               F.lit('"dark"').alias("value")))
     return merge.conflict_update(stored, writes, ["tenant_id", "key"], ["value"])
 
 
 _DEF = ", ".join(f"('{k}', '{v}')" for k, v in G.CONFIG_DEFAULTS.items())
 SQL_CONFIG_CONFLICT = f"""
 WITH d AS (SELECT * FROM (VALUES {_DEF}) AS v(key, value)),
-s AS (SELECT 't' || CAST(r_regionkey AS VARCHAR) AS tenant_id, d.key, d.value, 'seed' AS updated_by
-      FROM region CROSS JOIN d),
-w AS (SELECT 't' || CAST(r_regionkey AS VARCHAR) AS tenant_id, 'data_retention_days' AS key,
-             CAST(r_regionkey + 30 AS VARCHAR) AS value FROM region WHERE r_regionkey % 2 = 0
+s AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS tenant_id, d.key, d.value, 'seed' AS updated_by
+      FROM supplier CROSS JOIN d),
+w AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS tenant_id, 'data_retention_days' AS key,
+             CAST(s_suppkey + 30 AS VARCHAR) AS value FROM supplier WHERE s_suppkey % 2 = 0
       UNION ALL
-      SELECT 't' || CAST(r_regionkey AS VARCHAR), 'theme', '"dark"' FROM region WHERE r_regionkey % 2 = 0)
+      SELECT 's' || CAST(s_suppkey AS VARCHAR), 'theme', '"dark"' FROM supplier WHERE s_suppkey % 2 = 0)
 SELECT COALESCE(s.tenant_id, w.tenant_id) AS tenant_id, COALESCE(s.key, w.key) AS key,
        CASE WHEN w.key IS NOT NULL THEN w.value ELSE s.value END AS value, s.updated_by
 FROM s FULL OUTER JOIN w ON s.tenant_id = w.tenant_id AND s.key = w.key
