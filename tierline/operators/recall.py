@@ -67,8 +67,11 @@ def recall(queries: DataFrame, memories: DataFrame, k: int = MAX_INJECTED) -> Da
         "tenant_id", F.col("id").alias("memory_id"), "relevance_score", "cand_rank",
         F.lower(F.coalesce(F.col("summary"), F.lit(""))).alias("_low"))      # once per note
     q = queries.select("query_id", "tenant_id", keywords("text").alias("_kw"))
-    q = q.repartition(max(q.rdd.getNumPartitions(), q.sparkSession.sparkContext.defaultParallelism),
-                      "query_id")
+    try:
+        n = max(q.rdd.getNumPartitions(), q.sparkSession.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no RDD view (remote session): let AQE size it
+        n = None
+    q = q.repartition(n, "query_id") if n else q.repartition("query_id")
     pairs = _pair(q, cand)
     hits = F.size(F.filter("_kw", lambda w: F.col("_low").contains(w)))
     scored = pairs.select("query_id", "tenant_id", "memory_id", "cand_rank", F.size("_kw").alias("_nkw"),

@@ -22,9 +22,21 @@ TS_FMT_SQL = "%Y-%m-%d %H:%M:%S.%f"     # the same text in DuckDB strftime
 FACT_TABLES = {"lineitem", "orders", "events", "documents", "pages", "conversations"}
 
 
+def num_partitions(df: DataFrame) -> int | None:
+    """Planned input partitions (None where the RDD view is unavailable)."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a remote (Connect) session
+        return None
+
+
 def spread(df: DataFrame) -> DataFrame:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        return df
+    n = num_partitions(df)
+    if n is not None and n < cores:
         return df.repartition(cores)
     return df
 
