@@ -66,8 +66,11 @@ def totals(tenants: DataFrame, connectors: DataFrame, connector_runs: DataFrame,
     fan-out)."""
     def per_tenant(owner, runs, run_key, prefix):
         n_owner = owner.groupBy("tenant_id").agg(F.count_distinct("id").alias(f"total_{prefix}s"))
-        n_runs = (runs.join(owner.select(F.col("id").alias(run_key), "tenant_id"), run_key)
-                  .groupBy("tenant_id").agg(F.count("id").alias(f"total_{prefix}_runs")))
+        # runs counted per owner first (map-side combine): the join then sees
+        # one row per owner however many runs a single owner has
+        per_owner = runs.groupBy(run_key).agg(F.count("id").alias("_n"))
+        n_runs = (per_owner.join(owner.select(F.col("id").alias(run_key), "tenant_id"), run_key)
+                  .groupBy("tenant_id").agg(F.sum("_n").alias(f"total_{prefix}_runs")))
         return n_owner.join(n_runs, "tenant_id", "full_outer")
     c = per_tenant(connectors, connector_runs, "integration_id", "connector")
     t = per_tenant(transforms, transform_runs, "transform_id", "transform")
