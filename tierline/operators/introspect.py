@@ -7,7 +7,7 @@ sample payload.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed column signatures of the storage kinds.
@@ -32,7 +32,6 @@ def payload_keys(bronze: DataFrame, position: str, payload: str = "payload") ->
     g = k.groupBy("key").agg(F.min(F.struct("rec", "pos")).alias("_first"),
                              F.count(F.lit(1)).alias("n_records"),
                              F.bool_or("from_array").alias("from_array"))
-    from pyspark.sql import Window
     w = Window.orderBy("_first")        # one row per distinct key (schema-sized)
     return g.select("key", (F.row_number().over(w) - 1).alias("ordinal"), "n_records", "from_array")
 
@@ -49,7 +48,6 @@ def array_subkeys(bronze: DataFrame, position: str, payload: str = "payload") ->
     s = k.select("rec", "key", F.posexplode(F.json_object_keys("_e")).alias("pos", "subkey"))
     g = s.groupBy("key", "subkey").agg(F.min(F.struct("rec", "pos")).alias("_first"),
                                        F.count(F.lit(1)).alias("n_records"))
-    from pyspark.sql import Window
     w = Window.partitionBy("key").orderBy("_first")
     return g.select("key", "subkey", (F.row_number().over(w) - 1).alias("ordinal"), "n_records")
 

@@ -8,7 +8,7 @@ before the join (the reference fans out connector x transform runs, Q7).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierline.operators import query as Q
@@ -91,7 +91,6 @@ def activity_grid(daily: DataFrame, start: str, end: str, series: list[str]) ->
         .withColumn("total", F.coalesce("total", F.lit(0)))
     wide = filled.groupBy("day").pivot("job_type", series).agg(F.first("total"))
     stack = sum((F.col(s) for s in series), F.lit(0))
-    from pyspark.sql import Window
     return wide.withColumn("stacked", stack).withColumn(
         "max_stacked", F.max("stacked").over(Window.partitionBy(F.lit(1))))
 
@@ -123,7 +122,7 @@ def member_list(memberships: DataFrame, users: DataFrame, tenant_id: str) -> Dat
     m = memberships.filter(F.col("tenant_id") == tenant_id)
     return m.join(users, m.user_id == users.id).select(
         "user_id", "email", "display_name", "role", "revoked_at",
-        F.col("revoked_at").isNull().alias("active"))
+        F.col("revoked_at").isNull().alias("active")).orderBy("email", "user_id")
 
 
 def run_history(connector_runs: DataFrame, k: int = 20) -> DataFrame:
