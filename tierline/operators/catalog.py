@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tierline.functions.jsonx import TO_JSON_OPTS
 from tierline.functions.text import strip_tenant_schemas
 from tierline.operators.governance import redact_secrets
+from tierline.operators.joins import lookup_join
 
 FIELD_LIST = "array<struct<ordinal:int,name:string,data_type:string>>"
 
@@ -44,7 +45,7 @@ def snapshot_items(entities_nested: DataFrame, transforms: DataFrame, connectors
                            strip_tenant_schemas(F.col("transform_sql")).alias("transform_sql"),
                            "trigger_mode"), TO_JSON_OPTS).alias("item"))
     names = entities_nested.select(F.col("id").alias("target_entity_id"), F.col("name").alias("entity_name"))
-    c = connectors.filter(F.col("collection").isNotNull()).join(names, "target_entity_id", "left")
+    c = lookup_join(connectors.filter(F.col("collection").isNotNull()), names, "target_entity_id", "left")
     c = c.select("collection", F.lit("connector").alias("kind"), "name",
                  F.to_json(F.struct("name", "connector_type", redact_secrets("config").alias("config"),
                                     "entity_name"), TO_JSON_OPTS).alias("item"))

@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierline.operators.joins import lookup_join
 from tierline.session import cut_lineage
 
 LAYER_ORDER = ["bronze", "silver", "gold"]
@@ -70,7 +71,7 @@ def resolve(transforms: DataFrame, entities: DataFrame) -> DataFrame:
         .withColumn("target_layer", F.coalesce("target_layer", F.lit("silver")))
     ent = entities.select(F.col("id").alias("eid"), "tenant_id", F.col("name").alias("ename"),
                           F.col("layer").alias("elayer"))
-    # singleton fallback: the only entity of a layer (tenants x 3 rows, broadcast)
+    # singleton fallback: the only entity of a layer
     single = (entities.groupBy("tenant_id", "layer")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_only"))
               .filter(F.col("_n") == 1).drop("_n"))
@@ -93,12 +94,13 @@ def resolve(transforms: DataFrame, entities: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "eid"))), lambda s: s["eid"]).alias("_srcs"))
 
     out = t.join(tm, t.id == tm.tid, "left").drop("tid").join(srcs, t.id == srcs.tid, "left").drop("tid")
-    st = F.broadcast(single.select(F.col("tenant_id").alias("_st"), F.col("layer").alias("_sl"),
-                                   F.col("_only").alias("_tonly")))
-    out = out.join(st, (out.tenant_id == st._st) & (out.target_layer == st._sl), "left").drop("_st", "_sl")
-    ss = F.broadcast(single.select(F.col("tenant_id").alias("_st"), F.col("layer").alias("_sl"),
-                                   F.col("_only").alias("_sonly")))
-    out = out.join(ss, (out.tenant_id == ss._st) & (out.source_layer == ss._sl), "left").drop("_st", "_sl")
+    # singletons: at most tenants x 3 rows, broadcast after a size check
+    st = single.select(F.col("tenant_id").alias("_st"), F.col("layer").alias("_sl"), F.col("_only").alias("_tonly"))
+    out = lookup_join(out, st, (F.col("tenant_id") == F.col("_st")) & (F.col("target_layer") == F.col("_sl")),
+                      "left").drop("_st", "_sl")
+    ss = single.select(F.col("tenant_id").alias("_st"), F.col("layer").alias("_sl"), F.col("_only").alias("_sonly"))
+    out = lookup_join(out, ss, (F.col("tenant_id") == F.col("_st")) & (F.col("source_layer") == F.col("_sl")),
+                      "left").drop("_st", "_sl")
     target = F.coalesce(F.col("target_entity_id"), F.col("_tgt"), F.col("_tonly"))
     sources = F.when(F.col("source_entity_id").isNotNull(), F.array(F.col("source_entity_id"))) \
         .when(F.size(F.coalesce("_srcs", F.array())) > 0, F.col("_srcs")) \

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierline.operators import query as Q
+from tierline.operators.joins import lookup_join
 
 JOB_COLUMNS = ["id", "job_type", "job_name", "sub_type", "status", "started_at", "completed_at",
                "records_in", "records_out", "records_rejected", "error_detail"]
@@ -22,15 +23,16 @@ def jobs_union(connector_runs: DataFrame, connectors: DataFrame, transform_runs:
     """U1 + J1: connector runs and transform runs in one shape."""
     c = connectors if tenant_id is None else connectors.filter(F.col("tenant_id") == tenant_id)
     t = transforms if tenant_id is None else transforms.filter(F.col("tenant_id") == tenant_id)
-    cr = connector_runs.join(c.select(F.col("id").alias("integration_id"), F.col("name").alias("job_name"),
-                                      F.col("connector_type").alias("sub_type"), "tenant_id"),
-                             "integration_id")
+    # run -> owner lookups: broadcast when the owner table is small
+    cr = lookup_join(connector_runs, c.select(F.col("id").alias("integration_id"), F.col("name").alias("job_name"),
+                                              F.col("connector_type").alias("sub_type"), "tenant_id"),
+                     "integration_id")
     cr = cr.select("id", F.lit("connector").alias("job_type"), "job_name", "sub_type", "status",
                    "started_at", "completed_at", "records_in", "records_out", "records_rejected",
                    F.col("error_detail").cast("string").alias("error_detail"), "tenant_id")
-    tr = transform_runs.join(t.select(F.col("id").alias("transform_id"), F.col("name").alias("job_name"),
-                                      F.col("target_layer").alias("sub_type"), "tenant_id"),
-                             "transform_id")
+    tr = lookup_join(transform_runs, t.select(F.col("id").alias("transform_id"), F.col("name").alias("job_name"),
+                                              F.col("target_layer").alias("sub_type"), "tenant_id"),
+                     "transform_id")
     tr = tr.select("id", F.lit("transform").alias("job_type"), "job_name", "sub_type", "status",
                    "started_at", "completed_at",
                    F.coalesce("rows_produced", F.lit(0)).alias("records_in"),
