@@ -39,3 +39,17 @@ def test_refresh_stream_upserts(spark, tmpdir_path):
     q.awaitTermination()
     got = {r.id: r.v for r in spark.read.parquet(tmpdir_path + "/silver").collect()}
     assert got == {"a": 5, "b": 2}
+
+
+def test_land_stream_json_lines(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.json"), "w") as fh:
+        fh.write('{"id": 1, "v": "x"}\nnot json\n{"id": 2, "v": "y"}\n')
+    q = S.land_stream(spark, src, None, tmpdir_path + "/bronze", tmpdir_path + "/ck", "hook", "t0", None,
+                      ingested_at="2024-02-01T00:00:00", fmt="text")
+    q.awaitTermination()
+    b = spark.read.parquet(tmpdir_path + "/bronze")
+    got = sorted(r.payload for r in b.collect())
+    assert got == ['{"id":1,"v":"x"}', '{"id":2,"v":"y"}']
+    assert b.select("id").distinct().count() == 2 and str(b.first().ingest_date) == "2024-02-01"

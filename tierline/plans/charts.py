@@ -102,7 +102,7 @@ def q_chart_choice(spark, sf_dir):
 
 SQL_CHART_CHOICE = """
 SELECT * FROM (VALUES
-  ('events', 'time-series', 'ts', 'value', NULL),
+  ('events', 'time-series', 'ts', 'value', CAST(NULL AS VARCHAR)),
   ('orders', 'bar', 'o_orderkey', 'o_orderstatus', NULL),
   ('part', 'bar', 'p_partkey', 'p_brand', NULL)
 ) AS v(table_name, chart, x, y, y2)

@@ -34,7 +34,7 @@ def q_bronze_roundtrip(spark, sf_dir):
     sinks.append_bronze(envelope(late, "events", TENANT, "batch-0002", "2024-02-02T00:00:00",
                                  position="event_id"), path)
     b = sinks.read_bronze(spark, path, ["2024-02-02"])
-    v = b.select(F.try_parse_json("payload").alias("v"), "ingest_date")
+    v = b.select(F.try_parse_json("payload").alias("v"), F.col("ingest_date").cast("string").alias("ingest_date"))
     return v.select("ingest_date", F.try_variant_get("v", "$.event_type", "string").alias("event_type")) \
         .groupBy("ingest_date", "event_type").agg(F.count(F.lit(1)).alias("n"))
 

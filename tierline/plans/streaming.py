@@ -37,7 +37,8 @@ def q_stream_landing(spark, sf_dir):
     return v.select(F.try_variant_get("v", "$.event_id", "bigint").alias("event_id"),
                     F.try_variant_get("v", "$.user_id", "bigint").alias("user_id"),
                     F.try_variant_get("v", "$.event_type", "string").alias("event_type"),
-                    ts_text(F.try_variant_get("v", "$.ts", "timestamp_ntz")).alias("ts"), "ingest_date")
+                    ts_text(F.try_variant_get("v", "$.ts", "timestamp_ntz")).alias("ts"),
+                    F.col("ingest_date").cast("string").alias("ingest_date"))
 
 
 SQL_STREAM_LANDING = """

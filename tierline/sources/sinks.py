@@ -47,7 +47,9 @@ def append_bronze(df: DataFrame, path: str) -> None:
 
 def read_bronze(spark: SparkSession, path: str, dates: list[str] | None = None) -> DataFrame:
     """S13 bronze scan; a date list prunes partitions."""
+    # partition values stay text (no type inference of the date folders)
     df = spark.read.parquet(path)
+    df = df.withColumn("ingest_date", F.col("ingest_date").cast("string"))
     return df.filter(F.col("ingest_date").isin(dates)) if dates else df
 
 

@@ -42,16 +42,31 @@ def _read(spark: SparkSession, path: str, schema, max_files: int | None = None)
 
 
 def land_stream(spark: SparkSession, src: str, schema, sink: str, checkpoint: str, source: str,
-                tenant_id: str, position: str, ingested_at: str | None = None):
-    """T1 streaming landing of records into the bronze envelope."""
-    s = _read(spark, src, schema)
+                tenant_id: str, position: str | None, ingested_at: str | None = None, fmt: str = "parquet"):
+    """T1 streaming landing of records into the bronze envelope.
+
+    ``fmt="parquet"``: typed files, payload = the row as JSON, id from the
+    ``position`` column.  ``fmt="text"``: JSON lines; each line that parses
+    is one record (payload = the line re-serialised), lines that do not parse
+    are dropped from bronze (count them with ``rejected_lines``); the id comes
+    from (file, line offset) so a replayed file lands the same ids.
+    """
     ts = F.lit(ingested_at) if ingested_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-    data_cols = [c for c in s.columns]
+    if fmt == "text":
+        s = spark.readStream.text(src)
+        s = s.select(F.try_parse_json("value").alias("_v"),
+                     F.concat_ws("#", F.col("_metadata.file_path"),
+                                 F.xxhash64("value").cast("string")).alias("_pos"))
+        s = s.filter(F.col("_v").isNotNull())
+        body, pos = F.to_json("_v"), F.col("_pos")
+    else:
+        s = _read(spark, src, schema)
+        body = F.to_json(F.struct(*[F.col(c) for c in s.columns]), TO_JSON_OPTS)
+        pos = F.col(position)
     env = s.select(
-        record_id("stream", source, F.col(position)).alias("id"),
+        record_id("stream", source, pos).alias("id"),
         F.lit(tenant_id).alias("tenant_id"), ts.alias("ingested_at"), F.lit(source).alias("source"),
-        F.to_json(F.struct(*[F.col(c) for c in data_cols]), TO_JSON_OPTS).alias("payload"),
-        F.lit("{}").alias("metadata"))
+        body.alias("payload"), F.lit("{}").alias("metadata"))
     env = env.withColumn("ingest_date", F.substring("ingested_at", 1, 10))
     return (env.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
             .partitionBy("ingest_date").outputMode("append").trigger(availableNow=True).start())
