@@ -25,6 +25,28 @@ def _norm(v):
     return str(v)
 
 
+def _kind_spark(t):
+    t = t.lower()
+    if t == "string":
+        return "text"
+    if t in ("bigint", "int", "smallint", "tinyint"):
+        return "int"
+    if t in ("double", "float") or t.startswith("decimal"):
+        return "float"
+    return t
+
+
+def _kind_duck(t):
+    t = t.lower()
+    if "varchar" in t:
+        return "text"
+    if t in ("bigint", "integer", "smallint", "tinyint", "hugeint", "ubigint", "uinteger"):
+        return "int"
+    if t in ("double", "float") or t.startswith("decimal"):
+        return "float"
+    return t
+
+
 def _digest(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     lines = sorted("|".join(_norm(r[i]) for i in order) for r in rows)
@@ -54,8 +76,11 @@ def test_query_matches_oracle(spark, con, name):
         pytest.skip("no oracle")
     cur = con.execute(sql)
     ocols = [d[0] for d in cur.description]
+    otypes = {d[0]: str(d[1]) for d in cur.description}
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    for f in df.schema.fields:                      # same kind of value per column
+        assert _kind_spark(f.dataType.simpleString()) == _kind_duck(otypes[f.name]), (f.name, otypes[f.name])
     assert len(rows) == len(orows)
     h1, l1 = _digest(df.columns, rows)
     h2, l2 = _digest(ocols, orows)
