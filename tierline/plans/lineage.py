@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tierline.functions.text import inject_tenant_schemas, strip_tenant_schemas
 from tierline.operators import lineage as L
-from tierline.operators.infer import infer_fields  # noqa: F401  (re-exported for users)
 from tierline.plans.common import table, ts_text
 
 TENANT = "t0"
