@@ -10,10 +10,11 @@ def test_permission_matrix(spark):
     req = spark.createDataFrame([("viewer", "catalogue", "read", False), ("viewer", "catalogue", "write", False),
                                  ("engineer", "transform", "approve", False), ("analyst", "transform", "approve", False),
                                  ("nobody", "catalogue", "read", False), ("nobody", "user", "admin", True),
-                                 ("admin", "user", "approve", False)],
+                                 ("admin", "user", "approve", False), (None, "catalogue", "read", False),
+                                 (None, "catalogue", "write", False)],
                                 "role string, resource string, action string, su boolean")
     got = [r.allowed for r in G.can(req, G.permission_matrix(spark), superuser_col="su").collect()]
-    assert got == [True, False, True, False, False, True, False]
+    assert got == [True, False, True, False, False, True, False, True, False]
 
 
 def test_role_layers():

@@ -66,11 +66,13 @@ def permission_matrix(spark: SparkSession) -> DataFrame:
 
 def can(df: DataFrame, matrix: DataFrame, role_col="role", resource_col="resource",
         action_col="action", superuser_col: str | None = None) -> DataFrame:
-    """G8 adds ``allowed`` to request rows: superuser always, unknown role
-    never.  The matrix is a fixed-size literal frame, broadcast."""
+    """G8 adds ``allowed`` to request rows: superuser always; a missing role
+    counts as viewer; an unknown role gets nothing.  The matrix is a
+    fixed-size literal frame, broadcast."""
     m = F.broadcast(matrix.select(F.col("role").alias("_r"), F.col("resource").alias("_res"),
                                   F.col("action").alias("_a"), F.lit(True).alias("_ok")))
-    j = df.join(m, (F.col(role_col) == F.col("_r")) & (F.col(resource_col) == F.col("_res"))
+    role = F.coalesce(F.nullif(F.col(role_col), F.lit("")), F.lit("viewer"))
+    j = df.join(m, (role == F.col("_r")) & (F.col(resource_col) == F.col("_res"))
                 & (F.col(action_col) == F.col("_a")), "left")
     ok = F.coalesce(F.col("_ok"), F.lit(False))
     if superuser_col:
