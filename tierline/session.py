@@ -7,6 +7,7 @@ only chosen when the setting is unset, which is the case in tests.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -44,6 +45,25 @@ def get_session(master: str | None = None, app: str = "tierline",
     return spark
 
 
+def sized_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -> dict:
+    """Partition sizing for a job reading ``input_bytes``: file splits and
+    post-shuffle partitions of about ``partition_bytes`` (so a task's share
+    fits executor memory and spills rarely), and at least two tasks per core.
+    AQE then coalesces small shuffle partitions and splits skewed ones.
+
+    Example: 100 TB on 1000 executors x 8 cores -> 409 600 initial shuffle
+    partitions of 256 MB, about 51 waves of 8 000 tasks.
+    """
+    n = max(2 * cores, math.ceil(input_bytes / partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+
+
 def _checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
