@@ -65,12 +65,15 @@ def key_values(bronze: DataFrame, position: str, payload: str = "payload",
                                                      F.lit(None).cast("variant").alias("value"))))
     vals = objs.select("entity", "rec", "_keys", F.inline(entries))
     kind = _kind(F.schema_of_variant("value"))
-    text = F.when(F.schema_of_variant("value") == "STRING", F.variant_get("value", "$", "string")) \
-        .otherwise(F.to_json("value"))
     # no join: the text position of a key is looked up in the record's own key list
     return vals.select("entity", "rec", "key",
                        (F.array_position("_keys", F.col("key")) - 1).alias("key_pos"),
-                       kind.alias("kind"), text.alias("text"))
+                       kind.alias("kind"), "value")
+
+
+def _value_text(kind, value):
+    """Text of a value: strings unquoted, anything else as compact JSON."""
+    return F.when(kind == "string", F.variant_get(value, "$", "string")).otherwise(F.to_json(value))
 
 
 def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
@@ -87,7 +90,10 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
     """
     kv = key_values(bronze, position, payload, entity, sentinel=True)
     nn = F.col("kind") != "null"
-    stripped = F.regexp_replace(F.col("text"), r"(?U)^\s+|\s+$", "")
+    # the text rules only ever look at string values (numbers are decided by
+    # kind, and bool / list / object values fail every text rule)
+    stext = F.when(F.col("kind") == "string", F.variant_get("value", "$", "string"))
+    stripped = F.regexp_replace(stext, r"(?U)^\s+|\s+$", "")
 
     def all_(cond):
         # vacuous truth over non-null values; nulls are not counted
@@ -104,14 +110,16 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
         all_(F.col("kind") == "int").alias("all_int"),
         all_(F.col("kind").isin("int", "float")).alias("all_num"),
         all_(F.col("kind").isin("string", "int", "float")).alias("all_scalar_text"),
-        all_(stripped.rlike(UUID)).alias("t_uuid"),
-        all_(stripped.rlike(ISO_TIMESTAMP)).alias("t_ts"),
-        all_(stripped.rlike(ISO_DATE)).alias("t_date"),
-        all_(stripped.rlike(EMAIL)).alias("t_email"),
-        all_(stripped.rlike(URL)).alias("t_url"),
+        # numbers never match the uuid / date / e-mail / url patterns
+        all_(F.coalesce(stripped.rlike(UUID), F.lit(False))).alias("t_uuid"),
+        all_(F.coalesce(stripped.rlike(ISO_TIMESTAMP), F.lit(False))).alias("t_ts"),
+        all_(F.coalesce(stripped.rlike(ISO_DATE), F.lit(False))).alias("t_date"),
+        all_(F.coalesce(stripped.rlike(EMAIL), F.lit(False))).alias("t_email"),
+        all_(F.coalesce(stripped.rlike(URL), F.lit(False))).alias("t_url"),
         # a float value's text is never int text (its str() has a '.' or 'e')
-        all_((F.col("kind") == "int") | ((F.col("kind") == "string") & stripped.rlike(INT_TEXT))).alias("t_int"),
-        all_(F.col("kind").isin("int", "float") | stripped.rlike(FLOAT_TEXT)).alias("t_float"),
+        all_((F.col("kind") == "int") | F.coalesce(stripped.rlike(INT_TEXT), F.lit(False))).alias("t_int"),
+        all_(F.col("kind").isin("int", "float") | F.coalesce(stripped.rlike(FLOAT_TEXT), F.lit(False)))
+        .alias("t_float"),
     )
     # totals from the sentinel group, by a window over the aggregated rows
     # (keys per entity) rather than a self join that would recompute them
@@ -152,12 +160,13 @@ def first_values(kv: DataFrame, k: int) -> DataFrame:
     over (entity, key) ordered by record, which Spark plans with a map-side
     group limit (at most k rows per key leave each task) before the
     shuffle."""
-    nn = kv.filter(F.col("kind") != "null").select(
-        "entity", F.col("key").alias("name"), "rec",
-        F.when(F.col("kind").isin("array", "object"), F.substring("text", 1, SAMPLE_CHARS))
-        .otherwise(F.col("text")).alias("text"))
+    nn = kv.filter(F.col("kind") != "null").select("entity", F.col("key").alias("name"), "rec", "kind", "value")
     w = Window.partitionBy("entity", "name").orderBy("rec")
     top = nn.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k)
+    # text is built for the survivors only
+    text = _value_text(F.col("kind"), F.col("value"))
+    top = top.withColumn("text", F.when(F.col("kind").isin("array", "object"), F.substring(text, 1, SAMPLE_CHARS))
+                         .otherwise(text))
     return top.groupBy("entity", "name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "text"))), lambda s: s["text"])
         .alias("samples"))
