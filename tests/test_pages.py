@@ -65,3 +65,11 @@ def test_path_helper(spark):
                   resolve_path(F.col("body"), "x.y").isNull().alias("xy_null")).first()
     assert r.abc == "[1,2,3]" and r.ab == '{"c":[1,2,3]}' and r.xy_null
     assert json.loads(r.all) == {"a": {"b": {"c": [1, 2, 3]}}}
+
+
+def test_cursor_falsy_values_stop(spark):
+    for stop in [0, False, "", [], {}]:
+        bodies = [{"items": [{"a": 1}], "meta": {"next_cursor": stop}}, {"items": [{"a": 2}], "meta": {}}]
+        assert land_pages(_pages(spark, bodies), "cursor", "items", max_pages=10).count() == 1, stop
+    bodies = [{"items": [{"a": 1}], "meta": {"next_cursor": 7}}, {"items": [{"a": 2}], "meta": {}}]
+    assert land_pages(_pages(spark, bodies), "cursor", "items", max_pages=10).count() == 2

@@ -48,13 +48,18 @@ def page_records(pages: DataFrame, json_path: str = "", single: bool = False) ->
     if single:
         recs = F.when(k == "array", arr).when(k == "object", F.array(v)).otherwise(whole)
     else:
-        truthy = (k == "object") & (F.to_json(v) != "{}") | \
-            ((k == "scalar") & ~F.to_json(v).isin('""', "0", "0.0", "false"))
-        recs = F.when(k == "array", arr).when(truthy, F.array(v)) \
+        recs = F.when(k == "array", arr).when(truthy(v), F.array(v)) \
             .otherwise(F.array().cast("array<variant>"))
     return pages.withColumn("_recs", recs).withColumn("_n", F.size("_recs"))
 
 
+def truthy(v: Column) -> Column:
+    """JSON truthiness of a VARIANT: null, false, 0, "", [] and {} are false."""
+    k = _kind(v)
+    j = F.to_json(v)
+    return F.coalesce((k != "null") & ~j.isin('""', "0", "0.0", "-0.0", "false", "[]", "{}"), F.lit(False))
+
+
 def _truthy_text(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
@@ -72,9 +77,8 @@ def kept_pages(pages: DataFrame, strategy: str, page_size: int = 100, max_pages:
         land = F.col("_n") > 0
         slim = slim.select("pull_id", "page", "_n", stop_after.alias("_stop"), land.alias("_land"))
     elif strategy == "cursor":
-        cur = F.try_variant_get(resolve_path(F.col("body"), cursor_path), "$", "string")
         land = F.col("_n") > 0
-        stop_after = ~_truthy_text(cur) | ~land
+        stop_after = ~truthy(resolve_path(F.col("body"), cursor_path)) | ~land
         slim = slim.select("pull_id", "page", "_n", stop_after.alias("_stop"), land.alias("_land"))
     elif strategy in ("link_header", "next_url"):
         if strategy == "link_header":
