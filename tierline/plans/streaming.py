@@ -88,7 +88,34 @@ SQL_STREAM_DAILY = """
 SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, COUNT(*) AS n FROM events GROUP BY ALL
 """
 
+def q_stream_cascade(spark, sf_dir):
+    """T2 with a cascade: every micro-batch refreshes silver (latest event per
+    user) and then rebuilds a gold table (users per latest event type) from
+    silver with a versioned replace (W1)."""
+    from tierline.sources.sinks import read_table, replace_table
+    bronze_path = _land(spark, sf_dir)
+    schema = spark.read.parquet(bronze_path).schema
+    d = scratch_dir(spark, "stream-cascade")
+    gold = d + "/gold"
+
+    def rebuild_gold(sp, silver_path):
+        silver = sp.read.parquet(silver_path)
+        replace_table(sp, silver.groupBy("event_type").agg(F.count(F.lit(1)).alias("users")), gold)
+
+    q = S.refresh_stream(spark, bronze_path, schema, EVENT_FIELDS, "user_id", d + "/silver", d + "/ckpt",
+                         n_buckets=8, order_by=["ts", "event_id"], downstream=[rebuild_gold])
+    q.awaitTermination()
+    return read_table(spark, gold)
+
+
+SQL_STREAM_CASCADE = """
+SELECT event_type, COUNT(*) AS users
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn = 1 GROUP BY event_type
+"""
+
 QUERIES = {
+    "stream_cascade": (q_stream_cascade, SQL_STREAM_CASCADE),
     "stream_landing": (q_stream_landing, SQL_STREAM_LANDING),
     "stream_refresh": (q_stream_refresh, SQL_STREAM_REFRESH),
     "stream_debounce": (q_stream_debounce, SQL_DEBOUNCE),

@@ -74,14 +74,18 @@ def land_stream(spark: SparkSession, src: str, schema, sink: str, checkpoint: st
 
 def refresh_stream(spark: SparkSession, bronze_path: str, bronze_schema, fields: list[tuple[str, str]],
                    pk: str, silver_path: str, checkpoint: str, n_buckets: int = 64,
-                   order_by: list | None = None):
+                   order_by: list | None = None, downstream: list | None = None):
     """T2 on-change silver refresh: every micro-batch of new bronze rows is
-    flattened (W10) and upserted into the bucketed silver table (W3)."""
+    flattened (W10) and upserted into the bucketed silver table (W3); then
+    each ``downstream(spark, silver_path)`` runs (the change cascade, e.g. a
+    gold table rebuilt from silver), in order, once per micro-batch."""
     s = _read(spark, bronze_path, bronze_schema)
 
     def apply(batch: DataFrame, epoch: int) -> None:
         rows = flatten_select(batch, fields, pk)
         upsert_table(batch.sparkSession, silver_path, rows, pk, n_buckets, order_by=order_by or [pk])
+        for step in downstream or []:
+            step(batch.sparkSession, silver_path)
 
     return (s.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
