@@ -73,3 +73,28 @@ def test_cursor_falsy_values_stop(spark):
         assert land_pages(_pages(spark, bodies), "cursor", "items", max_pages=10).count() == 1, stop
     bodies = [{"items": [{"a": 1}], "meta": {"next_cursor": 7}}, {"items": [{"a": 2}], "meta": {}}]
     assert land_pages(_pages(spark, bodies), "cursor", "items", max_pages=10).count() == 2
+
+
+def test_follow_links_by_url_ignores_page_numbers(spark):
+    from tierline.sources.pages import follow_links, page_records
+    # fetch order 0 -> 3 -> 1 (by url); page 2 is not linked
+    bodies = {0: [{"a": 0}], 3: [{"a": 3}], 1: [], 2: [{"a": 2}]}
+    links = {0: '<https://x/3>; rel="next"', 3: '<https://x/1>; rel="next"', 1: None, 2: '<https://x/0>; rel="next"'}
+    rows = [("p", i, f"https://x/{i}", links[i], json.dumps(b)) for i, b in bodies.items()]
+    df = spark.createDataFrame(rows, "pull_id string, page int, url string, link_header string, body string")
+    got = sorted((r.page, r.hop) for r in follow_links(page_records(df), "link_header", max_pages=10).collect())
+    assert got == [(0, 0), (1, 2), (3, 1)]
+    capped = sorted(r.page for r in follow_links(page_records(df), "link_header", max_pages=2).collect())
+    assert capped == [0, 3]
+    landed = sorted(json.loads(r.record)["a"] for r in land_pages(df, "link_header", "", follow="url").collect())
+    assert landed == [0, 3]
+
+
+def test_url_follow_equals_ordered_rule_on_driver_pages(spark):
+    from tierline.plans.landing import BASE, fetched_pages
+    pages = fetched_pages(spark, "/root/testdata/sf0.001")
+    for strategy, kw in (("link_header", {}), ("next_url", {"base_url": BASE})):
+        a = {(r.pull_id, r.page, r.item_pos) for r in land_pages(pages, strategy, "data.items", **kw).collect()}
+        b = {(r.pull_id, r.page, r.item_pos) for r in
+             land_pages(pages, strategy, "data.items", follow="url", **kw).collect()}
+        assert a == b and len(a) > 0

@@ -64,11 +64,57 @@ def _truthy_text(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
+def _next_link(strategy: str, next_url_path: str, base_url: str) -> Column:
+    if strategy == "link_header":
+        return F.regexp_extract(F.coalesce(F.col("link_header"), F.lit("")), LINK_NEXT, 1)
+    nv = resolve_path(F.col("body"), next_url_path)
+    is_str = F.schema_of_variant(nv) == "STRING"
+    raw = F.when(is_str, F.try_variant_get(nv, "$", "string"))
+    return F.when(raw.startswith("/") & F.lit(bool(base_url)),
+                  F.concat(F.lit(base_url.rstrip("/")), raw)).otherwise(raw)
+
+
+def follow_links(pages: DataFrame, strategy: str, max_pages: int = 100, next_url_path: str = "next",
+                 base_url: str = "", start_page: int = 0) -> DataFrame:
+    """S8 / S9 by following URLs instead of trusting page numbers: from each
+    pull's first fetch, page -> the page of the same pull whose ``url`` is the
+    next link.  Hops are found by pointer doubling (at most ceil(log2(500)) =
+    9 rounds of equi-joins on (pull, url)); a page's hop count is its fetch
+    order.  Returns (pull_id, page, hop) for hops < ``max_pages`` with the
+    50 000-record rule applied in hop order; empty pages do not end a chain."""
+    import math
+    from tierline.session import cut_lineage
+    max_pages = min(int(max_pages), MAX_PAGES_CAP)
+    nodes = pages.select("pull_id", "page", "url", "_n", _next_link(strategy, next_url_path, base_url).alias("_nx"))
+    target = nodes.select("pull_id", F.col("url").alias("_nx"), F.col("page").alias("_to"))
+    jump = cut_lineage(nodes.join(target, ["pull_id", "_nx"], "left")
+                       .select("pull_id", "page", "_to", F.lit(1).alias("_len")))
+    reached = nodes.filter(F.col("page") == start_page).select("pull_id", "page", F.lit(0).alias("hop"))
+    for _ in range(max(1, math.ceil(math.log2(max_pages)))):
+        step = reached.join(jump, ["pull_id", "page"]).filter(F.col("_to").isNotNull()) \
+            .select("pull_id", F.col("_to").alias("page"), (F.col("hop") + F.col("_len")).alias("hop"))
+        reached = cut_lineage(reached.unionByName(step).groupBy("pull_id", "page").agg(F.min("hop").alias("hop"))
+                              .filter(F.col("hop") < max_pages))
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = cut_lineage(a.join(b, (F.col("a.pull_id") == F.col("b.pull_id")) & (F.col("a._to") == F.col("b.page")),
+                                  "left")
+                           .select(F.col("a.pull_id").alias("pull_id"), F.col("a.page").alias("page"),
+                                   F.col("b._to").alias("_to"), (F.col("a._len") + F.col("b._len")).alias("_len")))
+    # records rule in fetch order (at most max_pages rows per pull)
+    chain = reached.join(nodes.select("pull_id", "page", "_n"), ["pull_id", "page"])
+    w = Window.partitionBy("pull_id").orderBy("hop").rowsBetween(Window.unboundedPreceding, -1)
+    chain = chain.withColumn("_rb", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    return chain.filter(F.col("_rb") < MAX_RECORDS_CAP).select("pull_id", "page", "hop")
+
+
 def kept_pages(pages: DataFrame, strategy: str, page_size: int = 100, max_pages: int = 100,
                cursor_path: str = "meta.next_cursor", next_url_path: str = "next",
-               base_url: str = "") -> DataFrame:
+               base_url: str = "", follow: str = "order") -> DataFrame:
     """(pull_id, page) of the pages a pull lands, for ``offset``, ``cursor``,
-    ``link_header`` or ``next_url``.  ``pages`` must carry ``_n`` (records)."""
+    ``link_header`` or ``next_url``.  ``pages`` must carry ``_n`` (records).
+    ``follow="url"`` walks link chains by URL (``follow_links``)."""
+    if follow == "url" and strategy in ("link_header", "next_url"):
+        return follow_links(pages, strategy, max_pages, next_url_path, base_url).select("pull_id", "page")
     max_pages = min(int(max_pages), MAX_PAGES_CAP)
     slim = pages.filter(F.col("page") < max_pages)
     if strategy == "offset":
@@ -81,14 +127,7 @@ def kept_pages(pages: DataFrame, strategy: str, page_size: int = 100, max_pages:
         stop_after = ~truthy(resolve_path(F.col("body"), cursor_path)) | ~land
         slim = slim.select("pull_id", "page", "_n", stop_after.alias("_stop"), land.alias("_land"))
     elif strategy in ("link_header", "next_url"):
-        if strategy == "link_header":
-            nxt = F.regexp_extract(F.coalesce(F.col("link_header"), F.lit("")), LINK_NEXT, 1)
-        else:
-            nv = resolve_path(F.col("body"), next_url_path)
-            is_str = F.schema_of_variant(nv) == "STRING"
-            raw = F.when(is_str, F.try_variant_get(nv, "$", "string"))
-            nxt = F.when(raw.startswith("/") & F.lit(bool(base_url)),
-                         F.concat(F.lit(base_url.rstrip("/")), raw)).otherwise(raw)
+        nxt = _next_link(strategy, next_url_path, base_url)
         w = Window.partitionBy("pull_id").orderBy("page")
         # the chain continues only when the next fetched page is the one linked
         follows = _truthy_text(nxt) & (F.lead("url").over(w) == nxt)
