@@ -14,7 +14,7 @@ NOW = "2024-06-01 00:00:00"
 def memories(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     k = F.col("item_id")
-    return b.select(k.alias("id"), F.lit("t0").alias("tenant_id"),
+    return b.select(k.alias("id"), F.concat(F.lit("t"), (k % 2).cast("string")).alias("tenant_id"),
                     F.element_at(F.array(F.lit("context"), F.lit("preference"), F.lit("routine")),
                                  (k % 3).cast("int") + 1).alias("category"),
                     F.col("text").alias("summary"),
@@ -26,8 +26,8 @@ def memories(spark, sf_dir):
 
 def queries(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.lit("t0").alias("tenant_id"),
-                    "text")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+                    F.concat(F.lit("t"), (F.col("conv_id") % 2).cast("string")).alias("tenant_id"), "text")
 
 
 def q_recall_topk(spark, sf_dir):
@@ -36,15 +36,16 @@ def q_recall_topk(spark, sf_dir):
 
 
 _MEM_SQL = """
-WITH m AS (SELECT item_id AS id, text AS summary,
+WITH m AS (SELECT item_id AS id, 't' || CAST(item_id % 2 AS VARCHAR) AS tenant_id, text AS summary,
                   CASE WHEN item_id % 11 = 0 THEN NULL
                        ELSE 0.05::DOUBLE + CAST(item_id % 10 AS DOUBLE) * 0.15::DOUBLE END AS relevance_score,
                   TIMESTAMP '2024-01-01' + to_days(CAST(item_id * 3 AS INTEGER)) AS last_used_at,
                   item_id % 4 AS use_count
            FROM benchmark),
-c AS (SELECT *, ROW_NUMBER() OVER (ORDER BY relevance_score DESC NULLS LAST, last_used_at DESC NULLS LAST, id)
+c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant_id
+                                  ORDER BY relevance_score DESC NULLS LAST, last_used_at DESC NULLS LAST, id)
                 AS cand_rank FROM m QUALIFY cand_rank <= 100),
-q AS (SELECT conv_id * 1000 + turn AS query_id,
+q AS (SELECT conv_id * 1000 + turn AS query_id, 't' || CAST(conv_id % 2 AS VARCHAR) AS tenant_id,
              list_filter(regexp_extract_all(lower(text), '[a-z]{4,}'),
                          lambda w: NOT list_contains(['with', 'that', 'this', 'from', 'have', 'they', 'will',
                                                       'what', 'when', 'where', 'which', 'into', 'some', 'your',
@@ -54,7 +55,7 @@ s AS (SELECT q.query_id, c.id AS memory_id, c.cand_rank,
              len(list_filter(q.kw, lambda w: contains(lower(COALESCE(c.summary, '')), w))) AS hits,
              CASE WHEN c.relevance_score IS NULL OR c.relevance_score = 0 THEN 1.0::DOUBLE ELSE c.relevance_score END
                AS base, len(q.kw) AS nkw
-      FROM q, c),
+      FROM q JOIN c ON q.tenant_id = c.tenant_id),
 r AS (SELECT query_id, memory_id, hits, CASE WHEN nkw = 0 THEN base ELSE base * (1.0::DOUBLE + CAST(hits AS DOUBLE) * 0.5::DOUBLE) END AS score,
              cand_rank FROM s)
 """
