@@ -29,10 +29,10 @@ def payload_keys(bronze: DataFrame, position: str, payload: str = "payload") ->
     array payload contributes the keys of its first element."""
     r = _record_keys(bronze, position, payload)
     k = r.select("rec", "from_array", F.posexplode(F.json_object_keys("_obj")).alias("pos", "key"))
-    g = k.groupBy("key").agg(F.min(F.struct("rec", "pos")).alias("_first"),
+    g = k.groupBy("key").agg(F.min("rec").alias("_rec"), F.min_by("pos", "rec").alias("_pos"),
                              F.count(F.lit(1)).alias("n_records"),
                              F.bool_or("from_array").alias("from_array"))
-    w = Window.orderBy("_first")        # one row per distinct key (schema-sized)
+    w = Window.orderBy("_rec", "_pos")        # one row per distinct key (schema-sized)
     return g.select("key", (F.row_number().over(w) - 1).alias("ordinal"), "n_records", "from_array")
 
 
@@ -46,9 +46,9 @@ def array_subkeys(bronze: DataFrame, position: str, payload: str = "payload") ->
         .select("rec", "key", F.get_json_object("_val", "$[0]").alias("_e")) \
         .filter(F.ltrim("_e").startswith("{"))
     s = k.select("rec", "key", F.posexplode(F.json_object_keys("_e")).alias("pos", "subkey"))
-    g = s.groupBy("key", "subkey").agg(F.min(F.struct("rec", "pos")).alias("_first"),
+    g = s.groupBy("key", "subkey").agg(F.min("rec").alias("_rec"), F.min_by("pos", "rec").alias("_pos"),
                                        F.count(F.lit(1)).alias("n_records"))
-    w = Window.partitionBy("key").orderBy("_first")
+    w = Window.partitionBy("key").orderBy("_rec", "_pos")
     return g.select("key", "subkey", (F.row_number().over(w) - 1).alias("ordinal"), "n_records")
 
 
