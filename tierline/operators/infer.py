@@ -111,11 +111,13 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
         all_(F.col("kind").isin("int", "float")).alias("all_num"),
         all_(F.col("kind").isin("string", "int", "float")).alias("all_scalar_text"),
         # numbers never match the uuid / date / e-mail / url patterns
-        all_(F.coalesce(stripped.rlike(UUID), F.lit(False))).alias("t_uuid"),
-        all_(F.coalesce(stripped.rlike(ISO_TIMESTAMP), F.lit(False))).alias("t_ts"),
-        all_(F.coalesce(stripped.rlike(ISO_DATE), F.lit(False))).alias("t_date"),
-        all_(F.coalesce(stripped.rlike(EMAIL), F.lit(False))).alias("t_email"),
-        all_(F.coalesce(stripped.rlike(URL), F.lit(False))).alias("t_url"),
+        # cheap necessary conditions first; the pattern only runs when they hold
+        all_(F.coalesce((F.length(stripped) == 36) & stripped.rlike(UUID), F.lit(False))).alias("t_uuid"),
+        all_(F.coalesce((F.length(stripped) >= 16) & stripped.rlike(ISO_TIMESTAMP), F.lit(False))).alias("t_ts"),
+        all_(F.coalesce((F.length(stripped) == 10) & stripped.rlike(ISO_DATE), F.lit(False))).alias("t_date"),
+        all_(F.coalesce(stripped.contains("@") & stripped.rlike(EMAIL), F.lit(False))).alias("t_email"),
+        all_(F.coalesce(F.lower(F.substring(stripped, 1, 4)).eqNullSafe("http") & stripped.rlike(URL),
+                        F.lit(False))).alias("t_url"),
         # a float value's text is never int text (its str() has a '.' or 'e')
         all_((F.col("kind") == "int") | F.coalesce(stripped.rlike(INT_TEXT), F.lit(False))).alias("t_int"),
         all_(F.col("kind").isin("int", "float") | F.coalesce(stripped.rlike(FLOAT_TEXT), F.lit(False)))
