@@ -46,3 +46,14 @@ def test_upsert_rewrites_only_touched_buckets(spark, tmpdir_path):
             assert after.get(p) == t, p          # untouched bucket files are left as they were
     out = {r.k: r.v for r in spark.read.parquet(path).collect()}
     assert len(out) == 2001 and out[5] == 1 and out[7] == 1 and out[5000] == 1 and out[6] == 0
+
+
+def test_profile_categorical_boundary(spark):
+    """Categorical means 2..25 distinct values (not all unique); the sketch
+    pre-filter must not change the exact answer at the boundary."""
+    from tierline.operators.charts import profile_columns
+    rows = [(i % 25, i % 26, i, i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "c25 long, c26 long, cid long, c2 long") \
+        .select(*[F.concat(F.lit("v"), F.col(c).cast("string")).alias(c) for c in ["c25", "c26", "cid", "c2"]])
+    got = {r.name: r.categorical for r in profile_columns(df).collect()}
+    assert got == {"c25": True, "c26": False, "cid": False, "c2": True}

@@ -22,6 +22,7 @@ NUMERIC_SHARE = 0.7
 CATEGORY_MAX = 25
 LONG_TEXT = 80
 YEAR_2000 = "2000-01-01 00:00:00"
+APPROX_CUTOFF = 30     # see profile_columns: estimates at or above prove > CATEGORY_MAX + 1
 
 
 def group_bars(df: DataFrame, x: str, y: str | None = None, agg: str = "sum",
@@ -75,8 +76,18 @@ def profile_columns(df: DataFrame) -> DataFrame:
         all_ne(F.length("v") > LONG_TEXT).alias("all_long"),
         all_ne(F.col("v").rlike(r"\d{4}") &
                (F.col("v").try_cast("timestamp_ntz") > F.lit(YEAR_2000).cast("timestamp_ntz"))).alias("all_date"),
-        F.count_distinct(F.when(ne, F.col("v"))).alias("n_distinct"),
+        F.approx_count_distinct(F.when(ne, F.col("v"))).alias("_approx"),
     )
+    # Only distinct counts up to CATEGORY_MAX + 1 matter.  For small sets the
+    # HLL++ sketch uses linear counting, which cannot report 30 or more when
+    # at most 26 values exist, so an estimate >= 30 proves "more than 26";
+    # the exact count is taken only for the (few-valued) remaining columns,
+    # instead of shuffling every distinct value of every identifier column.
+    few = g.filter(F.col("_approx") < APPROX_CUTOFF).select("col")
+    exact = (u.join(F.broadcast(few), "col", "left_semi")          # one row per column: schema-sized
+             .filter(ne).groupBy("col").agg(F.count_distinct("v").alias("_exact")))
+    g = g.join(F.broadcast(exact), "col", "left") \
+        .withColumn("n_distinct", F.coalesce(F.col("_exact"), F.col("_approx")))
     name = F.col("col")
     unplottable = name.rlike(UNPLOTTABLE_NAME) | (F.col("n") == 0) | F.col("all_url") | F.col("all_json") \
         | F.col("all_long")
