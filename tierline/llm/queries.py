@@ -5,11 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tierline.llm import bpe, langid
+from tierline.llm import bpe, decontaminate, langid, license_scan, oracles, pii, quality, separator_scan, topk
 from tierline.llm.common import crc_mod, table
+from tierline.session import scratch_dir
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+#: An id beside the 50,256 ranks of the file.
+END_OF_DOCUMENT = 50256
 
 
 def _held_out(col: str, n: int, rest: int):
@@ -24,6 +27,27 @@ def op1_language_id(spark, sf_dir):
             .select("doc_id", "held_out", "lang_pred", "score"))
 
 
+def _tiktoken():
+    """The library's encoder for the rank file, built in a task."""
+    import tiktoken
+
+    ranks = bpe.tokenizer(RANKS, PATTERN).ranks
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def op2_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return separator_scan.token_counts(docs, scratch_dir(spark, "llm-tokens"), _tiktoken, END_OF_DOCUMENT)
+
+
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", _held_out("doc_id", 3, 1))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~_held_out("doc_id", 3, 1))
+    model = quality.fit(docs.drop("held_out"), labels)
+    return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, RANKS, PATTERN).drop("text")
@@ -32,7 +56,44 @@ def op4_byte_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.topk(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op7_license_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op8_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs)).drop("text")
+    base = F.filter("pii", lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")],
+                        F.sha2(pii.digest(base).cast("binary"), 256).alias("base_sha256"),
+                        pii.digest(F.col("pii")).alias("spans"))
+
+
+def op10_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.match(docs, table(spark, sf_dir, "benchmark"))
+    return (found.select("doc_id", F.explode("matches").alias("m"))
+            .select("doc_id", "m.item_id", "m.distance", F.col("m.end").alias("match_end")))
+
+
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
+    "op2_token_counts": (op2_token_counts, None),
+    "op3_quality": (op3_quality, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
+    "op5_topk": (op5_topk, oracles.TOP_K),
+    "op7_license_scan": (op7_license_scan, oracles.license_sql()),
+    "op8_pii": (op8_pii, None),
+    "op10_decontaminate": (op10_decontaminate, None),
 }
