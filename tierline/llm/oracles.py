@@ -59,3 +59,28 @@ SELECT doc_id, n_words::BIGINT AS n_words, len(pos)::BIGINT AS n_base, list_min(
   CASE WHEN len(pos) > 0 THEN 1.0::DOUBLE ELSE coalesce(part, 0.0)::DOUBLE END AS score
 FROM base LEFT JOIN found USING (row)
 """
+
+
+REPEATS = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+place AS (
+  SELECT row, unnest(range(len(w))) AS pos, unnest(w) AS word FROM t),
+start AS (
+  SELECT row, unnest(range(len(w) - 34)) AS pos, w FROM t WHERE len(w) >= 35),
+windows AS (SELECT row, pos, md5(array_to_string(w[pos + 1:pos + 35], ' ')) AS h FROM start),
+again AS (SELECT row, pos FROM (SELECT row, pos, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1),
+cover AS (
+  SELECT place.row, place.pos, word,
+    max(again.pos) OVER (PARTITION BY place.row ORDER BY place.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM place LEFT JOIN again ON place.row = again.row AND place.pos = again.pos),
+kept AS (
+  SELECT row, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept
+  FROM cover GROUP BY row)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (row)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tierline.llm import bpe, decontaminate, langid, license_scan, oracles, pii, quality, separator_scan, topk
+from tierline.llm import bpe, decontaminate, langid, license_scan, oracles, pii, quality, separator_scan, substring_dedup, topk
 from tierline.llm.common import crc_mod, table
 from tierline.session import scratch_dir
 
@@ -80,6 +80,12 @@ def op8_pii(spark, sf_dir):
                         pii.digest(F.col("pii")).alias("spans"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.match(docs, table(spark, sf_dir, "benchmark"))
@@ -95,5 +101,6 @@ QUERIES = {
     "op5_topk": (op5_topk, oracles.TOP_K),
     "op7_license_scan": (op7_license_scan, oracles.license_sql()),
     "op8_pii": (op8_pii, None),
+    "op9_substring_dedup": (op9_substring_dedup, oracles.REPEATS),
     "op10_decontaminate": (op10_decontaminate, None),
 }
