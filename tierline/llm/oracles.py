@@ -84,3 +84,27 @@ SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM t LEFT JOIN kept USING (row)
 """
+
+JACCARD = r"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(len(w) - 3), lambda i: array_to_string(w[i + 1:i + 4], ' '))) END AS s
+  FROM t),
+held AS (SELECT row, len(s) AS n, unnest(s) AS g FROM s),
+pair AS (
+  SELECT a.row AS x, b.row AS y, count(*) AS i, any_value(a.n) AS n, any_value(b.n) AS m
+  FROM held a JOIN held b ON a.g = b.g AND a.row < b.row GROUP BY a.row, b.row),
+link AS (SELECT x, y FROM pair WHERE 100 * i >= 85 * (n + m - i)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(row, other) AS (
+  SELECT row, row FROM s
+  UNION
+  SELECT reach.row, edge.y FROM reach JOIN edge ON reach.other = edge.x),
+least AS (SELECT reach.row, min(s.doc_id) AS component_id FROM reach JOIN s ON reach.other = s.row GROUP BY reach.row)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN least USING (row)
+"""

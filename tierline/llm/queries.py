@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tierline.llm import bpe, decontaminate, langid, license_scan, oracles, pii, quality, separator_scan, substring_dedup, topk
+from tierline.llm import bpe, decontaminate, langid, license_scan, ngram_join, oracles, pii, quality, separator_scan, substring_dedup, topk
 from tierline.llm.common import crc_mod, table
 from tierline.session import scratch_dir
 
@@ -61,6 +61,10 @@ def op5_topk(spark, sf_dir):
     return topk.topk(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_ngram_jaccard(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op7_license_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan(docs).select(
@@ -99,6 +103,7 @@ QUERIES = {
     "op3_quality": (op3_quality, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
     "op5_topk": (op5_topk, oracles.TOP_K),
+    "op6_ngram_jaccard": (op6_ngram_jaccard, oracles.JACCARD),
     "op7_license_scan": (op7_license_scan, oracles.license_sql()),
     "op8_pii": (op8_pii, None),
     "op9_substring_dedup": (op9_substring_dedup, oracles.REPEATS),
