@@ -34,12 +34,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at a similarity of 0.8 the
-    smallest document id stays; its repeated rows become one."""
-    groups = ngram_join.join(docs, n=5, num=80, den=100)
-    keep = (groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0))
-            .select("doc_id").distinct())
-    one = docs.dropDuplicates()
-    return one.join(keep, one["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    smallest document id stays; its repeated rows become one.  Rows without an
+    id cannot be named in a group and stay."""
+    groups = ngram_join.join(docs.where(F.col("doc_id").isNotNull()), n=5, num=80, den=100)
+    keep = groups.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).select("doc_id").distinct()
+    # the join deals by doc_id, which also serves the repeated rows
+    named = (docs.join(keep, "doc_id", "left_semi").withColumn("__same", F.xxhash64("text"))
+             .dropDuplicates(["doc_id", "__same"]).select(*docs.columns))
+    return named.union(docs.where(F.col("doc_id").isNull()))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

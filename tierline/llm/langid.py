@@ -23,13 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierline.llm import chargrams
+
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 14
 #: Added to every count.
 SMOOTHING = 0.5
 UNKNOWN = "und"
-_PIECE = 1 << 20
-_FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
 @dataclass
@@ -41,25 +41,7 @@ class Model:
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Buckets of all n-grams of the text, in pieces."""
-    reach = max(ORDERS) - 1
-    for at in range(0, max(1, len(text)), _PIECE):
-        lead = min(reach, at)
-        c = np.frombuffer(text[at - lead:at + _PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
-        out = []
-        for n in ORDERS:
-            skip = max(0, lead - n + 1)
-            m = len(c) - skip - n + 1
-            if m <= 0:
-                continue
-            h = np.full(m, np.uint32(n * 0x27D4EB2F))
-            for k in range(n):
-                h += c[skip + k:skip + k + m]
-                h *= _FACTORS[k]
-                h ^= h >> np.uint32(15)
-            out.append(h & np.uint32(BUCKETS - 1))
-        if out:
-            yield np.concatenate(out)
+    return chargrams.grams(text, ORDERS, BUCKETS)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> Model:

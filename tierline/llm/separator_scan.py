@@ -68,17 +68,17 @@ def write_tokens(docs: DataFrame, folder: str, make: Callable[[], Callable[[str]
     return staged(rows.mapInPandas(write, "file string, ordinal long, doc_id long"), "token-files")
 
 
-def _read(file: str, block: int, dtype: np.dtype) -> tuple[np.ndarray, int, bool]:
+def _read(file: str, block: int, dtype: np.dtype, block_tokens: int) -> tuple[np.ndarray, int, bool]:
     """A block's ids, the position of its first id, and whether it is the last."""
     fs, path = pyarrow.fs.FileSystem.from_uri(file)
     size = fs.get_file_info(path).size // dtype.itemsize
-    first = block * BLOCK_TOKENS
+    first = block * block_tokens
     with fs.open_input_file(path) as f:
-        raw = f.read_at(min(BLOCK_TOKENS, size - first) * dtype.itemsize, first * dtype.itemsize)
-    return np.frombuffer(raw, dtype), first, first + BLOCK_TOKENS >= size
+        raw = f.read_at(min(block_tokens, size - first) * dtype.itemsize, first * dtype.itemsize)
+    return np.frombuffer(raw, dtype), first, first + block_tokens >= size
 
 
-def scan(files: DataFrame, separator: int, dtype: str = "<u2") -> DataFrame:
+def scan(files: DataFrame, separator: int, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Documents of the token files named in column ``file``: file, ordinal,
     start (position of its first id), n_tokens, closed."""
     spark, kind = files.sparkSession, np.dtype(dtype)
@@ -88,13 +88,13 @@ def scan(files: DataFrame, separator: int, dtype: str = "<u2") -> DataFrame:
         for b in batches:
             for file in b["file"]:
                 fs, path = pyarrow.fs.FileSystem.from_uri(file)
-                n = -(-(fs.get_file_info(path).size // kind.itemsize) // BLOCK_TOKENS)
+                n = -(-(fs.get_file_info(path).size // kind.itemsize) // block_tokens)
                 yield pd.DataFrame({"file": file, "block": np.arange(n)})
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for file, block in zip(b["file"], b["block"], strict=True):
-                ids, first, _ = _read(file, block, kind)
+                ids, first, _ = _read(file, block, kind, block_tokens)
                 at = np.flatnonzero(ids == separator)
                 yield pd.DataFrame({"file": [file], "block": [block], "n": [len(at)],
                                     "last": [first + at[-1] if len(at) else -1]})
@@ -102,7 +102,7 @@ def scan(files: DataFrame, separator: int, dtype: str = "<u2") -> DataFrame:
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for file, block, n, last in zip(b["file"], b["block"], b["n"], b["last"], strict=True):
-                ids, first, final = _read(file, block, kind)
+                ids, first, final = _read(file, block, kind, block_tokens)
                 ends = first + np.flatnonzero(ids == separator)
                 starts = np.concatenate(([last], ends)) + 1
                 stop = first + len(ids)
