@@ -73,3 +73,41 @@ def test_envelope_ids_are_stable(spark):
     assert sorted(r.id for r in a.collect()) == sorted(r.id for r in b.collect())
     assert a.select(F.countDistinct("id")).first()[0] == 2
     assert json.loads(a.orderBy("payload").first().payload) == {"v": "a"}
+
+
+def test_csv_ragged_rows_quotes_and_header_orders(spark, tmpdir_path):
+    d = tmpdir_path + "/in"
+    _write(d, "a.csv", 'a,b,c\n1,x,x\n2,y\n3,y,z\n4,y,z,extra\n"say ""hi"" now","line1\nline2",\n')
+    _write(d, "b.csv", "b,a\n7,8\n\n9\n")
+    _write(d, "c.csv", "a,a\n1,2\n")
+    land = land_csv(spark, d, "r", "acme", "b1", "2024-01-01T00:00:00")
+    got = sorted(r.payload for r in land.bronze.collect())
+    assert got == sorted(['{"a":"1","b":"x","c":"x"}', '{"a":"2","b":"y","c":""}', '{"a":"3","b":"y","c":"z"}',
+                          '{"a":"say \\"hi\\" now","b":"line1\\nline2","c":""}', '{"b":"7","a":"8"}', '{"b":"9","a":""}', '{"a":"2"}'])
+    assert [(r.row_number, r.raw) for r in land.rejects.collect()] == [(3, "4,y,z,extra")]
+    run = land.run.first()
+    assert (run.records_in, run.records_out, run.records_rejected, run.status) == (8, 7, 1, "partial")
+
+
+def test_json_mixed_files(spark, tmpdir_path):
+    d = tmpdir_path + "/in"
+    _write(d, "bad.json", "no json at all")
+    _write(d, "lines.json", '{"z":1.0,"a":2}\n{"a":1}trailing\n{"k":1,"k":2}\n[1]\n')
+    _write(d, "array.json", '[\n {"z": 1.0, "a": 2},\n "text", 5, null\n]')
+    _write(d, "broken.json", '[\n {"q": 1}\n')
+    land = land_json(spark, d, "items", "acme", "b1", "2024-01-01T00:00:00")
+    assert sorted(r.payload for r in land.bronze.collect()) == sorted(
+        ['{"z":1.0,"a":2}', '{"k":1,"k":2}', "[1]", '{"z":1.0,"a":2}', '"text"', "5", "null", '{"q": 1}'])
+    assert sorted(r.raw for r in land.rejects.collect()) == ["[", "no json at all", '{"a":1}trailing']
+    run = land.run.first()
+    assert (run.records_in, run.records_out, run.records_rejected, run.status) == (11, 8, 3, "partial")
+
+
+def test_keys_with_quotes(spark):
+    from tierline.functions import jsonx
+
+    for key in ("a'b", 'a"b', "a'b\"c", "a.b", "a b", "a]b", "back\\slash"):
+        df = spark.createDataFrame([(json.dumps({key: 5, "other": {"x": 1}}),)], "p string").withColumn("v", jsonx.parse("p"))
+        row = df.select(jsonx.text("p", key).alias("t"), jsonx.typed("v", key, "int").alias("i"), jsonx.strict("v", key, "int").alias("s")).first()
+        assert (row.t, row.i, row.s) == ("5", 5, 5), key
+        assert df.select(jsonx.typed("v", key + "'", "int").alias("i")).first().i is None

@@ -37,8 +37,9 @@ def _c(c) -> Column:
 
 
 def json_path(field: str) -> str:
-    """Bracket JSONPath for one top-level key (safe for blanks and dots)."""
-    return "$['" + field.replace("'", "\\'") + "']"
+    """Bracket JSONPath for one top-level key (safe for blanks, dots and
+    double quotes; no path can name a key with a single quote)."""
+    return f"$['{field}']"
 
 
 def dotted_path(path: str) -> str:
@@ -58,21 +59,49 @@ def parse(c) -> Column:
 def text(c, field: str) -> Column:
     """E1 ``payload->>'f'``: string value unquoted, nested value as JSON text,
     JSON null -> NULL."""
+    if "'" in field:
+        return F.from_json(_c(c), "map<string,string>")[field]
     return F.get_json_object(_c(c), json_path(field))
 
 
+def is_json(c) -> Column:
+    """Whether a text is one whole JSON value.  Spark's parsers ignore what
+    follows a value; inside brackets nothing can follow unseen."""
+    parsed = F.from_json(F.concat(F.lit("["), _c(c), F.lit("\n]")), "array<string>")
+    return F.coalesce(F.size(parsed) == 1, F.lit(False))
+
+
+def json_elements(c) -> Column:
+    """The elements of a JSON array, each as JSON text with its key order and
+    number kinds.  Scalars are spelled by the variant, which tells a string
+    from what it looks like; a container that no variant can hold (repeated
+    keys) keeps its text."""
+    texts = F.from_json(_c(c), "array<string>")
+    values = F.try_variant_get(F.try_parse_json(_c(c)), "$", "array<variant>")
+    return F.transform(texts, lambda x, i: F.when(
+        F.coalesce(F.schema_of_variant(F.get(values, i)).rlike("^(OBJECT|ARRAY)"), F.lit(True)) & x.isNotNull(), x)
+        .otherwise(F.coalesce(F.to_json(F.get(values, i)), F.lit("null"))))
+
+
 def text_path(c, path: str) -> Column:
     return F.get_json_object(_c(c), dotted_path(path))
 
 
 def typed(v, field: str, platform_type: str) -> Column:
     """E2 tolerant typed extract from a parsed VARIANT: bad value -> NULL."""
-    return F.try_variant_get(_c(v), json_path(field), PLATFORM_TYPES[platform_type])
+    return F.try_variant_get(*_key(v, field), PLATFORM_TYPES[platform_type])
 
 
 def strict(v, field: str, platform_type: str) -> Column:
     """E3 strict typed extract: a bad value raises."""
-    return F.variant_get(_c(v), json_path(field), PLATFORM_TYPES[platform_type])
+    return F.variant_get(*_key(v, field), PLATFORM_TYPES[platform_type])
+
+
+def _key(v, field: str) -> tuple[Column, str]:
+    """The variant and the path that name one top-level key."""
+    if "'" in field:
+        return F.try_variant_get(_c(v), "$", "map<string,variant>")[field], "$"
+    return _c(v), json_path(field)
 
 
 def tolerant_timestamp(c) -> Column:

@@ -10,13 +10,14 @@ writes the same ids.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tierline.functions.jsonx import TO_JSON_OPTS
+from tierline.functions.jsonx import TO_JSON_OPTS, is_json, json_elements
 from tierline.functions.text import source_table_name, tenant_slug
 from tierline.sources.files import file_row_number
 
@@ -29,14 +30,13 @@ ENVELOPE_SCHEMA = T.StructType([
     T.StructField("metadata", T.StringType(), True),
 ])
 ENVELOPE_COLUMNS = [f.name for f in ENVELOPE_SCHEMA.fields]
+#: What a table name has no room for: all but letters and digits of any script.
+NOT_WORD = r"[\W_]"
 
 
 def bronze_table_name(source: str, tenant_id: str) -> str:
-    """S11 ``bronze_{slug}.{safe source}`` computed for one name (driver side)."""
-    safe = "".join(ch if ch.isalnum() else "_" for ch in source.lower())
-    slug = "".join(ch if (ch.isascii() and ch.isalnum() and not ch.isupper()) else "_"
-                   for ch in tenant_id.lower())
-    return f"bronze_{slug}.{safe}"
+    """S11 ``bronze_{slug}.{safe source}`` for one name on the driver."""
+    return f"bronze_{re.sub('[^a-z0-9]', '_', tenant_id.lower())}.{re.sub(NOT_WORD, '_', source.lower())}"
 
 
 def record_id(batch_id, source, position) -> Column:
@@ -109,43 +109,58 @@ def landing_run(bronze: DataFrame, rejects: DataFrame, run_id: str,
 
 
 def land_csv(spark: SparkSession, path: str, source: str, tenant_id: str,
-             batch_id: str, ingested_at: str, multiline: bool = False) -> Landing:
+             batch_id: str, ingested_at: str, multiline: bool = True) -> Landing:
     """S2 CSV landing: header row, every value stays text, payload = row as a
-    JSON object (empty cells are '' not null), metadata
-    ``{"format":"csv","row_number":i}`` with i 0-based per file.
-
-    The header is read first (one line), then the files are read with that
-    schema plus a corrupt-record column; malformed rows go to ``rejects``.
-    Splittable unless ``multiline`` (quoted newlines) is requested.
+    JSON object, metadata ``{"format":"csv","row_number":i}`` with i 0-based
+    per file.
+
+    Files are read without a header into numbered cells, so that one scan
+    serves files whose headers differ; each file's first row names its cells
+    (of equal names the last counts).  Short rows land with '' in the cells
+    they lack, as empty cells do.  Rows with a value beyond the header go to
+    ``rejects``.  Quotes inside quotes are doubled.  ``multiline`` (quoted
+    newlines) reads a file in one task; pass False for large files that have
+    none, which are then split.
     """
-    header = spark.read.option("header", True).option("multiLine", multiline).csv(path).columns
     target = bronze_table_name(source, tenant_id)
-    if not header:
+    # commas of the first lines: at least as many as any header has cells
+    head = (spark.read.text(path).filter(F.col("_metadata.file_block_start") == 0)
+            .select(F.col("_metadata.file_path").alias("_file"), "value", F.monotonically_increasing_id().alias("_at"))
+            .groupBy("_file").agg(F.min_by("value", "_at").alias("_line")))
+    most = head.agg(F.max(F.size(F.split("_line", ",")))).first()[0]
+    if most is None:
         empty = spark.createDataFrame([], ENVELOPE_SCHEMA)
-        rej = spark.createDataFrame([], "raw string")
+        rej = spark.createDataFrame([], "file string, row_number long, raw string")
         return Landing(empty, rej, landing_run(empty, rej, batch_id, ingested_at, target))
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in header]
-                          + [T.StructField("_corrupt", T.StringType())])
-    raw = (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-           .option("encoding", "UTF-8").csv(path))
-    raw = file_row_number(raw, "_row_number")
-    # Spark refuses a CSV scan whose only referenced column is the corrupt-
-    # record column (a count of rejects would prune to that).  The second
-    # conjunct is always true but ties the flag to a data column.
-    bad = F.col("_corrupt").isNotNull() & (F.length(F.concat_ws("", F.lit("x"), F.col(f"`{header[0]}`"))) > 0)
-    raw = raw.withColumn("_bad", bad)
-    good = raw.filter(~F.col("_bad"))
-    filled = [F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for h in header]
-    payload = F.to_json(F.struct(*filled), TO_JSON_OPTS)
+    cells = [f"_c{i}" for i in range(most + 1)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "_raw"]])
+    # every branch reads all cells, so a row is judged alike in each of them
+    raw = (spark.read.schema(schema).option("header", False).option("multiLine", multiline)
+           .option("escape", '"').option("mode", "PERMISSIVE").option("columnPruning", False)
+           .option("columnNameOfCorruptRecord", "_raw").option("encoding", "UTF-8").csv(path))
+    # the reader keeps no text of a row that fills all cells: spell that one
+    raw = file_row_number(raw, "_row").select(
+        "_file", (F.col("_row") - 1).alias("_row_number"), F.array(*cells).alias("_cells"),
+        F.coalesce("_raw", F.to_csv(F.struct(*cells), {"escape": '"'})).alias("_raw"))
+    names = F.transform(F.col("_cells"), lambda x: F.coalesce(x, F.lit("")))
+    width = F.array_max(F.transform("_cells", lambda x, i: F.when(x.isNotNull(), i + 1)))
+    header = (raw.filter(F.col("_row_number") < 0)
+              .select(F.col("_file").alias("_of"), F.slice(names, 1, width).alias("_names"))
+              .withColumn("_keep", F.filter(F.sequence(F.lit(0), F.size("_names") - 1), lambda i: ~F.array_contains(
+                  F.slice("_names", i + 2, F.size("_names")), F.get("_names", i)))))
+    # a frame of one row per file; a big file's rows are split by the skew join
+    rows = (raw.filter(F.col("_row_number") >= 0).join(header, F.col("_file") == F.col("_of"))
+            .withColumn("_bad", F.exists(F.slice("_cells", F.size("_names") + 1, len(cells)), lambda x: x.isNotNull())))
+    payload = F.to_json(F.map_from_arrays(
+        F.transform("_keep", lambda i: F.get("_names", i)),
+        F.transform("_keep", lambda i: F.coalesce(F.get("_cells", i), F.lit("")))))
     meta = F.to_json(F.struct(F.lit("csv").alias("format"), F.col("_row_number").alias("row_number")))
-    bronze = good.select(
+    bronze = rows.filter(~F.col("_bad")).select(
         record_id(batch_id, source, F.concat_ws("#", F.col("_file"), F.col("_row_number"))).alias("id"),
         F.lit(tenant_id).alias("tenant_id"), F.lit(ingested_at).alias("ingested_at"),
         F.lit(source).alias("source"), payload.alias("payload"), meta.alias("metadata"))
-    rejects = raw.filter(F.col("_bad")).select(
-        F.col("_file").alias("file"), F.col("_row_number").alias("row_number"),
-        F.col("_corrupt").alias("raw"))
+    rejects = rows.filter("_bad").select(
+        F.col("_file").alias("file"), F.col("_row_number").alias("row_number"), F.col("_raw").alias("raw"))
     return Landing(bronze, rejects, landing_run(bronze, rejects, batch_id, ingested_at, target))
 
 
@@ -155,53 +170,36 @@ def land_json(spark: SparkSession, path: str, source: str, tenant_id: str,
 
     Per file: when the whole text is one JSON document, an object is one record
     and an array is one record per element; otherwise every non-blank line is
-    one record.  Lines are read splittably; only files that are not line-wise
-    JSON are re-read whole.  Lines that do not parse go to ``rejects`` (the
-    reference fails the whole upload, quirk Q14; ours lands the rest, status
-    partial).
+    one record.  A line's payload is its text as it stands (key order, number
+    spelling, repeated keys); array elements keep key order and number kinds.
+    Lines that are not one whole JSON value go to ``rejects`` (the reference
+    fails the whole upload, quirk Q14; ours lands the rest, status partial).
+
+    Lines are read splittably.  Only files that can be one document (a single
+    line, or a first line that is no value) are put together again, each into
+    the one row that a document is.
     """
     lines = file_row_number(spark.read.text(path), "_line")
-    lines = lines.filter(F.trim("value") != "").withColumn("_v", F.try_parse_json("value"))
-    # Per file: non-blank lines, lines that do not parse, and whether the
-    # first line is a complete value.  Spark's JSON parsers ignore trailing
-    # text, so "the whole text is one document" is decided as: several lines,
-    # some not parsing alone, the first not parsing alone (NDJSON starts with
-    # a complete value), and the whole text parsing.
-    per_file = lines.groupBy("_file").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col("_v").isNull()).alias("_bad"),
-        F.min_by(F.col("_v").isNotNull(), F.col("_line")).alias("_first_ok"))
-    lines = lines.join(per_file, "_file")
-    doc_files = per_file.filter((F.col("_n") > 1) & (F.col("_bad") > 0) & ~F.col("_first_ok")).select("_file")
-    # only those files are read whole (a list of paths: file metadata, not
-    # data); line-delimited files are never turned into one giant row
-    doc_paths = [r["_file"] for r in doc_files.collect()]
-    if doc_paths:
-        whole = (spark.read.text(doc_paths, wholetext=True)
-                 .select(F.col("_metadata.file_path").alias("_file"), F.col("value"))
-                 .withColumn("_w", F.try_parse_json("value")))
-    else:
-        whole = spark.createDataFrame([], "_file string, value string").withColumn("_w", F.try_parse_json("value"))
-    whole_ok = whole.filter(F.col("_w").isNotNull())
-    # documents: single-line files and whole-parsed files use document rules
-    docs = (lines.filter(F.col("_n") == 1).select("_file", F.col("_v").alias("_d"))
-            .unionByName(whole_ok.select("_file", F.col("_w").alias("_d"))))
-    is_arr = F.schema_of_variant(F.col("_d")).startswith("ARRAY")
-    doc_arrays = docs.filter(is_arr).select(
-        "_file", F.posexplode(F.try_variant_get("_d", "$", "array<variant>")).alias("_pos", "_r"))
-    doc_single = docs.filter(~is_arr).select("_file", F.lit(0).alias("_pos"), F.col("_d").alias("_r"))
-    # line-wise files: every other multi-line file
-    linewise = (lines.filter(F.col("_n") > 1)
-                .join(whole_ok.select("_file"), "_file", "left_anti"))
-    line_recs = linewise.filter(F.col("_v").isNotNull()).select(
-        "_file", F.col("_line").alias("_pos"), F.col("_v").alias("_r"))
-    recs = doc_arrays.unionByName(doc_single).unionByName(line_recs)
+    lines = lines.filter(F.trim("value") != "").withColumn("_ok", is_json("value"))
+    per_file = lines.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"),
+                                          F.min_by("_ok", "_line").alias("_first_ok"))
+    maybe = per_file.filter((F.col("_n") == 1) | ~F.col("_first_ok")).select("_file")
+    whole = (lines.join(maybe, "_file", "left_semi").groupBy("_file")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "value"))),
+                                           lambda x: x["value"]), "\n").alias("_d"))
+             .filter(is_json("_d")))
+    is_arr = F.ltrim("_d").startswith("[")
+    elements = json_elements("_d")
+    docs = (whole.withColumn("_e", F.when(is_arr, elements).otherwise(F.array(F.trim("_d"))))
+            .select("_file", F.posexplode("_e").alias("_pos", "payload")))
+    linewise = lines.join(whole.select("_file"), "_file", "left_anti")
+    recs = docs.unionByName(linewise.filter("_ok").select(
+        "_file", F.col("_line").alias("_pos"), F.trim("value").alias("payload")))
     bronze = recs.select(
         record_id(batch_id, source, F.concat_ws("#", F.col("_file"), F.col("_pos"))).alias("id"),
         F.lit(tenant_id).alias("tenant_id"), F.lit(ingested_at).alias("ingested_at"),
-        F.lit(source).alias("source"), F.to_json(F.col("_r")).alias("payload"),
-        F.lit("{}").alias("metadata"))
-    rejects = linewise.filter(F.col("_v").isNull()).select(
+        F.lit(source).alias("source"), "payload", F.lit("{}").alias("metadata"))
+    rejects = linewise.filter(~F.col("_ok")).select(
         F.col("_file").alias("file"), F.col("_line").alias("row_number"), F.col("value").alias("raw"))
     target = bronze_table_name(source, tenant_id)
     return Landing(bronze, rejects, landing_run(bronze, rejects, batch_id, ingested_at, target))
