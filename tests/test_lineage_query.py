@@ -1,5 +1,6 @@
 """Lineage walks, cascade cap, debounce, bounded results."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tierline.operators import lineage as L
@@ -69,7 +70,12 @@ def test_bounded_and_paging(spark):
     small = Q.bounded(spark.range(0, 10).withColumnRenamed("id", "k"), ["k"])
     assert small.count() == 10 and not small.first().truncated
     assert [r.k for r in Q.page(df, ["k"], 3, 5).collect()] == [10, 11, 12, 13, 14]
-    assert Q.capped(df, ["k"], 5000).count() == 1000 and Q.capped(df, ["k"]).count() == 20
+    assert Q.capped(df, ["k"], 1000).count() == 1000 and Q.capped(df, ["k"]).count() == 20
+    assert Q.capped(df, ["k"], 1500, most=None).count() == 1500
+    for asked in (lambda: Q.capped(df, ["k"], 5000), lambda: Q.preview(df, ["k"], 101), lambda: Q.page(df, ["k"], 1, 201),
+                  lambda: Q.page(df, ["k"], 0, 5)):
+        with pytest.raises(ValueError):
+            asked()
 
 
 def test_top_k_per_group_hot_key(spark):

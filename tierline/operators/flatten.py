@@ -102,7 +102,7 @@ def run_transform(spark: SparkSession, transform: dict, inputs: dict[str, DataFr
         out.limit(1).collect()  # dry run: data errors surface here
         n = sink(out) if sink else out.count()
     except Exception as exc:  # noqa: BLE001 - the run row carries the error
-        status, err = "failed", str(exc)[:500]
+        status, err = "failed", str(exc)
     ms = int((time.time() - t0) * 1000)
     run = spark.createDataFrame(
         [(run_id, transform.get("id"), status, started_at, int(n), ms, err)],

@@ -1,21 +1,16 @@
-"""Small-side lookups (J7) with a checked size.
+"""Small-side lookups.
 
-A dimension is broadcast only after its row count is known to be under a
-bound; above it the join stays a shuffle join, where adaptive execution
-splits hot keys (skew join) instead of sending one key's rows to one task.
+The side's size is known only once it has been computed, and adaptive
+execution then knows it in bytes: it broadcasts a side below
+``spark.sql.autoBroadcastJoinThreshold`` and otherwise keeps the shuffle join,
+whose hot keys it splits.  So a lookup is a plain join; nothing is counted while
+the plan is built.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 2_000_000
 
-
-def lookup_join(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
-                max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join ``fact`` to a lookup frame, broadcasting it when its row count
-    (one cheap action over the lookup side only) is at most ``max_rows``."""
-    small = dim.count() <= max_rows
-    return fact.join(F.broadcast(dim) if small else dim, on, how)
+def lookup_join(fact: DataFrame, dim: DataFrame, on, how: str = "inner") -> DataFrame:
+    return fact.join(dim, on, how)

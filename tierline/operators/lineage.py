@@ -10,6 +10,7 @@ with the frontier cut from its lineage by a reliable checkpoint each round.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,26 +129,25 @@ def edges(resolved: DataFrame) -> DataFrame:
     return e1.unionByName(e2)
 
 
-def upstream(edge_df: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def upstream(edge_df: DataFrame, roots: DataFrame) -> DataFrame:
     """R4 all ancestors of each root: (root, node, depth = shortest hops).
 
-    Frontier join + anti join with the reached set until the frontier is
-    empty; cycles end because reached pairs never re-enter."""
-    e = edge_df.filter(F.col("source_entity_id").isNotNull() & F.col("target_entity_id").isNotNull()) \
-        .select(F.col("source_entity_id").alias("src"), F.col("target_entity_id").alias("tgt")).distinct()
+    Frontier join + anti join with the reached pairs until the frontier is
+    empty; cycles end because reached pairs never re-enter.  Each round writes
+    its frontier only; the reached pairs are the union of the frontiers."""
+    e = cut_lineage(edge_df.filter(F.col("source_entity_id").isNotNull() & F.col("target_entity_id").isNotNull())
+                    .select(F.col("source_entity_id").alias("src"), F.col("target_entity_id").alias("tgt")).distinct())
     frontier = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"))
     reached = frontier
-    for _ in range(max_rounds):
+    while True:
         step = frontier.join(e, frontier.node == e.tgt).select("root", F.col("src").alias("node"),
                                                                (F.col("depth") + 1).alias("depth"))
         step = step.join(reached.select("root", "node"), ["root", "node"], "left_anti") \
             .groupBy("root", "node").agg(F.min("depth").alias("depth"))
-        step = cut_lineage(step)
-        if step.limit(1).count() == 0:
-            break
-        reached = cut_lineage(reached.unionByName(step))
-        frontier = step
-    return reached.filter(F.col("depth") > 0)
+        frontier = cut_lineage(step)
+        if frontier.limit(1).count() == 0:
+            return reached.filter(F.col("depth") > 0)
+        reached = reached.unionByName(frontier)
 
 
 def search_filter(edge_df: DataFrame, nodes: DataFrame, q: str = "", status: str | None = None) -> DataFrame:
@@ -171,14 +171,17 @@ def watchers(transforms: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def cascade_plan(transforms: DataFrame, resolved: DataFrame, changed: DataFrame,
-                 max_depth: int = MAX_CASCADE_DEPTH) -> DataFrame:
+                 max_depth: int | None = MAX_CASCADE_DEPTH) -> DataFrame:
     """R7 changed entities -> watchers (depth 0) -> their targets -> watchers
-    (depth 1) ... up to ``max_depth``; every transform planned once, at its
-    first depth.  A bounded loop of joins."""
+    (depth 1) ...; every transform planned once, at its first depth.
+
+    ``max_depth`` is the caller's bound (default: the data model's); None goes
+    on until nothing new is reached.  ``cascade_cut`` tells what a bound left
+    out."""
     targets = resolved.select(F.col("id").alias("transform_id"), F.col("target_id").alias("id"), "tenant_id")
     planned = None
     frontier = changed.select("id", "tenant_id")
-    for depth in range(max_depth):
+    for depth in (range(max_depth) if max_depth is not None else itertools.count()):
         w = watchers(transforms, frontier).select("transform_id", "tenant_id").distinct()
         if planned is not None:
             w = w.join(planned.select("transform_id"), "transform_id", "left_anti")
@@ -193,6 +196,13 @@ def cascade_plan(transforms: DataFrame, resolved: DataFrame, changed: DataFrame,
     return planned
 
 
+def cascade_cut(transforms: DataFrame, resolved: DataFrame, changed: DataFrame,
+                max_depth: int = MAX_CASCADE_DEPTH) -> DataFrame:
+    """The transforms (with their depths) that ``cascade_plan`` with this bound
+    leaves out."""
+    return cascade_plan(transforms, resolved, changed, None).filter(F.col("depth") >= max_depth)
+
+
 DEBOUNCE_FOLD_LIMIT = 100_000
 
 
@@ -264,12 +274,13 @@ def _next_fire(ev: DataFrame, key: str, w_us: int) -> DataFrame:
     ev = ev.withColumn("_q", q)
     own = ev.select(key, "_id", "_t", "_seg", F.col("_q").alias("_part"), F.lit(True).alias("_own"))
     tgt = ev.select(key, "_id", "_t", "_seg", (F.col("_q") - 1).alias("_part"), F.lit(False).alias("_own"))
-    w = Window.partitionBy(key, "_part").orderBy("_t").rangeBetween(w_us, Window.unboundedFollowing)
+    # what follows, read backwards: a running minimum instead of one pass a row
+    w = Window.partitionBy(key, "_part").orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -w_us)
     near = own.unionByName(tgt).withColumn(
         "_near", F.min(F.when(~F.col("_own"), F.struct("_t", "_id", "_seg"))).over(w)) \
         .filter(F.col("_own")).select(key, "_id", "_t", "_seg", F.col("_part").alias("_q"), "_near")
     firsts = ev.groupBy(key, "_q").agg(F.min(F.struct("_t", "_id", "_seg")).alias("_first"))
-    wq = Window.partitionBy(key).orderBy("_q").rangeBetween(2, Window.unboundedFollowing)
+    wq = Window.partitionBy(key).orderBy(F.desc("_q")).rangeBetween(Window.unboundedPreceding, -2)
     firsts = firsts.withColumn("_later", F.min("_first").over(wq))
     j = near.join(firsts.select(key, "_q", "_later"), [key, "_q"])
     nxt = F.coalesce(F.col("_near"), F.col("_later"))

@@ -67,11 +67,16 @@ def insert_ignore(target: DataFrame, batch: DataFrame, key, order_by: list | Non
     return target.unionByName(new.select(*target.columns))
 
 
-def conflict_update(target: DataFrame, batch: DataFrame, key, update_cols: list[str]) -> DataFrame:
+def conflict_update(target: DataFrame, batch: DataFrame, key, update_cols: list[str],
+                    order_by: list | None = None) -> DataFrame:
     """W5 ``ON CONFLICT (key) DO UPDATE SET c = excluded.c`` for the chosen
-    columns; other columns keep the stored value; new keys are inserted."""
+    columns; other columns keep the stored value; new keys are inserted.
+    Batch rows without a key are dropped; of several rows with one key the
+    latest by ``order_by`` counts (without it, by the updated values)."""
     keys = _keys(key)
-    t = target.withColumn("_in_t", F.lit(True))
+    t = target
+    batch = batch.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    batch = keep_latest(batch, keys, order_by or update_cols)
     b = batch.select(*keys, *update_cols).withColumn("_in_b", F.lit(True))
     for c in update_cols:
         b = b.withColumnRenamed(c, f"_new_{c}")

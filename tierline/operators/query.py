@@ -17,6 +17,7 @@ AGENT_MAX_ROWS = 1000     # fixed: capped query maximum
 AGENT_DEFAULT_ROWS = 20
 RESULT_CHAR_BUDGET = 4000  # fixed: size budget of a capped result
 PREVIEW_DEFAULT, PREVIEW_MAX = 20, 100
+PAGE_MAX = 200
 
 
 def _order(cols) -> list[Column]:
@@ -33,34 +34,40 @@ def bounded(df: DataFrame, order_by: list, cap: int = MAX_QUERY_ROWS) -> DataFra
     return ranked.withColumn("truncated", flag).filter(F.col("_rn") <= cap).drop("_rn")
 
 
-def capped(df: DataFrame, order_by: list, n: int | None = None) -> DataFrame:
-    """L2 caller limit, default 20, at most 1000."""
-    n = AGENT_DEFAULT_ROWS if n is None else max(1, min(int(n), AGENT_MAX_ROWS))
-    return df.orderBy(*_order(order_by)).limit(n)
+def _asked(n: int | None, default: int, most: int | None) -> int:
+    """The number of rows to return: never fewer than asked for."""
+    n = default if n is None else int(n)
+    if n < 1 or (most is not None and n > most):
+        raise ValueError(f"rows must be from 1 to {most}, not {n}" if most else f"rows must be positive, not {n}")
+    return n
 
 
-def preview(df: DataFrame, order_by: list, n: int | None = None, cap: int = PREVIEW_MAX) -> DataFrame:
-    """L3 preview default 20, cap 100."""
-    n = PREVIEW_DEFAULT if n is None else max(1, min(int(n), cap))
-    return df.orderBy(*_order(order_by)).limit(n)
+def capped(df: DataFrame, order_by: list, n: int | None = None, most: int | None = AGENT_MAX_ROWS) -> DataFrame:
+    """L2 caller limit, default 20.  More than ``most`` is an error, not fewer
+    rows; ``most=None`` sets no maximum."""
+    return df.orderBy(*_order(order_by)).limit(_asked(n, AGENT_DEFAULT_ROWS, most))
 
 
-def size_budget(df: DataFrame, order_by: list, budget: int = RESULT_CHAR_BUDGET,
-                n: int | None = None) -> DataFrame:
+def preview(df: DataFrame, order_by: list, n: int | None = None, most: int | None = PREVIEW_MAX) -> DataFrame:
+    """L3 preview, default 20; more than ``most`` is an error."""
+    return df.orderBy(*_order(order_by)).limit(_asked(n, PREVIEW_DEFAULT, most))
+
+
+def size_budget(df: DataFrame, order_by: list, budget: int = RESULT_CHAR_BUDGET) -> DataFrame:
     """L4 keep leading rows while the compact JSON of the rows (each plus two
-    separator characters) stays within ``budget``.  Applied after L2, so the
-    running window sees at most 1000 rows."""
-    top = capped(df, order_by, n if n is not None else AGENT_MAX_ROWS)
+    separator characters) stays within ``budget``.  A row takes at least four
+    characters, so the first ``budget / 4`` rows hold every row that fits and
+    the running window sees no more."""
+    top = df.orderBy(*_order(order_by)).limit(budget // 4 + 1)
     w = Window.orderBy(*_order(order_by)).rowsBetween(Window.unboundedPreceding, 0)
     size = F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns]), TO_JSON_OPTS)) + 2
     return top.withColumn("_run", F.sum(size).over(w)).filter(F.col("_run") <= budget).drop("_run")
 
 
-def page(df: DataFrame, order_by: list, page_no: int, page_size: int) -> DataFrame:
-    """L5 offset paging: page >= 1, size 1..200."""
-    page_no = max(1, int(page_no))
-    page_size = max(1, min(int(page_size), 200))
-    return df.orderBy(*_order(order_by)).offset((page_no - 1) * page_size).limit(page_size)
+def page(df: DataFrame, order_by: list, page_no: int, page_size: int, most: int | None = PAGE_MAX) -> DataFrame:
+    """L5 offset paging: page >= 1; a size above ``most`` is an error."""
+    page_size = _asked(page_size, PAGE_MAX, most)
+    return df.orderBy(*_order(order_by)).offset((_asked(page_no, 1, None) - 1) * page_size).limit(page_size)
 
 
 def top_k(df: DataFrame, order_by: list, k: int) -> DataFrame:

@@ -53,7 +53,7 @@ def _pair(queries: DataFrame, cand: DataFrame) -> DataFrame:
     return q.join(c, ["tenant_id", "_salt"]).drop("_salt")
 
 
-def recall(queries: DataFrame, memories: DataFrame, k: int = MAX_INJECTED) -> DataFrame:
+def recall(queries: DataFrame, memories: DataFrame, k: int = MAX_INJECTED, limit: int | None = CANDIDATES) -> DataFrame:
     """M1-M3 for every query row (``query_id, tenant_id, text``): the top
     ``k`` notes by score = base x (1 + 0.5 x hits), hit = a keyword contained
     in the lower-cased summary (duplicates count); ties keep candidate order

@@ -48,10 +48,9 @@ def jobs_feed(jobs: DataFrame, page_no: int = 1, page_size: int = 50) -> DataFra
 
 
 def daily_stats(jobs: DataFrame, as_of: str, days: int = 14) -> DataFrame:
-    """O2 per day and job type for the last ``days`` (1..90) days before
+    """O2 per day and job type for the last ``days`` days before
     ``as_of``: total, success, failed, partial (A2, E11, E12).  ``failed``
     replaces the reference's always-zero ``error`` (Q6)."""
-    days = max(1, min(int(days), 90))
     since = F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp_ntz")
     return (jobs.filter(F.col("started_at") >= since)
             .groupBy(F.to_date("started_at").alias("day"), "job_type")

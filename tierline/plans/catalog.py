@@ -3,6 +3,9 @@ entity field nesting (J8), collection snapshot export / import (S19, S20)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierline.operators import catalog as K
@@ -41,26 +44,22 @@ FROM (VALUES ('l_linenumber', 0), ('l_partkey', 1), ('l_suppkey', 2), ('l_quanti
 
 
 def q_storage_class(spark, sf_dir):
-    """P10 storage kind per table, with each table's physical columns
-    discovered from its rows (keys of every row as JSON, de-duplicated)."""
+    """S18 + P10 storage kind per table from its schema, with its row count."""
     bronze = bronze_orders(spark, sf_dir)
     csv_like = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("_id"), F.lit("t0").alias("_tenant_id"),
         F.lit("2024-02-01").alias("_ingested_at"), F.col("c_name").cast("string"))
-    silver = orders_cleaned(bronze)
-    rows = None
-    for name, df in (("bronze.orders", bronze), ("bronze.customers_csv", csv_like),
-                     ("silver.orders_cleaned", silver)):
-        keys = df.select(F.lit(name).alias("table_name"),
-                         F.posexplode(F.json_object_keys(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})))
-                         .alias("ordinal", "name")).distinct()
-        rows = keys if rows is None else rows.unionByName(keys)
-    return I.storage_class(rows)
+    tables = {"bronze.orders": bronze, "bronze.customers_csv": csv_like,
+              "silver.orders_cleaned": orders_cleaned(bronze)}
+    counts = reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+                                            for t, df in tables.items()])
+    return I.storage_class(I.columns_frame(spark, tables)).join(counts, "table_name")
 
 
 SQL_STORAGE_CLASS = """
-SELECT * FROM (VALUES ('bronze.orders', 'webhook'), ('bronze.customers_csv', 'csv'),
-                      ('silver.orders_cleaned', 'flat')) AS v(table_name, storage)
+SELECT 'bronze.orders' AS table_name, 'webhook' AS storage, COUNT(*) AS n_rows FROM orders
+UNION ALL SELECT 'bronze.customers_csv', 'csv', COUNT(*) FROM customer
+UNION ALL SELECT 'silver.orders_cleaned', 'flat', COUNT(*) FROM orders
 """
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tierline.operators import charts as C
-from tierline.plans.common import r2, table
+from tierline.plans.common import r2, table, ts_text
 
 
 def q_bar_sum(spark, sf_dir):
@@ -108,7 +108,23 @@ SELECT * FROM (VALUES
 ) AS v(table_name, chart, x, y, y2)
 """
 
+
+def q_chart_cast(spark, sf_dir):
+    """P13 events with every value as text, cast for plotting by the profile."""
+    e = table(spark, sf_dir, "events")
+    text = e.select(*[F.col(c).cast("string").alias(c) for c in ("event_id", "ts", "event_type", "value")])
+    out = C.chart_cast(text, [r.asDict() for r in C.profile_columns(text).collect()])   # one row a column
+    return out.select("event_id", ts_text("ts").alias("ts"), "event_type", F.round("value", 2).alias("value"))
+
+
+SQL_CHART_CAST = """
+SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type,
+       ROUND(CAST(value AS DOUBLE), 2) AS value
+FROM events
+"""
+
 QUERIES = {
+    "chart_cast": (q_chart_cast, SQL_CHART_CAST),
     "bar_sum": (q_bar_sum, SQL_BAR_SUM),
     "bar_count": (q_bar_count, SQL_BAR_COUNT),
     "hist_price": (q_hist_price, SQL_HIST_PRICE),

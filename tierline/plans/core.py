@@ -137,11 +137,10 @@ FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
 
 def q_renest_items(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    n = jsonx.renest(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "l_linenumber",
-                     alias="items")
-    cnt = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_items"),
-                                        r2(F.sum("l_quantity")).alias("sum_qty"))
-    return n.join(cnt, "l_orderkey")
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    n = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"),
+                                     F.count(F.lit(1)).alias("n_items"), r2(F.sum("l_quantity")).alias("sum_qty"))
+    return n.withColumn("items", F.to_json("items", jsonx.TO_JSON_OPTS))
 
 
 SQL_RENEST = """

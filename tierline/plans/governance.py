@@ -154,10 +154,10 @@ FROM events WHERE user_id % 2 = 0
 """
 
 def q_preview_masked(spark, sf_dir):
-    """L3 + G4 a viewer's preview of silver customers: 500 asked, capped at
+    """L3 + G4 a viewer's preview of silver customers: at the maximum of
     100, PII masked (flags from the catalogue)."""
     from tierline.operators.query import preview
-    p = preview(_customers(spark, sf_dir), ["customer_id"], n=500)
+    p = preview(_customers(spark, sf_dir), ["customer_id"], n=100)
     return G.mask_frame(p, "viewer", pii_columns=["full_name", "email", "phone", "zip"])
 
 

@@ -59,6 +59,53 @@ SELECT * FROM (VALUES
 ) AS v(name, ordinal, data_type, nullable, is_pii, is_pk, n_present)
 """
 
+
+
+def _text_files(df, path, parts):
+    """Lines of ``df`` (part, pos, line) as one text file per part."""
+    for part in parts:
+        (df.filter(F.col("part") == part).coalesce(1).sortWithinPartitions("pos")
+         .select("line").write.text(f"{path}/part={part}"))
+
+
+def _landing_summary(land):
+    """Payloads and rejects as rows, each with the run's counts and status."""
+    rows = (land.bronze.select(F.lit("landed").alias("outcome"), F.col("payload").alias("content"))
+            .unionByName(land.rejects.select(F.lit("rejected").alias("outcome"), F.col("raw").alias("content"))))
+    return rows.crossJoin(land.run.select("records_in", "records_out", "records_rejected", "status"))   # one row
+
+
+def q_csv_landing_ragged(spark, sf_dir):
+    """S2 two files of customers: one with quotes, quoted newlines, short and
+    over-long rows, one with its columns in another order."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    rows = table(spark, sf_dir, "customer").select(
+        (k % 2).alias("part"), k.alias("pos"),
+        F.when(k % 2 == 1, F.concat_ws(",", k.cast("string"), "c_mktsegment", name))
+        .when(k % 10 == 2, k.cast("string"))
+        .when(k % 10 == 4, F.concat_ws(",", k.cast("string"), name, "c_mktsegment", F.lit("beyond")))
+        .when(k % 10 == 6, F.concat(k.cast("string"), F.lit(',"say ""'), name, F.lit('""\nagain",'), "c_mktsegment"))
+        .otherwise(F.concat_ws(",", k.cast("string"), name, F.lit(""))).alias("line"))
+    head = spark.createDataFrame([(0, -1, "key,name,segment"), (1, -1, "key,segment,name")], "part int, pos long, line string")
+    path = scratch_dir(spark, "csv-ragged")
+    _text_files(head.unionByName(rows), path, (0, 1))
+    return _landing_summary(land_csv(spark, path, "Ragged Upload", TENANT, BATCH, INGESTED_AT))
+
+
+SQL_CSV_RAGGED = """
+WITH r AS (
+  SELECT CASE WHEN c_custkey % 2 = 0 AND c_custkey % 10 = 4 THEN 'rejected' ELSE 'landed' END AS outcome,
+         CASE WHEN c_custkey % 2 = 1 THEN '{"key":"' || c_custkey || '","segment":"' || c_mktsegment || '","name":"' || c_name || '"}'
+              WHEN c_custkey % 10 = 2 THEN '{"key":"' || c_custkey || '","name":"","segment":""}'
+              WHEN c_custkey % 10 = 4 THEN c_custkey || ',' || c_name || ',' || c_mktsegment || ',beyond'
+              WHEN c_custkey % 10 = 6 THEN '{"key":"' || c_custkey || '","name":"say \\"' || c_name || '\\"\\nagain","segment":"' || c_mktsegment || '"}'
+              ELSE '{"key":"' || c_custkey || '","name":"' || c_name || '","segment":""}' END AS content
+  FROM customer)
+SELECT outcome, content, (SELECT COUNT(*) FROM r) AS records_in, (SELECT COUNT(*) FROM r WHERE outcome = 'landed') AS records_out,
+       (SELECT COUNT(*) FROM r WHERE outcome = 'rejected') AS records_rejected, 'partial' AS status
+FROM r
+"""
+
 # --------------------------------------------------------------- S3 NDJSON
 
 
@@ -80,6 +127,38 @@ SELECT o_orderkey, o_custkey, o_orderstatus, ROUND(o_totalprice, 2) AS o_totalpr
 FROM orders
 """
 
+
+
+def q_json_landing_mixed(spark, sf_dir):
+    """S3 orders as a file of lines (key order, ``1.0``, repeated keys and
+    trailing text), a file that is one array, and a one-line file that is no
+    JSON."""
+    k, price = F.col("o_orderkey"), F.floor("o_totalprice").cast("string")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    record = F.concat(F.lit('{"z":'), price, F.lit('.0,"a":'), k.cast("string"), F.lit("}"))
+    lines = o.select((k % 2).cast("int").alias("part"), k.alias("pos"),
+                     F.when(k % 2 == 1, F.concat(F.lit(","), record))
+                     .when(k % 10 == 4, F.concat(record, F.lit(" and more")))
+                     .when(k % 10 == 8, F.concat(F.lit('{"k":1,"k":'), k.cast("string"), F.lit("}")))
+                     .otherwise(record).alias("line"))
+    frame = spark.createDataFrame([(1, -1, "[0"), (1, 2 ** 62, "]"), (2, 0, "no json")], "part int, pos long, line string")
+    path = scratch_dir(spark, "json-mixed")
+    _text_files(lines.unionByName(frame), path, (0, 1, 2))
+    return _landing_summary(land_json(spark, path, "mixed", TENANT, BATCH, INGESTED_AT))
+
+
+SQL_JSON_MIXED = """
+WITH o AS (SELECT o_orderkey AS k, '{"z":' || CAST(floor(o_totalprice) AS BIGINT) || '.0,"a":' || o_orderkey || '}' AS record FROM orders),
+r AS (
+  SELECT CASE WHEN k % 2 = 0 AND k % 10 = 4 THEN 'rejected' ELSE 'landed' END AS outcome,
+         CASE WHEN k % 2 = 1 THEN record WHEN k % 10 = 4 THEN record || ' and more'
+              WHEN k % 10 = 8 THEN '{"k":1,"k":' || k || '}' ELSE record END AS content FROM o
+  UNION ALL SELECT 'rejected', 'no json' UNION ALL SELECT 'landed', '0')
+SELECT outcome, content, (SELECT COUNT(*) FROM r) AS records_in, (SELECT COUNT(*) FROM r WHERE outcome = 'landed') AS records_out,
+       (SELECT COUNT(*) FROM r WHERE outcome = 'rejected') AS records_rejected, 'partial' AS status
+FROM r
+"""
+
 # ------------------------------------------------------------- S12 runs
 
 
@@ -215,6 +294,8 @@ SELECT pull_id, page, item_pos, p_partkey FROM items WHERE page = 0
 QUERIES = {
     "csv_landing": (q_csv_landing, SQL_CSV),
     "csv_infer_fields": (q_csv_infer, SQL_CSV_INFER),
+    "csv_landing_ragged": (q_csv_landing_ragged, SQL_CSV_RAGGED),
+    "json_landing_mixed": (q_json_landing_mixed, SQL_JSON_MIXED),
     "ndjson_landing": (q_ndjson_landing, SQL_NDJSON),
     "landing_runs": (q_landing_runs, SQL_LANDING_RUNS),
     "pages_offset": (q_pages_offset, SQL_PAGES_OFFSET),

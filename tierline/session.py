@@ -1,8 +1,8 @@
 """Session construction and the shared scratch location.
 
 On a cluster, ``spark.checkpoint.dir`` names a shared folder (HDFS / object
-store).  All lineage cuts and staged writes go below it.  A local folder is
-only chosen when the setting is unset, which is the case in tests.
+store).  All lineage cuts and staged writes go below it.  Where it is unset a
+temporary folder serves a local master (tests); any other master is an error.
 """
 
 from __future__ import annotations
@@ -69,8 +69,10 @@ def _checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        # Only reached when nobody configured a shared folder (tests, local
-        # runs).  A cluster names its own in spark.checkpoint.dir.
+        # a machine-local folder serves only where driver and executors are
+        # one process (tests, local runs)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tierline-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", root)

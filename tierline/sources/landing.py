@@ -39,10 +39,16 @@ def bronze_table_name(source: str, tenant_id: str) -> str:
     return f"bronze_{re.sub('[^a-z0-9]', '_', tenant_id.lower())}.{re.sub(NOT_WORD, '_', source.lower())}"
 
 
-def record_id(batch_id, source, position) -> Column:
-    """H5: stable id from (batch, source, position); survives task retry."""
-    return F.sha2(F.concat_ws("|", F.lit(str(batch_id)), F.lit(source),
-                              position.cast("string")), 256).substr(1, 32)
+def record_id(batch_id, source, position, ordinal: Column | None = None) -> Column:
+    """H5: stable id from (batch, source, position); survives task retry.
+
+    The first half is the record's ordinal in the batch, the second a hash of
+    the position, so ids of one batch sort in landing order and the last of
+    two records with one key is the one that landed last.
+    """
+    order = F.lpad(F.lower(F.hex((position if ordinal is None else ordinal).cast("long"))), 16, "0")
+    return F.concat(order, F.sha2(F.concat_ws("|", F.lit(str(batch_id)), F.lit(source),
+                                              position.cast("string")), 256).substr(1, 16))
 
 
 def _meta_col(metadata) -> Column:
@@ -156,7 +162,7 @@ def land_csv(spark: SparkSession, path: str, source: str, tenant_id: str,
         F.transform("_keep", lambda i: F.coalesce(F.get("_cells", i), F.lit("")))))
     meta = F.to_json(F.struct(F.lit("csv").alias("format"), F.col("_row_number").alias("row_number")))
     bronze = rows.filter(~F.col("_bad")).select(
-        record_id(batch_id, source, F.concat_ws("#", F.col("_file"), F.col("_row_number"))).alias("id"),
+        record_id(batch_id, source, F.concat_ws("#", F.col("_file"), F.col("_row_number")), F.col("_row_number")).alias("id"),
         F.lit(tenant_id).alias("tenant_id"), F.lit(ingested_at).alias("ingested_at"),
         F.lit(source).alias("source"), payload.alias("payload"), meta.alias("metadata"))
     rejects = rows.filter("_bad").select(
@@ -196,7 +202,7 @@ def land_json(spark: SparkSession, path: str, source: str, tenant_id: str,
     recs = docs.unionByName(linewise.filter("_ok").select(
         "_file", F.col("_line").alias("_pos"), F.trim("value").alias("payload")))
     bronze = recs.select(
-        record_id(batch_id, source, F.concat_ws("#", F.col("_file"), F.col("_pos"))).alias("id"),
+        record_id(batch_id, source, F.concat_ws("#", F.col("_file"), F.col("_pos")), F.col("_pos")).alias("id"),
         F.lit(tenant_id).alias("tenant_id"), F.lit(ingested_at).alias("ingested_at"),
         F.lit(source).alias("source"), "payload", F.lit("{}").alias("metadata"))
     rejects = linewise.filter(~F.col("_ok")).select(
