@@ -54,3 +54,24 @@ def test_secret_redaction(spark):
     assert r == {"url": "u", "Token": "***", "page_size": "5", "x_api_key": "***"}
     back = df.select(G.drop_redacted(G.redact_secrets("cfg")).alias("c")).first().c
     assert back == {"url": "u", "page_size": "5"}
+
+
+def test_scoped_query_reaches_nothing_else(spark, tmpdir_path):
+    silver = spark.createDataFrame([(1, "a@b.com")], "id int, email string")
+    gold = spark.createDataFrame([(1, 5), (2, 6)], "id int, n int")
+    tables = {"silver.people": silver, "gold.counts": gold}
+    gold.write.mode("overwrite").parquet(f"{tmpdir_path}/p")
+    silver.createOrReplaceTempView("session_view")
+    run = lambda sql, role="viewer": G.run_query(spark, sql, role, tables)
+    for sql in (f"SELECT * FROM parquet.`{tmpdir_path}/p`", "SELECT * FROM session_view", "SELECT * FROM default.t",
+                "WITH x AS (SELECT * FROM gold.counts) INSERT INTO tgt SELECT * FROM x", "INSERT INTO gold.counts SELECT 1, 2",
+                "SELECT * FROM gold.counts WHERE n IN (SELECT id FROM silver.people)", "SELECT (SELECT max(id) FROM session_view) AS m",
+                "SELECT reflect('java.lang.System', 'getenv', 'HOME')", "SHOW TABLES", "SELECT * FROM range(5)", "not sql at all",
+                "WITH a AS (SELECT * FROM silver.people) SELECT * FROM a", "CREATE TABLE x AS SELECT * FROM gold.counts", "SELECT 1; DROP TABLE x",
+                "WITH a AS (SELECT * FROM b), b AS (SELECT * FROM gold.counts) SELECT * FROM a", "SELECT * FROM gold.counts.x"):
+        with pytest.raises(G.QueryDenied):
+            run(sql).collect()
+    assert run("SELECT 'gold.counts' AS s, counts.n FROM gold.counts WHERE '{x}' = '{x}' ORDER BY n").first().asDict() == {"s": "gold.counts", "n": 5}
+    assert run("SELECT c.n FROM GOLD.counts c JOIN gold.counts AS d ON c.id = d.id WHERE c.id IN (SELECT id FROM gold.counts WHERE n = 6)").first().n == 6
+    assert run("WITH counts AS (SELECT n FROM gold.counts), b AS (SELECT n + 1 AS n FROM counts) SELECT sum(n) AS s FROM b").first().s == 13
+    assert run("SELECT count(*) AS c FROM gold.counts UNION ALL SELECT 7").count() == 2

@@ -86,15 +86,38 @@ def test_follow_links_by_url_ignores_page_numbers(spark):
     assert got == [(0, 0), (1, 2), (3, 1)]
     capped = sorted(r.page for r in follow_links(page_records(df), "link_header", max_pages=2).collect())
     assert capped == [0, 3]
-    landed = sorted(json.loads(r.record)["a"] for r in land_pages(df, "link_header", "", follow="url").collect())
+    landed = sorted(json.loads(r.record)["a"] for r in land_pages(df, "link_header", "").collect())
     assert landed == [0, 3]
 
 
-def test_url_follow_equals_ordered_rule_on_driver_pages(spark):
+def test_page_numbers_do_not_matter_to_link_chains(spark):
     from tierline.plans.landing import BASE, fetched_pages
     pages = fetched_pages(spark, "/root/testdata/sf0.001")
+    turned = pages.withColumn("page", F.when(F.col("page") == 0, 0).otherwise(1000 - F.col("page")))
     for strategy, kw in (("link_header", {}), ("next_url", {"base_url": BASE})):
-        a = {(r.pull_id, r.page, r.item_pos) for r in land_pages(pages, strategy, "data.items", **kw).collect()}
-        b = {(r.pull_id, r.page, r.item_pos) for r in
-             land_pages(pages, strategy, "data.items", follow="url", **kw).collect()}
+        a = {(r.pull_id, r.url, r.item_pos) for r in land_pages(pages, strategy, "data.items", **kw).collect()}
+        b = {(r.pull_id, r.url, r.item_pos) for r in land_pages(turned, strategy, "data.items", **kw).collect()}
         assert a == b and len(a) > 0
+
+
+def test_links_are_followed_by_url_whatever_the_page_numbers(spark):
+    links = {4: '<https://x/2>; rel="next"', 2: '<https://x/9>; rel="next"', 9: '<https://x/4>; rel="next"'}
+    rows = [("p", n, f"https://x/{i}", links.get(i), json.dumps([{"a": i}])) for n, i in ((1, 4), (2, 9), (3, 2), (4, 7))]
+    df = spark.createDataFrame(rows, "pull_id string, page int, url string, link_header string, body string")
+    got = sorted(json.loads(r.record)["a"] for r in land_pages(df, "link_header").collect())
+    assert got == [2, 4, 9]                 # a cycle ends the chain; page 4 is not linked
+    assert land_pages(df, "link_header", max_pages=None, max_records=None).count() == 3
+    assert land_pages(df, "link_header", max_records=2).count() == 2
+
+
+def test_pull_report_tells_what_a_bound_cut(spark):
+    from tierline.sources.pages import pull_report
+    df = _pages(spark, [[{"a": i}] for i in range(6)])
+    row = lambda **kw: tuple(pull_report(df, "offset", page_size=1, **kw).first())[1:]
+    assert row(max_pages=4) == (6, 4, True) and row(max_pages=6) == (6, 6, False)
+    assert row(max_records=2) == (6, 2, True) and row(max_pages=None, max_records=None) == (6, 6, False)
+
+
+def test_single_page_is_the_first_one(spark):
+    df = _pages(spark, [[{"a": 1}], [{"a": 2}]]).withColumn("page", F.col("page") + 1)
+    assert [json.loads(r.record)["a"] for r in land_pages(df).collect()] == [1]

@@ -1,99 +1,119 @@
-"""Property tests: masks, keyword scoring and paging rules against direct
-Python statements of the same rules."""
+"""Masks, keywords and paging: literal outcomes, and properties that hold for
+any input."""
 
 import json
-import re
 
+import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from tierline.functions.pii import mask_for
-from tierline.functions.text import keywords, STOP_WORDS
+from tierline.functions.text import STOP_WORDS, keywords
 from tierline.sources.pages import land_pages
 
+MASKS = [
+    ("email", "j.doe@example.com", "j***@example.com"), ("email", "a@b@c", "a***@b@c"), ("email", "no at sign", "***"),
+    ("email", "@host", "***@host"), ("email", "", "***"), ("email", None, None), ("work_email", "é@x", "é***@x"),
+    ("phone", "+1 (555) 010-0123", "***-***-0123"), ("phone", "123", "***"), ("phone", "", "***"), ("phone", None, None),
+    ("mobile", "a1b2c3d4", "***-***-1234"),
+    ("full_name", "Ada King Lovelace", "A*** K*** L***"), ("full_name", "  x\ty ", "x*** y***"), ("full_name", "", ""),
+    ("name", "Zoë", "Z***"), ("name", None, None),
+    ("ssn", "123-45-6789", "[REDACTED]"), ("ssn", "", "[REDACTED]"), ("ssn", None, None),
+]
 
-def py_mask(name, v):
-    if v is None:
-        return None
-    s = str(v)
-    if re.search("email", name, re.I):
-        if "@" not in s:
-            return "***"
-        local, dom = s.split("@", 1)
-        return (local[0] if local else "") + "***@" + dom
-    if re.search("phone|mobile|fax", name, re.I):
-        d = re.sub(r"\D", "", s)
-        return f"***-***-{d[-4:]}" if len(d) >= 4 else "***"
-    if re.search(r"(first|last|full|display)_?name|^name$", name, re.I):
-        return " ".join(p[0] + "***" for p in s.split() if p)
-    return "[REDACTED]"
+
+def test_masks_of_known_values(spark):
+    for column in {c for c, _, _ in MASKS}:
+        cases = [(i, v) for i, (c, v, _) in enumerate(MASKS) if c == column]
+        got = {r.i: r.m for r in spark.createDataFrame(cases, f"i int, `{column}` string").select("i", mask_for(column).alias("m")).collect()}
+        assert got == {i: MASKS[i][2] for i, _ in cases}
 
 
 TEXT = st.text(alphabet=st.sampled_from(list("ab@.- 0123456789xé\tZ+()")), max_size=20)
 
 
 @settings(max_examples=10, deadline=None)
-@given(st.lists(st.one_of(st.none(), TEXT), min_size=1, max_size=20))
-def test_masks_match_rules(spark, values):
+@given(st.lists(TEXT, min_size=1, max_size=20))
+def test_masks_never_show_more_than_their_rest(spark, values):
+    """A phone shows at most four digits, a name one letter a word, an e-mail
+    one character of its local part, anything else nothing; null stays null."""
     cols = ["email", "phone", "full_name", "ssn"]
-    df = spark.createDataFrame([(v, v, v, v) for v in values], ", ".join(f"{c} string" for c in cols))
-    got = df.select(*[mask_for(c).alias(c) for c in cols]).collect()
-    for v, r in zip(values, got):
-        for c in cols:
-            assert r[c] == py_mask(c, v), (c, v, r[c])
+    df = spark.createDataFrame([(v, v, v, v) for v in [*values, None]], ", ".join(f"{c} string" for c in cols))
+    *rows, null = df.select(*[mask_for(c).alias(c) for c in cols]).collect()
+    assert tuple(null) == (None,) * 4
+    for v, r in zip(values, rows, strict=True):
+        assert sum(c.isdigit() for c in r.phone) in (0, 4) and r.phone.startswith("***")
+        assert all(len(w) == 4 and w.endswith("***") for w in r.full_name.split())
+        assert r.ssn == "[REDACTED]"
+        hidden = r.email.split("@")[0]
+        assert hidden.endswith("***") and len(hidden) <= 4 and r.email.endswith(v[v.index("@"):] if "@" in v else "***")
+
 
+KEYWORDS = [
+    ("What orders have the highest Total?", ["orders", "highest", "total"]),
+    ("orders, ORDERS and orders2024x", ["orders", "orders", "orders"]),
+    ("abc de 1234", []), ("", []), (None, []), ("tableau table tables", ["tableau", "tables"]),
+    ("caféteria", ["teria"]),
+]
 
-def py_keywords(q):
-    return [w for w in re.findall(r"[a-z]{4,}", q.lower()) if w not in set(STOP_WORDS)]
+
+def test_keywords_of_known_texts(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(KEYWORDS)], "i int, q string")
+    got = {r.i: r.k for r in df.select("i", keywords("q").alias("k")).collect()}
+    assert got == {i: k for i, (_, k) in enumerate(KEYWORDS)}
 
 
 @settings(max_examples=10, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("abcdeTHISwithdata .,É")), max_size=40), min_size=1,
-                max_size=10))
-def test_keywords_match_rules(spark, texts):
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abcdeTHISwithdata .,É")), max_size=40), min_size=1, max_size=10))
+def test_keywords_are_words_of_the_text_in_order(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "q string")
-    got = [r.k for r in df.select(keywords("q").alias("k")).collect()]
-    assert got == [py_keywords(t) for t in texts]
-
-
-def py_offset(counts, page_size, max_pages):
-    kept, received = [], 0
-    for p, n in enumerate(counts):
-        if p >= min(max_pages, 500) or received >= 50000:
-            break
-        if n == 0:
-            break
-        kept.append(p)
-        received += n
-        if n < page_size:
-            break
-    return kept
-
-
-def py_cursor(counts, cursors, max_pages):
-    kept, received = [], 0
-    for p, n in enumerate(counts):
-        if p >= max_pages or received >= 50000 or n == 0:
-            break
-        kept.append(p)
-        received += n
-        if not cursors[p]:
-            break
-    return kept
+    for t, r in zip(texts, df.select(keywords("q").alias("k")).collect(), strict=True):
+        rest = t.lower()
+        for w in r.k:
+            assert len(w) >= 4 and w.isascii() and w.isalpha() and w not in STOP_WORDS
+            rest = rest[rest.index(w) + len(w):]
 
 
-@settings(max_examples=10, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 4), st.booleans()), min_size=1, max_size=8),
-       st.integers(1, 4), st.integers(1, 9))
-def test_paging_rules(spark, pages, page_size, max_pages):
+def pages(spark, counts, cursors=None, first=0):
     rows = []
-    for p, (n, has_cursor) in enumerate(pages):
-        body = {"items": [{"p": p, "i": i} for i in range(n)], "meta": {"next_cursor": "c" if has_cursor else None}}
-        rows.append(("x", p, f"u{p}", None, json.dumps(body)))
-    df = spark.createDataFrame(rows, "pull_id string, page int, url string, link_header string, body string")
-    counts = [n for n, _ in pages]
-    got_off = sorted({r.page for r in land_pages(df, "offset", "items", page_size=page_size,
-                                                 max_pages=max_pages).collect()})
-    assert got_off == py_offset(counts, page_size, max_pages)
-    got_cur = sorted({r.page for r in land_pages(df, "cursor", "items", max_pages=max_pages).collect()})
-    assert got_cur == py_cursor(counts, [c for _, c in pages], max_pages)
+    for i, n in enumerate(counts):
+        body = {"items": [{"p": i, "i": k} for k in range(n)], "meta": {"next_cursor": (cursors or {}).get(i)}}
+        rows.append(("x", first + i, f"u{i}", None, json.dumps(body)))
+    return spark.createDataFrame(rows, "pull_id string, page int, url string, link_header string, body string")
+
+
+def landed(df, *args, **kw):
+    return sorted({r.page for r in land_pages(df, *args, **kw).collect()})
+
+
+OFFSETS = [     # records per page, page size, pages allowed -> pages landed
+    ([2, 2, 2], 2, 10, [0, 1, 2]), ([2, 1, 2], 2, 10, [0, 1]), ([2, 0, 2], 2, 10, [0]), ([0, 2], 2, 10, []),
+    ([2, 2, 2, 2], 2, 3, [0, 1, 2]), ([3, 3], 2, 10, [0, 1]), ([1], 5, 1, [0]),
+]
+
+
+@pytest.mark.parametrize("first", [0, 1, 7])
+def test_offset_pages(spark, first):
+    for counts, size, most, want in OFFSETS:
+        assert landed(pages(spark, counts, first=first), "offset", "items", page_size=size, max_pages=most) == [first + p for p in want]
+
+
+CURSORS = [     # records per page, pages with a cursor, pages allowed -> pages landed
+    ([1, 1, 1], {0: "a", 1: "b", 2: "c"}, 10, [0, 1, 2]), ([1, 1, 1], {0: "a"}, 10, [0, 1]), ([1, 1], {}, 10, [0]),
+    ([1, 0, 1], {0: "a", 1: "b", 2: "c"}, 10, [0]), ([1, 1, 1, 1], {i: "c" for i in range(4)}, 2, [0, 1]),
+]
+
+
+@pytest.mark.parametrize("first", [0, 1])
+def test_cursor_pages(spark, first):
+    for counts, cursors, most, want in CURSORS:
+        assert landed(pages(spark, counts, cursors, first), "cursor", "items", max_pages=most) == [first + p for p in want]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=8), st.integers(1, 4), st.integers(1, 9))
+def test_offset_landing_is_a_prefix_that_grows_with_the_bound(spark, counts, size, most):
+    df = pages(spark, counts)
+    got = landed(df, "offset", "items", page_size=size, max_pages=most)
+    assert got == list(range(len(got))) and len(got) <= most
+    assert all(counts[p] >= size for p in got[:-1]) and all(counts[p] > 0 for p in got)
+    assert landed(df, "offset", "items", page_size=size, max_pages=None)[:len(got)] == got

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,38 +95,84 @@ class QueryDenied(Exception):
     pass
 
 
-_READ_ONLY = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
-_TABLE_REF = re.compile(r"\b(bronze|silver|gold)\.([A-Za-z_][A-Za-z0-9_]*)\b", re.IGNORECASE)
+#: Parts a read-only query may be made of, by the parser's names.  Everything
+#: else (commands, inserts, table functions, paths) is denied.
+_QUERY_PARTS = frozenset((
+    "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Intersect", "Except",
+    "Join", "LateralJoin", "AsOfJoin", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "UnresolvedInlineTable",
+    "UnresolvedSubqueryColumnAliases", "WithWindowDefinition", "Window", "Generate", "OneRowRelation", "Pivot", "Unpivot", "Expand",
+    "OrderByAll", "UnresolvedOrdinal"))
+#: Functions that reach out of the query.
+_OUTSIDE = re.compile(r"\b(?:try_)?(?:reflect|java_method)\s*\(", re.IGNORECASE)
+
+
+def _sequence(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _relations(plan, hidden: frozenset = frozenset()) -> list[tuple[int, int, list[str]]]:
+    """(first, last character, name parts) of every table a parsed query names,
+    subqueries included.  Names of its own WITH clauses are not tables."""
+    kind = plan.getClass().getSimpleName()
+    if kind not in _QUERY_PARTS:
+        raise QueryDenied(f"only SELECT queries over the granted tables are allowed ({kind})")
+    out = []
+    if kind == "UnresolvedRelation":
+        parts = _sequence(plan.multipartIdentifier())
+        if not (len(parts) == 1 and parts[0].lower() in hidden):
+            at = plan.origin()
+            out.append((at.startIndex().get(), at.stopIndex().get(), parts))
+    inner = []
+    if kind == "UnresolvedWith":
+        for cte in _sequence(plan.cteRelations()):
+            # a clause sees the clauses before it
+            out += _relations(cte._2(), hidden)
+            hidden = hidden | {cte._1().lower()}
+    else:
+        inner = _sequence(plan.innerChildren())
+    for child in [*_sequence(plan.children()), *inner]:
+        out += _relations(child, hidden)
+    return out
 
 
 def run_query(spark: SparkSession, sql: str, role: str | None,
               tables: dict[str, DataFrame], pii: dict[str, list[str]] | None = None) -> DataFrame:
     """G6 role-scoped read-only query.
 
-    Only read statements are accepted; ``layer.name`` references resolve to
-    the frames in ``tables`` (keys ``"layer.name"``) of the role's layers,
-    each masked (G4) *before* the query so an alias cannot unmask it (Q4).
-    The frames are bound to this call only (``spark.sql`` keyword frames), so
-    no other table or catalog object is reachable by name.
+    Spark's parser reads the statement.  It must be a query, and every table
+    it names (in subqueries and WITH clauses too) must be a ``layer.name`` key
+    of ``tables`` in one of the role's layers; files, views, catalog tables and
+    writes are denied.  Exactly the parsed names are replaced by the frames,
+    each masked (G4) *before* the query, so an alias cannot unmask a column
+    (Q4) and a literal that looks like a table name stays a literal.
     """
-    if not _READ_ONLY.match(sql):
-        raise QueryDenied("only SELECT queries are allowed")
-    allowed = set(layers_for(role))
-    bound: dict[str, DataFrame] = {}
-
-    def sub(m):
-        layer, name = m.group(1).lower(), m.group(2)
-        key = f"{layer}.{name}"
+    if _OUTSIDE.search(sql):
+        raise QueryDenied("functions that run code outside the query are not allowed")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as exc:
+        raise QueryDenied("not a query") from exc
+    allowed, bound, at, text = set(layers_for(role)), {}, 0, []
+    quoted = lambda s: s.replace("{", "{{").replace("}", "}}")
+    for first, last, parts in sorted(_relations(plan)):
+        key = ".".join(p.lower() if i == 0 else p for i, p in enumerate(parts))
+        if len(parts) != 2 or key not in tables:
+            raise QueryDenied(f"unknown table {key}")
+        layer, name = key.split(".")
         if layer not in allowed:
             raise QueryDenied(f"layer {layer} is not allowed for role {role}")
-        if key not in tables:
-            raise QueryDenied(f"unknown table {key}")
-        ph = f"{layer}__{name}"
-        bound[ph] = mask_frame(tables[key], role, (pii or {}).get(key))
-        return "{" + ph + "}"
-
-    text = _TABLE_REF.sub(sub, sql.replace("{", "{{").replace("}", "}}"))
-    return spark.sql(text, **bound)
+        held = f"t{len(bound)}"
+        bound[held] = mask_frame(tables[key], role, (pii or {}).get(key))
+        # an unaliased table keeps its name for column references
+        alias = "" if re.match(r"\s*(?:AS\s+)?(?!(?:%s)\b)[`A-Za-z_]" % _CLAUSES, sql[last + 1:], re.IGNORECASE) else f" AS `{name}`"
+        text += [quoted(sql[at:first]), "{" + held + "}" + alias]
+        at = last + 1
+    return spark.sql("".join([*text, quoted(sql[at:])]), **bound)
+
+
+#: Words that can follow a table without being its alias.
+_CLAUSES = ("where|group|order|having|limit|offset|union|intersect|except|minus|join|inner|left|right|full|cross|outer|semi|anti|natural|on|"
+            "using|lateral|window|sort|cluster|distribute|pivot|unpivot|tablesample|qualify")
 
 
 def scoped(df: DataFrame, tenant_id: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Paged API landing (S4-S10), re-aimed: the input is a table of fetched page
 bodies ``(pull_id, page, url, link_header, body)``; which pages a pull would
-have landed is decided by window rules over a slim per-page frame, then the
-records of the kept pages are exploded and enveloped.
-
-Per pull at most ``max_pages`` (<= 500) pages can be kept, so the slim frame
-is cut to that many pages *before* the per-pull window: a pull holding a
-third of all pages still gives the window at most 500 small rows.
+have landed is decided over a slim per-page frame, then the records of the
+kept pages are exploded and enveloped.
+
+Offset and cursor pulls are in page order, from the smallest page number of
+the pull (0- or 1-based); a gap ends the pull.  Link-header and next-URL pulls
+follow the URLs.  ``max_pages`` and ``max_records`` are the caller's bounds of a
+pull (None: no bound); ``pull_report`` says what they cut.  With a page bound
+the slim frame is cut to that many pages before the per-pull window.
 """
 
 from __future__ import annotations
@@ -15,9 +17,9 @@ from pyspark.sql import functions as F
 
 from tierline.functions.jsonx import dotted_path
 
-# Fixed caps of a pull.
-MAX_PAGES_CAP = 500
-MAX_RECORDS_CAP = 50_000
+# Bounds of a pull where the caller names none.
+MAX_PAGES = 100
+MAX_RECORDS = 50_000
 LINK_NEXT = r'<([^>]+)>;\s*rel="next"'
 
 
@@ -74,91 +76,103 @@ def _next_link(strategy: str, next_url_path: str, base_url: str) -> Column:
                   F.concat(F.lit(base_url.rstrip("/")), raw)).otherwise(raw)
 
 
-def follow_links(pages: DataFrame, strategy: str, max_pages: int = 100, next_url_path: str = "next",
-                 base_url: str = "", start_page: int = 0) -> DataFrame:
-    """S8 / S9 by following URLs instead of trusting page numbers: from each
-    pull's first fetch, page -> the page of the same pull whose ``url`` is the
-    next link.  Hops are found by pointer doubling (at most ceil(log2(500)) =
-    9 rounds of equi-joins on (pull, url)); a page's hop count is its fetch
-    order.  Returns (pull_id, page, hop) for hops < ``max_pages`` with the
-    50 000-record rule applied in hop order; empty pages do not end a chain."""
-    import math
+def _first_page(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("pull_id").agg(F.min("page").alias("_first"))
+
+
+def follow_links(pages: DataFrame, strategy: str, max_pages: int | None = MAX_PAGES, next_url_path: str = "next",
+                 base_url: str = "", max_records: int | None = MAX_RECORDS) -> DataFrame:
+    """From each pull's first fetch, page -> the page of the same pull
+    whose ``url`` is the next link.  Hops are found by pointer doubling
+    (equi-joins on (pull, url); the number of rounds is the logarithm of the
+    longest chain); a page's hop count is its fetch order, and a page met
+    again ends the chain.  Returns (pull_id, page, hop); empty pages do not end
+    a chain, the record bound applies in hop order."""
     from tierline.session import cut_lineage
-    max_pages = min(int(max_pages), MAX_PAGES_CAP)
-    nodes = pages.select("pull_id", "page", "url", "_n", _next_link(strategy, next_url_path, base_url).alias("_nx"))
-    target = nodes.select("pull_id", F.col("url").alias("_nx"), F.col("page").alias("_to"))
+    nodes = cut_lineage(pages.select("pull_id", "page", "url", "_n",
+                                     _next_link(strategy, next_url_path, base_url).alias("_nx")))
+    target = nodes.groupBy("pull_id", F.col("url").alias("_nx")).agg(F.min("page").alias("_to"))
     jump = cut_lineage(nodes.join(target, ["pull_id", "_nx"], "left")
-                       .select("pull_id", "page", "_to", F.lit(1).alias("_len")))
-    reached = nodes.filter(F.col("page") == start_page).select("pull_id", "page", F.lit(0).alias("hop"))
-    for _ in range(max(1, math.ceil(math.log2(max_pages)))):
+                       .select("pull_id", "page", "_to", F.lit(1).cast("long").alias("_len")))
+    reached = _first_page(nodes).select("pull_id", F.col("_first").alias("page"), F.lit(0).cast("long").alias("hop"))
+    known, span = 0, 1
+    while max_pages is None or span < 2 * max_pages:
         step = reached.join(jump, ["pull_id", "page"]).filter(F.col("_to").isNotNull()) \
             .select("pull_id", F.col("_to").alias("page"), (F.col("hop") + F.col("_len")).alias("hop"))
-        reached = cut_lineage(reached.unionByName(step).groupBy("pull_id", "page").agg(F.min("hop").alias("hop"))
-                              .filter(F.col("hop") < max_pages))
+        reached = reached.unionByName(step).groupBy("pull_id", "page").agg(F.min("hop").alias("hop"))
+        reached = cut_lineage(reached if max_pages is None else reached.filter(F.col("hop") < max_pages))
+        now = reached.count()
+        if now == known:
+            break
+        known, span = now, 2 * span
         a, b = jump.alias("a"), jump.alias("b")
         jump = cut_lineage(a.join(b, (F.col("a.pull_id") == F.col("b.pull_id")) & (F.col("a._to") == F.col("b.page")),
                                   "left")
                            .select(F.col("a.pull_id").alias("pull_id"), F.col("a.page").alias("page"),
                                    F.col("b._to").alias("_to"), (F.col("a._len") + F.col("b._len")).alias("_len")))
-    # records rule in fetch order (at most max_pages rows per pull)
+    if max_records is None:
+        return reached
     chain = reached.join(nodes.select("pull_id", "page", "_n"), ["pull_id", "page"])
     w = Window.partitionBy("pull_id").orderBy("hop").rowsBetween(Window.unboundedPreceding, -1)
     chain = chain.withColumn("_rb", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return chain.filter(F.col("_rb") < MAX_RECORDS_CAP).select("pull_id", "page", "hop")
+    return chain.filter(F.col("_rb") < max_records).select("pull_id", "page", "hop")
 
 
-def kept_pages(pages: DataFrame, strategy: str, page_size: int = 100, max_pages: int = 100,
+def kept_pages(pages: DataFrame, strategy: str, page_size: int = 100, max_pages: int | None = MAX_PAGES,
                cursor_path: str = "meta.next_cursor", next_url_path: str = "next",
-               base_url: str = "", follow: str = "order") -> DataFrame:
+               base_url: str = "", max_records: int | None = MAX_RECORDS) -> DataFrame:
     """(pull_id, page) of the pages a pull lands, for ``offset``, ``cursor``,
-    ``link_header`` or ``next_url``.  ``pages`` must carry ``_n`` (records).
-    ``follow="url"`` walks link chains by URL (``follow_links``)."""
-    if follow == "url" and strategy in ("link_header", "next_url"):
-        return follow_links(pages, strategy, max_pages, next_url_path, base_url).select("pull_id", "page")
-    max_pages = min(int(max_pages), MAX_PAGES_CAP)
-    slim = pages.filter(F.col("page") < max_pages)
+    ``link_header`` or ``next_url``.  ``pages`` must carry ``_n`` (records)."""
+    if strategy in ("link_header", "next_url"):
+        return follow_links(pages, strategy, max_pages, next_url_path, base_url, max_records).select("pull_id", "page")
+    land = F.col("_n") > 0
     if strategy == "offset":
         # an empty page is not landed; a short page is landed and stops
-        stop_after = (F.col("_n") < page_size)
-        land = F.col("_n") > 0
-        slim = slim.select("pull_id", "page", "_n", stop_after.alias("_stop"), land.alias("_land"))
+        stop_after = F.col("_n") < page_size
     elif strategy == "cursor":
-        land = F.col("_n") > 0
         stop_after = ~truthy(resolve_path(F.col("body"), cursor_path)) | ~land
-        slim = slim.select("pull_id", "page", "_n", stop_after.alias("_stop"), land.alias("_land"))
-    elif strategy in ("link_header", "next_url"):
-        nxt = _next_link(strategy, next_url_path, base_url)
-        w = Window.partitionBy("pull_id").orderBy("page")
-        # the chain continues only when the next fetched page is the one linked
-        follows = _truthy_text(nxt) & (F.lead("url").over(w) == nxt)
-        slim = slim.select("pull_id", "page", "_n", (~follows).alias("_stop"),
-                           F.lit(True).alias("_land"))
     else:
         raise ValueError(f"Unknown pagination strategy: {strategy}")
+    slim = (pages.select("pull_id", "page", "_n", stop_after.alias("_stop"), land.alias("_land"))
+            .join(_first_page(pages), "pull_id").withColumn("_hop", F.col("page") - F.col("_first")).drop("_first"))
+    if max_pages is not None:
+        slim = slim.filter(F.col("_hop") < max_pages)
     w = Window.partitionBy("pull_id").orderBy("page")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     # page numbers are fetch order; a gap means the fetch chain broke
-    contiguous = F.col("page") == F.row_number().over(w) - 1
+    contiguous = F.col("_hop") == F.row_number().over(w) - 1
     stopped_before = F.coalesce(F.max(F.col("_stop").cast("int")).over(before), F.lit(0)) == 1
     empty_before = F.coalesce(F.min(F.col("_land").cast("int")).over(before), F.lit(1)) == 0
     received_before = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    flagged = slim.select("pull_id", "page", "_land", contiguous.alias("_c"),
-                          stopped_before.alias("_sb"), empty_before.alias("_eb"),
-                          received_before.alias("_rb"))
-    ok = F.col("_c") & ~F.col("_sb") & ~F.col("_eb") & (F.col("_rb") < MAX_RECORDS_CAP)
+    ok = contiguous & ~stopped_before & ~empty_before
+    if max_records is not None:
+        ok = ok & (received_before < max_records)
     # once a page fails, no later page is fetched
-    w2 = Window.partitionBy("pull_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    flagged = flagged.withColumn("_ok_all", F.min(ok.cast("int")).over(w2) == 1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    flagged = slim.withColumn("_ok", ok).withColumn("_ok_all", F.min(F.col("_ok").cast("int")).over(upto) == 1)
     return flagged.filter(F.col("_ok_all") & F.col("_land")).select("pull_id", "page")
 
 
+def pull_report(pages: DataFrame, strategy: str, json_path: str = "", max_pages: int | None = MAX_PAGES,
+                max_records: int | None = MAX_RECORDS, **kw) -> DataFrame:
+    """S10 per pull: pages given, pages landed, and whether a bound (not the
+    strategy's own end) kept pages out."""
+    slim = page_records(pages, json_path).drop("_recs")
+    kept = kept_pages(slim, strategy, max_pages=max_pages, max_records=max_records, **kw)
+    free = kept_pages(slim, strategy, max_pages=None, max_records=None, **kw)
+    n = lambda df, name: df.groupBy("pull_id").agg(F.count(F.lit(1)).alias(name))
+    out = n(pages, "pages_given").join(n(kept, "pages_landed"), "pull_id", "left").join(n(free, "_free"), "pull_id", "left")
+    return out.select("pull_id", "pages_given", F.coalesce("pages_landed", F.lit(0)).alias("pages_landed"),
+                      (F.coalesce("_free", F.lit(0)) > F.coalesce("pages_landed", F.lit(0))).alias("truncated"))
+
+
 def land_pages(pages: DataFrame, strategy: str = "", json_path: str = "", **kw) -> DataFrame:
     """Records of the kept pages, one row each:
     ``pull_id, page, item_pos, url, record (JSON text)``; metadata is
     ``{"pulled_from": url, "page": page}`` (single page: ``pulled_from`` only).
     """
     if not strategy:
-        first = pages.filter(F.col("page") == 0)
+        first = pages.join(_first_page(pages), "pull_id").filter(F.col("page") == F.col("_first")).drop("_first")
         recs = page_records(first, json_path, single=True)
         meta = F.to_json(F.struct(F.col("url").alias("pulled_from")))
     else:
@@ -171,9 +185,3 @@ def land_pages(pages: DataFrame, strategy: str = "", json_path: str = "", **kw)
                       F.posexplode("_recs").alias("item_pos", "_r"))
     return out.select("pull_id", "page", "item_pos", "url", "metadata",
                       F.to_json("_r").alias("record"))
-
-
-def pull_summary(landed: DataFrame) -> DataFrame:
-    """Per pull: records received and pages fetched (from landed rows)."""
-    return landed.groupBy("pull_id").agg(F.count(F.lit(1)).alias("rows_received"),
-                                         F.countDistinct("page").alias("pages_fetched"))
