@@ -68,3 +68,48 @@ def test_lookup_join_runs_no_job_while_planning(spark):
     assert joined.columns == ["k", "v", "name"]
     conf = sized_conf(100 * (1 << 40), 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+
+
+def test_upsert_keeps_its_bucket_count(spark, tmpdir_path):
+    import pytest
+    path = os.path.join(tmpdir_path, "silver")
+    rows = lambda v: spark.range(0, 100).select(F.col("id").alias("k"), F.lit(v).alias("v"))
+    sinks.upsert_table(spark, path, rows(1), "k", n_buckets=8)
+    sinks.upsert_table(spark, path, rows(2), "k")
+    with pytest.raises(ValueError):
+        sinks.upsert_table(spark, path, rows(3), "k", n_buckets=4)
+    doubled = rows(4).unionByName(rows(5)).unionByName(spark.createDataFrame([(None, 9)], "k long, v int"))
+    sinks.upsert_table(spark, path, doubled, "k", order_by=["v"])
+    got = spark.read.parquet(path)
+    assert got.count() == 100 and {r.v for r in got.collect()} == {5}
+    rows(0).write.parquet(os.path.join(tmpdir_path, "other"))
+    with pytest.raises(ValueError):
+        sinks.upsert_table(spark, os.path.join(tmpdir_path, "other"), rows(1), "k")
+
+
+def test_replaced_table_always_has_a_version(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "gold")
+    one = lambda v: spark.createDataFrame([(v,)], "v int")
+    assert sinks.create_if_missing(spark, path, "v int") and not sinks.create_if_missing(spark, path, "v int")
+    for v in range(4):
+        sinks.replace_table(spark, one(v), path)
+    assert len(sinks.remove_old_versions(spark, path, keep=2)) == 3
+    assert [r.v for r in sinks.read_table(spark, path).collect()] == [3]
+    assert len(glob.glob(path + "/v*")) == 2
+
+
+def test_conflict_update_takes_one_row_a_key(spark):
+    from tierline.operators import merge
+    target = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k long, v string, o string")
+    batch = spark.createDataFrame([(1, "new", 1), (1, "newer", 2), (None, "lost", 3), (3, "c", 1)], "k long, v string, at int")
+    got = merge.conflict_update(target, batch, "k", ["v"], order_by=["at"])
+    assert sorted(map(tuple, got.collect())) == [(1, "newer", "x"), (2, "b", "y"), (3, "c", None)]
+
+
+def test_flatten_keeps_the_record_that_landed_last(spark):
+    from tierline.operators.flatten import flatten
+    from tierline.sources.landing import envelope
+    df = spark.range(0, 24).select((F.col("id") % 6).cast("string").alias("k"), F.col("id").alias("v"), F.col("id").alias("_pos"))
+    bronze = envelope(df, "s", "t", "b", "2024-01-01T00:00:00", position="_pos")
+    got = {r.k: r.v for r in flatten(bronze, [("k", "string"), ("v", "int")], "k").collect()}
+    assert got == {str(k): k + 18 for k in range(6)}

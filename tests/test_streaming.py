@@ -45,11 +45,23 @@ def test_land_stream_json_lines(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "in")
     os.makedirs(src)
     with open(os.path.join(src, "a.json"), "w") as fh:
-        fh.write('{"id": 1, "v": "x"}\nnot json\n{"id": 2, "v": "y"}\n')
+        fh.write('{"z": 1.0, "a": 2}\nnot json\n\n{"id": 2, "v": "y"}\n{"id": 2, "v": "y"}\n{"id": 3} tail\n')
     q = S.land_stream(spark, src, None, tmpdir_path + "/bronze", tmpdir_path + "/ck", "hook", "t0", None,
                       ingested_at="2024-02-01T00:00:00", fmt="text")
     q.awaitTermination()
     b = spark.read.parquet(tmpdir_path + "/bronze")
-    got = sorted(r.payload for r in b.collect())
-    assert got == ['{"id":1,"v":"x"}', '{"id":2,"v":"y"}']
-    assert b.select("id").distinct().count() == 2 and str(b.first().ingest_date) == "2024-02-01"
+    assert [r.payload for r in b.orderBy("id").collect()] == ['{"z": 1.0, "a": 2}', '{"id": 2, "v": "y"}', '{"id": 2, "v": "y"}']
+    assert b.select("id").distinct().count() == 3 and str(b.first().ingest_date) == "2024-02-01"
+    bad = spark.read.parquet(tmpdir_path + "/bronze_rejects")
+    assert sorted((r.row_number, r.raw) for r in bad.collect()) == [(1, "not json"), (5, '{"id": 3} tail')]
+
+
+def test_debounce_stream_keeps_key_types(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "src")
+    rows = [("a", "e1", 0), ("a", "e2", 29), ("a", "e3", 30), ("b", "e4", 5), ("a", "e5", 61), ("a", "e6", 60)]
+    rows = [(k, i, 1704067200 + s) for k, i, s in rows]
+    spark.createDataFrame(rows, "k string, id string, sec long").withColumn("ts", F.timestamp_seconds("sec").cast("timestamp_ntz")) \
+        .drop("sec").coalesce(1).write.parquet(src)
+    S.debounce_stream(spark, src, spark.read.parquet(src).schema, "k", "ts", "id", tmpdir_path + "/out", tmpdir_path + "/ck").awaitTermination()
+    assert sorted((r.key, r.event_id) for r in spark.read.parquet(tmpdir_path + "/out").collect()) == [
+        ("a", "e1"), ("a", "e3"), ("a", "e6"), ("b", "e4")]

@@ -62,6 +62,26 @@ SELECT o_orderkey, o_orderstatus, ROUND(o_totalprice, 2) AS o_totalprice FROM or
 """
 
 
+def q_upsert_buckets(spark, sf_dir):
+    """W3 on storage: all orders upserted into a bucketed table, then a batch
+    with every key twice for a hundredth of the orders and some new keys."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = sinks.layer_path(scratch_dir(spark, "upsert"), TENANT, "silver", "orders")
+    sinks.upsert_table(spark, path, o, "o_orderkey", n_buckets=16)
+    some = o.filter(F.col("o_orderkey") % 100 == 0)
+    batch = (some.withColumn("o_orderstatus", F.lit("A")).unionByName(some.withColumn("o_orderstatus", F.lit("Z")))
+             .unionByName(some.withColumn("o_orderkey", -F.col("o_orderkey") - 1)))
+    sinks.upsert_table(spark, path, batch, "o_orderkey", order_by=["o_orderstatus"])
+    return spark.read.parquet(path).select("o_orderkey", "o_orderstatus", r2("o_totalprice").alias("o_totalprice"))
+
+
+SQL_UPSERT_BUCKETS = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus,
+       ROUND(o_totalprice, 2) AS o_totalprice FROM orders
+UNION ALL SELECT -o_orderkey - 1, o_orderstatus, ROUND(o_totalprice, 2) FROM orders WHERE o_orderkey % 100 = 0
+"""
+
+
 def q_run_trail(spark, sf_dir):
     """S16 one run row per daily batch with a nested detail column stored as
     JSON text."""
@@ -252,6 +272,7 @@ GROUP BY 1
 """
 
 QUERIES = {
+    "upsert_buckets": (q_upsert_buckets, SQL_UPSERT_BUCKETS),
     "bronze_roundtrip": (q_bronze_roundtrip, SQL_BRONZE_ROUNDTRIP),
     "replace_versions": (q_replace_versions, SQL_REPLACE_VERSIONS),
     "run_trail": (q_run_trail, SQL_RUN_TRAIL),

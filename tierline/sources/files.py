@@ -18,10 +18,12 @@ _ROW_MASK = (1 << 33) - 1
 
 def file_row_number(df: DataFrame, out_col: str = "_row_number") -> DataFrame:
     """Add ``_file`` (path) and ``out_col`` (0-based row index within the
-    file) to a frame read straight from files."""
-    base = df.select("*", F.col("_metadata.file_path").alias("_file"),
-                     F.col("_metadata.file_block_start").alias("_blk"),
-                     F.monotonically_increasing_id().alias("_mid"))
+    file) to a frame read straight from files (or to one that carries the
+    metadata as ``_file`` and ``_blk``, as a micro-batch does)."""
+    carried = {"_file", "_blk"} <= set(df.columns)
+    place = [] if carried else [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk")]
+    base = df.select("*", *place, F.monotonically_increasing_id().alias("_mid"))
+    df = df.drop("_file", "_blk")
     base = base.withColumn("_pid", F.shiftright("_mid", 33)) \
         .withColumn("_row", F.col("_mid").bitwiseAND(F.lit(_ROW_MASK)))
     blocks = (base.groupBy("_file", "_blk", "_pid")

@@ -3,11 +3,13 @@ upsert table (W3 on storage, H2).
 
 Paths: ``{root}/{tenant}/{layer}/{name}``.  Bronze and audit tables are
 append-only and partitioned by date (partition pruning on reads).  Silver and
-gold tables are replaced by writing a new version directory and then pointing
-``_latest`` at it, so a reader never sees a half-written table and a failed
-write leaves the previous version in place.  Upsert targets are hash-bucketed
-by key; only the buckets a batch touches are read and rewritten (dynamic
-partition overwrite).
+gold tables are replaced by writing a new version directory and then adding a
+line that names it to ``_versions``; the latest name is the table.  Nothing is
+overwritten, so a reader sees the old table or the new one, never none, and a
+failed write leaves the old one.  ``remove_old_versions`` clears what nobody
+reads any more.  Upsert targets are hash-bucketed by key; the number of buckets
+is stored with the table, and only the buckets a batch touches are read and
+rewritten (dynamic partition overwrite).
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tierline.functions.jsonx import TO_JSON_OPTS
 from tierline.operators import merge
+from tierline.session import cut_lineage
 
 BUCKET_COL = "_bucket"
 
@@ -30,12 +32,16 @@ def layer_path(root: str, tenant: str, layer: str, name: str) -> str:
     return os.path.join(root, tenant, layer, name)
 
 
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's file system and path object of a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("text").load(path).limit(0).collect()
-        return True
-    except AnalysisException:
-        return False
+    """Whether a path is there.  A failing read is an error, not a no."""
+    fs, at = _folder(spark, path)
+    return fs.exists(at)
 
 
 def append_bronze(df: DataFrame, path: str) -> None:
@@ -54,24 +60,39 @@ def read_bronze(spark: SparkSession, path: str, dates: list[str] | None = None)
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str) -> str:
-    """S15 / W1 create-or-replace: write a new version, then move the
-    ``_latest`` pointer (a one-line text file) to it."""
-    version = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+    """S15 / W1 create-or-replace: write a new version, then name it.  Names
+    sort by time."""
+    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     df.write.mode("errorifexists").parquet(os.path.join(path, version))
     spark.createDataFrame([(version,)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(os.path.join(path, "_latest"))
+        .write.mode("append").text(os.path.join(path, "_versions"))
     return version
 
 
+def _latest(spark: SparkSession, path: str) -> str:
+    return spark.read.text(os.path.join(path, "_versions")).agg(F.max("value")).first()[0]
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """S13 read the current version of a replaced table."""
-    version = spark.read.text(os.path.join(path, "_latest")).first()["value"]
-    return spark.read.parquet(os.path.join(path, version))
+    return spark.read.parquet(os.path.join(path, _latest(spark, path)))
+
+
+def remove_old_versions(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete all versions before the latest ``keep`` ones, and folders of
+    writes that failed before them.  ``keep`` covers readers still at work."""
+    fs, at = _folder(spark, path)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory() and f.getPath().getName().startswith("v"))
+    done = sorted(r["value"] for r in spark.read.text(os.path.join(path, "_versions")).collect())   # a line a replacement
+    gone = [n for n in names if n < done[-keep:][0]]
+    for n in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(at, n), True)
+    return gone
 
 
 def create_if_missing(spark: SparkSession, path: str, schema) -> bool:
     """W2 create an empty table with a declared schema when none exists."""
-    if _exists(spark, os.path.join(path, "_latest")):
+    if _exists(spark, os.path.join(path, "_versions")):
         return False
     replace_table(spark, spark.createDataFrame([], schema), path)
     return True
@@ -80,7 +101,7 @@ def create_if_missing(spark: SparkSession, path: str, schema) -> bool:
 def append_with_new_columns(spark: SparkSession, df: DataFrame, path: str) -> None:
     """W8 appends whose new columns are added to the table (missing ones are
     null in old rows): read with schema merging."""
-    df.write.mode("append").option("mergeSchema", "true").parquet(path)
+    df.write.mode("append").parquet(path)
 
 
 def append_run(df: DataFrame, path: str) -> None:
@@ -104,27 +125,49 @@ def with_bucket(df: DataFrame, key, n_buckets: int) -> DataFrame:
     return df.withColumn(BUCKET_COL, F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(n_buckets)).cast("int"))
 
 
-def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key, n_buckets: int = 64,
+#: Buckets of a new upsert table where the caller names none.  Choose so that a
+#: bucket stays a few hundred MB: it is the unit that an upsert rewrites.
+DEFAULT_BUCKETS = 64
+
+
+def _stored_buckets(spark: SparkSession, path: str, asked: int | None) -> int | None:
+    """The table's bucket count; None where there is no table yet."""
+    meta = os.path.join(path, "_buckets")
+    if _exists(spark, meta):
+        stored = int(spark.read.text(meta).first()["value"])
+        if asked not in (None, stored):
+            raise ValueError(f"{path} has {stored} buckets, not {asked}")
+        return stored
+    if _exists(spark, path):
+        raise ValueError(f"{path} is there, but is no upsert table")
+    return None
+
+
+def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key, n_buckets: int | None = None,
                  order_by: list | None = None) -> None:
     """W3 keyed upsert into a hash-bucketed Parquet table.
 
-    The batch is deduplicated by key (latest by ``order_by``); only buckets
-    the batch touches are read (partition filter) and rewritten with dynamic
-    partition overwrite; untouched buckets are not read or written.  The list
-    of touched buckets is at most ``n_buckets`` values.
+    The batch is deduplicated by key (latest by ``order_by``, else by the whole
+    row) and written out once.  Only buckets it touches are read (partition
+    filter) and rewritten with dynamic partition overwrite, one file each;
+    other buckets are neither read nor written.  A key's bucket depends on the
+    table's bucket count, which is stored at the first write and checked.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    b = with_bucket(batch.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), keys, n_buckets)
-    if order_by:
-        b = merge.keep_latest(b, keys, order_by)
-    if not _exists(spark, path):
-        b.write.mode("overwrite").partitionBy(BUCKET_COL).parquet(path)
+    stored = _stored_buckets(spark, path, n_buckets)
+    buckets = stored or n_buckets or DEFAULT_BUCKETS
+    rows = batch.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    rows = merge.keep_latest(rows, keys, order_by or [c for c in batch.columns if c not in keys] or keys)
+    b = cut_lineage(with_bucket(rows, keys, buckets), spark)
+    if stored is None:
+        spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.text(os.path.join(path, "_buckets"))
+        b.repartition(buckets, BUCKET_COL).write.mode("append").partitionBy(BUCKET_COL).parquet(path)
         return
-    touched = [r[0] for r in b.select(BUCKET_COL).distinct().collect()]   # <= n_buckets
+    touched = [r[0] for r in b.select(BUCKET_COL).distinct().collect()]   # <= the bucket count
     if not touched:
         return
-    target = spark.read.parquet(path).filter(F.col(BUCKET_COL).isin(touched))
+    target = spark.read.schema(b.schema).parquet(path).filter(F.col(BUCKET_COL).isin(touched))
     out = merge.upsert(target, b.select(*target.columns), keys)
     # staged in this job's output, swapped per bucket at commit
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (out.repartition(len(touched), BUCKET_COL).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(BUCKET_COL).parquet(path))

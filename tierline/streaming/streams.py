@@ -17,13 +17,15 @@ from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tierline.functions.jsonx import TO_JSON_OPTS
+from tierline.functions.jsonx import TO_JSON_OPTS, is_json
 from tierline.operators.flatten import flatten_select
+from tierline.sources.files import file_row_number
 from tierline.sources.landing import record_id
 from tierline.sources.sinks import upsert_table
 
@@ -42,38 +44,51 @@ def _read(spark: SparkSession, path: str, schema, max_files: int | None = None)
 
 
 def land_stream(spark: SparkSession, src: str, schema, sink: str, checkpoint: str, source: str,
-                tenant_id: str, position: str | None, ingested_at: str | None = None, fmt: str = "parquet"):
+                tenant_id: str, position: str | None, ingested_at: str | None = None, fmt: str = "parquet",
+                rejects: str | None = None):
     """T1 streaming landing of records into the bronze envelope.
 
     ``fmt="parquet"``: typed files, payload = the row as JSON, id from the
-    ``position`` column.  ``fmt="text"``: JSON lines; each line that parses
-    is one record (payload = the line re-serialised), lines that do not parse
-    are dropped from bronze (count them with ``rejected_lines``); the id comes
-    from (file, line offset) so a replayed file lands the same ids.
+    ``position`` column.  ``fmt="text"``: JSON lines; each line that is one
+    JSON value is one record, its payload the line as it stands; other
+    non-blank lines go to the folder ``rejects`` (default ``<sink>_rejects``)
+    with file and line number.  Ids come from file and line number (a file is
+    read in one micro-batch), so a replayed batch lands the same ids; a batch
+    is written to partitions of its own and a replay replaces them.
     """
     ts = F.lit(ingested_at) if ingested_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+
+    def enveloped(df: DataFrame, record: Column, body: Column) -> DataFrame:
+        env = df.select(record.alias("id"), F.lit(tenant_id).alias("tenant_id"), ts.alias("ingested_at"),
+                        F.lit(source).alias("source"), body.alias("payload"), F.lit("{}").alias("metadata"))
+        return env.withColumn("ingest_date", F.substring("ingested_at", 1, 10))
+
     if fmt == "text":
-        s = spark.readStream.text(src)
-        s = s.select(F.try_parse_json("value").alias("_v"),
-                     F.concat_ws("#", F.col("_metadata.file_path"),
-                                 F.xxhash64("value").cast("string")).alias("_pos"))
-        s = s.filter(F.col("_v").isNotNull())
-        body, pos = F.to_json("_v"), F.col("_pos")
-    else:
-        s = _read(spark, src, schema)
-        body = F.to_json(F.struct(*[F.col(c) for c in s.columns]), TO_JSON_OPTS)
-        pos = F.col(position)
-    env = s.select(
-        record_id("stream", source, pos).alias("id"),
-        F.lit(tenant_id).alias("tenant_id"), ts.alias("ingested_at"), F.lit(source).alias("source"),
-        body.alias("payload"), F.lit("{}").alias("metadata"))
-    env = env.withColumn("ingest_date", F.substring("ingested_at", 1, 10))
+        lines = spark.readStream.text(src).select(
+            "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk"))
+        bad = rejects or f"{sink.rstrip('/')}_rejects"
+
+        def land(batch: DataFrame, epoch: int) -> None:
+            rows = file_row_number(batch, "_line").filter(F.trim("value") != "").withColumn("_ok", is_json("value"))
+            pos = F.concat_ws("#", F.col("_file"), F.col("_line"))
+            good = enveloped(rows.filter("_ok"), record_id("stream", source, pos, F.col("_line")), F.trim("value"))
+            out = rows.filter(~F.col("_ok")).select(F.col("_file").alias("file"), F.col("_line").alias("row_number"),
+                                                    F.col("value").alias("raw"))
+            for df, path, parts in ((good, sink, ["ingest_date", "epoch"]), (out, bad, ["epoch"])):
+                (df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy(*parts).parquet(path))
+
+        return (lines.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
+    s = _read(spark, src, schema)
+    env = enveloped(s, record_id("stream", source, F.col(position)),
+                    F.to_json(F.struct(*[F.col(c) for c in s.columns]), TO_JSON_OPTS))
     return (env.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
             .partitionBy("ingest_date").outputMode("append").trigger(availableNow=True).start())
 
 
 def refresh_stream(spark: SparkSession, bronze_path: str, bronze_schema, fields: list[tuple[str, str]],
-                   pk: str, silver_path: str, checkpoint: str, n_buckets: int = 64,
+                   pk: str, silver_path: str, checkpoint: str, n_buckets: int | None = None,
                    order_by: list | None = None, downstream: list | None = None):
     """T2 on-change silver refresh: every micro-batch of new bronze rows is
     flattened (W10) and upserted into the bucketed silver table (W3); then
@@ -92,34 +107,43 @@ def refresh_stream(spark: SparkSession, bronze_path: str, bronze_schema, fields:
 
 
 def _debounce_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Fired events of one key: from each fired event straight to the first
+    one that is far enough, so steps follow what fires, not what arrives."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     last = state.get[0] if state.exists else None
-    out_ids, out_ts = [], []
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["_t", "_id"])
-        for t, i in zip(pdf["_t"].tolist(), pdf["_id"].tolist()):
-            if last is None or t - last >= DEBOUNCE_US:
-                last = t
-                out_ids.append(i)
-                out_ts.append(t)
+    events = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", "_id"], ignore_index=True)
+    t, fired = events["_t"].to_numpy(), []
+    at = 0 if last is None else int(np.searchsorted(t, last + DEBOUNCE_US))
+    while at < len(t):
+        fired.append(at)
+        last = int(t[at])
+        at = int(np.searchsorted(t, last + DEBOUNCE_US))
     if last is not None:
         state.update((last,))
-    if out_ids:
-        yield pd.DataFrame({"key": [key[0]] * len(out_ids), "event_id": out_ids, "fired_us": out_ts})
+        # once the watermark is past it, any event to come is far enough
+        state.setTimeoutTimestamp(max((last + DEBOUNCE_US) // 1000, state.getCurrentWatermarkMs() + 1))
+    if fired:
+        yield pd.DataFrame({"key": key[0], "event_id": events["_id"].iloc[fired].to_numpy(), "fired_us": t[fired]})
 
 
 def debounce_stream(spark: SparkSession, src: str, schema, key: str, ts: str, id_col: str,
-                    sink: str, checkpoint: str, max_files: int | None = None):
-    """T3 streaming debounce; the state per key is one timestamp.  Events of a
-    key must arrive in time order across micro-batches (they are sorted within
-    a batch)."""
+                    sink: str, checkpoint: str, max_files: int | None = None, lateness: str = "1 day"):
+    """T3 streaming debounce; the state per key is one timestamp, dropped when
+    the watermark (``lateness`` behind the newest event) has passed the time it
+    guards.  Events of a key must arrive in time order across micro-batches
+    (they are sorted within a batch); keys and ids keep their types."""
     s = _read(spark, src, schema, max_files)
+    types = {f.name: f.dataType.simpleString() for f in s.schema.fields}
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    s = s.select(F.col(key).alias("key"),
+    s = s.withColumn("_ets", F.col(ts).cast("timestamp")).withWatermark("_ets", lateness)
+    s = s.select(F.col(key).alias("key"), "_ets",
                  F.timestamp_diff("MICROSECOND", epoch, F.col(ts).cast("timestamp_ntz")).alias("_t"),
                  F.col(id_col).alias("_id"))
     out = s.groupBy("key").applyInPandasWithState(
-        _debounce_fn, outputStructType="key long, event_id long, fired_us long",
-        stateStructType="last long", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+        _debounce_fn, outputStructType=f"key {types[key]}, event_id {types[id_col]}, fired_us long",
+        stateStructType="last long", outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
     return (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
 
