@@ -68,15 +68,25 @@ def test_key_override(spark):
     assert [(r.record_code, r.val) for r in out.collect()] == [("X1", 42)]
 
 
-def test_transform_rename_and_missing_layer(spark):
+def test_stored_transform(spark, tmpdir_path):
     bronze = spark.createDataFrame([("o1", 10.0), ("o2", 25.5)], "order_id string, total double")
-    res = run_transform(spark, {"id": "t1", "status": "approved"}, {"df": bronze},
-                        lambda df: df.select("order_id", F.col("total").alias("total_usd")))
-    run = res.run.first()
-    assert run.status == "success" and run.rows_produced == 2
-    assert res.output.columns == ["order_id", "total_usd"]
-    denied = run_transform(spark, {"id": "t2", "status": "draft"}, {"df": bronze}, lambda df: df)
-    assert denied.output is None and denied.run.first().status == "failed"
+    told = []
+
+    def run(sql, status="approved", **kw):
+        return run_transform(spark, {"id": "t1", "status": status, "transform_sql": sql, "key": "order_id"}, {"bronze.orders": bronze},
+                             tmpdir_path, "acme", cascade=told.append, **kw)
+
+    res = run("CREATE TABLE IF NOT EXISTS silver.orders AS SELECT order_id, total AS total_usd FROM bronze.orders")
+    assert (res.run.first().status, res.run.first().rows_produced) == ("success", 2) and res.output.columns == ["order_id", "total_usd"]
+    res = run("INSERT OR IGNORE INTO silver.orders SELECT * FROM bronze.orders; INSERT OR REPLACE INTO silver.orders SELECT 'o;2', 1")
+    assert sorted(map(tuple, res.output.collect())) == [("o1", 10.0), ("o2", 25.5), ("o;2", 1.0)] and told == ["silver.orders"] * 2
+    for sql in ("DROP TABLE silver.orders", "SELECT 1", "", "CREATE TABLE silver.orders AS SELECT 1 AS x", "INSERT INTO gold.none SELECT 1",
+                "INSERT INTO silver.orders SELECT nothing FROM bronze.orders", "INSERT INTO silver.orders SELECT * FROM parquet.`/tmp`",
+                "INSERT INTO silver.orders SELECT 'x', 1; DELETE FROM silver.orders"):
+        res = run(sql)
+        assert res.output is None and res.run.first().status == "failed" and res.run.first().error_detail, sql
+    assert run("INSERT INTO silver.orders SELECT 'o9', 9", status="draft").run.first().status == "failed"
+    assert run("INSERT INTO silver.orders SELECT 'o9', 9").run.first().rows_produced == 4 and len(told) == 3
 
 
 def test_upsert_replaces_and_inserts(spark):

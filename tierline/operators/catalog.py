@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tierline.functions.jsonx import TO_JSON_OPTS
 from tierline.functions.text import strip_tenant_schemas
 from tierline.operators.governance import redact_secrets
+from tierline.operators import merge
 from tierline.operators.joins import lookup_join
 
 FIELD_LIST = "array<struct<ordinal:int,name:string,data_type:string>>"
@@ -60,3 +61,15 @@ def import_items(items: DataFrame, existing: DataFrame, overwrite: bool) -> Data
     j = items.join(ex, ["kind", "name"], "left")
     outcome = F.when(F.col("_exists").isNull(), "created").when(F.lit(overwrite), "updated").otherwise("skipped")
     return j.select("collection", "kind", "name", outcome.alias("outcome"), "item")
+
+
+def import_merge(items: DataFrame, existing: DataFrame, overwrite: bool) -> DataFrame:
+    """S20 the target tenant's items after the import: one per natural key
+    (kind, name).  With ``overwrite`` imported items replace existing ones,
+    without it only new ones are added; of imported items with one key the
+    last by collection counts."""
+    keys = ["kind", "name"]
+    held = existing.select("collection", *keys, "item")
+    new = items.select("collection", *keys, "item")
+    change = merge.upsert if overwrite else merge.insert_ignore
+    return change(held, merge.keep_latest(new, keys, ["collection", "item"]), keys)

@@ -3,6 +3,7 @@ transform (W12) and the non-empty source check (W13)."""
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 from typing import Callable
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tierline.functions import jsonx
 from tierline.operators import merge
+from tierline.operators.governance import run_query
+from tierline.sources import sinks
 
 TYPED = ("int", "float", "bool", "timestamp")
 
@@ -77,35 +80,100 @@ class RunResult:
     run: DataFrame
 
 
-def run_transform(spark: SparkSession, transform: dict, inputs: dict[str, DataFrame],
-                  fn: Callable[..., DataFrame], sink: Callable[[DataFrame], int] | None = None,
-                  run_id: str = "run", started_at: str = "") -> RunResult:
-    """W12 run a stored transform only when approved.
-
-    The dry run is analysis of the plan (built lazily) plus ``limit(1)``; the
-    run row records status, row count and duration.  ``sink`` writes the
-    output and returns the row count; the count is otherwise an action on the
-    output.
+def _run_row(one: DataFrame, run_id: str, transform_id: str, status: str, started_at: str, t0: float,
+             error: str | None, rows=None) -> DataFrame:
+    return one.select(F.lit(run_id).alias("id"), F.lit(transform_id).alias("transform_id"), F.lit(status).alias("status"),
+                      F.lit(started_at).alias("started_at"), (F.lit(0) if rows is None else rows).cast("long").alias("rows_produced"),
+                      F.lit(int((time.time() - t0) * 1000)).cast("long").alias("duration_ms"),
+                      F.lit(error).cast("string").alias("error_detail"))
+
+
+#: The statements of a stored transform: what they do with which table, and the query.
+_STATEMENT = re.compile(
+    r"\s*(?:CREATE\s+(?P<replace>OR\s+REPLACE\s+)?TABLE\s+(?P<missing>IF\s+NOT\s+EXISTS\s+)?(?P<table>\w+\.\w+)\s+AS"
+    r"|INSERT\s+(?:OR\s+(?P<conflict>REPLACE|IGNORE)\s+)?INTO\s+(?P<into>\w+\.\w+))\s+(?P<query>(?:SELECT|WITH)\b.*)",
+    re.IGNORECASE | re.DOTALL)
+_BETWEEN = re.compile(r"""((?:[^;'"]|'(?:[^']|'')*'|"[^"]*")+)(?:;|$)""")
+
+
+def statements(sql: str) -> list[re.Match]:
+    """The statements of a stored transform; anything else is an error."""
+    out = []
+    for part in _BETWEEN.findall(sql):
+        if part.strip():
+            m = _STATEMENT.fullmatch(part)
+            if not m:
+                raise ValueError(f"not a transform statement: {part.strip()}")
+            out.append(m)
+    if not out:
+        raise ValueError("the transform has no statement")
+    return out
+
+
+def run_transform(spark: SparkSession, transform: dict, tables: dict[str, DataFrame], root: str, tenant: str,
+                  run_id: str = "run", started_at: str = "", role: str = "owner",
+                  cascade: Callable[[str], None] | None = None) -> RunResult:
+    """W12 run a stored transform (``id``, ``status``, ``transform_sql``,
+    optional ``key``) only when approved.
+
+    Its statements are CREATE TABLE ... AS (IF NOT EXISTS, OR REPLACE) and
+    INSERT (OR REPLACE, OR IGNORE) INTO ``layer.name``.  Every query is first
+    run for one row (W13 of the data, G6 of the tables it names), so a bad
+    statement stops the run before anything is written.  Then the statements
+    run in order on the layer tables below ``root``; inserts by ``key`` replace
+    or skip rows of the same key.  The run row counts the written table; with
+    success ``cascade`` is told the table that changed.
     """
     t0 = time.time()
+    held = dict(tables)
+
+    def query(m: re.Match) -> DataFrame:
+        return run_query(spark, m["query"], role, held)
+
+    def path(name: str) -> str:
+        return sinks.layer_path(root, tenant, *name.lower().split("."))
+
+    def failed(error: str) -> RunResult:
+        return RunResult(None, _run_row(spark.range(1), run_id, transform["id"], "failed", started_at, t0, error))
+
     if transform.get("status") != "approved":
-        run = spark.createDataFrame(
-            [(run_id, transform.get("id"), "failed", started_at, 0, 0,
-              "transform is not approved")],
-            "id string, transform_id string, status string, started_at string, "
-            "rows_produced long, duration_ms long, error_detail string")
-        return RunResult(None, run)
-    status, err, n = "success", None, 0
-    out = None
+        return failed("transform is not approved")
+    target = None
     try:
-        out = fn(**inputs)
-        out.limit(1).collect()  # dry run: data errors surface here
-        n = sink(out) if sink else out.count()
+        parts = statements(transform["transform_sql"])
+        for m in parts:
+            name = (m["table"] or m["into"]).lower()
+            out = query(m).limit(1)
+            non_empty(out)
+            if name not in held:            # a later statement may read what this one makes
+                held[name] = spark.createDataFrame([], out.schema)
+        held = dict(tables)
+        for m in parts:
+            target = (m["table"] or m["into"]).lower()
+            at, rows = path(target), query(m)
+            there = sinks.table_exists(spark, at)
+            if m["table"]:
+                if there and not m["replace"] and not m["missing"]:
+                    raise ValueError(f"{target} exists")
+                if there and m["missing"]:
+                    rows = None
+            else:
+                if not there:
+                    raise ValueError(f"{target} does not exist")
+                old = sinks.read_table(spark, at)
+                rows = rows.toDF(*old.columns)
+                if not m["conflict"]:
+                    rows = old.unionByName(rows)
+                else:
+                    change = merge.upsert if m["conflict"].upper() == "REPLACE" else merge.insert_ignore
+                    rows = change(old, rows, transform["key"], order_by=[c for c in old.columns if c != transform["key"]])
+            if rows is not None:
+                sinks.replace_table(spark, rows, at)
+            held[target] = sinks.read_table(spark, at)
     except Exception as exc:  # noqa: BLE001 - the run row carries the error
-        status, err = "failed", str(exc)
-    ms = int((time.time() - t0) * 1000)
-    run = spark.createDataFrame(
-        [(run_id, transform.get("id"), status, started_at, int(n), ms, err)],
-        "id string, transform_id string, status string, started_at string, "
-        "rows_produced long, duration_ms long, error_detail string")
+        return failed(str(exc))
+    out = held[target]
+    run = _run_row(out.agg(F.count(F.lit(1)).alias("n")), run_id, transform["id"], "success", started_at, t0, None, F.col("n"))
+    if cascade:
+        cascade(target)
     return RunResult(out, run)

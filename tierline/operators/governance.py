@@ -180,6 +180,17 @@ def scoped(df: DataFrame, tenant_id: str) -> DataFrame:
     return df.filter(F.col("tenant_id") == F.lit(tenant_id))
 
 
+class TenantReader:
+    """G7 control tables as one tenant sees them.  Readers get this instead of
+    the tables, so no query can leave the filter out."""
+
+    def __init__(self, tables: dict[str, DataFrame], tenant_id: str):
+        self._tables, self._tenant = tables, tenant_id
+
+    def __call__(self, name: str) -> DataFrame:
+        return scoped(self._tables[name], self._tenant)
+
+
 # Tenant config defaults (values as JSON text).
 CONFIG_DEFAULTS = {
     "llm_provider": '"ollama"',

@@ -200,7 +200,29 @@ SELECT regexp_extract(kind, '^[a-z]+', 0) AS kind, CASE WHEN b % 2 = 0 THEN 'ski
 FROM i GROUP BY ALL
 """
 
+
+def q_snapshot_import_merged(spark, sf_dir):
+    """S20 the items a tenant holds after an import, with and without
+    ``overwrite``; it held the even-numbered brands' items in an older form."""
+    s = _snapshot(spark, sf_dir)
+    brand_no = F.regexp_extract("collection", r"(\d+)$", 1).cast("int")
+    held = s.filter(brand_no % 2 == 0).withColumn("item", F.lit("old"))
+    outs = [K.import_merge(s, held, overwrite).withColumn("overwrite", F.lit(overwrite)) for overwrite in (False, True)]
+    return (outs[0].unionByName(outs[1]).groupBy("overwrite", "kind", (F.col("item") == "old").alias("old"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+SQL_SNAPSHOT_IMPORT_MERGED = """
+WITH i AS (
+  SELECT 'entity' AS kind, p_name AS name, p_brand AS c, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) AS b FROM part
+  UNION ALL SELECT DISTINCT 'transform', CAST(user_id AS VARCHAR), '', user_id % 25 + 1 FROM events WHERE user_id % 2 = 1
+  UNION ALL SELECT DISTINCT 'connector', CAST(user_id AS VARCHAR), '', user_id % 25 + 1 FROM events WHERE user_id % 2 = 0),
+o AS (SELECT unnest([true, false]) AS overwrite)
+SELECT overwrite, kind, b % 2 = 0 AND NOT overwrite AS old, COUNT(*) AS n FROM i, o GROUP BY ALL
+"""
+
 QUERIES = {
+    "snapshot_import_merged": (q_snapshot_import_merged, SQL_SNAPSHOT_IMPORT_MERGED),
     "pk_guess": (q_pk_guess, SQL_PK_GUESS),
     "pii_columns": (q_pii_columns, SQL_PII_COLUMNS),
     "payload_keys": (q_payload_keys, SQL_PAYLOAD_KEYS),

@@ -195,20 +195,53 @@ FROM events
 
 
 def q_transform_run(spark, sf_dir):
-    """An approved gold transform runs (and a draft one is
+    """An approved transform's stored SQL runs (and a draft one is
     refused); the run rows carry status and rows produced."""
     o = table(spark, sf_dir, "orders")
-
-    def fn(orders):
-        return orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-
-    ok = fl.run_transform(spark, {"id": "t-gold", "status": "approved"}, {"orders": o}, fn, run_id="r1")
-    no = fl.run_transform(spark, {"id": "t-draft", "status": "draft"}, {"orders": o}, fn, run_id="r2")
+    sql = "CREATE OR REPLACE TABLE gold.by_priority AS SELECT o_orderpriority, count(*) AS n FROM silver.orders GROUP BY o_orderpriority"
+    args = {"tables": {"silver.orders": o}, "root": scratch_dir(spark, "transform"), "tenant": TENANT}
+    ok = fl.run_transform(spark, {"id": "t-gold", "status": "approved", "transform_sql": sql}, run_id="r1", **args)
+    no = fl.run_transform(spark, {"id": "t-draft", "status": "draft", "transform_sql": sql}, run_id="r2", **args)
     src_ok = fl.non_empty(o)
     return ok.run.unionByName(no.run).select("transform_id", "status", "rows_produced",
                                              F.lit(src_ok).alias("source_non_empty"))
 
 
+def q_transform_stored_sql(spark, sf_dir):
+    """W12 a two-statement upsert transform, run twice over changed orders:
+    the silver table it leaves, with the last run's status and count."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    t = {"id": "t-silver", "status": "approved", "key": "o_orderkey", "transform_sql": """
+        CREATE TABLE IF NOT EXISTS silver.orders AS SELECT o_orderkey, o_orderstatus, o_totalprice FROM bronze.orders WHERE o_orderkey % 2 = 0;
+        INSERT OR REPLACE INTO silver.orders SELECT o_orderkey, 'x;y' AS o_orderstatus, o_totalprice FROM bronze.orders WHERE o_orderkey % 3 = 0"""}
+    root = scratch_dir(spark, "stored-transform")
+    fl.run_transform(spark, t, {"bronze.orders": o}, root, TENANT, run_id="r1")
+    again = o.withColumn("o_orderkey", F.col("o_orderkey") + 1)
+    done = fl.run_transform(spark, t, {"bronze.orders": again}, root, TENANT, run_id="r2")
+    return done.output.select("o_orderkey", "o_orderstatus").crossJoin(done.run.select("status", "rows_produced"))   # one row
+
+
+SQL_TRANSFORM_STORED = """
+WITH first AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'x;y' ELSE o_orderstatus END AS o_orderstatus FROM orders
+               WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0),
+later AS (SELECT o_orderkey + 1 AS o_orderkey, 'x;y' AS o_orderstatus FROM orders WHERE (o_orderkey + 1) % 3 = 0),
+merged AS (SELECT * FROM later UNION ALL SELECT * FROM first WHERE o_orderkey NOT IN (SELECT o_orderkey FROM later))
+SELECT *, 'success' AS status, (SELECT COUNT(*) FROM merged) AS rows_produced FROM merged
+"""
+
+
+def q_tenant_scoped(spark, sf_dir):
+    """G7 the memberships that one tenant's reader returns, by role."""
+    read = G.TenantReader({"memberships": control.memberships(spark, sf_dir)}, "t1")
+    return read("memberships").groupBy("tenant_id", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_TENANT_SCOPED = """
+SELECT 't1' AS tenant_id, ['owner', 'admin', 'engineer', 'analyst', 'viewer'][c_custkey % 5 + 1] AS role, COUNT(*) AS n
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 GROUP BY ALL
+"""
+
+
 SQL_TRANSFORM_RUN = """
 SELECT 't-gold' AS transform_id, 'success' AS status, (SELECT COUNT(DISTINCT o_orderpriority) FROM orders)
          AS rows_produced, true AS source_non_empty
@@ -272,6 +305,8 @@ GROUP BY 1
 """
 
 QUERIES = {
+    "tenant_scoped": (q_tenant_scoped, SQL_TENANT_SCOPED),
+    "transform_stored_sql": (q_transform_stored_sql, SQL_TRANSFORM_STORED),
     "upsert_buckets": (q_upsert_buckets, SQL_UPSERT_BUCKETS),
     "bronze_roundtrip": (q_bronze_roundtrip, SQL_BRONZE_ROUNDTRIP),
     "replace_versions": (q_replace_versions, SQL_REPLACE_VERSIONS),

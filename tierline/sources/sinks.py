@@ -90,9 +90,14 @@ def remove_old_versions(spark: SparkSession, path: str, keep: int = 2) -> list[s
     return gone
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a replaced table has a version."""
+    return _exists(spark, os.path.join(path, "_versions"))
+
+
 def create_if_missing(spark: SparkSession, path: str, schema) -> bool:
     """W2 create an empty table with a declared schema when none exists."""
-    if _exists(spark, os.path.join(path, "_versions")):
+    if table_exists(spark, path):
         return False
     replace_table(spark, spark.createDataFrame([], schema), path)
     return True
