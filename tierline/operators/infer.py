@@ -77,10 +77,11 @@ def _value_text(kind, value):
 
 
 def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
-                 entity: str | None = None, entity_name: str | None = None) -> DataFrame:
+                 entity: str | None = None, entity_name: str | None = None,
+                 sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """One row per key: entity, name, ordinal (first-seen order),
     data_type, nullable, is_pii, samples (first three non-null values in record
-    order, JSON text cut to 80 chars for nested ones; none for PII),
+    order, JSON text cut to ``sample_chars`` for nested ones; none for PII),
     n_present, is_pk.
 
     Two passes over the exploded (record, key) rows, neither of which shuffles
@@ -150,14 +151,14 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
         is_pii_col("key").alias("is_pii"),
         F.col("n_present").cast("long").alias("n_present"),
     )
-    samples = first_values(kv.filter(F.col("key").isNotNull()), SAMPLES)
+    samples = first_values(kv.filter(F.col("key").isNotNull()), SAMPLES, sample_chars)
     fields = fields.join(samples, ["entity", "name"], "left").withColumn(
         "samples", F.when(F.col("is_pii"), F.array().cast("array<string>"))
         .otherwise(F.coalesce(F.col("samples"), F.array().cast("array<string>"))))
     return with_primary_key(fields, entity_name)
 
 
-def first_values(kv: DataFrame, k: int) -> DataFrame:
+def first_values(kv: DataFrame, k: int, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """First ``k`` non-null values per key in record order: ``row_number <= k``
     over (entity, key) ordered by record, which Spark plans with a map-side
     group limit (at most k rows per key leave each task) before the
@@ -167,7 +168,7 @@ def first_values(kv: DataFrame, k: int) -> DataFrame:
     top = nn.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k)
     # text is built for the survivors only
     text = _value_text(F.col("kind"), F.col("value"))
-    top = top.withColumn("text", F.when(F.col("kind").isin("array", "object"), F.substring(text, 1, SAMPLE_CHARS))
+    top = top.withColumn("text", F.when(F.col("kind").isin("array", "object"), F.substring(text, 1, sample_chars))
                          .otherwise(text))
     return top.groupBy("entity", "name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "text"))), lambda s: s["text"])

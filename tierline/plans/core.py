@@ -83,7 +83,11 @@ def bronze_table(spark, sf_dir, name, pos_col):
 
 
 def q_flatten_orders(spark, sf_dir):
-    s = fl.flatten(bronze_table(spark, sf_dir, "orders", "o_orderkey"), ORDER_FIELDS, "o_orderkey")
+    return flattened_orders(bronze_table(spark, sf_dir, "orders", "o_orderkey"))
+
+
+def flattened_orders(bronze: DataFrame) -> DataFrame:
+    s = fl.flatten(bronze, ORDER_FIELDS, "o_orderkey")
     return s.select("o_orderkey", "o_custkey", "o_orderstatus", r2("o_totalprice").alias("o_totalprice"),
                     ts_text("o_orderdate").alias("o_orderdate"), "o_orderpriority")
 
@@ -114,8 +118,11 @@ def orders_with_items(spark, sf_dir) -> DataFrame:
 
 
 def q_unnest_line_items(spark, sf_dir):
-    b = orders_with_items(spark, sf_dir)
-    v = b.select(jsonx.parse("payload").alias("_v"))            # one parse per order
+    return unnested_line_items(orders_with_items(spark, sf_dir))
+
+
+def unnested_line_items(bronze: DataFrame) -> DataFrame:
+    v = bronze.select(jsonx.parse("payload").alias("_v"))            # one parse per order
     ex = jsonx.unnest_variant(v, "_v", "line_items", alias="_e")
     return ex.select(
         jsonx.typed("_v", "order_id", "int").alias("l_orderkey"),

@@ -82,8 +82,11 @@ SELECT * FROM (VALUES
 
 
 def q_infer_fields_orders(spark, sf_dir):
-    b = bronze_orders(spark, sf_dir)
-    b = b.withColumn("_pos", F.get_json_object("payload", "$.order_id").cast("long"))
+    return inferred_orders(bronze_orders(spark, sf_dir))
+
+
+def inferred_orders(bronze):
+    b = bronze.withColumn("_pos", F.get_json_object("payload", "$.order_id").cast("long"))
     return _out(infer_fields(b, "_pos", entity_name="orders"))
 
 
