@@ -1,15 +1,14 @@
 """Ranked recall of text notes (M1-M5).
 
-Candidates per tenant are the 100 best notes by stored score (L8), so the
-query x candidate pairing has a fan-out bounded by 100 per query.  The
-candidate frame is broadcast after its row count is checked; above the limit
-the pairing is a salted equi join on tenant, so a tenant holding a third of
-the queries is spread over many tasks.
+Candidates per tenant are the ``limit`` best notes by stored score (L8; 100 by
+default, as in the data model).  They travel as one array per tenant, joined to
+the tenant's queries; adaptive execution broadcasts it by its size in bytes or
+splits a tenant with very many queries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierline.functions.text import keywords
@@ -24,8 +23,6 @@ MAX_SCORE = 2.0
 DECAY_FACTOR = 0.95
 PRUNE_SCORE = 0.1
 PRUNE_DAYS = 90
-BROADCAST_ROWS = 1_000_000
-SALT_BUCKETS = 64
 
 
 def base_score(c="relevance_score"):
@@ -43,43 +40,31 @@ def candidates(memories: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     return top.withColumnRenamed("rank", "cand_rank")
 
 
-def _pair(queries: DataFrame, cand: DataFrame) -> DataFrame:
-    n = cand.count()     # bounded: at most 100 rows per tenant
-    if n <= BROADCAST_ROWS:
-        return queries.join(F.broadcast(cand), "tenant_id")
-    salt = F.pmod(F.xxhash64(F.col("query_id")), F.lit(SALT_BUCKETS))
-    q = queries.withColumn("_salt", salt)
-    c = cand.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
-    return q.join(c, ["tenant_id", "_salt"]).drop("_salt")
-
-
-def recall(queries: DataFrame, memories: DataFrame, k: int = MAX_INJECTED, limit: int | None = CANDIDATES) -> DataFrame:
+def recall(queries: DataFrame, memories: DataFrame, k: int = MAX_INJECTED, limit: int = CANDIDATES) -> DataFrame:
     """M1-M3 for every query row (``query_id, tenant_id, text``): the top
     ``k`` notes by score = base x (1 + 0.5 x hits), hit = a keyword contained
     in the lower-cased summary (duplicates count); ties keep candidate order
     (a stable sort).  Without keywords the score is the base score.
 
-    Queries are hash-partitioned by ``query_id`` before the (broadcast)
-    pairing, so the per-query ranking window needs no second shuffle of the
-    up-to-100-times larger pair rows.
+    A tenant's candidates (at most ``limit``, the caller's bound) are one array
+    beside each of its queries, and the ranking is an array expression in the
+    query's row: queries are not shuffled and no query x note rows exist.
     """
-    cand = candidates(memories).select(
-        "tenant_id", F.col("id").alias("memory_id"), "relevance_score", "cand_rank",
-        F.lower(F.coalesce(F.col("summary"), F.lit(""))).alias("_low"))      # once per note
-    q = queries.select("query_id", "tenant_id", keywords("text").alias("_kw"))
-    try:
-        n = max(q.rdd.getNumPartitions(), q.sparkSession.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001 - no RDD view (remote session): let AQE size it
-        n = None
-    q = q.repartition(n, "query_id") if n else q.repartition("query_id")
-    pairs = _pair(q, cand)
-    hits = F.size(F.filter("_kw", lambda w: F.col("_low").contains(w)))
-    scored = pairs.select("query_id", "tenant_id", "memory_id", "cand_rank", F.size("_kw").alias("_nkw"),
-                          base_score().alias("_base"), hits.alias("hits"))
-    score = F.when(F.col("_nkw") == 0, F.col("_base")).otherwise(F.col("_base") * (1 + F.col("hits") * HIT_WEIGHT))
-    scored = scored.withColumn("score", score).drop("_nkw", "_base")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("cand_rank"))  # <= 100 rows each
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    notes = (candidates(memories, limit)
+             .groupBy("tenant_id").agg(F.array_sort(F.collect_list(F.struct(
+                 "cand_rank", F.col("id").alias("memory_id"), base_score().alias("base"),
+                 F.lower(F.coalesce(F.col("summary"), F.lit(""))).alias("low")))).alias("_notes")))
+    q = queries.select("query_id", "tenant_id", keywords("text").alias("_kw")).join(notes, "tenant_id")
+
+    def scored(note):
+        hits = F.size(F.filter("_kw", lambda w: note["low"].contains(w)))
+        score = F.when(F.size("_kw") == 0, note["base"]).otherwise(note["base"] * (1 + hits * HIT_WEIGHT))
+        return F.struct((-score).alias("down"), note["cand_rank"].alias("cand_rank"), note["memory_id"].alias("memory_id"), hits.alias("hits"))
+
+    best = F.slice(F.array_sort(F.transform("_notes", scored)), 1, k)
+    return (q.select("query_id", "tenant_id", F.posexplode(best).alias("_i", "_n"))
+            .select("query_id", "tenant_id", "_n.memory_id", "_n.cand_rank", "_n.hits", (-F.col("_n.down")).alias("score"),
+                    (F.col("_i") + 1).alias("rank")))
 
 
 def boost(memories: DataFrame, recalled: DataFrame, now: str) -> DataFrame:
