@@ -24,7 +24,7 @@ SPLIT = "2024-01-15 00:00:00"
 
 def q_bronze_roundtrip(spark, sf_dir):
     """S14 two landing batches appended to a date-partitioned bronze table;
-    S13 read back with partition pruning to one landing date."""
+    S13 read back by landing date (partition pruning)."""
     e = table(spark, sf_dir, "events")
     root = scratch_dir(spark, "bronze")
     path = sinks.layer_path(root, TENANT, "bronze", "events")
@@ -33,15 +33,15 @@ def q_bronze_roundtrip(spark, sf_dir):
     sinks.append_bronze(envelope(early, "events", TENANT, BATCH, "2024-02-01T00:00:00", position="event_id"), path)
     sinks.append_bronze(envelope(late, "events", TENANT, "batch-0002", "2024-02-02T00:00:00",
                                  position="event_id"), path)
-    b = sinks.read_bronze(spark, path, ["2024-02-02"])
+    b = sinks.read_bronze(spark, path, ["2024-02-01", "2024-02-02"])
     v = b.select(F.try_parse_json("payload").alias("v"), F.col("ingest_date").cast("string").alias("ingest_date"))
     return v.select("ingest_date", F.try_variant_get("v", "$.event_type", "string").alias("event_type")) \
         .groupBy("ingest_date", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 SQL_BRONZE_ROUNDTRIP = f"""
-SELECT '2024-02-02' AS ingest_date, event_type, COUNT(*) AS n FROM events
-WHERE ts >= TIMESTAMP '{SPLIT}' GROUP BY event_type
+SELECT CASE WHEN ts < TIMESTAMP '{SPLIT}' THEN '2024-02-01' ELSE '2024-02-02' END AS ingest_date, event_type, COUNT(*) AS n
+FROM events GROUP BY ALL
 """
 
 
@@ -105,20 +105,21 @@ FROM events GROUP BY 1
 
 
 def q_audit_append(spark, sf_dir):
-    """W9 audit events appended partitioned by day; one day read back."""
+    """W9 audit events appended partitioned by day, read back by day."""
     e = table(spark, sf_dir, "events")
     log = e.select(F.col("event_id").alias("id"), F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string"))
                    .alias("tenant_id"), "user_id", F.col("event_type").alias("action"),
                    F.col("ts").alias("created_at"))
     path = scratch_dir(spark, "audit")
     sinks.append_audit(log, path)
-    day = spark.read.parquet(path).filter(F.col("day") == "2024-01-10")
-    return day.groupBy("tenant_id", "action").agg(F.count(F.lit(1)).alias("n"))
+    held = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
+    return held.groupBy("day", "tenant_id", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
 SQL_AUDIT_APPEND = """
-SELECT 't' || CAST(user_id % 5 AS VARCHAR) AS tenant_id, event_type AS action, COUNT(*) AS n
-FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10' GROUP BY ALL
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, 't' || CAST(user_id % 5 AS VARCHAR) AS tenant_id, event_type AS action,
+       COUNT(*) AS n
+FROM events GROUP BY ALL
 """
 
 
@@ -230,6 +231,29 @@ SELECT *, 'success' AS status, (SELECT COUNT(*) FROM merged) AS rows_produced FR
 """
 
 
+def q_import_chain(spark, sf_dir):
+    """W11 + W12 the whole chain: customers as a CSV file, imported in one call,
+    the draft approved and run.  The silver rows, with what was registered."""
+    from tierline.operators.imports import control_path, import_file
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    src, root = scratch_dir(spark, "import-src"), scratch_dir(spark, "import")
+    c.write.option("header", True).csv(src)
+    import_file(spark, src, "csv", "Customers", TENANT, root, BATCH, "2024-02-01T00:00:00")
+    draft = spark.read.parquet(control_path(root, "transforms")).first().asDict()
+    bronze = sinks.read_bronze(spark, sinks.layer_path(root, TENANT, "bronze", "customers"))
+    done = fl.run_transform(spark, {**draft, "status": "approved"}, {"bronze.customers": bronze}, root, TENANT)
+    n_fields = spark.read.parquet(control_path(root, "fields")).agg(F.count(F.lit(1)).alias("n_fields"))
+    n_records = spark.read.parquet(control_path(root, "entities")).select("n_records")
+    return (done.output.select("c_custkey", "c_name", r2("c_acctbal").alias("c_acctbal"), "c_mktsegment")
+            .crossJoin(n_fields).crossJoin(n_records))          # one row each
+
+
+SQL_IMPORT_CHAIN = """
+SELECT c_custkey, c_name, ROUND(c_acctbal, 2) AS c_acctbal, c_mktsegment, 4::BIGINT AS n_fields,
+       (SELECT COUNT(*) FROM customer) AS n_records FROM customer
+"""
+
+
 def q_tenant_scoped(spark, sf_dir):
     """G7 the memberships that one tenant's reader returns, by role."""
     read = G.TenantReader({"memberships": control.memberships(spark, sf_dir)}, "t1")
@@ -305,6 +329,7 @@ GROUP BY 1
 """
 
 QUERIES = {
+    "import_chain": (q_import_chain, SQL_IMPORT_CHAIN),
     "tenant_scoped": (q_tenant_scoped, SQL_TENANT_SCOPED),
     "transform_stored_sql": (q_transform_stored_sql, SQL_TRANSFORM_STORED),
     "upsert_buckets": (q_upsert_buckets, SQL_UPSERT_BUCKETS),
