@@ -60,8 +60,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, decoded again as a check: doc_id, lang, source,
     n_tokens, ids_sha256, and whether decoding gives back the text."""
-    coded = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
-    return coded.select(
+    return bpe.round_trip(docs, RANKS, PATTERN).select(
         "doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"))
 

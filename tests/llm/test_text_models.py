@@ -147,7 +147,9 @@ def test_bpe_in_spark(spark, library):
     for r in out.collect():
         ids = library.encode_ordinary(r.text or "")
         assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids) and bytes(r.decoded) == (r.text or "").encode()
-    assert bpe.encode(df.where("doc_id < 0"), RANKS, PATTERN).count() == 0
+    both = bpe.round_trip(df, RANKS, PATTERN)
+    assert both.columns == out.columns and sorted(map(repr, both.collect())) == sorted(map(repr, out.collect()))
+    assert bpe.round_trip(df.where("doc_id < 0"), RANKS, PATTERN).count() == 0
 
 
 def test_bpe_query_digests(spark, library):

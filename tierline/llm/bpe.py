@@ -30,8 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierline.llm.common import bounded_batches
+
 #: Matches kept with their ids per worker, and the longest kept (characters).
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 32
 _LEAF_BITS = 8
 _LEAF = 1 << _LEAF_BITS
 
@@ -163,7 +165,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out:
         for texts in batches:
             yield pd.Series([t.encode(x) for x in texts], dtype=object)
 
-    return df.withColumn(out, packed(F.coalesce(F.col(text_col), F.lit(""))))
+    return bounded_batches(df).withColumn(out, packed(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -175,4 +177,20 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: st
         for ids in batches:
             yield pd.Series([t.decode(x) for x in ids], dtype=object)
 
-    return df.withColumn(out, unpacked(F.coalesce(F.col(ids_col), F.lit(b""))))
+    return bounded_batches(df).withColumn(out, unpacked(F.coalesce(F.col(ids_col), F.lit(b""))))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids: str = "ids",
+               decoded: str = "decoded") -> DataFrame:
+    """``df`` with the ids of every whole text and the bytes decoded from them,
+    by one Python worker a task (one table in memory) instead of two."""
+
+    @F.pandas_udf("struct<ids:binary,decoded:binary>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        t = tokenizer(path, pattern)
+        for texts in batches:
+            packed = [t.encode(x) for x in texts]
+            yield pd.DataFrame({"ids": packed, "decoded": [t.decode(x) for x in packed]})
+
+    coded = bounded_batches(df).withColumn("__both", both(F.coalesce(F.col(text_col), F.lit(""))))
+    return coded.withColumns({ids: F.col("__both.ids"), decoded: F.col("__both.decoded")}).drop("__both")

@@ -20,7 +20,7 @@ from tierline.session import scratch_dir
 
 #: Largest slice of text that a task works on at once.
 SLICE_BYTES = 4 << 20
-_WORD_CACHE_MAX = 400_000
+_WORD_CACHE_MAX = 100_000
 _SPACE = re.compile(rb"[\x09-\x0d\x20]")
 
 
@@ -58,6 +58,17 @@ class shuffle_cleanup:
         self.spark.conf.set(self.KEY, self.before)
 
 
+#: Largest Arrow batch that a task hands to Python, in bytes.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Keep the session's Arrow batches small: a batch exists several times at
+    once (JVM, Arrow, pandas), in every task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

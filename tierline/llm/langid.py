@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierline.llm import chargrams
+from tierline.llm.common import bounded_batches
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 14
@@ -61,7 +62,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") ->
             at = np.flatnonzero(n)
             yield pd.DataFrame({"l": label, "b": np.append(at, -1).astype(np.int32), "n": np.append(n[at], docs[label])})
 
-    rows = (labelled.select(F.lower(F.col(text_col)).alias("t"), F.col(label_col).cast("string").alias("l"))
+    rows = (bounded_batches(labelled).select(F.lower(F.col(text_col)).alias("t"), F.col(label_col).cast("string").alias("l"))
             .where(F.col("t").isNotNull() & F.col("l").isNotNull())
             .mapInPandas(count, "l string, b int, n long")
             .groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas())
@@ -118,7 +119,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     text = F.col(text_col)
     known = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    found = df.withColumn("__p", scored(F.when(known, F.lower(text)).otherwise(F.lit(""))))
+    found = bounded_batches(df).withColumn("__p", scored(F.when(known, F.lower(text)).otherwise(F.lit(""))))
     return found.withColumns({
         "lang_pred": F.when(known, F.col("__p.lang_pred")).otherwise(F.lit(UNKNOWN)),
         "score": F.when(known, F.col("__p.score")).otherwise(F.lit(0.0))}).drop("__p")

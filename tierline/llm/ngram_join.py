@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierline.llm.common import shuffle_partitions, slices, staged, window_hashes, word_hashes
+from tierline.llm.common import bounded_batches, shuffle_partitions, slices, staged, window_hashes, word_hashes
 from tierline.llm.components import components
 from tierline.llm.substring_dedup import _deal
 
@@ -50,7 +50,6 @@ HOT_SHARE = 1 / 1000
 HOT_LEAST = 256
 TILE_ROWS, TILE_BYTES = 1024, 8 << 20
 _COLUMNS = 4096
-_SLICE = 8 << 20
 _HOT = np.uint32(0xFFFFFFFF)
 
 _ASK = ("bucket int, keys binary, sizes binary, counts binary, hashes binary, hot_keys binary, hot_sizes binary, "
@@ -72,7 +71,7 @@ def _class(hashes: np.ndarray) -> int:
 
 def _sets(b: pd.DataFrame, n: int) -> Iterator[tuple[list, list[np.ndarray], list[int]]]:
     """Slices of a batch: ids, sets, class keys."""
-    for lo, hi in slices([len(t) for t in b["t"]], _SLICE):
+    for lo, hi in slices([len(t) for t in b["t"]]):
         sets = [shingles(t, n) for t in b["t"].iloc[lo:hi]]
         yield b["id"].iloc[lo:hi].tolist(), sets, [_class(s) for s in sets]
 
@@ -313,7 +312,7 @@ def _links(active: DataFrame, num: int, den: int) -> DataFrame:
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of
     every row; rows link when den * intersection >= num * union."""
-    texts = df.select(F.col(id_col).cast("long").alias("id"),
+    texts = bounded_batches(df).select(F.col(id_col).cast("long").alias("id"),
                       F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("t"))
     docs, active = _columns(texts, n, num, den)
     linked = components(_links(active, num, den)).select(F.col("node").alias("key"), "component")

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierline.llm.common import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 MAX_SEGMENT = 16
 MAX_TEXTS = 500
@@ -362,7 +364,7 @@ _WINDOW_CHARS = 4000
 
 def fit(df: DataFrame, text_col: str = "text", max_texts: int = MAX_TEXTS) -> Field | None:
     """Train on windows of ``max_texts`` texts that hold a trigger."""
-    texts = df.select(F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
+    texts = bounded_batches(df).select(F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
     marks = texts.select(F.xxhash64("t").alias("h")).distinct().orderBy("h").limit(max_texts).collect()
     if not marks:
         return None
@@ -401,7 +403,7 @@ SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 def detect(df: DataFrame, field: Field | None, text_col: str = "text", out: str = "pii") -> DataFrame:
     """``df`` with the spans of every whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(field)
+    shared = bounded_batches(df).sparkSession.sparkContext.broadcast(field)
 
     @F.pandas_udf(SPANS)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -422,7 +424,7 @@ def digest(spans: Column) -> Column:
 
 def redact(df: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
     """``df`` with every span replaced by its kind in angle brackets."""
-    shared = df.sparkSession.sparkContext.broadcast(field)
+    shared = bounded_batches(df).sparkSession.sparkContext.broadcast(field)
 
     @F.pandas_udf("string")
     def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierline.llm.chargrams import grams
-from tierline.llm.common import word_hashes
+from tierline.llm.common import bounded_batches, word_hashes
 
 MAX_ROWS = 6000
 ORDERS = (2, 3, 4)
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "y": b["y"], "f": [features(t, seen).tobytes() for t in b["t"]]})
 
-    texts = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    texts = bounded_batches(docs).select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     # the sample has at most max_rows rows of two numbers
     got = (texts.join(F.broadcast(chosen), "k").mapInPandas(extract, "k long, y int, f binary").toPandas()
            .sort_values(["k", "y", "f"], ignore_index=True))
@@ -178,5 +178,5 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             margins = np.array([_margin(features(t, seen), m) for t in texts], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(m.slope * margins + m.offset, -30, 30))))
 
-    return (df.withColumn("score", scored(F.coalesce(F.col(text_col), F.lit(""))))
+    return (bounded_batches(df).withColumn("score", scored(F.coalesce(F.col(text_col), F.lit(""))))
             .withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)))

@@ -50,8 +50,7 @@ def op3_quality(spark, sf_dir):
 
 def op4_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, RANKS, PATTERN).drop("text")
-    return bpe.decode(coded, RANKS, PATTERN).select(
+    return bpe.round_trip(docs, RANKS, PATTERN).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
