@@ -31,7 +31,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ERROR_RATE = 0.05
+from tierline.llm.common import bounded_batches
+
+ERROR_RATE = 0.08
 BLOCK_BYTES = 1 << 20
 _GAP = re.compile(r"[\W_]+")
 MATCHES = "array<struct<item_id:bigint,distance:int,end:int>>"
@@ -157,7 +159,7 @@ def _matched(items, rate: float):
 def match(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
           item_text: str = "text", rate: float = ERROR_RATE, out: str = "matches") -> DataFrame:
     """``docs`` with the benchmark items each whole text holds."""
-    context = docs.sparkSession.sparkContext
+    context = bounded_batches(docs).sparkSession.sparkContext
     found = F.array().cast(MATCHES)
     text = F.coalesce(F.col(text_col), F.lit(""))
     for block in _item_blocks(items, item_id, item_text):
