@@ -42,7 +42,7 @@ def test_join_equals_brute_force(spark, monkeypatch, n, num, den, rows, hot):
     monkeypatch.setattr(ngram_join, "TILE_ROWS", rows)
     monkeypatch.setattr(ngram_join, "HOT_LEAST", hot)
     docs = near_copies(n) + EDGES
-    df = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, n_shingles int, key string").repartition(3)
+    df = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, n_shingles int, key string").repartition(hot % 7 + 1)
     got = sorted((tuple(r) for r in ngram_join.join(df, n=n, num=num, den=den).collect()), key=repr)
     assert got == components_of(docs, n, num, den)
 
@@ -96,11 +96,12 @@ def shared_passages(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("width", [35, 8, 5])
-def test_dedup_equals_brute_force(spark, width):
+@pytest.mark.parametrize("width,parts", [(35, 1), (35, 4), (35, 40), (8, 4), (5, 9)])
+def test_dedup_equals_brute_force(spark, width, parts):
+    """Copies meet in one task, in several, or each in its own."""
     docs = shared_passages(width) + [(900, None), (901, ""), (902, " \n"), (None, "a b"), (903, "É é x" * 20), (904, "a\x1cb " * 40)]
     docs += [docs[4], docs[4]]                          # repeated rows
-    df = spark.createDataFrame([(*d, "old", 3) for d in docs], "doc_id long, text string, kept string, n_words int").repartition(4)
+    df = spark.createDataFrame([(*d, "old", 3) for d in docs], "doc_id long, text string, kept string, n_words int").repartition(parts)
     out = substring_dedup.dedup(df, width=width)
     got = out.select("doc_id", "n_words", "n_removed", "kept", "removed").collect()
     assert sorted((tuple(r)[:4] for r in got), key=repr) == brute_dedup(docs, width)

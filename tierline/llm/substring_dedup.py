@@ -35,17 +35,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierline.llm.common import pieces, shuffle_partitions, slices, staged, window_hashes, word_hashes
+from tierline.llm.common import bounded_batches, pieces, shuffle_partitions, slices, staged, window_hashes, word_hashes
 
 WIDTH = 35
 _STRETCH = 1 << 18
 _ANCHOR_BYTES, _REPEAT_BYTES = 6, 8
 _ASK = ("bucket int, keys binary, counts binary, hashes binary, blocks binary, known binary, "
         "told_keys binary, told_counts binary, told_hashes binary, wholes binary")
-_TOLD = "key long, hashes binary, whole boolean"
+_TOLD = "target int, keys binary, counts binary, hashes binary, wholes binary"
+_MET = "key long, hashes binary, whole boolean"
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -132,56 +134,77 @@ def _deal(values: np.ndarray, buckets: int) -> list[np.ndarray]:
 
 
 def runs(values: np.ndarray, rows: np.ndarray, keys: np.ndarray, buckets: int):
-    """For each bucket: the keys, how many values each has, the values."""
+    """For each bucket: the keys, how many values each has, the values.
+    ``keys`` of None: the rows are the keys."""
     for part in _deal(values, buckets):
         r = rows[part]
         starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.empty(0, np.int64)
         counts = np.diff(np.append(starts, len(r))).astype(np.uint32)
-        yield keys[r[starts]], counts, values[part]
+        yield r[starts] if keys is None else keys[r[starts]], counts, values[part]
 
 
-def _answer(anchors: bool, width: int):
-    """Per bucket: which hashes count, told to the texts that hold them."""
+def _joined(b: pd.DataFrame, name: str, kind) -> np.ndarray:
+    raw = b"".join(b[name])
+    return unpack(raw, kind) if isinstance(kind, int) else np.frombuffer(raw, kind)
+
+
+def _sorted_pairs(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, hash) pairs by key, then hash."""
+    order = np.lexsort((hashes, keys))
+    k, h = keys[order], hashes[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
+    return k[new], h[new]
 
-    def told(b: pd.DataFrame) -> pd.DataFrame:
-        def joined(name: str, kind=None) -> np.ndarray:
-            raw = b"".join(b[name])
-            return np.frombuffer(raw, kind) if kind else unpack(raw, width)
 
-        hashes = joined("hashes")
-        keys = np.repeat(joined("keys", np.int64), joined("counts", np.uint32))
+def _answer(anchors: bool, width: int, targets: int):
+    """Per bucket: which hashes count, packed for the texts that hold them.
+    Texts are dealt to targets by key, so rows follow buckets and targets and
+    not texts times buckets."""
+
+    def told(b: pd.DataFrame) -> pd.DataFrame:
+        hashes = _joined(b, "hashes", width)
+        keys = np.repeat(_joined(b, "keys", np.int64), _joined(b, "counts", np.uint32))
         values, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
         counts = count > 1
         if anchors:
-            counts &= np.isin(values, joined("blocks"))
-        counts |= np.isin(values, joined("known"))
+            counts &= np.isin(values, _joined(b, "blocks", width))
+        counts |= np.isin(values, _joined(b, "known", width))
         hit = counts[back]
-        keys, hashes = keys[hit], hashes[hit]
-        out_keys, out_hashes = [], []
-
-        def tell(keys, hashes):
-            order = np.lexsort((hashes, keys))
-            k, h = keys[order], hashes[order]
-            if len(k):
-                new = np.concatenate(([True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])))
-                k, h = k[new], h[new]
-                cuts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-                out_keys.extend(k[cuts[:-1]].tolist())
-                out_hashes.extend(pack(h[x:y], width) for x, y in zip(cuts, cuts[1:], strict=False))
-
-        tell(keys, hashes)
-        tell(np.repeat(joined("told_keys", np.int64), joined("told_counts", np.uint32)), joined("told_hashes"))
-        wholes = np.unique(joined("wholes", np.int64)).tolist()
-        return pd.DataFrame({"key": out_keys + wholes, "hashes": out_hashes + [None] * len(wholes),
-                             "whole": [False] * len(out_keys) + [True] * len(wholes)})
+        known = np.repeat(_joined(b, "told_keys", np.int64), _joined(b, "told_counts", np.uint32))
+        keys, hashes = _sorted_pairs(np.concatenate((keys[hit], known)),
+                                     np.concatenate((hashes[hit], _joined(b, "told_hashes", width))))
+        wholes = np.unique(_joined(b, "wholes", np.int64))
+        out = []
+        for target, (part, whole) in enumerate(zip(_deal(keys.view(np.uint64), targets), _deal(wholes.view(np.uint64), targets),
+                                                   strict=True)):
+            if len(part) or len(whole):
+                (k, c, h), = runs(hashes[part], keys[part], None, 1)
+                out.append((target, k.tobytes(), c.tobytes(), pack(h, width), wholes[whole].tobytes()))
+        return pd.DataFrame(out, columns=["target", "keys", "counts", "hashes", "wholes"])
 
     return told
 
 
+def _gather(width: int):
+    """Per target: one row for each text with all its hashes that count."""
+
+    def met(b: pd.DataFrame) -> pd.DataFrame:
+        keys, hashes = _sorted_pairs(np.repeat(_joined(b, "keys", np.int64), _joined(b, "counts", np.uint32)),
+                                     _joined(b, "hashes", width))
+        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+        rows = {int(keys[x]): pack(hashes[x:y], width) for x, y in zip(cuts, cuts[1:], strict=False)}
+        wholes = set(_joined(b, "wholes", np.int64).tolist())
+        return pd.DataFrame([(k, rows.get(k, b""), k in wholes) for k in rows.keys() | wholes], columns=["key", "hashes", "whole"])
+
+    return met
+
+
 def _met(asked: DataFrame, anchors: bool, width: int, name: str) -> DataFrame:
-    """key -> the hashes that count (parts), whole; written out."""
-    told = asked.groupBy("bucket").applyInPandas(_answer(anchors, width), _TOLD)
-    return staged(told.groupBy("key").agg(F.collect_list("hashes").alias("hashes"), F.max("whole").alias("whole")), name)
+    """key -> its hashes that count, whole; written out."""
+    targets = shuffle_partitions(asked.sparkSession)
+    told = asked.groupBy("bucket").applyInPandas(_answer(anchors, width, targets), _TOLD)
+    return staged(told.groupBy("target").applyInPandas(_gather(width), _MET), name)
 
 
 def _unique(keys) -> tuple[list[int], dict[int, int]]:
@@ -204,10 +227,10 @@ def _covering(hit: np.ndarray, block: int, width: int) -> np.ndarray:
 def repeats(df: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """key (hash of a text) -> hashes of its repeated windows, whole."""
     buckets, block = shuffle_partitions(df.sparkSession), block_size(width)
-    texts = df.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("t")).where(F.col("t").isNotNull())
+    texts = bounded_batches(df).select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("t")).where(F.col("t").isNotNull())
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = 0
+        turn = TaskContext.get().partitionId()
         for b in batches:
             for lo, hi in slices([len(t) for t in b["t"]]):
                 part, keys = b["t"].iloc[lo:hi].tolist(), b["key"].iloc[lo:hi].tolist()
@@ -224,7 +247,7 @@ def repeats(df: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFr
     anchors = _met(texts.mapInPandas(probe, _ASK), True, _ANCHOR_BYTES, "anchors")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = 0
+        turn = TaskContext.get().partitionId()
         for b in batches:
             for lo, hi in slices([len(t) for t in b["t"]]):
                 p = b.iloc[lo:hi]
@@ -233,19 +256,20 @@ def repeats(df: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFr
                 out = _Slice(buckets, _REPEAT_BYTES)
                 for i in first:
                     words = word_hashes(part[i])
-                    hits = np.unique(unpack(b"".join(p["hashes"].iloc[i]), _ANCHOR_BYTES))
+                    whole = bool(wholes[i]) or times[keys[i]] > 1
+                    hits = unpack(p["hashes"].iloc[i], _ANCHOR_BYTES)
                     found = []
                     for _, w in stretches(words, width):
                         h = window_hashes(w, width)
-                        if not wholes[i]:
+                        if not whole:
                             rolled = _low_bits(window_hashes(w, block), _ANCHOR_BYTES)
                             h = h[_covering(np.isin(rolled, hits), block, width)]
                         found.append(h)
-                    out.add(keys[i], found, [], bool(wholes[i]))
+                    out.add(keys[i], found, [], whole)
                 yield out.sent(turn)
                 turn += 1
 
-    asked = texts.join(anchors, "key").mapInPandas(extend, _ASK)
+    asked = texts.join(anchors.hint("merge"), "key").mapInPandas(extend, _ASK)
     return _met(asked, False, _REPEAT_BYTES, "repeats")
 
 
@@ -292,7 +316,7 @@ def dedup(df: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFram
         for texts, hashes, wholes in batches:
             out = []
             for t, h, w in zip(texts, hashes, wholes, strict=True):
-                own = np.unique(unpack(b"".join(h), _REPEAT_BYTES)) if h is not None else np.empty(0, np.uint64)
+                own = unpack(h or b"", _REPEAT_BYTES)
                 n, kept, spans = _drop(t, own, bool(w), width)
                 out.append((n, kept.decode("utf-8", "replace"), [{"start": a, "end": b} for a, b in spans]))
             yield pd.DataFrame(out, columns=["n_words", "kept", "removed"])
@@ -300,7 +324,7 @@ def dedup(df: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFram
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     r = F.col("__r")
     removed = F.aggregate(r["removed"], F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
-    return (df.withColumn("__key", F.xxhash64(text_col)).join(found, "__key", "left")
+    return (df.withColumn("__key", F.xxhash64(text_col)).join(found.hint("merge"), "__key", "left")
             .withColumn("__r", dropped(text, F.col("__hashes"), F.coalesce("__whole", F.lit(False))))
             .withColumns({"n_words": r["n_words"], "n_removed": removed, "kept": r["kept"], "removed": r["removed"]})
             .drop("__key", "__hashes", "__whole", "__r"))
