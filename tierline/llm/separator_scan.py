@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierline.llm.common import shuffle_partitions, staged
+from tierline.llm.common import bounded_batches, shuffle_partitions, staged
 
 BLOCK_TOKENS = 1 << 21
 #: Blocks scanned together before the scan over their totals.
@@ -63,7 +63,7 @@ def write_tokens(docs: DataFrame, folder: str, make: Callable[[], Callable[[str]
             if out is not None:
                 out.close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     # written out, so that the listing names the files of the attempts that counted
     return staged(rows.mapInPandas(write, "file string, ordinal long, doc_id long"), "token-files")
 
@@ -121,7 +121,7 @@ def scan(files: DataFrame, separator: int, dtype: str = "<u2", block_tokens: int
     chunks = (found.groupBy("file", "chunk").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
               .select("file", "chunk", F.sum("n").over(over).alias("chunk_n"), F.max("last").over(over).alias("chunk_last")))
     before = (found.withColumns({"in_n": F.sum("n").over(inside), "in_last": F.max("last").over(inside)})
-              .join(chunks, ["file", "chunk"])
+              .join(chunks.hint("merge"), ["file", "chunk"])
               .select("file", "block", (F.coalesce("in_n", F.lit(0)) + F.coalesce("chunk_n", F.lit(0))).alias("n"),
                       F.greatest(F.coalesce("in_last", F.lit(-1)), F.coalesce("chunk_last", F.lit(-1))).alias("last")))
     return (before.repartition(tasks, "file", "block")
@@ -132,5 +132,6 @@ def token_counts(docs: DataFrame, folder: str, make: Callable[[], Callable[[str]
                  dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and n_tokens of every text, counted in the files written for it."""
     listed = write_tokens(docs, folder, make, separator, dtype, id_col, text_col)
-    return (scan(listed, separator, dtype).join(listed, ["file", "ordinal"])
+    # the listing packs small on disk and is one row a document in memory
+    return (scan(listed, separator, dtype).join(listed.hint("merge"), ["file", "ordinal"])
             .select("doc_id", "n_tokens"))
