@@ -25,10 +25,12 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID learned from the labelled rows; rejects texts without a
-    letter and those no language explains with at least LEAST_SCORE.  Stays:
-    every column as it was."""
-    scored = langid.predict(docs.withColumn("__text", F.col("text")), langid.fit(docs), "__text")
-    kept = scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    letter, those whose best language has less than LEAST_SCORE, and those that
+    no language explains.  Stays: every column as it was."""
+    model = langid.fit(docs)
+    found = langid.explain(docs, model, out="__fit")
+    least = langid.limits(found, "__fit")
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & langid.explained(least, "__fit"))
     return kept.select(*docs.columns)
 
 

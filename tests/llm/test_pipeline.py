@@ -64,3 +64,12 @@ def test_run_equals_the_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == stages[5].columns
     assert 0 < got.count() <= docs.count()
+
+
+def test_language_stage_rejects_what_no_language_explains(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    foreign = ["今天天气很好我们一起去公园散步然后去吃饭", "今天2024年天气很好，我们一起去公园散步", "сегодня хорошая погода и мы пойдем гулять в парк вместе",
+               "tänään on kaunis sää ja menemme yhdessä puistoon kävelemään ja syömään", "xkcd qzvw 9f8a jqxz wvkq pzzt mnbv qwrt " * 5]
+    extra = [(10 ** 6 + n, t, label, "s", len(t)) for n, (t, label) in enumerate((t, x) for t in foreign for x in (None, "en"))]
+    got = corpus_pipeline.language(spark, docs.union(spark.createDataFrame(extra, docs.schema)), SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in docs.collect())
