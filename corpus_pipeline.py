@@ -7,7 +7,7 @@ stage's ``docs``.  All but the last return the columns of ``documents``.
 
 Rows with null texts have no language and go at the first stage.  A stage
 decides on the rows it is given; repeated rows are decided alike, except that
-near-duplicate removal keeps the rows of one document id a group.
+near-duplicate removal keeps one row of each group.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierline.llm import bpe, decontaminate, langid, ngram_join, pii
-from tierline.llm.common import staged, table
+from tierline.llm.common import numbered, staged, table
 from tierline.llm.queries import PATTERN, RANKS
 
 #: A document whose best language has less than this is rejected.
@@ -35,15 +35,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8 the
-    smallest document id stays; its repeated rows become one.  Rows without an
-    id cannot be named in a group and stay."""
-    groups = ngram_join.join(docs.where(F.col("doc_id").isNotNull()), n=5, num=80, den=100)
-    keep = groups.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).select("doc_id").distinct()
-    # the join deals by doc_id, which also serves the repeated rows
-    named = (docs.join(keep, "doc_id", "left_semi").withColumn("__same", F.xxhash64("text"))
-             .dropDuplicates(["doc_id", "__same"]).select(*docs.columns))
-    return named.union(docs.where(F.col("doc_id").isNull()))
+    """Of each group linked by five-word shingles at a similarity of 0.8 one
+    row stays: that with the smallest document id, and of several such rows the
+    first.  Rows with repeated ids or none take part as any other; a null id
+    comes after all others.  Texts without words are linked with nothing."""
+    rows = numbered(docs, "__row")
+    groups = (ngram_join.join(rows, id_col="__row", n=5, num=80, den=100)
+              .select(F.col("doc_id").alias("__row"), "component_id"))
+    first = (rows.select("__row", "doc_id").join(groups, "__row").groupBy("component_id")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("first"))
+             .select("first.__row"))
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,20 @@ def test_language_stage_rejects_what_no_language_explains(spark):
     extra = [(10 ** 6 + n, t, label, "s", len(t)) for n, (t, label) in enumerate((t, x) for t in foreign for x in (None, "en"))]
     got = corpus_pipeline.language(spark, docs.union(spark.createDataFrame(extra, docs.schema)), SF)
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+@pytest.mark.parametrize("written", [True, False])
+def test_near_duplicate_stage_goes_by_row(spark, tmpdir_path, written):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(60)) for c in "abcd")
+    rows = [(7, one), (7, one + " end"), (7, one), (7, "other end " + one),        # one id, near copies
+            (2, two), (5, two + " end"), (5, three),                               # the second 5 belongs to 2
+            (None, three + " end"), (None, four), (None, four), (None, four + " end"), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", n) for n, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    if written:
+        docs.repartition(3).write.parquet(f"{tmpdir_path}/docs")
+        docs = spark.read.parquet(f"{tmpdir_path}/docs")
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, next((c for c in "abcd" if f"{c}0 " in r.text), "")) for r in out.collect()]
+    assert sorted(got, key=repr) == [(2, "b"), (5, "c"), (7, "a"), (9, ""), (None, "d")]

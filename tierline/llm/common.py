@@ -41,6 +41,19 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, col: str) -> DataFrame:
+    """``df`` with a number of its own for every row in ``col``.  It follows
+    from the row's file and its place there, so every reading and every retry
+    gives the same; what is not files as read is written first."""
+    if not df._jdf.queryExecution().analyzed().children().isEmpty() or not df.inputFiles():
+        df = staged(df, "numbered")
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    files = sorted(r[0] for r in rows.select("__file").distinct().collect())          # names only
+    starts = df.sparkSession.createDataFrame([(f, n << 40) for n, f in enumerate(files)], "__file string, __start long")
+    return (rows.join(F.broadcast(starts), "__file").withColumn(col, F.col("__start") + F.col("__at"))
+            .select(*df.columns, col))
+
+
 class shuffle_cleanup:
     """Drop the shuffle files of the jobs inside as soon as each job ends, so
     that disk holds one step's shuffle and not the sum over all steps."""
