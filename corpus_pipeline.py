@@ -49,8 +49,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, within the error budget, go."""
-    marked = decontaminate.match(docs, table(spark, sf_dir, "benchmark"), out="__matches")
+    """Documents that hold a benchmark item, within the error budget, go;
+    items without an id count as any other."""
+    marked = decontaminate.match(docs, table(spark, sf_dir, "benchmark"), out="__matches", null_ids=True)
     return marked.where(F.size("__matches") == 0).drop("__matches")
 
 

@@ -283,6 +283,21 @@ def test_matches_equal_brute_force(spark, monkeypatch, block):
     assert decontaminate.match(df, bench.where("item_id < 0")).where(F.size("matches") > 0).count() == 0
 
 
+def test_items_without_an_id_are_found(spark, tmpdir_path):
+    import corpus_pipeline
+    from tierline.llm.queries import op10_decontaminate
+
+    passages = ["the quick brown fox jumps over the lazy dog", "pack my box with five dozen liquor jugs", "sphinx of black quartz judge my vow"]
+    docs = [(1, f"before {passages[0]} after"), (2, "nothing of it"), (3, f"{passages[1]} and {passages[2]}"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame([(None, passages[0]), (None, passages[0]), (None, passages[1]), (7, passages[2]), (None, None), (None, "...")],
+                          "item_id long, text string").write.parquet(f"{tmpdir_path}/benchmark.parquet")
+    got = [tuple(r) for r in op10_decontaminate(spark, tmpdir_path).collect()]
+    assert sorted(got, key=repr) == [(1, None, 0, 50), (3, 7, 0, len(docs[2][1])), (3, None, 0, 39)]
+    left = corpus_pipeline.benchmark_leaks(spark, spark.read.parquet(f"{tmpdir_path}/documents.parquet"), tmpdir_path)
+    assert sorted(r.doc_id for r in left.collect()) == [2, 4]
+
+
 def test_decontamination_query_finds_planted_items(spark):
     from tierline.llm.queries import op10_decontaminate
 

@@ -15,6 +15,8 @@ Defined results: null and empty texts hold nothing; items without a letter or
 digit match nothing; an item that occurs several times in a text is reported
 once, with its smallest distance and the end of the first place that has it
 (offsets in the compared form).  Repeated items (same id and text) count once.
+Items without an id take no part unless ``null_ids`` is set: then each text
+among them is an item of its own, reported with a null id after the others.
 Other columns pass through; the result column replaces one of the same name.
 """
 
@@ -86,7 +88,7 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    def __init__(self, items: tuple[tuple[int, str], ...], rate: float):
+    def __init__(self, items: tuple[tuple[int | None, str], ...], rate: float):
         self.items = [(i, t, budget(t, rate)) for i, t in items if t]
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, text, errors) in enumerate(self.items):
@@ -128,22 +130,22 @@ class Matcher:
                         break
             if best:
                 out.append({"item_id": item_id, "distance": best[0], "end": best[1]})
-        return sorted(out, key=lambda x: x["item_id"])
+        return sorted(out, key=lambda x: (x["item_id"] is None, x["item_id"] or 0))
 
 
 @functools.lru_cache(maxsize=2)
-def _matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
+def _matcher(items: tuple[tuple[int | None, str], ...], rate: float) -> Matcher:
     return Matcher(items, rate)
 
 
-def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[tuple[int, str], ...]]:
+def _item_blocks(items: DataFrame, id_col: str, text_col: str, null_ids: bool) -> Iterator[tuple[tuple[int | None, str], ...]]:
     rows = (items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-            .where(F.col("i").isNotNull() & F.col("t").isNotNull()).distinct())
+            .where((F.col("i").isNotNull() | F.lit(null_ids)) & F.col("t").isNotNull()).distinct())
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     for b in range(n):
         got = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()
-        yield tuple(sorted({(r["i"], compared(r["t"])) for r in got}))
+        yield tuple(sorted({(r["i"], compared(r["t"])) for r in got}, key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
 
 def _matched(items, rate: float):
@@ -157,11 +159,11 @@ def _matched(items, rate: float):
 
 
 def match(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
-          item_text: str = "text", rate: float = ERROR_RATE, out: str = "matches") -> DataFrame:
+          item_text: str = "text", rate: float = ERROR_RATE, out: str = "matches", null_ids: bool = False) -> DataFrame:
     """``docs`` with the benchmark items each whole text holds."""
     context = bounded_batches(docs).sparkSession.sparkContext
     found = F.array().cast(MATCHES)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    for block in _item_blocks(items, item_id, item_text):
+    for block in _item_blocks(items, item_id, item_text, null_ids):
         found = F.concat(found, _matched(context.broadcast(block), rate)(text))
     return docs.withColumn(out, found)
