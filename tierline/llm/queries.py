@@ -5,12 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tierline.llm import bpe, decontaminate, langid, license_scan, ngram_join, oracles, pii, quality, separator_scan, substring_dedup, topk
+from tierline.llm import align, bpe, decontaminate, langid, license_scan, ngram_join, oracles, pii, quality, separator_scan, substring_dedup, topk
 from tierline.llm.common import crc_mod, table
 from tierline.session import scratch_dir
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+A_SIDE, B_SIDE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: An id beside the 50,256 ranks of the file.
 END_OF_DOCUMENT = 50256
 
@@ -97,6 +98,12 @@ def op10_decontaminate(spark, sf_dir):
             .select("doc_id", "m.item_id", "m.distance", F.col("m.end").alias("match_end")))
 
 
+def op12_align(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align(docs, A_SIDE, B_SIDE).withColumn(
+        "groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))).drop("groups")
+
+
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_token_counts": (op2_token_counts, None),
@@ -108,4 +115,5 @@ QUERIES = {
     "op8_pii": (op8_pii, None),
     "op9_substring_dedup": (op9_substring_dedup, oracles.REPEATS),
     "op10_decontaminate": (op10_decontaminate, None),
+    "op12_align": (op12_align, None),
 }
