@@ -108,3 +108,45 @@ reach(row, other) AS (
 least AS (SELECT reach.row, min(s.doc_id) AS component_id FROM reach JOIN s ON reach.other = s.row GROUP BY reach.row)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN least USING (row)
 """
+
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)),
+    lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+s AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos < h
+  UNION ALL
+  SELECT c.conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos >= h),
+u AS (
+  SELECT conv_id, row_number() OVER own AS depth, strlen(text) AS bytes,
+    string_agg(md5(length(role) || ':' || role || text), ' ') OVER own AS key
+  FROM s WINDOW own AS (PARTITION BY conv_id ORDER BY part, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (
+  SELECT conv_id, depth, bytes, key FROM u
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+last AS (SELECT conv_id, max(depth) AS len FROM p GROUP BY conv_id),
+node AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY key, depth),
+parent AS (
+  SELECT node.key, node.depth, above.key AS above, up.conv_id AS parent_conv_id
+  FROM node JOIN p AS above ON above.conv_id = node.conv_id AND above.depth = node.depth - 1
+  JOIN node AS up ON up.key = above.key AND up.depth = above.depth),
+child AS (SELECT above AS key, depth - 1 AS depth, count(*) AS n_children FROM parent GROUP BY above, depth),
+own AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children, parent_conv_id
+  FROM node LEFT JOIN child USING (key, depth) LEFT JOIN parent USING (key, depth)),
+below AS (
+  SELECT p.key, p.depth, count(*) FILTER (own.n_children = 0) AS n_leaves, sum((own.n_convs - 1) * own.bytes) AS saved
+  FROM own JOIN p ON p.conv_id = own.conv_id AND p.depth <= own.depth GROUP BY p.key, p.depth),
+ends AS (
+  SELECT p.key, p.depth, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM p JOIN last USING (conv_id) WHERE depth = len GROUP BY p.key, p.depth)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN below USING (key, depth) LEFT JOIN ends USING (key, depth)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tierline.llm import align, bpe, decontaminate, langid, license_scan, ngram_join, oracles, pii, quality, separator_scan, substring_dedup, topk
+from tierline.llm import align, bpe, decontaminate, langid, license_scan, ngram_join, oracles, pii, quality, separator_scan, substring_dedup, topk, trie
 from tierline.llm.common import crc_mod, table
 from tierline.session import scratch_dir
 
@@ -104,6 +104,12 @@ def op12_align(spark, sf_dir):
         "groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))).drop("groups")
 
 
+def op13_prefix_trie(spark, sf_dir):
+    turns = trie.placed(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    turns, convs = trie.spliced(turns, lambda c: c - c % 5, lambda c: F.crc32(c.cast("string").cast("binary")) % 9, most_head=8)
+    return trie.trie(turns, convs)
+
+
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_token_counts": (op2_token_counts, None),
@@ -116,4 +122,5 @@ QUERIES = {
     "op9_substring_dedup": (op9_substring_dedup, oracles.REPEATS),
     "op10_decontaminate": (op10_decontaminate, None),
     "op12_align": (op12_align, None),
+    "op13_prefix_trie": (op13_prefix_trie, oracles.PREFIX_TRIE),
 }
