@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tierline.llm import align, bpe, decontaminate, langid, license_scan, ngram_join, oracles, pii, quality, separator_scan, substring_dedup, topk, trie
+from tierline.llm import align, bpe, decontaminate, langid, license_scan, ngram_join, oracles, pii, quality, secret_scan, separator_scan, substring_dedup, topk, trie
 from tierline.llm.common import crc_mod, table
 from tierline.session import scratch_dir
 
@@ -98,6 +98,19 @@ def op10_decontaminate(spark, sf_dir):
             .select("doc_id", "m.item_id", "m.distance", F.col("m.end").alias("match_end")))
 
 
+def op11_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.detect(docs, secret_scan.fit(docs)).drop("text")
+    base = F.filter("secrets", lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in secret_scan.KINDS],
+                        F.sha2(secret_scan.digest(base).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.digest(F.col("secrets")).alias("spans"))
+
+
 def op12_align(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return align.align(docs, A_SIDE, B_SIDE).withColumn(
@@ -121,6 +134,7 @@ QUERIES = {
     "op8_pii": (op8_pii, None),
     "op9_substring_dedup": (op9_substring_dedup, oracles.REPEATS),
     "op10_decontaminate": (op10_decontaminate, None),
+    "op11_secret_scan": (op11_secret_scan, None),
     "op12_align": (op12_align, None),
     "op13_prefix_trie": (op13_prefix_trie, oracles.PREFIX_TRIE),
 }

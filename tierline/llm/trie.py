@@ -217,6 +217,10 @@ def _ends(full: DataFrame) -> DataFrame:
     texts = (full.groupBy(*_P, block.alias("block"))
              .agg(F.array_join(F.transform(F.sort_array(F.collect_list("conv")), lambda c: c.cast("string")), ",").alias("ids")))
 
+    def frame(done: list[tuple]) -> pd.DataFrame:
+        lanes = {c: np.array([d[k] for d in done], np.int64) for k, c in enumerate(_P)}
+        return pd.DataFrame(lanes | {"ends_sha256": pd.Series([d[3] for d in done], dtype=object)})
+
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         node, state, done = None, None, []
         for b in batches:
@@ -227,10 +231,10 @@ def _ends(full: DataFrame) -> DataFrame:
                     node, state = key, hashlib.sha256(ids.encode())
                 else:
                     state.update(b"," + ids.encode())
-            yield pd.DataFrame(done, columns=[*_P, "ends_sha256"]).astype(dict.fromkeys(_P, "int64"))
+            yield frame(done)
             done = []
         if node:
-            yield pd.DataFrame([(*node, state.hexdigest())], columns=[*_P, "ends_sha256"])
+            yield frame([(*node, state.hexdigest())])
 
     return (texts.repartition(shuffle_partitions(full.sparkSession), *_P).sortWithinPartitions(*_P, "block")
             .select(*_P, "ids").mapInPandas(digests, "p0 long, p1 long, p2 long, ends_sha256 string"))
