@@ -75,3 +75,33 @@ def test_scoped_query_reaches_nothing_else(spark, tmpdir_path):
     assert run("SELECT c.n FROM GOLD.counts c JOIN gold.counts AS d ON c.id = d.id WHERE c.id IN (SELECT id FROM gold.counts WHERE n = 6)").first().n == 6
     assert run("WITH counts AS (SELECT n FROM gold.counts), b AS (SELECT n + 1 AS n FROM counts) SELECT sum(n) AS s FROM b").first().s == 13
     assert run("SELECT count(*) AS c FROM gold.counts UNION ALL SELECT 7").count() == 2
+
+
+def test_scoped_query_calls_only_granted_functions(spark):
+    gold = spark.createDataFrame([(1, 5), (2, 6)], "id int, n int")
+    run = lambda sql, role="owner": G.run_query(spark, sql, role, {"gold.counts": gold})
+    spark.udf.register("own_function", lambda x: x)
+    home = "'java.lang.System', 'getProperty', 'user.home'"
+    for call in (f"`reflect`({home})", f"reflect /**/ ({home})", f"reflect\n--x\n({home})", f"`java_method`({home})", f"Try_Reflect({home})",
+                 f"builtin.reflect({home})", f"IDENTIFIER('reflect')({home})", f"IDENTIFIER('ref' || 'lect')({home})", "own_function(n)", "nothing(n)",
+                 "spark_catalog.default.f(n)", "input_file_name()", "current_user()", "version()", "raise_error('x')"):
+        for sql in (f"SELECT {call} AS x FROM gold.counts", f"SELECT n FROM gold.counts WHERE {call} IS NOT NULL",
+                    f"SELECT n FROM gold.counts ORDER BY {call}", f"SELECT max({call}) AS x FROM gold.counts GROUP BY {call}",
+                    f"SELECT sum(n) OVER w AS s FROM gold.counts WINDOW w AS (PARTITION BY {call})", f"SELECT * FROM VALUES ({call}) AS t(a)",
+                    f"WITH c AS (SELECT {call} AS x) SELECT * FROM c", f"SELECT CASE WHEN n > 1 THEN {call} ELSE 'a' END AS x FROM gold.counts",
+                    f"SELECT n FROM gold.counts WHERE EXISTS (SELECT {call})", f"SELECT transform(array(n), x -> {call}) AS x FROM gold.counts",
+                    f"SELECT e FROM gold.counts LATERAL VIEW explode(array({call})) t AS e", f"SELECT n FROM gold.counts LIMIT length({call})",
+                    f"SELECT * FROM gold.counts PIVOT (max({call}) FOR n IN (5, 6))", f"SELECT a.n FROM gold.counts a JOIN gold.counts b ON a.n = {call}"):
+            with pytest.raises(G.QueryDenied):
+                run(sql)
+    with pytest.raises(G.QueryDenied):
+        run("SELECT e FROM gold.counts LATERAL VIEW own_function(n) t AS e")
+    for sql, want in (("SELECT 'reflect(x)' AS s, n FROM gold.counts WHERE n = 6", "reflect(x)"), ("SELECT upper('a') AS s", "A"),
+                      ("SELECT `reflect` AS s FROM (SELECT n AS reflect FROM gold.counts WHERE n = 5)", 5),
+                      ("SELECT date_format(DATE'2024-01-02', 'yyyy') AS s", "2024"), ("SELECT coalesce(nullif(n, 6), -1) AS s FROM gold.counts WHERE id = 2", -1),
+                      ("SELECT first(e) AS s FROM gold.counts LATERAL VIEW explode(array(n)) t AS e WHERE n = 5", 5),
+                      ("SELECT row_number() OVER (ORDER BY n) AS s FROM gold.counts ORDER BY 1 DESC LIMIT 1", 2),
+                      ("SELECT get_json_object(to_json(named_struct('a', n)), '$.a') AS s FROM gold.counts WHERE n = 5", "5"),
+                      ("SELECT percentile_approx(n, 0.5) AS s FROM gold.counts", 5), ("SELECT typeof(n) AS s FROM gold.counts LIMIT 1", "int"),
+                      ("SELECT count(*) FILTER (WHERE n > 5) AS s FROM gold.counts", 1), ("SELECT year(to_timestamp('2024-05-01')) AS s", 2024)):
+        assert run(sql).first().s == want

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from py4j.java_gateway import JavaObject, is_instance_of
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,8 +103,70 @@ _QUERY_PARTS = frozenset((
     "Join", "LateralJoin", "AsOfJoin", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "UnresolvedInlineTable",
     "UnresolvedSubqueryColumnAliases", "WithWindowDefinition", "Window", "Generate", "OneRowRelation", "Pivot", "Unpivot", "Expand",
     "OrderByAll", "UnresolvedOrdinal"))
-#: Functions that reach out of the query.
-_OUTSIDE = re.compile(r"\b(?:try_)?(?:reflect|java_method)\s*\(", re.IGNORECASE)
+#: Function groups of the session's registry that compute from their arguments.
+_FUNCTION_GROUPS = frozenset((
+    "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "csv_funcs", "datetime_funcs",
+    "date_funcs", "generator_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "operator_funcs", "predicate_funcs",
+    "string_funcs", "struct_funcs", "url_funcs", "variant_funcs", "window_funcs", "xml_funcs"))
+#: The others that are granted one by one.
+_OTHER_FUNCTIONS = frozenset(("typeof", "uuid", "current_date", "current_timestamp", "now", "localtimestamp", "coalesce", "equal_null"))
+#: Unresolved parts of expressions that name columns, or functions judged by name.
+_OPEN_EXPRESSIONS = frozenset((
+    "UnresolvedAttribute", "UnresolvedStar", "UnresolvedStarExceptOrReplace", "UnresolvedRegex", "UnresolvedAlias", "UnresolvedExtractValue",
+    "UnresolvedNamedLambdaVariable", "UnresolvedWindowExpression", "UnresolvedFunction", "UnresolvedGenerator", "UnresolvedOrdinal"))
+
+
+def _parsed_parts(gateway, part):
+    """All nodes of a parsed statement: plans, expressions, and those held in
+    lists, maps, options and tuples of them."""
+    if not isinstance(part, JavaObject):
+        return
+    if is_instance_of(gateway, part, "org.apache.spark.sql.catalyst.trees.TreeNode"):
+        yield part
+        inner = part.productIterator()
+    elif is_instance_of(gateway, part, "scala.collection.IterableOnce"):
+        inner = part.iterator()
+    elif is_instance_of(gateway, part, "scala.Product"):
+        inner = part.productIterator()
+    else:
+        return
+    while inner.hasNext():
+        yield from _parsed_parts(gateway, inner.next())
+
+
+def _granted(spark: SparkSession, parts: list[str]) -> bool:
+    """Whether a called function is one of Spark's own that only computes.
+    The session's registry says what the name stands for now, so neither a
+    session function nor one that took a built-in name is granted."""
+    if len(parts) != 1:
+        return False
+    jvm = spark._jvm
+    name = jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(parts[0].lower())
+    found = spark._jsparkSession.sessionState().functionRegistry().lookupFunction(name)
+    if found.isEmpty():
+        return False
+    info = found.get()
+    if info.getSource() != "built-in" or info.getClassName().endswith("CallMethodViaReflection"):
+        return False
+    return info.getGroup() in _FUNCTION_GROUPS or parts[0].lower() in _OTHER_FUNCTIONS
+
+
+def _judge_expressions(spark: SparkSession, plan) -> None:
+    """Deny every function that is not granted, and names made at run time."""
+    for part in _parsed_parts(spark.sparkContext._gateway, plan):
+        kind = part.getClass().getSimpleName()
+        if is_instance_of(spark.sparkContext._gateway, part, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"):
+            continue                                 # judged with the relations
+        if kind == "UnresolvedFunction":
+            names = _sequence(part.nameParts())
+        elif kind == "UnresolvedGenerator":
+            names = [part.name().funcName()] if part.name().database().isEmpty() else ["", ""]
+        elif ("Unresolved" in kind or "Parameter" in kind or "UDF" in kind or "Reflection" in kind) and kind not in _OPEN_EXPRESSIONS:
+            raise QueryDenied(f"{kind} is not allowed in a query")
+        else:
+            continue
+        if not _granted(spark, names):
+            raise QueryDenied(f"function {'.'.join(names)} is not granted")
 
 
 def _sequence(seq) -> list:
@@ -142,16 +205,17 @@ def run_query(spark: SparkSession, sql: str, role: str | None,
     Spark's parser reads the statement.  It must be a query, and every table
     it names (in subqueries and WITH clauses too) must be a ``layer.name`` key
     of ``tables`` in one of the role's layers; files, views, catalog tables and
-    writes are denied.  Exactly the parsed names are replaced by the frames,
+    writes are denied, for every role.  So is every function but those of
+    Spark's own that compute from their arguments, wherever in the statement
+    and however spelled.  Exactly the parsed names are replaced by the frames,
     each masked (G4) *before* the query, so an alias cannot unmask a column
     (Q4) and a literal that looks like a table name stays a literal.
     """
-    if _OUTSIDE.search(sql):
-        raise QueryDenied("functions that run code outside the query are not allowed")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except ParseException as exc:
         raise QueryDenied("not a query") from exc
+    _judge_expressions(spark, plan)
     allowed, bound, at, text = set(layers_for(role)), {}, 0, []
     quoted = lambda s: s.replace("{", "{{").replace("}", "}}")
     for first, last, parts in sorted(_relations(plan)):

@@ -113,6 +113,44 @@ def q_config_overlay(spark, sf_dir):
     return G.config_overlay(t.select("id"), stored)
 
 
+#: (role, statement, part of the customers it must return; none: denied)
+_STATEMENTS = [
+    ("viewer", "SELECT customer_id FROM silver.customers", None),
+    ("analyst", "SELECT customer_id FROM silver.customers WHERE segment = 'BUILDING'", "c_mktsegment = 'BUILDING'"),
+    ("owner", "SELECT `reflect`('java.lang.System', 'getProperty', 'user.home') AS h FROM silver.customers", None),
+    ("owner", "SELECT reflect /* a */ ('java.lang.System', 'getProperty', 'user.home') AS h FROM silver.customers", None),
+    ("admin", "SELECT customer_id FROM silver.customers ORDER BY `java_method`('java.lang.System', 'getProperty', 'user.home')", None),
+    ("admin", "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home') FROM silver.customers", None),
+    ("analyst", "SELECT sum(customer_id) OVER w AS s FROM silver.customers WINDOW w AS (ORDER BY try_reflect('a', 'b'))", None),
+    ("analyst", "SELECT no_such_function(customer_id) AS x FROM silver.customers", None),
+    ("analyst", "SELECT input_file_name() AS x FROM silver.customers", None),
+    ("analyst", "SELECT customer_id, 'reflect(x)' AS note FROM silver.customers WHERE segment <> 'reflect(''a'')'", "true"),
+    ("engineer", "WITH c AS (SELECT upper(segment) AS s, transform(array(customer_id), x -> x + 1) AS n FROM silver.customers) "
+                 "SELECT s, n[0] AS n FROM c WHERE s LIKE 'A%' AND n[0] IN (SELECT customer_id + 1 FROM silver.customers)", "c_mktsegment LIKE 'A%'"),
+    ("analyst", "SELECT segment, count(*) AS n, max(concat_ws('-', segment, customer_id)) AS m FROM silver.customers GROUP BY segment "
+                "HAVING count(*) > 0", "c_custkey IN (SELECT min(c_custkey) FROM customer GROUP BY c_mktsegment)"),
+]
+
+
+def q_scoped_statements(spark, sf_dir):
+    """G6 what a role's statement may do: for each, whether it is allowed, and
+    the number of rows that it returns."""
+    tables = {"silver.customers": _customers(spark, sf_dir)}
+    out = None
+    for n, (role, sql, _) in enumerate(_STATEMENTS):
+        try:
+            got, allowed = G.run_query(spark, sql, role, tables), True
+        except G.QueryDenied:
+            got, allowed = tables["silver.customers"].limit(0), False
+        row = got.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("statement"), F.lit(role).alias("role"), F.lit(allowed).alias("allowed"), "n_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+SQL_SCOPED_STATEMENTS = "\nUNION ALL\n".join(
+    f"SELECT {n} AS statement, '{role}' AS role, {'false' if part is None else 'true'} AS allowed, count(*) AS n_rows "
+    f"FROM customer WHERE {part or 'false'}" for n, (role, _, part) in enumerate(_STATEMENTS))
+
 _DEF_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in G.CONFIG_DEFAULTS.items())
 SQL_CONFIG_OVERLAY = f"""
 WITH d AS (SELECT * FROM (VALUES {_DEF_VALUES}) AS v(key, value)),
@@ -193,6 +231,7 @@ QUERIES = {
     "role_visible_entities": (q_role_visible_entities, SQL_ROLE_VISIBLE),
     "permission_matrix": (q_permission_matrix, SQL_PERMISSION_MATRIX),
     "scoped_query": (q_scoped_query, SQL_SCOPED_QUERY),
+    "scoped_statements": (q_scoped_statements, SQL_SCOPED_STATEMENTS),
     "config_overlay": (q_config_overlay, SQL_CONFIG_OVERLAY),
     "secret_redaction": (q_secret_redaction, SQL_SECRET_REDACTION),
 }
