@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,11 +51,14 @@ from tierline.llm.common import bounded_batches, slices, staged
 
 #: Most id pairs whose counts every task holds.
 SHARED_PAIRS = 1 << 21
-#: Units kept with their ids per worker, the longest kept, texts per numpy step.
-CACHE_UNITS, CACHE_CHARS, STEP_BYTES = 200_000, 48, 1 << 19
-#: Distinct pairs that a task holds before it writes them out, and pairs a row.
-HELD_PAIRS, ROW_PAIRS = 1 << 20, 1 << 16
+#: Units a generation of kept ones has, the longest kept, text of a numpy step.
+CACHE_UNITS, CACHE_CHARS, STEP_BYTES = 150_000, 48, 1 << 18
+#: Units that one call of A's library gets as one string.
+JOINED = 64
+#: Distinct pairs that a task holds before it writes them out, and pairs of a row.
+HELD_PAIRS, ROW_PAIRS = 1 << 19, 1 << 15
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
+_MORE_SPACE = re.compile(r"\s | \s|\A | \Z")
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
 
@@ -87,41 +91,77 @@ class Pair:
                         for i, p in enumerate(pieces)]
         self.whole = any("▁" in p.lstrip("▁") for p in pieces)
         self.n_a, self.n_b = len(self.a_bytes), len(self.b_bytes)
-        self.a_len = np.array([len(x) for x in self.a_bytes])
-        self.b_len = np.array([len(x) for x in self.b_bytes])
-        decimal = [[b"%d" % i for i in range(n)] for n in (self.n_a, self.n_b)]
-        self.printed = ([x + b"," for x in decimal[0]] + [x + b"|" for x in decimal[0]]
-                        + [x + b"," for x in decimal[1]] + [x + b";" for x in decimal[1]])
+        self.a_len = np.array([len(x) for x in self.a_bytes], np.int32)
+        self.b_len = np.array([len(x) for x in self.b_bytes], np.int32)
+        # decimal ids with a separator, filled up with zero bytes: A's before a
+        # token of the group, A's last, B's before one, B's last
+        self.printed = np.array([b"%d%s" % (i, sep) for n, seps in ((self.n_a, b",|"), (self.n_b, b",;")) for sep in (seps[:1], seps[1:])
+                                 for i in range(n)])
+        self.printed_len = np.char.str_len(self.printed)
+        self.printed = self.printed.view(np.uint8).reshape(len(self.printed), -1)
         self.kept: dict[str, tuple[bytes, bytes]] = {}
-
-    def _encode(self, units: list[str]) -> list[tuple[bytes, bytes]]:
-        """Packed ids of units; two empty strings where the bytes differ."""
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+
+    def _encode(self, units: list[str], alone: set[str]) -> list[tuple[bytes, bytes]]:
+        """Packed ids of units; two empty strings where the bytes differ.
+        Units go to A side by side, as if in one text, and are cut again at the
+        bytes where they end; but for those of ``alone``."""
+        if alone and len(units) > 1:
+            rest = [u for u in units if u not in alone]
+            coded = dict(zip(rest, self._encode(rest, set()), strict=True))
+            return [coded.get(u) or self._encode([u], alone)[0] for u in units]
         out = []
-        for unit, x, b in zip(units, self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False),
-                              self.b.encode(units, num_threads=1), strict=True):
-            a, want = x.ids, b" " + unit.encode()
-            same = (b"".join(map(self.a_bytes.__getitem__, a)) == want
-                    and b"".join(map(self.b_bytes.__getitem__, b)) == want)
-            out.append((np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else (b"", b""))
+        for lo in range(0, len(units), JOINED):
+            own = units[lo:lo + JOINED]
+            joined = "".join([" " + u for u in own])
+            a = self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            b = self.b.encode(own, num_threads=1)
+            want = joined.encode()
+            n_b = [len(x) for x in b]
+            b = [i for x in b for i in x]
+            if (b"".join(map(self.a_bytes.__getitem__, a)) == want
+                    and b"".join(map(self.b_bytes.__getitem__, b)) == want):
+                a, b = np.array(a, "<u4"), np.array(b, "<u4")
+                b_cut = np.cumsum(n_b)
+                a_cut = np.searchsorted(np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])[b_cut - 1]) + 1
+                a, b, a_cut, b_cut = a.tobytes(), b.tobytes(), (4 * a_cut).tolist(), (4 * b_cut).tolist()
+                out += [(a[x:y], b[v:w]) for x, y, v, w in zip([0, *a_cut], a_cut, [0, *b_cut], b_cut)]
+            elif len(own) == 1:
+                out.append((b"", b""))
+            else:
+                out += [ids for u in own for ids in self._encode([u], alone)]
         return out
 
+    def _units(self, text: str | None) -> list[str]:
+        if not text or "▁" in text:
+            return []
+        if self.whole:
+            return [text]
+        return _UNIT.split(text) if _MORE_SPACE.search(text) else text.split(" ")
+
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Packed ids of whole texts by A and B."""
-        cut = [[] if not t or "▁" in t else [t] if self.whole else _UNIT.split(t) for t in texts]
-        kept = self.kept
-        new = list({u for units in cut for u in units if u not in kept})
-        if len(kept) + len(new) > CACHE_UNITS:
-            kept.clear()
-            new = list({u for units in cut for u in units})
-        now = kept
-        if new:
-            coded = dict(zip(new, self._encode(new), strict=True))
-            kept.update((u, ids) for u, ids in coded.items() if len(u) <= CACHE_CHARS)
-            now = kept | coded if any(len(u) > CACHE_CHARS for u in new) else kept
+        """Packed ids of whole texts by A and B.  Units are kept in two
+        generations; those of the older one that are met again stay."""
+        cut = [self._units(t) for t in texts]
+        known = self.kept.get
+        got = [list(map(known, units)) for units in cut]
+        missing = {u for units, ids in zip(cut, got, strict=True) if None in ids
+                   for u, x in zip(units, ids, strict=True) if x is None}
+        coded = {u: self.older[u] for u in missing if u in self.older}
+        new = [u for u in missing if u not in coded]
+        # white space at a unit's end stands only at the ends of texts
+        ends = {u for units in cut if units for u in (units[0], units[-1]) if self.whole or u[0].isspace() or u[-1].isspace()}
+        coded.update(zip(new, self._encode(new, ends), strict=True))
+        self.kept.update(coded)
+        for u in new:
+            if len(u) > CACHE_CHARS:
+                del self.kept[u]
+        if len(self.kept) > CACHE_UNITS:
+            self.kept, self.older = {}, self.kept
         out = []
-        for units in cut:
-            ids = [now[u] for u in units]
-            if all(x for x, _ in ids):
+        for units, ids in zip(cut, got, strict=True):
+            ids = [x or coded[u] for u, x in zip(units, ids, strict=True)] if None in ids else ids
+            if all([x for x, _ in ids]):
                 out.append((b"".join([x for x, _ in ids]), b"".join([y for _, y in ids])))
             else:
                 out.append((b"", b""))
@@ -156,29 +196,32 @@ def shared_cuts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     The last end must be common."""
     if not len(a):
         return np.empty(0, np.int64)
-    lo, hi = np.zeros(1, np.int64), np.array([len(a) - 1])     # inner ends: [lo, hi)
-    found = [hi.copy()]
+    lo, hi = np.zeros(min(1, len(a) - 1), np.int64), np.full(min(1, len(a) - 1), len(a) - 1)     # inner ends: [lo, hi)
+    found = [np.array([len(a) - 1])]
+
+    def common(at: np.ndarray) -> np.ndarray:
+        ends = a[at]
+        return b[np.searchsorted(b, ends)] == ends              # b's last end is a's last
+
     while len(lo):
         mid = (lo + hi) >> 1
-        hit = np.full(len(lo), -1)
-        todo = np.arange(len(lo))
-        for step in range(8):
-            for at in (mid[todo] + step, mid[todo] - step) if step else (mid[todo],):
-                inside = np.flatnonzero((at >= lo[todo]) & (at < hi[todo]) & (hit[todo] < 0))
-                ends = a[at[inside]]
-                place = np.searchsorted(b, ends)
-                good = inside[b[np.minimum(place, len(b) - 1)] == ends]
-                hit[todo[good]] = at[good]
-            left = mid[todo] - step <= lo[todo]
-            todo = todo[(hit[todo] < 0) & ~(left & (mid[todo] + step >= hi[todo] - 1))]
+        hit = np.where(common(mid), mid, -1)
+        todo = np.flatnonzero(hit < 0)
+        for step in range(1, 9):
             if not len(todo):
                 break
+            for at, inside in ((mid[todo] - step, mid[todo] - step >= lo[todo]), (mid[todo] + step, mid[todo] + step < hi[todo])):
+                inside = np.flatnonzero(inside & (hit[todo] < 0))
+                good = inside[common(at[inside])]
+                hit[todo[good]] = at[good]
+            todo = todo[(hit[todo] < 0) & ((mid[todo] - step > lo[todo]) | (mid[todo] + step < hi[todo] - 1))]
         for k in todo.tolist():
             hit[k] = _near(a, b, int(lo[k]), int(hi[k]), int(mid[k]), 8)
         split = np.flatnonzero(hit >= 0)
-        cut = hit[split]
+        cut, lo, hi = hit[split], lo[split], hi[split]
         found.append(cut)
-        lo, hi = np.concatenate([lo[split], cut + 1]), np.concatenate([cut, hi[split]])
+        # halves side by side: intervals stay in order
+        lo, hi = np.stack([lo, cut + 1], 1).ravel(), np.stack([cut, hi], 1).ravel()
         more = lo < hi
         lo, hi = lo[more], hi[more]
     return np.sort(np.concatenate(found))
@@ -189,9 +232,9 @@ class Step:
 
     def __init__(self, p: Pair, a: list[bytes], b: list[bytes]):
         self.p = p
-        self.a, self.b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (a, b))
+        self.a, self.b = (np.frombuffer(b"".join(x), "<u4").astype(np.int32) for x in (a, b))
         self.per_a, self.per_b = (np.array([len(t) >> 2 for t in x], np.int64) for x in (a, b))
-        self.a_end, self.b_end = np.cumsum(p.a_len[self.a]), np.cumsum(p.b_len[self.b])
+        self.a_end, self.b_end = (np.cumsum(x, dtype=np.int32) for x in (p.a_len[self.a], p.b_len[self.b]))
         self.last = np.cumsum(self.per_a) - 1            # of each text, in a; meaningless for those without tokens
 
     def groups(self) -> None:
@@ -204,7 +247,7 @@ class Step:
         ends = np.sort(np.concatenate([self.a_end, self.b_end]), kind="stable")
         ends = ends[np.concatenate([ends[1:] != ends[:-1], [True]])] if len(ends) else ends
         self.link_end = ends
-        return (self.a[np.searchsorted(self.a_end, ends)] * self.p.n_b + self.b[np.searchsorted(self.b_end, ends)])
+        return self.a[np.searchsorted(self.a_end, ends)].astype(np.int64) * self.p.n_b + self.b[np.searchsorted(self.b_end, ends)]
 
     def per_text(self, ends: np.ndarray) -> np.ndarray:
         """How many of the ascending byte ends lie in each text."""
@@ -225,12 +268,10 @@ class Step:
         if len(self.a):
             out[np.arange(len(self.a)) + before[group_a]] = code_a
             out[np.arange(len(self.b)) + self.a_cut[group_b] + 1] = code_b
-        words, text, at = p.printed.__getitem__, [], 0
-        codes = out.tolist()
-        for n in (self.per_a + self.per_b).tolist():
-            text.append(b"".join(map(words, codes[at:at + n]))[:-1].decode())
-            at += n
-        return text
+        flat = p.printed[out].ravel()
+        flat = flat[flat != 0].tobytes()
+        end = np.concatenate([[0], np.cumsum(p.printed_len[out])])[np.cumsum(self.per_a + self.per_b)].tolist()
+        return [flat[x:y - 1].decode() if y > x else "" for x, y in zip([0, *end[:-1]], end, strict=True)]
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -244,69 +285,71 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class _Held:
-    """Counts by pair, merged as they come."""
+    """Counts by pair: merged ones, and the latest not yet merged."""
 
     def __init__(self):
-        self.parts, self.size = [], 0
+        self.codes = self.counts = np.empty(0, np.int64)
+        self.new, self.size = [], 0
 
     def add(self, codes: np.ndarray) -> None:
         if len(codes):
-            self.parts.append(np.unique(codes, return_counts=True))
-            self.size += len(self.parts[-1][0])
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        codes, inverse = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
-        counts = np.zeros(len(codes), np.int64)
-        np.add.at(counts, inverse, np.concatenate([n for _, n in self.parts]))
-        self.parts, self.size = [(codes, counts)], len(codes)
-        return codes, counts
+            self.new.append(np.unique(codes, return_counts=True))
+            self.size += len(self.new[-1][0])
+        if self.size > max(HELD_PAIRS >> 2, len(self.codes)):
+            self.merge()
+
+    def merge(self) -> None:
+        codes = np.concatenate([self.codes, *[c for c, _ in self.new]])
+        counts = np.concatenate([self.counts, *[n for _, n in self.new]])
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+        self.codes, self.counts = codes[first], np.add.reduceat(counts, first) if len(first) else counts
+        self.new, self.size = [], 0
 
     def flush(self, all_of_it: bool) -> Iterator[tuple[bytes, bytes]]:
-        if not self.parts or not (all_of_it or self.size > 4 * HELD_PAIRS):
-            return
-        codes, counts = self.merged()
-        if all_of_it or len(codes) > HELD_PAIRS:
-            for lo in range(0, len(codes), ROW_PAIRS):
-                yield codes[lo:lo + ROW_PAIRS].tobytes(), counts[lo:lo + ROW_PAIRS].tobytes()
-            self.parts, self.size = [], 0
+        if all_of_it:
+            self.merge()
+        if all_of_it or len(self.codes) > HELD_PAIRS:
+            for lo in range(0, len(self.codes), ROW_PAIRS):
+                yield self.codes[lo:lo + ROW_PAIRS].tobytes(), self.counts[lo:lo + ROW_PAIRS].tobytes()
+            self.codes = self.counts = np.empty(0, np.int64)
 
 
 def _tokens(df: DataFrame, a_path: str, b_path: str, text_col: str) -> DataFrame:
-    """Rows of kind 0: ``df`` with packed ids and a row number; of kind 1: id
-    pairs with their counts in a task."""
-    keep = [f for f in df.schema if f.name != text_col]
-    fields = [*keep, T.StructField("__row", T.LongType()), T.StructField("__a", T.BinaryType()),
-              T.StructField("__b", T.BinaryType()), T.StructField("__kind", T.IntegerType())]
-    kinds = T.StructType(fields)
-    arrow = pa.schema([(n, t) for n, t in (("__row", pa.int64()), ("__a", pa.binary()), ("__b", pa.binary()), ("__kind", pa.int32()))])
+    """Rows of ``df`` with packed ids (__a, __b) and a row number, and rows
+    with nothing but id pairs and their counts in a task (__codes, __counts)."""
+    keep = [T.StructField(f.name, f.dataType, True) for f in df.schema if f.name != text_col]
+    own = {"__row": (T.LongType(), pa.int64())} | {c: (T.BinaryType(), pa.binary()) for c in ("__a", "__b", "__codes", "__counts")}
+    schema = T.StructType([*keep, *(T.StructField(c, t) for c, (t, _) in own.items())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, held = pair(a_path, b_path), _Held()
-        row, own = TaskContext.get().partitionId() << 33, None
+        row, types = TaskContext.get().partitionId() << 33, []
+
+        def out(kept, n, **given):
+            columns = [pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, (_, t) in own.items()]
+            return pa.RecordBatch.from_arrays([*kept, *columns], names=schema.names)
 
-        def out(own_columns, names, rows, a, b, kind):
-            extra = [pa.array(x, t) for x, t in zip((rows, a, b, [kind] * len(a)), arrow.types, strict=True)]
-            return pa.RecordBatch.from_arrays([*own_columns, *extra], names=[*names, *arrow.names])
+        def counted(last):
+            for codes, counts in held.flush(last):
+                yield out([pa.nulls(1, t) for t in types], 1, __codes=[codes], __counts=[counts])
 
         for batch in batches:
-            names = [n for n in batch.schema.names if n != text_col]
-            own = [(n, batch.schema.field(n).type) for n in names]
-            texts = batch.column(text_col).to_pylist()
-            a, b = [], []
-            for lo, hi in slices([len(t or "") for t in texts], STEP_BYTES):
-                ids = p.encode(texts[lo:hi])
-                a += [x for x, _ in ids]
-                b += [y for _, y in ids]
-                held.add(Step(p, [x for x, _ in ids], [y for _, y in ids]).links())
-            yield out([batch.column(n) for n in names], names, range(row, row + len(texts)), a, b, 0)
-            row += len(texts)
-            for codes, counts in held.flush(False):
-                yield out([pa.nulls(1, t) for _, t in own], names, [None], [codes], [counts], 1)
-        for codes, counts in held.flush(True):
-            yield out([pa.nulls(1, t) for _, t in own], [n for n, _ in own], [None], [codes], [counts], 1)
-
-    loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in kinds])
-    return staged(bounded_batches(df).mapInArrow(work, loose), "aligned-tokens", partition_by="__kind")
+            kept = [batch.column(f.name) for f in keep]
+            types = [c.type for c in kept]
+            texts = batch.column(text_col)
+            for lo, hi in slices(pc.coalesce(pc.binary_length(texts), 0).to_pylist(), STEP_BYTES):
+                ids = p.encode(texts.slice(lo, hi - lo).to_pylist())
+                a, b = [x for x, _ in ids], [y for _, y in ids]
+                held.add(Step(p, a, b).links())
+                yield out([c.slice(lo, hi - lo) for c in kept], hi - lo, __row=range(row, row + hi - lo), __a=a, __b=b)
+                row += hi - lo
+            yield from counted(False)
+        if types:
+            yield from counted(True)
+
+    return staged(bounded_batches(df).mapInArrow(work, schema), "aligned-tokens")
 
 
 def _pairs(tokens: DataFrame, n_b: int) -> DataFrame:
@@ -318,7 +361,7 @@ def _pairs(tokens: DataFrame, n_b: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(codes, np.int64)), pa.array(np.frombuffer(counts, np.int64))],
                                                  names=["code", "n"])
 
-    counts = (tokens.where("__kind = 1").select("__a", "__b").mapInArrow(unpack, "code long, n long")
+    counts = (tokens.where("__codes is not null").select("__codes", "__counts").mapInArrow(unpack, "code long, n long")
               .groupBy("code").agg(F.sum("n").alias("n")))
     counts = staged(counts, "pair-counts").withColumn("b", F.col("code") % n_b)
     most = counts.groupBy("b").agg(F.max("n").alias("most"))
@@ -367,7 +410,7 @@ def align(df: DataFrame, a_path: str, b_path: str, text_col: str = "text", keep:
     order = np.argsort(codes)
     shared = spark.sparkContext.broadcast(_Counts(codes[order], n[order].astype(np.int64), best[order].astype(np.int64)))
     rare = pairs.where(F.col("n") < least)
-    rows = tokens.where("__kind = 0").drop("__kind")
+    rows = tokens.where("__codes is null").drop("__codes", "__counts")
     if rare.limit(1).count():
         rows = rows.join(_rare_links(rows, rare, shared, a_path, b_path), "__row", "left")
     else:
