@@ -111,3 +111,12 @@ def test_keys_with_quotes(spark):
         row = df.select(jsonx.text("p", key).alias("t"), jsonx.typed("v", key, "int").alias("i"), jsonx.strict("v", key, "int").alias("s")).first()
         assert (row.t, row.i, row.s) == ("5", 5, 5), key
         assert df.select(jsonx.typed("v", key + "'", "int").alias("i")).first().i is None
+
+
+def test_is_json_takes_whole_values_only(spark):
+    from tierline.functions.jsonx import is_json
+
+    good = ["1", '"x"', "null", "[1]", '{"a": "after"}', '["after", "behind"]', ' {"a":1} ']
+    bad = ["", "1]", "1] x", '1, 2', '1, "after"] x', '1,"behind"]', "{bad", '{"a":1}} x', '{"a":1} x', "[1] [2]", "}"]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    assert [r[0] for r in df.select(is_json("t")).collect()] == [True] * len(good) + [False] * len(bad)

@@ -66,9 +66,12 @@ def text(c, field: str) -> Column:
 
 def is_json(c) -> Column:
     """Whether a text is one whole JSON value.  Spark's parsers ignore what
-    follows a value; inside brackets nothing can follow unseen."""
-    parsed = F.from_json(F.concat(F.lit("["), _c(c), F.lit("\n]")), "array<string>")
-    return F.coalesce(F.size(parsed) == 1, F.lit(False))
+    follows a value, so the text is read as the first of two elements: one
+    that closes the brackets itself leaves no second.  The second is a text
+    that the first does not hold."""
+    mark = F.when(_c(c).contains("after"), F.lit("behind")).otherwise(F.lit("after"))
+    parsed = F.from_json(F.concat(F.lit("["), _c(c), F.lit('\n,"'), mark, F.lit('"]')), "array<string>")
+    return F.coalesce((F.size(parsed) == 2) & (F.get(parsed, F.lit(1)) == mark), F.lit(False))
 
 
 def json_elements(c) -> Column:

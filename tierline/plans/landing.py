@@ -106,6 +106,39 @@ SELECT outcome, content, (SELECT COUNT(*) FROM r) AS records_in, (SELECT COUNT(*
 FROM r
 """
 
+
+
+def q_csv_landing_blocks(spark, sf_dir):
+    """S2 all line items as one file: a header over two lines, and records
+    with quoted newlines, commas, doubled and lone quotes, so that where a
+    split starts says nothing about quotes.  Every ninth row is too long."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("part"), (k * 10 + n).alias("pos"), F.concat_ws(
+        ",", k.cast("string"), n.cast("string"),
+        F.when(k % 4 == 0, F.lit('"two\nlines, ""one"" cell\n"')).when(k % 4 == 1, F.lit('a "lone" quote')).otherwise(F.lit('","')),
+        F.when((k + n) % 9 == 0, F.lit("last,beyond")).otherwise(F.lit('"last"'))).alias("line"))
+    head = spark.createDataFrame([(0, -1, '"order\nkey",line,note,end')], "part int, pos long, line string")
+    path = scratch_dir(spark, "csv-blocks")
+    _text_files(head.unionByName(rows), path, (0,))
+    return _landing_summary(land_csv(spark, path, "Blocks Upload", TENANT, BATCH, INGESTED_AT))
+
+
+SQL_CSV_BLOCKS = r"""
+WITH r AS (
+  SELECT CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN 'rejected' ELSE 'landed' END AS outcome,
+         CASE WHEN (l_orderkey + l_linenumber) % 9 = 0
+              THEN l_orderkey || ',' || l_linenumber || ',' ||
+                   CASE l_orderkey % 4 WHEN 0 THEN '"two' || chr(10) || 'lines, ""one"" cell' || chr(10) || '"'
+                        WHEN 1 THEN 'a "lone" quote' ELSE '","' END || ',last,beyond'
+              ELSE '{"order\nkey":"' || l_orderkey || '","line":"' || l_linenumber || '","note":"' ||
+                   CASE l_orderkey % 4 WHEN 0 THEN 'two\nlines, \"one\" cell\n' WHEN 1 THEN 'a \"lone\" quote' ELSE ',' END ||
+                   '","end":"last"}' END AS content
+  FROM lineitem)
+SELECT outcome, content, (SELECT COUNT(*) FROM r) AS records_in, (SELECT COUNT(*) FROM r WHERE outcome = 'landed') AS records_out,
+       (SELECT COUNT(*) FROM r WHERE outcome = 'rejected') AS records_rejected, 'partial' AS status
+FROM r
+"""
+
 # --------------------------------------------------------------- S3 NDJSON
 
 
@@ -147,6 +180,35 @@ def q_json_landing_mixed(spark, sf_dir):
     return _landing_summary(land_json(spark, path, "mixed", TENANT, BATCH, INGESTED_AT))
 
 
+def q_json_landing_blocks(spark, sf_dir):
+    """S3 all line items as one array in one line, with brackets, commas and
+    escaped quotes in its texts, and all orders as a file of lines whose first
+    line is an open bracket."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    element = F.concat(F.lit('{"k":'), F.col("l_orderkey").cast("string"), F.lit(',"n":['), F.col("l_linenumber").cast("string"),
+                       F.lit(',0],"t":"]},[{ \\"a, b\\"","f":"'), F.col("l_returnflag"), F.lit('"}'))
+    path = scratch_dir(spark, "json-blocks")
+    (li.select(element.alias("e"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")).coalesce(1).sortWithinPartitions("pos")
+     .select(F.when(F.monotonically_increasing_id() == 0, F.concat(F.lit("["), "e")).otherwise(F.concat(F.lit(","), "e")).alias("e"))
+     .unionByName(spark.range(1).select(F.lit("]").alias("e"))).coalesce(1).write.option("lineSep", " ").text(f"{path}/part=1"))
+    lines = o.select(F.lit(0).alias("part"), F.col("o_orderkey").alias("pos"),
+                     F.concat(F.lit('{"o":'), F.col("o_orderkey").cast("string"), F.lit(',"s":"'), F.col("o_orderstatus"), F.lit('"}')).alias("line"))
+    head = spark.createDataFrame([(0, -1, "[")], "part int, pos long, line string")
+    _text_files(head.unionByName(lines), path, (0,))
+    return _landing_summary(land_json(spark, path, "blocks", TENANT, BATCH, INGESTED_AT))
+
+
+SQL_JSON_BLOCKS = """
+WITH r AS (
+  SELECT 'landed' AS outcome, '{"k":' || l_orderkey || ',"n":[' || l_linenumber || ',0],"t":"]},[{ \\"a, b\\"","f":"' || l_returnflag || '"}' AS content
+  FROM lineitem
+  UNION ALL SELECT 'landed', '{"o":' || o_orderkey || ',"s":"' || o_orderstatus || '"}' FROM orders
+  UNION ALL SELECT 'rejected', '[')
+SELECT outcome, content, (SELECT COUNT(*) FROM r) AS records_in, (SELECT COUNT(*) FROM r WHERE outcome = 'landed') AS records_out,
+       (SELECT COUNT(*) FROM r WHERE outcome = 'rejected') AS records_rejected, 'partial' AS status
+FROM r
+"""
+
 SQL_JSON_MIXED = """
 WITH o AS (SELECT o_orderkey AS k, '{"z":' || CAST(floor(o_totalprice) AS BIGINT) || '.0,"a":' || o_orderkey || '}' AS record FROM orders),
 r AS (
@@ -295,6 +357,8 @@ QUERIES = {
     "csv_landing": (q_csv_landing, SQL_CSV),
     "csv_infer_fields": (q_csv_infer, SQL_CSV_INFER),
     "csv_landing_ragged": (q_csv_landing_ragged, SQL_CSV_RAGGED),
+    "csv_landing_blocks": (q_csv_landing_blocks, SQL_CSV_BLOCKS),
+    "json_landing_blocks": (q_json_landing_blocks, SQL_JSON_BLOCKS),
     "json_landing_mixed": (q_json_landing_mixed, SQL_JSON_MIXED),
     "ndjson_landing": (q_ndjson_landing, SQL_NDJSON),
     "landing_runs": (q_landing_runs, SQL_LANDING_RUNS),

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 
 from tierline.functions.jsonx import TO_JSON_OPTS, is_json, json_elements
 from tierline.functions.text import source_table_name, tenant_slug
+from tierline.session import cut_lineage
+from tierline.sources.blocks import BLOCK, running, starting_states
 from tierline.sources.files import file_row_number
 
 ENVELOPE_SCHEMA = T.StructType([
@@ -114,49 +117,82 @@ def landing_run(bronze: DataFrame, rejects: DataFrame, run_id: str,
     )
 
 
+def _open_quote(line: Column, inside: bool) -> Column:
+    """Whether a line ends inside a quoted cell when it starts ``inside`` one.
+    A quote opens a cell where the cell starts, closes it unless another one
+    follows, and is an ordinary character anywhere else."""
+    pieces = F.split(F.concat(F.lit("" if inside else ","), line), '"')
+    before = F.slice(pieces, F.lit(1), F.size(pieces) - 1)          # what stands before each quote
+    start = F.struct(F.lit(inside).alias("open"), F.lit(False).alias("closed"))
+
+    def step(state, piece):
+        return F.struct((~state["open"] & F.when(piece == "", state["closed"]).otherwise(piece.endswith(","))).alias("open"),
+                        state["open"].alias("closed"))
+
+    return F.when(line.contains('"'), F.aggregate(before, start, step)["open"]).otherwise(F.lit(inside))
+
+
+def _csv_records(spark: SparkSession, path) -> DataFrame:
+    """_file, _row (from 0, the header) and _text of every record that is not
+    empty.  Files are read by physical line, in splits; lines inside quotes
+    are put together again, each record by itself."""
+    lines = file_row_number(spark.read.option("lineSep", "\n").text(path), "_line")
+    value = F.col("value")
+    marks = cut_lineage(lines.select("_file", "_line", _open_quote(value, False).alias("_o"), _open_quote(value, True).alias("_i"),
+                                     value.isin("", "\r").alias("_blank")))
+    marks = starting_states(marks, "_line").withColumn("_goes_on", F.when(F.col("_inside"), F.col("_i")).otherwise(F.col("_o")))
+    first = ~F.col("_inside")
+    marks = running(marks, "_line", sums={"_n": (first & ~(F.col("_blank") & ~F.col("_goes_on"))).cast("long")},
+                    maxima={"_record": F.when(first, F.col("_line"))})
+    rows = lines.join(marks.select("_file", "_line", "_inside", "_goes_on", "_record", (F.col("_n") - 1).alias("_row")), ["_file", "_line"])
+    alone = ~F.col("_inside") & ~F.col("_goes_on")
+    single = rows.filter(alone & ~value.isin("", "\r")).select("_file", "_row", value.alias("_text"))
+    longer = (rows.filter(~alone).groupBy("_file", "_record", "_row")
+              .agg(F.array_sort(F.collect_list(F.struct("_line", "value"))).alias("_lines"))
+              .select("_file", "_row", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("_text")))
+    return single.unionByName(longer).withColumn("_text", F.regexp_replace("_text", "\r$", ""))
+
+
 def land_csv(spark: SparkSession, path: str, source: str, tenant_id: str,
-             batch_id: str, ingested_at: str, multiline: bool = True) -> Landing:
+             batch_id: str, ingested_at: str) -> Landing:
     """S2 CSV landing: header row, every value stays text, payload = row as a
     JSON object, metadata ``{"format":"csv","row_number":i}`` with i 0-based
     per file.
 
-    Files are read without a header into numbered cells, so that one scan
-    serves files whose headers differ; each file's first row names its cells
+    Files are read in splits, also where quoted cells hold newlines (in the
+    header too): a scan over the quotes finds the record ends.  One scan serves
+    files whose headers differ; each file's first record names its cells
     (of equal names the last counts).  Short rows land with '' in the cells
     they lack, as empty cells do.  Rows with a value beyond the header go to
-    ``rejects``.  Quotes inside quotes are doubled.  ``multiline`` (quoted
-    newlines) reads a file in one task; pass False for large files that have
-    none, which are then split.
+    ``rejects``.  Quotes inside quotes are doubled; a quote that is never
+    closed makes the rest of its file one record.
     """
     target = bronze_table_name(source, tenant_id)
-    # commas of the first lines: at least as many as any header has cells
-    head = (spark.read.text(path).filter(F.col("_metadata.file_block_start") == 0)
-            .select(F.col("_metadata.file_path").alias("_file"), "value", F.monotonically_increasing_id().alias("_at"))
-            .groupBy("_file").agg(F.min_by("value", "_at").alias("_line")))
-    most = head.agg(F.max(F.size(F.split("_line", ",")))).first()[0]
+    records = _csv_records(spark, path)
+    header = records.filter("_row = 0").select(F.col("_file").alias("_of"), F.col("_text").alias("_header"))
+    # commas of a header record: at least as many as it has cells
+    most = header.agg(F.max(F.length("_header") - F.length(F.translate("_header", ",", "")))).first()[0]
     if most is None:
         empty = spark.createDataFrame([], ENVELOPE_SCHEMA)
         rej = spark.createDataFrame([], "file string, row_number long, raw string")
         return Landing(empty, rej, landing_run(empty, rej, batch_id, ingested_at, target))
-    cells = [f"_c{i}" for i in range(most + 1)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "_raw"]])
-    # every branch reads all cells, so a row is judged alike in each of them
-    raw = (spark.read.schema(schema).option("header", False).option("multiLine", multiline)
-           .option("escape", '"').option("mode", "PERMISSIVE").option("columnPruning", False)
-           .option("columnNameOfCorruptRecord", "_raw").option("encoding", "UTF-8").csv(path))
-    # the reader keeps no text of a row that fills all cells: spell that one
-    raw = file_row_number(raw, "_row").select(
-        "_file", (F.col("_row") - 1).alias("_row_number"), F.array(*cells).alias("_cells"),
-        F.coalesce("_raw", F.to_csv(F.struct(*cells), {"escape": '"'})).alias("_raw"))
-    names = F.transform(F.col("_cells"), lambda x: F.coalesce(x, F.lit("")))
+    names = [f"_c{i}" for i in range(most + 2)]
+    schema = ", ".join(f"{c} string" for c in names)
+    options = {"escape": '"', "mode": "PERMISSIVE", "maxColumns": str(max(20480, 2 * len(names)))}
+
+    def cells(c: str) -> Column:
+        parsed = F.from_csv(F.col(c), schema, options)
+        return F.array(*[parsed[x] for x in names])
+
+    full = F.transform(F.col("_cells"), lambda x: F.coalesce(x, F.lit("")))
     width = F.array_max(F.transform("_cells", lambda x, i: F.when(x.isNotNull(), i + 1)))
-    header = (raw.filter(F.col("_row_number") < 0)
-              .select(F.col("_file").alias("_of"), F.slice(names, 1, width).alias("_names"))
+    header = (header.withColumn("_cells", cells("_header")).select("_of", F.slice(full, 1, F.coalesce(width, F.lit(1))).alias("_names"))
               .withColumn("_keep", F.filter(F.sequence(F.lit(0), F.size("_names") - 1), lambda i: ~F.array_contains(
                   F.slice("_names", i + 2, F.size("_names")), F.get("_names", i)))))
     # a frame of one row per file; a big file's rows are split by the skew join
-    rows = (raw.filter(F.col("_row_number") >= 0).join(header, F.col("_file") == F.col("_of"))
-            .withColumn("_bad", F.exists(F.slice("_cells", F.size("_names") + 1, len(cells)), lambda x: x.isNotNull())))
+    rows = (records.filter("_row > 0").withColumn("_row_number", F.col("_row") - 1).join(header, F.col("_file") == F.col("_of"))
+            .withColumn("_cells", cells("_text"))
+            .withColumn("_bad", F.exists(F.slice("_cells", F.size("_names") + 1, len(names)), lambda x: x.isNotNull())))
     payload = F.to_json(F.map_from_arrays(
         F.transform("_keep", lambda i: F.get("_names", i)),
         F.transform("_keep", lambda i: F.coalesce(F.get("_cells", i), F.lit("")))))
@@ -166,10 +202,55 @@ def land_csv(spark: SparkSession, path: str, source: str, tenant_id: str,
         F.lit(tenant_id).alias("tenant_id"), F.lit(ingested_at).alias("ingested_at"),
         F.lit(source).alias("source"), payload.alias("payload"), meta.alias("metadata"))
     rejects = rows.filter("_bad").select(
-        F.col("_file").alias("file"), F.col("_row_number").alias("row_number"), F.col("_raw").alias("raw"))
+        F.col("_file").alias("file"), F.col("_row_number").alias("row_number"), F.col("_text").alias("raw"))
     return Landing(bronze, rejects, landing_run(bronze, rejects, batch_id, ingested_at, target))
 
 
+def _outside_strings(piece: Column) -> Column:
+    """What of a JSON text without escapes stands outside of its strings."""
+    return F.regexp_replace(piece, '"[^"]*+(?:"|$)', "")
+
+
+def _depth(text: Column) -> Column:
+    return F.length(F.translate(text, "]}", "")) - F.length(F.translate(text, "[{", ""))
+
+
+def _json_parts(spark: SparkSession, files: list[str]) -> DataFrame:
+    """What stands between the outermost brackets of files that are one JSON
+    array or object, cut at the commas there: _file, _array, _part, _text.
+    Files of any other shape are left out.
+
+    Files are read in pieces between commas.  Quotes say which pieces start
+    inside a string, brackets outside of strings how deep they are; pieces
+    that start at depth one outside of a string start a part."""
+    pieces = file_row_number(spark.read.option("lineSep", ",").text(files), "_at")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")                          # without escaped characters
+    odd = (F.length(plain) - F.length(F.translate(plain, '"', ""))) % 2 == 1
+    marks = pieces.select("_file", "_at", odd.alias("_o"), (~odd).alias("_i"), _depth(_outside_strings(plain)).cast("long").alias("_from_out"),
+                          _depth(_outside_strings(F.concat(F.lit('"'), plain))).cast("long").alias("_from_in"),
+                          F.regexp_extract("value", r"^\s*([\[{]?)", 1).alias("_left"), F.rtrim(F.regexp_replace("value", r"\s+$", "")).substr(-1, 1).alias("_right"),
+                          (F.trim(F.regexp_replace("value", r"\s+", "")) == "").alias("_blank"))
+    marks = starting_states(cut_lineage(marks), "_at")
+    step = F.when(F.col("_inside"), F.col("_from_in")).otherwise(F.col("_from_out"))
+    marks = running(marks.withColumn("_step", step), "_at", sums={"_deep": F.col("_step")})
+    first = ~F.col("_inside") & (F.col("_deep") - F.col("_step") == 1)
+    marks = running(marks.withColumn("_first", first | (F.col("_at") == 0)), "_at",
+                    maxima={"_part": F.when(F.col("_first"), F.col("_at"))})
+    # one pair of brackets around all of it: depth stays above zero up to the last piece and ends at zero there
+    shape = marks.groupBy("_file").agg(
+        F.max("_at").alias("_last"), F.min_by("_left", "_at").alias("_opens"), F.max_by("_right", "_at").alias("_closes"),
+        F.max_by("_deep", "_at").alias("_ends"), F.max(F.when(F.col("_deep") < 1, F.col("_at"))).alias("_out"),
+        F.min(F.when(F.col("_deep") < 1, F.col("_at"))).alias("_first_out"))
+    shape = (shape.filter("_ends = 0 and _first_out = _last and ((_opens = '[' and _closes = ']') or (_opens = '{' and _closes = '}'))")
+             .select("_file", "_last", (F.col("_opens") == "[").alias("_array")))
+    rows = pieces.join(marks.select("_file", "_at", "_part"), ["_file", "_at"]).join(shape, "_file")
+    rows = rows.withColumn("value", F.when(F.col("_at") == 0, F.regexp_replace("value", r"^\s*[\[{]", "")).otherwise(F.col("value")))
+    rows = rows.withColumn("value", F.when(F.col("_at") == F.col("_last"), F.regexp_replace("value", r"[\]}]\s*$", "")).otherwise(F.col("value")))
+    return (rows.groupBy("_file", "_array", "_last", "_part").agg(F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("_pieces"))
+            .select("_file", "_array", "_part", (F.col("_part") == 0).alias("_head"),
+                    F.array_join(F.transform("_pieces", lambda x: x["value"]), ",").alias("_text")))
+
+
 def land_json(spark: SparkSession, path: str, source: str, tenant_id: str,
               batch_id: str, ingested_at: str) -> Landing:
     """S3 JSON landing.
@@ -181,26 +262,41 @@ def land_json(spark: SparkSession, path: str, source: str, tenant_id: str,
     Lines that are not one whole JSON value go to ``rejects`` (the reference
     fails the whole upload, quirk Q14; ours lands the rest, status partial).
 
-    Lines are read splittably.  Only files that can be one document (a single
-    line, or a first line that is no value) are put together again, each into
-    the one row that a document is.
+    Files are read in splits.  Those that can be one document of several lines
+    or elements (named on the driver) are cut at their outermost commas by a
+    scan over quotes and brackets; they are documents if every part is a JSON
+    value (or member).  Only an object document, which is one record, is put
+    together again.
     """
     lines = file_row_number(spark.read.text(path), "_line")
     lines = lines.filter(F.trim("value") != "").withColumn("_ok", is_json("value"))
-    per_file = lines.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"),
-                                          F.min_by("_ok", "_line").alias("_first_ok"))
-    maybe = per_file.filter((F.col("_n") == 1) | ~F.col("_first_ok")).select("_file")
-    whole = (lines.join(maybe, "_file", "left_semi").groupBy("_file")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "value"))),
-                                           lambda x: x["value"]), "\n").alias("_d"))
-             .filter(is_json("_d")))
-    is_arr = F.ltrim("_d").startswith("[")
-    elements = json_elements("_d")
-    docs = (whole.withColumn("_e", F.when(is_arr, elements).otherwise(F.array(F.trim("_d"))))
-            .select("_file", F.posexplode("_e").alias("_pos", "payload")))
-    linewise = lines.join(whole.select("_file"), "_file", "left_anti")
-    recs = docs.unionByName(linewise.filter("_ok").select(
-        "_file", F.col("_line").alias("_pos"), F.trim("value").alias("payload")))
+    head = F.substring(F.ltrim("value"), 1, 1)
+    per_file = lines.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_ok", "_line").alias("_first_ok"),
+                                          F.min_by(head, "_line").alias("_head"))
+    maybe = per_file.filter(((F.col("_n") == 1) & (F.col("_head") == "[")) | (~F.col("_first_ok") & F.col("_head").isin("[", "{")))
+    files = [unquote(r[0]) for r in maybe.select("_file").collect()]
+    linewise = lines
+    recs = None
+    if files:
+        parts = _json_parts(spark, files)
+        empty = F.trim(F.regexp_replace("_text", r"\s+", "")) == ""
+        whole = F.when(F.col("_array"), is_json("_text")).otherwise(is_json(F.concat(F.lit("{"), "_text", F.lit("}"))))
+        # nothing between the brackets is fine, an empty part beside others is not
+        parts = cut_lineage(parts.withColumns({"_empty": empty, "_valid": whole}))
+        good = (parts.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("_valid") & ~F.col("_empty"), 1).otherwise(0)).alias("_good"),
+                                           F.max("_empty").alias("_any_empty"))
+                .filter("_n = _good or (_n = 1 and _any_empty)").select("_file"))
+        parts = parts.join(good, "_file", "left_semi")
+        order = _before_in_file(parts)
+        elements = (parts.filter("_array and not _empty").join(order, ["_file", "_part"])
+                    .select("_file", "_pos", F.get(json_elements(F.concat(F.lit("["), "_text", F.lit("]"))), F.lit(0)).alias("payload")))
+        objects = (parts.filter(~F.col("_array")).groupBy("_file").agg(F.array_sort(F.collect_list(F.struct("_part", "_text"))).alias("_members"))
+                   .select("_file", F.lit(0).cast("long").alias("_pos"),
+                           F.concat(F.lit("{"), F.array_join(F.transform("_members", lambda x: x["_text"]), ","), F.lit("}")).alias("payload")))
+        recs = elements.unionByName(objects)
+        linewise = lines.join(good, "_file", "left_anti")
+    by_line = linewise.filter("_ok").select("_file", F.col("_line").alias("_pos"), F.trim("value").alias("payload"))
+    recs = by_line if recs is None else recs.unionByName(by_line)
     bronze = recs.select(
         record_id(batch_id, source, F.concat_ws("#", F.col("_file"), F.col("_pos")), F.col("_pos")).alias("id"),
         F.lit(tenant_id).alias("tenant_id"), F.lit(ingested_at).alias("ingested_at"),
@@ -211,6 +307,12 @@ def land_json(spark: SparkSession, path: str, source: str, tenant_id: str,
     return Landing(bronze, rejects, landing_run(bronze, rejects, batch_id, ingested_at, target))
 
 
+def _before_in_file(parts: DataFrame) -> DataFrame:
+    """_file, _part, _pos: the number of parts before each in its file."""
+    marks = parts.select("_file", "_part", F.floor(F.col("_part") / BLOCK).alias("_block"))
+    return running(marks, "_part", sums={"_n": F.lit(1).cast("long")}).select("_file", "_part", (F.col("_n") - 1).alias("_pos"))
+
+
 __all__ = ["ENVELOPE_SCHEMA", "ENVELOPE_COLUMNS", "envelope", "land_csv", "land_json",
            "landing_run", "Landing", "bronze_table_name", "record_id", "source_table_name",
            "tenant_slug"]
