@@ -66,6 +66,15 @@ WHERE rank <= 5
 """
 
 
+def q_recall_all(spark, sf_dir):
+    """M3 over all notes: with ``limit=None`` no note is left out beforehand."""
+    r = M.recall(queries(spark, sf_dir), memories(spark, sf_dir), limit=None)
+    return r.select("query_id", "rank", "memory_id", "hits", F.round("score", 4).alias("score"))
+
+
+SQL_RECALL_ALL = SQL_RECALL_TOPK.replace("QUALIFY cand_rank <= 100", "")
+
+
 def q_memory_boost(spark, sf_dir):
     """M4 notes after the batch recall: score x 1.2 per recall (cap 2.0),
     use count + recalls."""
@@ -105,6 +114,7 @@ WHERE NOT COALESCE(GREATEST(0.0::DOUBLE, relevance_score * 0.95::DOUBLE) < 0.1::
 
 QUERIES = {
     "recall_topk": (q_recall_topk, SQL_RECALL_TOPK),
+    "recall_all": (q_recall_all, SQL_RECALL_ALL),
     "memory_boost": (q_memory_boost, SQL_MEMORY_BOOST),
     "decay_prune": (q_decay_prune, SQL_DECAY_PRUNE),
 }
