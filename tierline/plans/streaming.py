@@ -47,6 +47,32 @@ FROM events
 """
 
 
+def q_stream_two_sources(spark, sf_dir):
+    """T1 one sink for two streams of different forms: events as typed files,
+    and events as JSON lines, whose stream is run again after its only batch
+    lost its commit."""
+    src, schema = _events_src(spark, sf_dir)
+    d = scratch_dir(spark, "stream-shared")
+    land = dict(tenant_id="t0", ingested_at="2024-02-01T00:00:00")
+    S.land_stream(spark, src, schema, d + "/bronze", d + "/ck1", "typed", position="event_id", **land).awaitTermination()
+    table_rows = spark.read.parquet(src).select(F.to_json(F.struct("event_id", "user_id", "event_type")).alias("value"))
+    table_rows.write.text(d + "/lines")
+    for _ in range(2):
+        S.land_stream(spark, d + "/lines", None, d + "/bronze", d + "/ck2", "lines", position=None, fmt="text", **land).awaitTermination()
+        commits = spark._jvm.org.apache.hadoop.fs.Path(d + "/ck2/commits")
+        commits.getFileSystem(spark._jsc.hadoopConfiguration()).delete(commits, True)
+    v = spark.read.parquet(d + "/bronze").select("source", F.try_parse_json("payload").alias("v"))
+    return v.select("source", F.try_variant_get("v", "$.event_id", "bigint").alias("event_id"),
+                    F.try_variant_get("v", "$.user_id", "bigint").alias("user_id"),
+                    F.try_variant_get("v", "$.event_type", "string").alias("event_type"))
+
+
+SQL_STREAM_TWO_SOURCES = """
+SELECT 'typed' AS source, event_id, user_id, event_type FROM events
+UNION ALL SELECT 'lines', event_id, user_id, event_type FROM events
+"""
+
+
 def q_stream_refresh(spark, sf_dir):
     bronze_path = _land(spark, sf_dir)
     schema = spark.read.parquet(bronze_path).schema
@@ -70,7 +96,7 @@ def q_stream_debounce(spark, sf_dir):
     d = scratch_dir(spark, "stream-debounce")
     q = S.debounce_stream(spark, src, schema, "user_id", "ts", "event_id", d + "/out", d + "/ckpt")
     q.awaitTermination()
-    o = spark.read.parquet(d + "/out")
+    o = spark.read.parquet(d + "/out").filter("NOT late")
     return o.select(F.col("key").alias("user_id"), "event_id",
                     ts_text(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
                             + F.make_dt_interval(secs=F.col("fired_us") / F.lit(1_000_000))).alias("ts"))
@@ -116,6 +142,7 @@ WHERE rn = 1 GROUP BY event_type
 
 QUERIES = {
     "stream_cascade": (q_stream_cascade, SQL_STREAM_CASCADE),
+    "stream_two_sources": (q_stream_two_sources, SQL_STREAM_TWO_SOURCES),
     "stream_landing": (q_stream_landing, SQL_STREAM_LANDING),
     "stream_refresh": (q_stream_refresh, SQL_STREAM_REFRESH),
     "stream_debounce": (q_stream_debounce, SQL_DEBOUNCE),
