@@ -8,6 +8,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from tierline.operators import gold as gold_tables
 from tierline.plans.common import ts_text
 from tierline.plans.lineage import SQL_DEBOUNCE
 from tierline.session import scratch_dir
@@ -114,6 +115,33 @@ SQL_STREAM_DAILY = """
 SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, COUNT(*) AS n FROM events GROUP BY ALL
 """
 
+def q_stream_gold(spark, sf_dir):
+    """T2 gold by deltas: events land in three runs (all; those of every third
+    user again with another type and value; those of every fifth user as
+    removals), each refreshes silver by event and gold by type."""
+    src, _ = _events_src(spark, sf_dir)
+    d = scratch_dir(spark, "stream-gold")
+    u = F.col("user_id")
+    e = spark.read.parquet(src).select("event_id", "user_id", "event_type", "value", F.lit(False).alias("gone"))
+    runs = [e, e.filter(u % 3 == 0).withColumns({"event_type": F.concat("event_type", F.lit("-late")), "value": F.col("value") + 1}),
+            e.filter(u % 5 == 0).withColumn("gone", F.lit(True))]
+    fields = [("event_id", "int"), ("user_id", "int"), ("event_type", "string"), ("value", "float"), ("gone", "boolean")]
+    table_of = S.Gold(d + "/gold", ["event_type"], ["value"], 8)
+    for rows in runs:
+        rows.select(F.to_json(F.struct("*")).alias("payload")).write.mode("append").parquet(d + "/bronze")
+        S.refresh_stream(spark, d + "/bronze", spark.read.parquet(d + "/bronze").schema, fields, "event_id", d + "/silver", d + "/ckpt",
+                         n_buckets=8, gold=[table_of], deleted="gone").awaitTermination()
+    out = gold_tables.read(spark, d + "/gold", ["event_type"], ["value"])
+    return out.select("event_type", "n_rows", F.round(F.col("value_sum").cast("double"), 2).alias("value_sum"))
+
+
+SQL_STREAM_GOLD = """
+SELECT CASE WHEN user_id % 3 = 0 THEN event_type || '-late' ELSE event_type END AS event_type, COUNT(*) AS n_rows,
+       ROUND(SUM(CAST(CASE WHEN user_id % 3 = 0 THEN value + 1 ELSE value END AS DECIMAL(38, 6)))::DOUBLE, 2) AS value_sum
+FROM events WHERE user_id % 5 <> 0 GROUP BY ALL
+"""
+
+
 def q_stream_cascade(spark, sf_dir):
     """T2 with a cascade: every micro-batch refreshes silver (latest event per
     user) and then rebuilds a gold table (users per latest event type) from
@@ -141,6 +169,7 @@ WHERE rn = 1 GROUP BY event_type
 """
 
 QUERIES = {
+    "stream_gold": (q_stream_gold, SQL_STREAM_GOLD),
     "stream_cascade": (q_stream_cascade, SQL_STREAM_CASCADE),
     "stream_two_sources": (q_stream_two_sources, SQL_STREAM_TWO_SOURCES),
     "stream_landing": (q_stream_landing, SQL_STREAM_LANDING),

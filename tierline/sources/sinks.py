@@ -148,8 +148,12 @@ def _stored_buckets(spark: SparkSession, path: str, asked: int | None) -> int |
     return None
 
 
+#: In a change set: +1 for a row as it is now, -1 for a row as it was.
+SIGN_COL = "_sign"
+
+
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key, n_buckets: int | None = None,
-                 order_by: list | None = None) -> None:
+                 order_by: list | None = None, deleted: str | None = None, log: str | None = None) -> None:
     """W3 keyed upsert into a hash-bucketed Parquet table.
 
     The batch is deduplicated by key (latest by ``order_by``, else by the whole
@@ -157,6 +161,13 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key, n_bucket
     filter) and rewritten with dynamic partition overwrite, one file each;
     other buckets are neither read nor written.  A key's bucket depends on the
     table's bucket count, which is stored at the first write and checked.
+
+    ``deleted`` names a boolean column of the batch (not of the table): rows
+    where it is true remove their key.  ``log`` is a folder for the change set
+    of this call: for every key of the batch the row as it was and the row as
+    it is now (``read_changes``).  It is written before the table changes and
+    never again, so a call that failed half way can be repeated with the same
+    folder.  A table has one writer at a time.
     """
     keys = [key] if isinstance(key, str) else list(key)
     stored = _stored_buckets(spark, path, n_buckets)
@@ -164,15 +175,57 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key, n_bucket
     rows = batch.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     rows = merge.keep_latest(rows, keys, order_by or [c for c in batch.columns if c not in keys] or keys)
     b = cut_lineage(with_bucket(rows, keys, buckets), spark)
+    live = b.filter(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted) if deleted else b
     if stored is None:
+        if log:
+            _log_changes(spark, live.withColumn(SIGN_COL, F.lit(1)), log)
         spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.text(os.path.join(path, "_buckets"))
-        b.repartition(buckets, BUCKET_COL).write.mode("append").partitionBy(BUCKET_COL).parquet(path)
+        live.repartition(buckets, BUCKET_COL).write.mode("append").partitionBy(BUCKET_COL).parquet(path)
         return
     touched = [r[0] for r in b.select(BUCKET_COL).distinct().collect()]   # <= the bucket count
+    target = spark.read.schema(live.schema).parquet(path).filter(F.col(BUCKET_COL).isin(touched))
+    if log:
+        was = target.join(b.select(*keys), keys, "left_semi").withColumn(SIGN_COL, F.lit(-1))
+        _log_changes(spark, was.unionByName(live.withColumn(SIGN_COL, F.lit(1))), log)
     if not touched:
         return
-    target = spark.read.schema(b.schema).parquet(path).filter(F.col(BUCKET_COL).isin(touched))
-    out = merge.upsert(target, b.select(*target.columns), keys)
+    kept = target.join(b.select(*keys), keys, "left_anti")
+    out = kept.unionByName(live.select(*target.columns))
+    before = _bucket_files(spark, path, touched) if deleted else {}
     # staged in this job's output, swapped per bucket at commit
     (out.repartition(len(touched), BUCKET_COL).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(BUCKET_COL).parquet(path))
+    # a bucket that lost its last row is not in the output: its old files are still there
+    for bucket, names in _bucket_files(spark, path, before).items():
+        if names and names == before[bucket]:
+            fs, at = _folder(spark, os.path.join(path, f"{BUCKET_COL}={bucket}"))
+            fs.delete(at, True)
+
+
+def _bucket_files(spark: SparkSession, path: str, buckets) -> dict[int, set[str]]:
+    out = {}
+    for bucket in buckets:
+        fs, at = _folder(spark, os.path.join(path, f"{BUCKET_COL}={bucket}"))
+        out[bucket] = {f.getPath().getName() for f in fs.listStatus(at)} if fs.exists(at) else set()
+    return out
+
+
+def _log_changes(spark: SparkSession, changes: DataFrame, log: str) -> None:
+    if not _exists(spark, os.path.join(log, "_SUCCESS")):
+        changes.drop(BUCKET_COL).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(log)
+
+
+def read_changes(spark: SparkSession, log: str) -> DataFrame:
+    """The change set of an ``upsert_table`` call."""
+    return spark.read.parquet(log)
+
+
+def read_table_or_none(spark: SparkSession, path: str, keys: DataFrame, key: str) -> DataFrame | None:
+    """The rows of an upsert table with the given keys, read from the buckets
+    that can hold them; None where there is no table."""
+    buckets = _stored_buckets(spark, path, None)
+    if buckets is None:
+        return None
+    touched = [r[0] for r in with_bucket(keys, key, buckets).select(BUCKET_COL).distinct().collect()]   # <= the bucket count
+    rows = spark.read.parquet(path).filter(F.col(BUCKET_COL).isin(touched)) if touched else spark.read.parquet(path).limit(0)
+    return rows.join(keys, key, "left_semi")

@@ -16,6 +16,7 @@ there and stop, so retries resume from the checkpoint.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Iterator
 
 import numpy as np
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tierline.functions.jsonx import TO_JSON_OPTS, is_json
+from tierline.operators import gold as gold_tables
 from tierline.operators.flatten import flatten_select
 from tierline.sources.files import file_row_number
 from tierline.sources.landing import record_id
-from tierline.sources.sinks import upsert_table
+from tierline.sources.sinks import read_changes, upsert_table
 
 DEBOUNCE_US = 30 * 1_000_000
 
@@ -104,20 +106,39 @@ def land_stream(spark: SparkSession, src: str, schema, sink: str, checkpoint: st
             .trigger(availableNow=True).start())
 
 
+@dataclass
+class Gold:
+    """A gold table that ``refresh_stream`` keeps: rows and sums by group."""
+    path: str
+    groups: list[str]
+    sums: list[str]
+    n_buckets: int | None = None
+
+
 def refresh_stream(spark: SparkSession, bronze_path: str, bronze_schema, fields: list[tuple[str, str]],
                    pk: str, silver_path: str, checkpoint: str, n_buckets: int | None = None,
-                   order_by: list | None = None, downstream: list | None = None):
+                   order_by: list | None = None, downstream: list | None = None,
+                   gold: list[Gold] | None = None, deleted: str | None = None, max_files: int | None = None):
     """T2 on-change silver refresh: every micro-batch of new bronze rows is
-    flattened (W10) and upserted into the bucketed silver table (W3); then
-    each ``downstream(spark, silver_path)`` runs (the change cascade, e.g. a
-    gold table rebuilt from silver), in order, once per micro-batch."""
-    s = _read(spark, bronze_path, bronze_schema)
+    flattened (W10) and upserted into the bucketed silver table (W3).
+
+    ``gold`` tables follow by deltas: the upsert's change set, kept below
+    ``<checkpoint>_changes`` by epoch, is all they read, and only changed
+    groups are rewritten; a replayed batch applies what its first try did not.
+    ``deleted`` names a boolean field: rows where it is true remove their key.
+    Each ``downstream(spark, silver_path)`` runs after that, in order, once per
+    micro-batch (tables that need all of silver)."""
+    s = _read(spark, bronze_path, bronze_schema, max_files)
 
     def apply(batch: DataFrame, epoch: int) -> None:
+        own = batch.sparkSession
         rows = flatten_select(batch, fields, pk)
-        upsert_table(batch.sparkSession, silver_path, rows, pk, n_buckets, order_by=order_by or [pk])
+        log = f"{checkpoint.rstrip('/')}_changes/{_stream_id(batch)}/{epoch}" if gold else None
+        upsert_table(own, silver_path, rows, pk, n_buckets, order_by=order_by or [pk], deleted=deleted, log=log)
+        for g in gold or []:
+            gold_tables.apply(own, g.path, gold_tables.delta(read_changes(own, log), g.groups, g.sums), g.groups, epoch, g.n_buckets)
         for step in downstream or []:
-            step(batch.sparkSession, silver_path)
+            step(own, silver_path)
 
     return (s.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
