@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -34,12 +35,16 @@ from tierline.llm.common import bounded_batches
 
 #: Matches kept with their ids per worker, and the longest kept (characters).
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 32
+#: Ids that are decoded at once.
+DECODED = 1 << 16
 _LEAF_BITS = 8
-_LEAF = 1 << _LEAF_BITS
+_LEAF_MASK = (1 << _LEAF_BITS) - 1
 
 
 class RankQueue:
-    """Positions by rank; ``pop`` gives the lowest rank, leftmost position."""
+    """Positions by rank; ``pop`` gives the lowest rank, leftmost position.
+    A bucket (a heap of positions) for each rank in use, a bit for it in its
+    leaf, and a bit for each leaf in use in the root."""
 
     def __init__(self, ranks: int):
         self.root = 0
@@ -53,21 +58,22 @@ class RankQueue:
             return
         self.buckets[rank] = [position]
         leaf = rank >> _LEAF_BITS
-        self.leaves[leaf] |= 1 << (rank & (_LEAF - 1))
+        self.leaves[leaf] |= 1 << (rank & _LEAF_MASK)
         self.root |= 1 << leaf
 
     def pop(self) -> tuple[int, int]:
-        leaf = (self.root & -self.root).bit_length() - 1
+        in_root = self.root & -self.root
+        leaf = in_root.bit_length() - 1
         bits = self.leaves[leaf]
-        rank = (leaf << _LEAF_BITS) | ((bits & -bits).bit_length() - 1)
+        in_leaf = bits & -bits
+        rank = (leaf << _LEAF_BITS) + in_leaf.bit_length() - 1
         bucket = self.buckets[rank]
         position = heappop(bucket)
         if not bucket:
             del self.buckets[rank]
-            bits &= bits - 1
-            self.leaves[leaf] = bits
-            if not bits:
-                self.root &= self.root - 1
+            self.leaves[leaf] = bits ^ in_leaf
+            if bits == in_leaf:
+                self.root ^= in_root
         return rank, position
 
 
@@ -76,9 +82,13 @@ class Tokenizer:
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()))
-        self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+            bytes_of[rank] = token
+        # all tokens end to end, and where each starts
+        self.joined = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.sizes = np.array([len(x) for x in bytes_of])
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.kept: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -91,28 +101,46 @@ class Tokenizer:
         end = list(range(1, n + 1))          # end of the token that starts here
         before = list(range(-1, n))          # start of the token that ends here
         waiting = [-1] * n                   # rank of the pair that starts here
-        queue = self.queue
-        push, pop = queue.push, queue.pop
+        # the queue's steps are written out here: a call each would cost as much as they do
+        buckets, leaves, root = self.queue.buckets, self.queue.leaves, 0
+        fresh = []                           # pairs to push: rank, start
         for i in range(n - 1):
             rank = rank_of(piece[i:i + 2])
             if rank is not None:
                 waiting[i] = rank
-                push(rank, i)
-        while queue.root:
-            rank, i = pop()
+                if rank in buckets:
+                    buckets[rank].append(i)  # starts ascend: still a heap
+                else:
+                    buckets[rank] = [i]
+                    leaves[rank >> _LEAF_BITS] |= 1 << (rank & _LEAF_MASK)
+                    root |= 1 << (rank >> _LEAF_BITS)
+        while root:
+            # the lowest rank in use, its leftmost position
+            in_root = root & -root
+            leaf = in_root.bit_length() - 1
+            bits = leaves[leaf]
+            in_leaf = bits & -bits
+            rank = (leaf << _LEAF_BITS) + in_leaf.bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                bits ^= in_leaf
+                leaves[leaf] = bits
+                if not bits:
+                    root ^= in_root
             if waiting[i] != rank:
                 continue                     # stale
             j = end[i]
             k = end[j]
             end[i] = k
-            waiting[j] = -1
-            waiting[i] = -1
+            waiting[j] = waiting[i] = -1
             if k < n:
                 before[k] = i
                 rank = rank_of(piece[i:end[k]])
                 if rank is not None:
                     waiting[i] = rank
-                    push(rank, i)
+                    fresh.append((rank, i))
             p = before[i]
             if p >= 0:
                 rank = rank_of(piece[p:k])
@@ -120,7 +148,15 @@ class Tokenizer:
                     waiting[p] = -1
                 else:
                     waiting[p] = rank
-                    push(rank, p)
+                    fresh.append((rank, p))
+            for rank, i in fresh:
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    leaves[rank >> _LEAF_BITS] |= 1 << (rank & _LEAF_MASK)
+                    root |= 1 << (rank >> _LEAF_BITS)
+            fresh.clear()
         ids, i, ranks = [], 0, self.ranks
         while i < n:
             ids.append(ranks[piece[i:end[i]]])
@@ -128,7 +164,8 @@ class Tokenizer:
         return ids
 
     def _ids(self, match: str) -> bytes:
-        ids = np.array(self.merge(match.encode()), "<u4").tobytes()
+        ids = self.merge(match.encode())
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(match) <= CACHE_CHARS:
             if len(self.kept) >= CACHE_ENTRIES:
                 self.kept.clear()
@@ -140,8 +177,14 @@ class Tokenizer:
         return b"".join([kept.get(m) or ids(m) for m in self.find(text)])
 
     def decode(self, ids: bytes) -> bytes:
-        table = self.bytes_of
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        """One gather over the joined tokens; long texts in steps."""
+        ids, out = np.frombuffer(ids, "<u4"), []
+        for lo in range(0, len(ids), DECODED):
+            own = ids[lo:lo + DECODED]
+            sizes = self.sizes[own]
+            end = np.cumsum(sizes)
+            out.append(self.joined[np.repeat(self.starts[own] - end + sizes, sizes) + np.arange(end[-1])].tobytes())
+        return b"".join(out)
 
 
 @functools.lru_cache(maxsize=4)
