@@ -22,7 +22,8 @@ NUMERIC_SHARE = 0.7
 CATEGORY_MAX = 25
 LONG_TEXT = 80
 YEAR_2000 = "2000-01-01 00:00:00"
-APPROX_CUTOFF = 30     # see profile_columns: estimates at or above prove > CATEGORY_MAX + 1
+#: A sketch holds the hashes of up to 2 to this many distinct values.
+DISTINCT_BITS = 8
 
 
 def group_bars(df: DataFrame, x: str, y: str | None = None, agg: str = "sum",
@@ -54,9 +55,9 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 
 def unpivot_text(df: DataFrame) -> DataFrame:
     """(column, ordinal, value text) for every cell (``stack``)."""
-    cols = df.columns
-    args = ", ".join(f"'{c}', {i}, CAST(`{c}` AS STRING)" for i, c in enumerate(cols))
-    return df.selectExpr(f"stack({len(cols)}, {args}) AS (col, ordinal, v)")
+    cells = [x for i, c in enumerate(df.columns)
+             for x in (F.lit(c), F.lit(i), F.col("`" + c.replace("`", "``") + "`").cast("string"))]
+    return df.select(F.stack(F.lit(len(df.columns)), *cells).alias("col", "ordinal", "v"))
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
@@ -76,18 +77,13 @@ def profile_columns(df: DataFrame) -> DataFrame:
         all_ne(F.length("v") > LONG_TEXT).alias("all_long"),
         all_ne(F.col("v").rlike(r"\d{4}") &
                (F.col("v").try_cast("timestamp_ntz") > F.lit(YEAR_2000).cast("timestamp_ntz"))).alias("all_date"),
-        F.approx_count_distinct(F.when(ne, F.col("v"))).alias("_approx"),
+        # the hashes of the distinct values, in full while they are few: what
+        # is counted up to CATEGORY_MAX is exact, and a column of ids holds no more
+        F.theta_sketch_estimate(F.theta_sketch_agg(F.when(ne, F.col("v")), F.lit(DISTINCT_BITS))).alias("n_distinct"),
     )
-    # Only distinct counts up to CATEGORY_MAX + 1 matter.  For small sets the
-    # HLL++ sketch uses linear counting, which cannot report 30 or more when
-    # at most 26 values exist, so an estimate >= 30 proves "more than 26";
-    # the exact count is taken only for the (few-valued) remaining columns,
-    # instead of shuffling every distinct value of every identifier column.
-    few = g.filter(F.col("_approx") < APPROX_CUTOFF).select("col")
-    exact = (u.join(F.broadcast(few), "col", "left_semi")          # one row per column: schema-sized
-             .filter(ne).groupBy("col").agg(F.count_distinct("v").alias("_exact")))
-    g = g.join(F.broadcast(exact), "col", "left") \
-        .withColumn("n_distinct", F.coalesce(F.col("_exact"), F.col("_approx")))
+    # only where no value repeats does a larger count matter: a sketch of more
+    # values than it holds is an estimate, the number of rows is not
+    g = g.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
     name = F.col("col")
     unplottable = name.rlike(UNPLOTTABLE_NAME) | (F.col("n") == 0) | F.col("all_url") | F.col("all_json") \
         | F.col("all_long")

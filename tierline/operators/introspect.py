@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tierline.operators.query import number_rows
+
 # Fixed column signatures of the storage kinds.
 WEBHOOK_SIGNATURE = ["id", "tenant_id", "ingested_at", "source", "payload", "metadata"]
 CSV_SIGNATURE = ["_id", "_tenant_id", "_ingested_at"]
@@ -32,8 +34,8 @@ def payload_keys(bronze: DataFrame, position: str, payload: str = "payload") ->
     g = k.groupBy("key").agg(F.min("rec").alias("_rec"), F.min_by("pos", "rec").alias("_pos"),
                              F.count(F.lit(1)).alias("n_records"),
                              F.bool_or("from_array").alias("from_array"))
-    w = Window.orderBy("_rec", "_pos")        # one row per distinct key (schema-sized)
-    return g.select("key", (F.row_number().over(w) - 1).alias("ordinal"), "n_records", "from_array")
+    # payloads may use ids as keys: any number of them
+    return number_rows(g, ["_rec", "_pos", "key"], "ordinal").select("key", F.col("ordinal").cast("int").alias("ordinal"), "n_records", "from_array")
 
 
 def array_subkeys(bronze: DataFrame, position: str, payload: str = "payload") -> DataFrame:

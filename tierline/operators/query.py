@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierline.functions.jsonx import TO_JSON_OPTS
+from tierline.session import cut_lineage
 
 MAX_QUERY_ROWS = 500      # fixed: ad-hoc result cap
 AGENT_MAX_ROWS = 1000     # fixed: capped query maximum
@@ -64,10 +65,53 @@ def size_budget(df: DataFrame, order_by: list, budget: int = RESULT_CHAR_BUDGET)
     return top.withColumn("_run", F.sum(size).over(w)).filter(F.col("_run") <= budget).drop("_run")
 
 
+#: Pages that end beyond this many rows are found by ranges.
+SHALLOW_ROWS = 10_000
+
+
 def page(df: DataFrame, order_by: list, page_no: int, page_size: int, most: int | None = PAGE_MAX) -> DataFrame:
-    """L5 offset paging: page >= 1; a size above ``most`` is an error."""
+    """L5 offset paging: page >= 1; a size above ``most`` is an error.  A page
+    near the start is a top-n; a deep one would make that hold all rows before
+    it and goes to ``deep_page``."""
     page_size = _asked(page_size, PAGE_MAX, most)
-    return df.orderBy(*_order(order_by)).offset((_asked(page_no, 1, None) - 1) * page_size).limit(page_size)
+    offset = (_asked(page_no, 1, None) - 1) * page_size
+    if offset + page_size > SHALLOW_ROWS:
+        return deep_page(df, order_by, offset, page_size)
+    return df.orderBy(*_order(order_by)).offset(offset).limit(page_size)
+
+
+def _by_range(df: DataFrame, order_by: list, part: str) -> DataFrame:
+    """``df`` dealt into ranges of the order (boundaries sampled), written to
+    the shared folder, with the number of each row's range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *_order(order_by)).sortWithinPartitions(*_order(order_by)).withColumn(part, F.spark_partition_id())
+
+
+def deep_page(df: DataFrame, order_by: list, offset: int, size: int) -> DataFrame:
+    """The rows from ``offset`` on of ``df`` in order.  Rows are dealt into
+    ranges, the ranges counted (one number a range comes to the driver), and
+    only those that hold the page are read again and sorted: no task sees more
+    rows than a few ranges have, however deep the page is."""
+    rows = cut_lineage(_by_range(df, order_by, "_range"))
+    counts = sorted((r["_range"], r["n"]) for r in rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
+    chosen, skip, at = [], 0, 0
+    for part, n in counts:
+        if at + n > offset and at < offset + size:
+            skip = offset - at if not chosen else skip
+            chosen.append(part)
+        at += n
+    held = rows.filter(F.col("_range").isin(chosen)) if chosen else rows.limit(0)
+    return held.orderBy(*_order(order_by)).offset(max(0, skip)).limit(size).drop("_range")
+
+
+def number_rows(df: DataFrame, order_by: list, out: str) -> DataFrame:
+    """``df`` with each row's place (from 0) in a total order, without one task
+    that sees all rows: places in ranges, and the ranges' sizes before."""
+    rows = cut_lineage(_by_range(df, order_by, "_range").withColumn("_at", F.monotonically_increasing_id()))
+    sizes = rows.groupBy("_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)          # one row a range
+    starts = sizes.select("_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(starts, "_range").withColumn(out, F.col("_at") - F.col("_first") + F.col("_before")).drop("_range", "_at", "_first", "_before")
 
 
 def top_k(df: DataFrame, order_by: list, k: int) -> DataFrame:

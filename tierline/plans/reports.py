@@ -295,7 +295,23 @@ SELECT to_json({'s_suppkey': s_suppkey, 's_name': s_name, 's_nationkey': s_natio
 FROM supplier
 """
 
+def q_page_last(spark, sf_dir):
+    """L5 the last page of all line items by price, in pages of 200: the ranges
+    that hold it are found by their sizes."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r2("l_extendedprice").alias("price"))
+    last = (li.count() - 1) // 200 + 1
+    return Q.page(li, [F.col("price").desc(), "l_orderkey", "l_linenumber"], last, 200)
+
+
+SQL_PAGE_LAST = """
+SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice, 2) AS price FROM lineitem
+ORDER BY price DESC, l_orderkey, l_linenumber
+LIMIT 200 OFFSET (SELECT (COUNT(*) - 1) // 200 * 200 FROM lineitem)
+"""
+
+
 QUERIES = {
+    "page_last": (q_page_last, SQL_PAGE_LAST),
     "jobs_feed": (q_jobs_feed, SQL_JOBS_FEED),
     "jobs_total": (q_jobs_total, SQL_JOBS_TOTAL),
     "daily_stats": (q_daily_stats, SQL_DAILY_STATS),

@@ -242,12 +242,74 @@ def q_import_chain(spark, sf_dir):
     draft = spark.read.parquet(control_path(root, "transforms")).first().asDict()
     bronze = sinks.read_bronze(spark, sinks.layer_path(root, TENANT, "bronze", "customers"))
     done = fl.run_transform(spark, {**draft, "status": "approved"}, {"bronze.customers": bronze}, root, TENANT)
-    n_fields = spark.read.parquet(control_path(root, "fields")).agg(F.count(F.lit(1)).alias("n_fields"))
-    n_records = spark.read.parquet(control_path(root, "entities")).select("n_records")
+    n_fields = spark.read.parquet(control_path(root, "fields")).filter(F.col("entity_id").contains(".bronze.")).agg(F.count(F.lit(1)).alias("n_fields"))
+    n_records = spark.read.parquet(control_path(root, "entities")).filter("layer = 'bronze'").select("n_records")
     return (done.output.select("c_custkey", "c_name", r2("c_acctbal").alias("c_acctbal"), "c_mktsegment")
             .crossJoin(n_fields).crossJoin(n_records))          # one row each
 
 
+def q_import_twice(spark, sf_dir):
+    """W11 + W12 customers as JSON lines, with a quote in one name and two
+    names that differ in case, imported twice: the silver rows of the approved
+    draft, with the numbers of registered rows and what the draft watches."""
+    from tierline.operators import imports
+    c = table(spark, sf_dir, "customer")
+    body = F.to_json(F.create_map(F.lit("id"), F.col("c_custkey").cast("string"), F.lit("ID"), F.concat(F.lit("x"), F.col("c_custkey")),
+                                  F.lit("it's"), F.col("c_mktsegment"), F.lit("a`b"), F.col("c_name")))
+    root = scratch_dir(spark, "import-twice")
+    for n in (1, 2):
+        done = imports.import_records(spark, c.select(body.alias("payload"), "c_custkey"), "Customers", TENANT, root, f"{BATCH}-{n}",
+                                      f"2024-02-0{n}T00:00:00", position="c_custkey", key="id")
+    draft = done.transform.first().asDict()
+    bronze = sinks.read_bronze(spark, sinks.layer_path(root, TENANT, "bronze", "customers"))
+    ran = fl.run_transform(spark, {**draft, "status": "approved"}, {"bronze.customers": bronze}, root, TENANT)
+    counts = [imports.control_table(spark, root, t).agg(F.count(F.lit(1)).alias(f"n_{t}")) for t in ("entities", "fields", "transforms")]
+    out = ran.output.select(F.col("id").alias("id"), F.col("ID_2").alias("id_2"), F.col("`it's`").alias("quoted"), F.col("`a``b`").alias("ticked"),
+                            F.lit(draft["watch_entities"][0]).alias("watches"))
+    for n in (*counts, ran.run.select("status", "rows_produced")):
+        out = out.crossJoin(n)                                   # one row each
+    return out
+
+
+SQL_IMPORT_TWICE = f"""
+SELECT c_custkey AS id, 'x' || c_custkey AS id_2, c_mktsegment AS quoted, c_name AS ticked, '{TENANT}.bronze.customers' AS watches,
+       2::BIGINT AS n_entities, 8::BIGINT AS n_fields, 1::BIGINT AS n_transforms, 'success' AS status, (SELECT COUNT(*) FROM customer) AS rows_produced
+FROM customer
+"""
+
+
+def q_transform_declared(spark, sf_dir):
+    """W12 stored SQL as other tools write it: comments with quotes and
+    semicolons, declared columns with a primary key, JSON functions by other
+    names, a temporary table, and a bare query at the end; run twice, over all
+    orders and over the same with another status."""
+    o = table(spark, sf_dir, "orders")
+    sql = r"""-- what's loaded; nothing is dropped
+        CREATE TABLE IF NOT EXISTS silver.orders_typed (
+            o_orderkey BIGINT PRIMARY KEY, status VARCHAR, /* it's; */ price DOUBLE
+        );
+        CREATE TEMP TABLE silver.staged AS SELECT payload FROM bronze.orders WHERE payload <> ';--';
+        INSERT OR REPLACE INTO silver.orders_typed (o_orderkey, price, status)
+        SELECT TRY_CAST(json_extract(payload, '$.o_orderkey') AS BIGINT) AS o_orderkey,
+               TRY_CAST(json_extract(payload, '$.o_totalprice') AS DOUBLE) AS price,
+               concat(json_extract_string(payload, '$.o_orderstatus'), '\'; --') AS status   -- the last; column
+        FROM silver.staged WHERE json_extract_string(payload, '$.o_orderkey') IS NOT NULL;
+        SELECT count(*) AS n FROM silver.orders_typed;"""
+    t = {"id": "t-typed", "status": "approved", "transform_sql": sql}
+    root = scratch_dir(spark, "declared-transform")
+    for status in (F.lit("?"), F.col("o_orderstatus")):
+        rows = o.withColumn("o_orderstatus", status).select(F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")).alias("payload"))
+        done = fl.run_transform(spark, t, {"bronze.orders": rows}, root, TENANT)
+    return done.output.select("o_orderkey", "status", r2("price").alias("price")).crossJoin(
+        done.run.select(F.col("status").alias("run_status"), "rows_produced"))   # one row
+
+
+SQL_TRANSFORM_DECLARED = """
+SELECT o_orderkey, o_orderstatus || '''; --' AS status, ROUND(o_totalprice, 2) AS price, 'success' AS run_status,
+       (SELECT COUNT(*) FROM orders) AS rows_produced FROM orders
+"""
+
+
 SQL_IMPORT_CHAIN = """
 SELECT c_custkey, c_name, ROUND(c_acctbal, 2) AS c_acctbal, c_mktsegment, 4::BIGINT AS n_fields,
        (SELECT COUNT(*) FROM customer) AS n_records FROM customer
@@ -331,6 +393,8 @@ GROUP BY 1
 QUERIES = {
     "import_chain": (q_import_chain, SQL_IMPORT_CHAIN),
     "tenant_scoped": (q_tenant_scoped, SQL_TENANT_SCOPED),
+    "import_twice": (q_import_twice, SQL_IMPORT_TWICE),
+    "transform_declared": (q_transform_declared, SQL_TRANSFORM_DECLARED),
     "transform_stored_sql": (q_transform_stored_sql, SQL_TRANSFORM_STORED),
     "upsert_buckets": (q_upsert_buckets, SQL_UPSERT_BUCKETS),
     "bronze_roundtrip": (q_bronze_roundtrip, SQL_BRONZE_ROUNDTRIP),

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tierline.functions.jsonx import dotted_path
 
-# Bounds of a pull where the caller names none.
+# Usual bounds of a pull, for callers that want them.  Without a
+# bound named, none holds.
 MAX_PAGES = 100
 MAX_RECORDS = 50_000
 LINK_NEXT = r'<([^>]+)>;\s*rel="next"'
@@ -28,6 +29,10 @@ def resolve_path(body: Column, path: str) -> Column:
     v = F.try_parse_json(body)
     if not path:
         return v
+    if "'" in path:                       # no path can name such a key: step by step
+        for part in (path[2:] if path.startswith("$.") else path).split("."):
+            v = F.try_variant_get(v, "$", "map<string,variant>")[part]
+        return v
     return F.try_variant_get(v, dotted_path(path), "variant")
 
 
@@ -80,8 +85,8 @@ def _first_page(pages: DataFrame) -> DataFrame:
     return pages.groupBy("pull_id").agg(F.min("page").alias("_first"))
 
 
-def follow_links(pages: DataFrame, strategy: str, max_pages: int | None = MAX_PAGES, next_url_path: str = "next",
-                 base_url: str = "", max_records: int | None = MAX_RECORDS) -> DataFrame:
+def follow_links(pages: DataFrame, strategy: str, max_pages: int | None = None, next_url_path: str = "next",
+                 base_url: str = "", max_records: int | None = None) -> DataFrame:
     """From each pull's first fetch, page -> the page of the same pull
     whose ``url`` is the next link.  Hops are found by pointer doubling
     (equi-joins on (pull, url); the number of rounds is the logarithm of the
@@ -118,9 +123,9 @@ def follow_links(pages: DataFrame, strategy: str, max_pages: int | None = MAX_PA
     return chain.filter(F.col("_rb") < max_records).select("pull_id", "page", "hop")
 
 
-def kept_pages(pages: DataFrame, strategy: str, page_size: int = 100, max_pages: int | None = MAX_PAGES,
+def kept_pages(pages: DataFrame, strategy: str, page_size: int = 100, max_pages: int | None = None,
                cursor_path: str = "meta.next_cursor", next_url_path: str = "next",
-               base_url: str = "", max_records: int | None = MAX_RECORDS) -> DataFrame:
+               base_url: str = "", max_records: int | None = None) -> DataFrame:
     """(pull_id, page) of the pages a pull lands, for ``offset``, ``cursor``,
     ``link_header`` or ``next_url``.  ``pages`` must carry ``_n`` (records)."""
     if strategy in ("link_header", "next_url"):
@@ -153,8 +158,8 @@ def kept_pages(pages: DataFrame, strategy: str, page_size: int = 100, max_pages:
     return flagged.filter(F.col("_ok_all") & F.col("_land")).select("pull_id", "page")
 
 
-def pull_report(pages: DataFrame, strategy: str, json_path: str = "", max_pages: int | None = MAX_PAGES,
-                max_records: int | None = MAX_RECORDS, **kw) -> DataFrame:
+def pull_report(pages: DataFrame, strategy: str, json_path: str = "", max_pages: int | None = None,
+                max_records: int | None = None, **kw) -> DataFrame:
     """S10 per pull: pages given, pages landed, and whether a bound (not the
     strategy's own end) kept pages out."""
     slim = page_records(pages, json_path).drop("_recs")
@@ -170,6 +175,8 @@ def land_pages(pages: DataFrame, strategy: str = "", json_path: str = "", **kw)
     """Records of the kept pages, one row each:
     ``pull_id, page, item_pos, url, record (JSON text)``; metadata is
     ``{"pulled_from": url, "page": page}`` (single page: ``pulled_from`` only).
+    Bounds hold only where the caller names them; ``pull_report`` with the same
+    ones says what they cut.
     """
     if not strategy:
         first = pages.join(_first_page(pages), "pull_id").filter(F.col("page") == F.col("_first")).drop("_first")

@@ -148,6 +148,10 @@ def _stored_buckets(spark: SparkSession, path: str, asked: int | None) -> int |
     return None
 
 
+def upsert_table_exists(spark: SparkSession, path: str) -> bool:
+    return _exists(spark, os.path.join(path, "_buckets"))
+
+
 #: In a change set: +1 for a row as it is now, -1 for a row as it was.
 SIGN_COL = "_sign"
 
