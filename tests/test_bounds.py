@@ -63,3 +63,18 @@ def test_profile_of_quoted_names_in_one_pass(spark):
     assert charts.profile_columns(df)._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
     nothing = charts.profile_columns(df.where("plain = 'none'")).collect()
     assert all(not r.categorical for r in nothing)
+
+
+def test_renest_spreads_a_hot_parent(spark):
+    from tierline.functions import jsonx
+
+    rng = random.Random(2)
+    rows = [(0 if i % 3 else rng.randrange(50), rng.choice([None, rng.randrange(10 ** 6)]) if i % 50 == 0 else i, f'v"{i % 7}') for i in range(4000)]
+    df = spark.createDataFrame(rows, "p int, o int, v string").repartition(5)
+    got = {r.p: json.loads(r["items"]) for r in jsonx.renest(df, ["p"], ["v"], "o").collect()}
+    want = {}
+    for p, o, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        want.setdefault(p, []).append({"o": o, "v": v})
+    assert got == want
+    ranged = df.repartitionByRange(8, "p", "o").withColumn("part", F.spark_partition_id())
+    assert ranged.where("p = 0").select("part").distinct().count() > 3

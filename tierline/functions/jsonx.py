@@ -144,12 +144,20 @@ def unnest_variant(df: DataFrame, v_col, path: str, alias: str = "elem") -> Data
 def renest(df: DataFrame, group_cols: list[str], item_cols: list[str],
            order_col: str, alias: str = "items") -> DataFrame:
     """A6 re-nest child rows to one JSON array per parent, ordered by
-    ``order_col``.  Partial aggregation happens map-side (collect_list is a
-    TypedImperativeAggregate); the array per parent is bounded by the parent's
-    children, which is the output itself.
+    ``order_col``.
+
+    Children are dealt into ranges of (parent, order), so that a parent with
+    very many spreads over as many tasks as it fills; each range's children
+    become one text there, and a parent's texts are joined in order.  No array
+    of all children of a parent exists before the output cell.
     """
-    out = renest_structs(df, group_cols, item_cols, order_col, alias)
-    return out.select(*group_cols, F.to_json(alias, TO_JSON_OPTS).alias(alias))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = [order_col] + [c for c in item_cols if c != order_col]
+    ranged = df.repartitionByRange(n, *group_cols, order_col).withColumn("_range", F.spark_partition_id())
+    parts = ranged.groupBy(*group_cols, "_range").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*ordered))), TO_JSON_OPTS).alias("_t"))
+    parts = parts.withColumn("_t", F.substring("_t", F.lit(2), F.length("_t") - 2))          # without the brackets
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("_range", "_t"))), lambda x: x["_t"])
+    return parts.groupBy(*group_cols).agg(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")).alias(alias))
 
 
 def renest_structs(df: DataFrame, group_cols: list[str], item_cols: list[str],
