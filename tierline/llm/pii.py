@@ -82,12 +82,18 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
+def _byte(part: str) -> bool:
+    """Whether digits, of which any number may be leading zeros, are 255 at most."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number), by start, then kind."""
     out = [(s, e, 0) for s, e in _emails(text)]
     if re.search("[0-9]", text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(_byte(p) for p in m[0].split(".")):
                 out.append((m.start(), m.end(), 1))
         for m in _CARD.finditer(text):
             d = _digits(m[0])
@@ -141,30 +147,33 @@ def windows(text: str) -> Iterator[list[tuple[int, int]]]:
         yield current
 
 
+def segments_from(text: str, tokens: list[tuple[int, int]], i: int) -> Iterator[int]:
+    """Ends (last token + 1) of the candidate segments that start at token
+    ``i``: they hold a trigger, start and end with a letter, digit or ``+``,
+    and only number-like ones cross a blank."""
+    s = tokens[i][0]
+    if not (text[s].isalnum() or text[s] in "+("):
+        return
+    trigger = letters = blank = False
+    for j in range(i, min(i + MAX_SEGMENT, len(tokens))):
+        a, b = tokens[j]
+        if j > i and a != tokens[j - 1][1]:
+            if text[tokens[j - 1][1]:a] != " " or letters:
+                return
+            blank = True
+        token = text[a:b]
+        if any(c.isalpha() for c in token):
+            letters = True
+            if blank:
+                return
+        trigger = trigger or _TRIGGER.search(token) is not None
+        if trigger and token[-1].isalnum():
+            yield j + 1
+
+
 def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Candidate segments (first token, last token + 1): they hold a trigger,
-    start and end with a letter, digit or ``+``, and only number-like ones
-    cross a blank."""
-    out = []
-    for i, (s, _) in enumerate(tokens):
-        if not (text[s].isalnum() or text[s] in "+("):
-            continue
-        trigger = letters = blank = False
-        for j in range(i, min(i + MAX_SEGMENT, len(tokens))):
-            a, b = tokens[j]
-            if j > i and a != tokens[j - 1][1]:
-                if text[tokens[j - 1][1]:a] != " " or letters:
-                    break
-                blank = True
-            token = text[a:b]
-            if any(c.isalpha() for c in token):
-                letters = True
-                if blank:
-                    break
-            trigger = trigger or _TRIGGER.search(token) is not None
-            if trigger and token[-1].isalnum():
-                out.append((i, j + 1))
-    return out
+    """Candidate segments (first token, last token + 1)."""
+    return [(i, j) for i in range(len(tokens)) for j in segments_from(text, tokens, i)]
 
 
 #: Feature numbers: groups of one-of-many values.
@@ -269,6 +278,44 @@ class Field:
             j, state = i, int(came[i][state])
         return found[::-1]
 
+    def segment(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """What ``decode`` finds, for windows of any length: segments are made
+        where they start, scored, and forgotten; of the scores only those of
+        the next ``MAX_SEGMENT`` tokens are kept, of the past a few bytes a
+        token."""
+        n, states = len(tokens), len(KINDS) + 1
+        band = MAX_SEGMENT + 1
+        best = np.full((band, states), -np.inf)              # of token ends, round and round
+        best[0, 0] = 0
+        length = np.zeros((n + 1, states), np.uint8)         # tokens of the segment that ends here
+        came = np.zeros((n + 1, states), np.uint8)
+        for i in range(n + 1):
+            here = best[i % band]
+            reach = here[:, None] + self.step
+            came[i] = reach.argmax(axis=0)
+            into = reach.max(axis=0)
+            if i == n:
+                break
+            best[i % band] = -np.inf                         # from now on the place of i + band
+            a, b = tokens[i]
+            token = text[a:b]
+            outside = into[0] + self.out[0] + self.out[1 if _TRIGGER.search(token) else 2 if token.isalpha() else 3]
+            after = best[(i + 1) % band]
+            if outside > after[0]:
+                after[0], length[i + 1, 0] = outside, 1
+            for j in segments_from(text, tokens, i):
+                score = into[1:] + self.span[span_features(text, a, tokens[j - 1][1])].sum(axis=0)
+                row = best[j % band]
+                for k in np.flatnonzero(score > row[1:]):
+                    row[k + 1], length[j, k + 1] = score[k], j - i
+        found, j, state = [], n, int(best[n % band].argmax())
+        while j:
+            i = j - int(length[j, state])
+            if state:
+                found.append((i, j, state - 1))
+            j, state = i, int(came[i][state])
+        return found[::-1]
+
     def learn(self, w: Window, gold: dict[int, int], grad: dict[str, np.ndarray]) -> None:
         """Add the gradient of the log-likelihood: observed minus expected.
         ``gold``: segment number -> kind."""
@@ -391,7 +438,7 @@ def find(text: str, field: Field | None) -> list[tuple[int, int, int, bool]]:
     spans = [(a, b, k, True) for a, b, k in base]
     if field is not None:
         for tokens in windows(text):
-            for i, j, k in field.decode(Window(text, tokens)):
+            for i, j, k in field.segment(text, tokens):
                 a, b = tokens[i][0], tokens[j - 1][1]
                 if all(b <= x[0] or a >= x[1] for x in base):
                     spans.append((a, b, k, False))
