@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tierline.functions import jsonx
 from tierline.operators import merge
-from tierline.operators.governance import run_query
+from tierline.operators.governance import run_query, tables_named
 from tierline.sources import sinks
 
 TYPED = ("int", "float", "bool", "timestamp")
@@ -201,7 +201,7 @@ def run_transform(spark: SparkSession, transform: dict, tables: dict[str, DataFr
     AS a query, or with declared columns), CREATE TEMP TABLE ... AS (seen by
     the statements after it, never written), INSERT (OR REPLACE, OR IGNORE)
     INTO ``layer.name`` (with or without a column list) and bare queries, which
-    write nothing.  Comments may stand anywhere.  Every query is first run for
+    write nothing; some statement must name a table.  Comments may stand anywhere.  Every query is first run for
     one row (W13 of the data, G6 of the tables it names), so a bad statement
     stops the run before anything is written.  Then the statements run in
     order on the layer tables below ``root``; inserts by ``key`` (else the
@@ -239,6 +239,8 @@ def run_transform(spark: SparkSession, transform: dict, tables: dict[str, DataFr
     target = read = None
     try:
         parts = statements(transform["transform_sql"])
+        if all(m["read"] and not tables_named(spark, m["read"]) for m in parts):
+            raise ValueError("the transform names no table")
         for m in parts:
             name = (m["table"] or m["into"] or "").lower()
             if m["columns"]:

@@ -198,6 +198,15 @@ def _relations(plan, hidden: frozenset = frozenset()) -> list[tuple[int, int, li
     return out
 
 
+def tables_named(spark: SparkSession, sql: str) -> list[str]:
+    """The tables that a query reads, as it spells them."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as exc:
+        raise QueryDenied("not a query") from exc
+    return [".".join(parts) for _, _, parts in _relations(plan)]
+
+
 def run_query(spark: SparkSession, sql: str, role: str | None,
               tables: dict[str, DataFrame], pii: dict[str, list[str]] | None = None) -> DataFrame:
     """G6 role-scoped read-only query.
