@@ -307,3 +307,36 @@ def test_decontamination_query_finds_planted_items(spark):
     exact = {(d, i) for d, t in docs.items() for i, p in items.items() if p in t}
     got = {(r.doc_id, r.item_id): r.distance for r in op10_decontaminate(spark, sf).collect()}
     assert exact and exact == {k for k, v in got.items() if v == 0}
+
+
+def test_segmenting_in_a_band_equals_the_whole_window(pii_field):
+    rng = random.Random(6)
+    parts = ["1", "22", "+", "4111 1111 1111 1111", "a@b.co", "x", " ", " ", ".", "-", "(212) 555-1234", "10.0.0.1", "token=ab12cd34ef56gh78", "@", "_"]
+    for _ in range(150):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        for tokens in pii.windows(text):
+            assert pii_field.segment(text, tokens) == pii_field.decode(pii.Window(text, tokens)), text
+
+
+def test_long_numbers_and_zeros(spark, pii_field):
+    import tracemalloc
+
+    texts = ["0" * 5000 + ".1.1.1", "1.2.3." + "0" * 9000 + "7", "1.2.3." + "9" * 6000, "0000.0.0.255 and 1.1.1.0256"]
+    want = [[(0, 5006)], [(0, 9007)], [], [(0, 12)]]
+    assert [[(a, b) for a, b, k in pii.base_spans(t) if k == 1] for t in texts] == want
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    assert pii.detect(df, pii_field).count() == len(texts)
+    numbers = " ".join(map(str, range(6000)))
+    tracemalloc.start()
+    pii.find(numbers, pii_field)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20          # the window's features would take eight times as much
+    tracemalloc.stop()
+
+
+def test_join_with_many_small_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 256)
+    monkeypatch.setattr(ngram_join, "RANGE_BYTES", 64)
+    docs = near_copies(9) + EDGES
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_join.join(df, n=4, num=85, den=100).collect()), key=repr)
+    assert got == components_of(docs, 4, 85, 100)

@@ -49,6 +49,9 @@ HOT_SHARE = 1 / 1000
 #: N-grams in fewer classes than this are never hot (small inputs).
 HOT_LEAST = 256
 TILE_ROWS, TILE_BYTES = 1024, 8 << 20
+#: Most hashes of a bucket, of which a task holds one at a time, and of a range
+#: of it that is sorted at once.
+BUCKET_BYTES, RANGE_BYTES = 32 << 20, 2 << 20
 _COLUMNS = 4096
 _HOT = np.uint32(0xFFFFFFFF)
 
@@ -84,23 +87,25 @@ def _distinct(sets, keys) -> list[int]:
     return list(seen.values())
 
 
-def _hot(texts: DataFrame, n: int) -> np.ndarray:
-    """N-grams in about HOT_SHARE of all texts or more, sorted."""
+def _hot(texts: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """N-grams in about HOT_SHARE of all texts or more, sorted; and how many
+    n-grams the tasks will send, sets that are equal within a slice once."""
 
     def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for _, sets, keys in _sets(b, n):
                 own = _distinct(sets, keys)
-                yield pd.DataFrame({"h": [0], "n": [len(own)], "all": [True]})
+                yield pd.DataFrame({"h": [0, 1], "n": [len(own), sum(len(sets[i]) for i in own)], "all": [True, True]})
                 if own:
                     h, count = np.unique(np.concatenate([sets[i] for i in own]), return_counts=True)
                     m = count >= max(2, HOT_SHARE * len(own))
                     yield pd.DataFrame({"h": h[m].view(np.int64), "n": count[m], "all": False})
 
     found = staged(texts.mapInPandas(frequent, "h long, n long, all boolean").groupBy("all", "h").agg(F.sum("n").alias("n")), "hot")
-    total = found.where("all").agg(F.sum("n")).first()[0] or 0
+    totals = {r["h"]: r["n"] for r in found.where("all").collect()}         # two rows
+    total = totals.get(0, 0)
     rows = found.where(~F.col("all") & (F.col("n") >= max(HOT_LEAST, HOT_SHARE * total))).select("h").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64)), totals.get(1, 0)
 
 
 def _runs(hashes, rows, keys, sizes, buckets):
@@ -111,11 +116,26 @@ def _runs(hashes, rows, keys, sizes, buckets):
         yield keys[first], sizes[first], np.diff(np.append(starts, len(r))).astype(np.uint32), hashes[part]
 
 
+def _shared(keys: np.ndarray, sizes: np.ndarray, hashes: np.ndarray):
+    """Of (class, size, n-gram) rows those whose n-gram two classes have, each
+    once, with the number of its classes."""
+    order = np.lexsort((keys, hashes))
+    keys, sizes, hashes = keys[order], sizes[order], hashes[order]
+    new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1])))
+    keys, sizes, hashes = keys[new], sizes[new], hashes[new]
+    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    times = np.diff(np.append(first, len(hashes)))
+    df = np.repeat(times, times).astype(np.uint32)
+    m = df > 1
+    return keys[m], sizes[m], hashes[m], df[m]
+
+
 def _columns(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """documents (id, key, n) and active classes (key, n, prefix, own)."""
     spark = texts.sparkSession
-    buckets = shuffle_partitions(spark)
-    shared = spark.sparkContext.broadcast(_hot(texts, n))      # bounded, see the module's text
+    hot, sent = _hot(texts, n)
+    buckets = max(shuffle_partitions(spark), -(-8 * sent // BUCKET_BYTES))
+    shared = spark.sparkContext.broadcast(hot)                 # bounded, see the module's text
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot, turn = shared.value, 0
@@ -139,7 +159,8 @@ def _columns(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, D
                 out["doc_rows"][turn] = np.array([x for key, s in zip(keys, sets, strict=True) for x in (key, len(s))], np.int64).tobytes()
                 out["doc_ids"][turn] = np.array([0 if pd.isna(i) else i for i in ids], np.int64).tobytes()
                 out["doc_null"][turn] = np.array([pd.isna(i) for i in ids], bool).tobytes()
-                yield pd.DataFrame(out)
+                used = [at for at in range(buckets) if out["hashes"][at] or out["hot_hashes"][at] or out["doc_rows"][at]]
+                yield pd.DataFrame({c: [x[at] for at in used] for c, x in out.items()})
 
     def count(b: pd.DataFrame) -> pd.DataFrame:
         """One bucket: n-grams of two classes or more go on to their classes;
@@ -150,17 +171,12 @@ def _columns(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, D
         times = joined("counts", np.uint32)
         keys, sizes = np.repeat(joined("keys", np.int64), times), np.repeat(joined("sizes", np.uint32), times)
         hashes = joined("hashes", np.uint64)
-        order = np.lexsort((keys, hashes))
-        keys, sizes, hashes = keys[order], sizes[order], hashes[order]
-        if len(keys):
-            new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1])))
-            keys, sizes, hashes = keys[new], sizes[new], hashes[new]
-            _, back, df = np.unique(hashes, return_inverse=True, return_counts=True)
-            df = df[back].astype(np.uint32)
-            m = df > 1
-            keys, sizes, hashes, df = keys[m], sizes[m], hashes[m], df[m]
-        else:
-            df = np.empty(0, np.uint32)
+        # ranges of hashes one after the other: sorting copies, of all at once, would be the most of a task's memory
+        ranges = -(-8 * len(hashes) // RANGE_BYTES)
+        own = (hashes >> np.uint64(40)) % np.uint64(max(1, ranges))
+        parts = [_shared(keys[m], sizes[m], hashes[m]) for m in (np.flatnonzero(own == r) for r in range(ranges)) if len(m)]
+        keys, sizes, hashes, df = (np.concatenate([x[k] for x in parts] + [np.empty(0, kind)])
+                                   for k, kind in enumerate((np.int64, np.uint32, np.uint64, np.uint32)))
         times = joined("hot_counts", np.uint32)
         hot = joined("hot_hashes", np.uint64)
         keys = np.concatenate((keys, np.repeat(joined("hot_keys", np.int64), times)))
