@@ -272,7 +272,7 @@ def q_import_twice(spark, sf_dir):
 
 
 SQL_IMPORT_TWICE = f"""
-SELECT c_custkey AS id, 'x' || c_custkey AS id_2, c_mktsegment AS quoted, c_name AS ticked, '{TENANT}.bronze.customers' AS watches,
+SELECT CAST(c_custkey AS VARCHAR) AS id, 'x' || c_custkey AS id_2, c_mktsegment AS quoted, c_name AS ticked, '{TENANT}.bronze.customers' AS watches,
        2::BIGINT AS n_entities, 8::BIGINT AS n_fields, 1::BIGINT AS n_transforms, 'success' AS status, (SELECT COUNT(*) FROM customer) AS rows_produced
 FROM customer
 """
