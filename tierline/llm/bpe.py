@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tierline.llm.common import bounded_batches
 
 #: Matches kept with their ids per worker, and the longest kept (characters).
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 32
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 32
 #: Ids that are decoded at once.
 DECODED = 1 << 16
 _LEAF_BITS = 8

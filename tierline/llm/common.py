@@ -72,7 +72,7 @@ class shuffle_cleanup:
 
 
 #: Largest Arrow batch that a task hands to Python, in bytes.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ HOT_LEAST = 256
 TILE_ROWS, TILE_BYTES = 1024, 8 << 20
 #: Most hashes of a bucket, of which a task holds one at a time, and of a range
 #: of it that is sorted at once.
-BUCKET_BYTES, RANGE_BYTES = 32 << 20, 2 << 20
+BUCKET_BYTES, RANGE_BYTES = 16 << 20, 2 << 20
 _COLUMNS = 4096
 _HOT = np.uint32(0xFFFFFFFF)
 
