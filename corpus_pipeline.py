@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     letter, those whose best language has less than LEAST_SCORE, and those that
     no language explains.  Stays: every column as it was."""
     model = langid.fit(docs)
-    found = langid.explain(docs, model, out="__fit")
+    found = staged(langid.explain(docs, model, out="__fit"), "language")
     least = langid.limits(found, "__fit")
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & langid.explained(least, "__fit"))
     return kept.select(*docs.columns)
