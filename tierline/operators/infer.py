@@ -9,10 +9,11 @@ distinct keys (schema), never by the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierline.functions.pii import is_pii_col
+from tierline.session import cut_lineage
 
 # Fixed patterns of the type rules (text values are stripped first).
 ISO_TIMESTAMP = r"(?U)^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
@@ -48,27 +49,41 @@ def _kind(schema_col):
             .when(s.startswith("OBJECT"), "object").otherwise("string"))
 
 
+def _entries(v) -> Column:
+    """Array of (key, kind, stripped, value) of an object variant.  Kinds and
+    stripped texts are worked out here, once a value: as columns of a plain
+    projection they would be repeated inside of every rule that reads them."""
+    held = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    held = F.transform(held, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("schema")))
+    held = F.transform(held, lambda e: F.struct(e["key"].alias("key"), _kind(e["schema"]).alias("kind"), e["value"].alias("value")))
+    # the text rules only ever look at string values (numbers are decided by
+    # kind, and bool / list / object values fail every text rule)
+    return F.transform(held, lambda e: F.struct(
+        e["key"].alias("key"), e["kind"].alias("kind"),
+        F.regexp_replace(F.when(e["kind"] == "string", F.variant_get(e["value"], "$", "string")), r"(?U)^\s+|\s+$", "").alias("stripped"),
+        e["value"].alias("value")))
+
+
 def key_values(bronze: DataFrame, position: str, payload: str = "payload",
                entity: str | None = None, sentinel: bool = False) -> DataFrame:
-    """(entity, record, key_pos, key, kind, text) for every key of every object
-    payload.  Key order comes from the text (``json_object_keys``), since
-    VARIANT objects store keys sorted."""
+    """(entity, rec, key, key_pos, kind, stripped, value) for every key of
+    every object payload.  Key order comes from the text (``json_object_keys``),
+    since VARIANT objects store keys sorted."""
     ent = F.col(entity) if entity else F.lit("")
     base = bronze.select(ent.alias("entity"), F.col(position).alias("rec"),
                          F.col(payload).alias("_p"), F.try_parse_json(payload).alias("_v"))
     objs = base.filter(F.schema_of_variant("_v").startswith("OBJECT")).select(
         "entity", "rec", F.json_object_keys("_p").alias("_keys"), "_v")
-    entries = F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>"))
+    entries = _entries("_v")
     if sentinel:
         # one extra (null key) row per record: record totals in the same pass
-        entries = F.concat(entries, F.array(F.struct(F.lit(None).cast("string").alias("key"),
-                                                     F.lit(None).cast("variant").alias("value"))))
+        entries = F.concat(entries, F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit("null").alias("kind"),
+                                                     F.lit(None).cast("string").alias("stripped"), F.lit(None).cast("variant").alias("value"))))
     vals = objs.select("entity", "rec", "_keys", F.inline(entries))
-    kind = _kind(F.schema_of_variant("value"))
     # no join: the text position of a key is looked up in the record's own key list
     return vals.select("entity", "rec", "key",
                        (F.array_position("_keys", F.col("key")) - 1).alias("key_pos"),
-                       kind.alias("kind"), "value")
+                       "kind", "stripped", "value")
 
 
 def _value_text(kind, value):
@@ -84,17 +99,15 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
     order, JSON text cut to ``sample_chars`` for nested ones; none for PII),
     n_present, is_pk.
 
-    Two passes over the exploded (record, key) rows, neither of which shuffles
-    them whole: the rule aggregate (partial aggregation per key) and the
-    samples (a top-3 window whose group limit runs map-side first).  Record
-    totals ride along in the rule aggregate as one sentinel row per record.
+    Two passes over the records, neither of which sorts or shuffles the
+    (record, key) rows whole: the rule aggregate (partial aggregation per key),
+    and the samples, from the few records that can hold them
+    (``_reach``).  Record totals ride along in the rule aggregate as one
+    sentinel row per record.
     """
     kv = key_values(bronze, position, payload, entity, sentinel=True)
     nn = F.col("kind") != "null"
-    # the text rules only ever look at string values (numbers are decided by
-    # kind, and bool / list / object values fail every text rule)
-    stext = F.when(F.col("kind") == "string", F.variant_get("value", "$", "string"))
-    stripped = F.regexp_replace(stext, r"(?U)^\s+|\s+$", "")
+    stripped = F.col("stripped")
 
     def all_(cond):
         # vacuous truth over non-null values; nulls are not counted
@@ -123,7 +136,9 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
         all_((F.col("kind") == "int") | F.coalesce(stripped.rlike(INT_TEXT), F.lit(False))).alias("t_int"),
         all_(F.col("kind").isin("int", "float") | F.coalesce(stripped.rlike(FLOAT_TEXT), F.lit(False)))
         .alias("t_float"),
+        *_least_by_share(nn),
     )
+    g = cut_lineage(g)                       # a row per key; the fields and the samples' reach read it
     # totals from the sentinel group, by a window over the aggregated rows
     # (keys per entity) rather than a self join that would recompute them
     per_entity = Window.partitionBy("entity")
@@ -151,19 +166,47 @@ def infer_fields(bronze: DataFrame, position: str, payload: str = "payload",
         is_pii_col("key").alias("is_pii"),
         F.col("n_present").cast("long").alias("n_present"),
     )
-    samples = first_values(kv.filter(F.col("key").isNotNull()), SAMPLES, sample_chars)
+    samples = first_values(bronze, g, position, payload, entity, SAMPLES, sample_chars)
     fields = fields.join(samples, ["entity", "name"], "left").withColumn(
         "samples", F.when(F.col("is_pii"), F.array().cast("array<string>"))
         .otherwise(F.coalesce(F.col("samples"), F.array().cast("array<string>"))))
     return with_primary_key(fields, entity_name)
 
 
-def first_values(kv: DataFrame, k: int, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """First ``k`` non-null values per key in record order: ``row_number <= k``
-    over (entity, key) ordered by record, which Spark plans with a map-side
-    group limit (at most k rows per key leave each task) before the
-    shuffle."""
-    nn = kv.filter(F.col("kind") != "null").select("entity", F.col("key").alias("name"), "rec", "kind", "value")
+#: Shares that records are dealt into to find how far the first values reach.
+SHARES = 12
+
+
+def _least_by_share(nn) -> list[Column]:
+    """Aggregates over (record, key) rows: the least record with a non-null
+    value in each share of the records."""
+    share = F.pmod(F.xxhash64("rec"), F.lit(SHARES))
+    return [F.min(F.when(nn & (share == i), F.col("rec"))).alias(f"_least{i}") for i in range(SHARES)]
+
+
+def _reach(k: int) -> Column:
+    """A record up to which a key has ``k`` non-null values at least: least
+    records of different shares are different rows, so the k-th of them comes
+    no earlier than the k-th value.  Null (no bound) where fewer shares have
+    rows."""
+    least = F.array_sort(F.array_compact(F.array(*[f"_least{i}" for i in range(SHARES)])))
+    return F.get(least, F.lit(k - 1))
+
+
+def first_values(bronze: DataFrame, keys: DataFrame, position: str, payload: str, entity: str | None,
+                 k: int, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """First ``k`` non-null values per key in record order (null positions
+    first).  ``keys`` (a row a key) says how far they reach: records beyond
+    all keys' reach are not parsed, values beyond their key's are not ranked."""
+    reach = keys.select(F.col("entity").alias("_e"), F.col("key").alias("_k"), _reach(k).alias("_reach"))
+    # per entity, the farthest; no bound where a key has none
+    far = reach.groupBy("_e").agg(F.max("_reach").alias("_far"), F.max(F.col("_reach").isNull()).alias("_open"))
+    ent, rec = F.col(entity) if entity else F.lit(""), F.col(position)
+    near = bronze.join(F.broadcast(far), ent.eqNullSafe(F.col("_e")) & (rec.isNull() | F.col("_open") | (rec <= F.col("_far"))), "left_semi")
+    kv = key_values(near, position, payload, entity).filter((F.col("kind") != "null") & F.col("key").isNotNull())
+    kv = kv.join(F.broadcast(reach), F.col("entity").eqNullSafe(F.col("_e")) & (F.col("key") == F.col("_k")))
+    nn = kv.filter(F.col("rec").isNull() | F.col("_reach").isNull() | (F.col("rec") <= F.col("_reach"))).select(
+        "entity", F.col("key").alias("name"), "rec", "kind", "value")
     w = Window.partitionBy("entity", "name").orderBy("rec")
     top = nn.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k)
     # text is built for the survivors only

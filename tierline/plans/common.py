@@ -47,6 +47,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt over the session's tasks, for plans that make much
+    work of every row: a table's file may be one row group, which one task
+    would read and work on whatever the number of cores."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return spread(df) if name in FACT_TABLES else df

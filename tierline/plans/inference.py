@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tierline.operators.infer import infer_fields
-from tierline.plans.common import BATCH, INGESTED_AT, TENANT, table
+from tierline.plans.common import BATCH, INGESTED_AT, TENANT, dealt, table
 from tierline.plans.core import bronze_orders
 from tierline.sources.landing import envelope
 
@@ -13,7 +13,7 @@ from tierline.sources.landing import envelope
 def customer_records(spark, sf_dir):
     """Contacts-like records derived from ``customer``: PII names, optional
     fields, text numbers, dates, URLs, a list and an object."""
-    c = table(spark, sf_dir, "customer")
+    c = dealt(table(spark, sf_dir, "customer"))
     k = F.col("c_custkey")
     return c.select(
         k.alias("customer_id"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tierline.functions import jsonx
 from tierline.operators.flatten import flatten_select
 from tierline.operators.infer import infer_fields
-from tierline.plans.common import BATCH, INGESTED_AT, TENANT, r2, table, ts_text
+from tierline.plans.common import BATCH, INGESTED_AT, TENANT, dealt, r2, table, ts_text
 from tierline.session import scratch_dir
 from tierline.sources import pages as pg
 from tierline.sources.landing import land_csv, land_json
@@ -18,7 +18,7 @@ from tierline.sources.landing import land_csv, land_json
 
 
 def _customer_csv(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
+    c = dealt(table(spark, sf_dir, "customer"))
     out = c.select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name",
                    F.col("c_acctbal").cast("string").alias("c_acctbal"), "c_mktsegment",
                    F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(F.lit("ok")).alias("note"))

@@ -14,7 +14,7 @@ from tierline.operators import merge
 from tierline.operators.introspect import visible_tables
 from tierline.operators.infer import infer_fields
 from tierline.plans import control, lineage as lin
-from tierline.plans.common import BATCH, TENANT, r2, table, ts_text
+from tierline.plans.common import BATCH, TENANT, dealt, r2, table, ts_text
 from tierline.session import scratch_dir
 from tierline.sources import sinks
 from tierline.sources.landing import envelope
@@ -178,7 +178,7 @@ FROM s FULL OUTER JOIN w ON s.tenant_id = w.tenant_id AND s.key = w.key
 
 def q_one_call_import(spark, sf_dir):
     """W11 import: land -> infer -> key guess -> flatten, on every event."""
-    e = table(spark, sf_dir, "events")
+    e = dealt(table(spark, sf_dir, "events"))
     bronze = envelope(e, "events", TENANT, BATCH, "2024-02-01T00:00:00", position=F.col("event_id")) \
         .withColumn("_pos", F.get_json_object("payload", "$.event_id").cast("long"))
     fields = infer_fields(bronze, "_pos", entity_name="events")
@@ -235,7 +235,7 @@ def q_import_chain(spark, sf_dir):
     """W11 + W12 the whole chain: customers as a CSV file, imported in one call,
     the draft approved and run.  The silver rows, with what was registered."""
     from tierline.operators.imports import control_path, import_file
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    c = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
     src, root = scratch_dir(spark, "import-src"), scratch_dir(spark, "import")
     c.write.option("header", True).csv(src)
     import_file(spark, src, "csv", "Customers", TENANT, root, BATCH, "2024-02-01T00:00:00")
@@ -253,7 +253,7 @@ def q_import_twice(spark, sf_dir):
     names that differ in case, imported twice: the silver rows of the approved
     draft, with the numbers of registered rows and what the draft watches."""
     from tierline.operators import imports
-    c = table(spark, sf_dir, "customer")
+    c = dealt(table(spark, sf_dir, "customer"))
     body = F.to_json(F.create_map(F.lit("id"), F.col("c_custkey").cast("string"), F.lit("ID"), F.concat(F.lit("x"), F.col("c_custkey")),
                                   F.lit("it's"), F.col("c_mktsegment"), F.lit("a`b"), F.col("c_name")))
     root = scratch_dir(spark, "import-twice")
