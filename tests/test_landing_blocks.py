@@ -132,3 +132,12 @@ def test_json_array_rows_come_from_many_tasks(spark, tmpdir_path):
         assert units.select(F.spark_partition_id()).distinct().count() > 4
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_csv_rows_are_parsed_once(spark, tmpdir_path):
+    """Whatever is read of a landing, its files are not read and parsed again."""
+    d = _write(f"{tmpdir_path}/in", {"a.csv": 'a,b\n1,"x\ny"\n2,z,beyond\n', "b.csv": "b\n\n7\n"})
+    land = land_csv(spark, d, "r", "t", "b1", "2024-01-01T00:00:00")
+    assert not [f for df in (land.bronze, land.rejects, land.run) for f in df.inputFiles() if f.endswith(".csv")]
+    assert sorted(r.payload for r in land.bronze.collect()) == ['{"a":"1","b":"x\\ny"}', '{"b":"7"}']
+    assert [(r.row_number, r.raw) for r in land.rejects.collect()] == [(1, "2,z,beyond")]

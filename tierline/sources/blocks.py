@@ -69,3 +69,12 @@ def running(df: DataFrame, position: str, sums: dict[str, Column] | None = None,
         both = F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0)) if f is F.sum else F.coalesce(own, before)
         out = out.withColumn(name, both)
     return out.drop(*[f"_{name}_before" for name, _, _ in ways])
+
+
+def split_starts(splits: DataFrame) -> DataFrame:
+    """_file, _blk, ``_inside`` and ``_before`` of splits given by what they do
+    to either state (_o, _i) and how much they hold when they start in it
+    (_n_o, _n_i): the state each starts in, and the sum before it in its file."""
+    found = _compose(splits, ["_file"], "_blk").withColumn("_inside", _given(F.lit(False)))
+    own = F.when(F.col("_inside"), F.col("_n_i")).otherwise(F.col("_n_o"))
+    return found.select("_file", "_blk", "_inside", F.coalesce(F.sum(own).over(_before(["_file"], "_blk")), F.lit(0)).alias("_before"))

@@ -9,19 +9,23 @@ writes the same ids.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierline.functions.jsonx import TO_JSON_OPTS, is_json, json_elements
 from tierline.functions.text import source_table_name, tenant_slug
-from tierline.session import cut_lineage
-from tierline.sources.blocks import BLOCK, running, starting_states
+from tierline.session import bounded_batches, cut_lineage, staged
+from tierline.sources.blocks import BLOCK, running, split_starts, starting_states
 from tierline.sources.files import file_row_number
 
 ENVELOPE_SCHEMA = T.StructType([
@@ -35,6 +39,8 @@ ENVELOPE_SCHEMA = T.StructType([
 ENVELOPE_COLUMNS = [f.name for f in ENVELOPE_SCHEMA.fields]
 #: What a table name has no room for: all but letters and digits of any script.
 NOT_WORD = r"[\W_]"
+#: Characters of all files' headers that are sent to every task.
+BROADCAST_HEADERS = 64 << 20
 
 
 def bronze_table_name(source: str, tenant_id: str) -> str:
@@ -117,40 +123,108 @@ def landing_run(bronze: DataFrame, rejects: DataFrame, run_id: str,
     )
 
 
-def _open_quote(line: Column, inside: bool) -> Column:
+def _ends_open(line: bytes, inside: bool) -> bool:
     """Whether a line ends inside a quoted cell when it starts ``inside`` one.
     A quote opens a cell where the cell starts, closes it unless another one
     follows, and is an ordinary character anywhere else."""
-    pieces = F.split(F.concat(F.lit("" if inside else ","), line), '"')
-    before = F.slice(pieces, F.lit(1), F.size(pieces) - 1)          # what stands before each quote
-    start = F.struct(F.lit(inside).alias("open"), F.lit(False).alias("closed"))
-
-    def step(state, piece):
-        return F.struct((~state["open"] & F.when(piece == "", state["closed"]).otherwise(piece.endswith(","))).alias("open"),
-                        state["open"].alias("closed"))
-
-    return F.when(line.contains('"'), F.aggregate(before, start, step)["open"]).otherwise(F.lit(inside))
-
-
-def _csv_records(spark: SparkSession, path) -> DataFrame:
+    if b'"' not in line:
+        return inside
+    pieces = line.split(b'"')                                        # what stands before each quote, and the rest
+    now, closed = inside, False
+    if not inside:
+        pieces[0] = b"," + pieces[0]
+    for piece in pieces[:-1]:
+        now, closed = not now and (piece.endswith(b",") if piece else closed), now
+    return now
+
+
+def _by_split(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """(file, start of the split) and rows of it, in order, at most ``rows``
+    at once.  The rows of a split follow each other in one task."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            part = batch.slice(lo, rows)
+            file, at = part.column("_file"), part.column("_blk").to_numpy()
+            names = file.dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (names[1:] != names[:-1])) + 1).tolist(), part.num_rows]
+            for a, b in itertools.pairwise(cuts):
+                yield (file[a].as_py(), int(at[a])), part.slice(a, b - a)
+
+
+def _csv_splits(lines: DataFrame, rows: int) -> DataFrame:
+    """A row per split: for both states it can start in, the state it ends in
+    (_o, _i) and the records that start in it (_n_o, _n_i)."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row():
+            return pa.RecordBatch.from_pylist([{"_file": key[0], "_blk": key[1], "_o": state[0], "_i": state[1], "_n_o": n[0], "_n_i": n[1]}], schema)
+
+        key, state, n = None, [False, True], [0, 0]
+        for own, part in _by_split(batches, rows):
+            if own != key:
+                if key is not None:
+                    yield row()
+                key, state, n = own, [False, True], [0, 0]
+            for line in part.column("value").to_pylist():
+                blank = line in (b"", b"\r")
+                if state[0] == state[1]:
+                    if not state[0] and not blank:
+                        n = [n[0] + 1, n[1] + 1]
+                    if b'"' in line:
+                        state = [_ends_open(line, state[0])] * 2
+                    continue
+                if not blank:                       # one of the two is outside
+                    n[state.index(False)] += 1
+                if b'"' in line:
+                    state = [_ends_open(line, state[0]), _ends_open(line, state[1])]
+        if key is not None:
+            yield row()
+
+    schema = pa.schema([("_file", pa.string()), ("_blk", pa.int64()), ("_o", pa.bool_()), ("_i", pa.bool_()), ("_n_o", pa.int64()), ("_n_i", pa.int64())])
+    return lines.mapInArrow(scan, "_file string, _blk long, _o boolean, _i boolean, _n_o long, _n_i long")
+
+
+def _csv_records(lines: DataFrame, starts: DataFrame, rows: int) -> DataFrame:
     """_file, _row (from 0, the header) and _text of every record that is not
-    empty.  Files are read by physical line, in splits; lines inside quotes
-    are put together again, each record by itself."""
-    lines = file_row_number(spark.read.option("lineSep", "\n").text(path), "_line")
-    value = F.col("value")
-    marks = cut_lineage(lines.select("_file", "_line", _open_quote(value, False).alias("_o"), _open_quote(value, True).alias("_i"),
-                                     value.isin("", "\r").alias("_blank")))
-    marks = starting_states(marks, "_line").withColumn("_goes_on", F.when(F.col("_inside"), F.col("_i")).otherwise(F.col("_o")))
-    first = ~F.col("_inside")
-    marks = running(marks, "_line", sums={"_n": (first & ~(F.col("_blank") & ~F.col("_goes_on"))).cast("long")},
-                    maxima={"_record": F.when(first, F.col("_line"))})
-    rows = lines.join(marks.select("_file", "_line", "_inside", "_goes_on", "_record", (F.col("_n") - 1).alias("_row")), ["_file", "_line"])
-    alone = ~F.col("_inside") & ~F.col("_goes_on")
-    single = rows.filter(alone & ~value.isin("", "\r")).select("_file", "_row", value.alias("_text"))
-    longer = (rows.filter(~alone).groupBy("_file", "_record", "_row")
-              .agg(F.array_sort(F.collect_list(F.struct("_line", "value"))).alias("_lines"))
-              .select("_file", "_row", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("_text")))
-    return single.unionByName(longer).withColumn("_text", F.regexp_replace("_text", "\r$", ""))
+    empty; ``starts`` has a row per split.  Records inside a split are put
+    together there and staged, the few over split ends by a grouping."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, inside, at, own = None, False, -1, []   # own: lines of the record at hand
+        whole = True                                 # it starts in this split
+        for now, part in _by_split(batches, rows):
+            out: list[tuple[int, bytes, bool]] = []
+            if now != key:
+                if inside:
+                    yield batch(key, [(at, b"\n".join(own), False)])
+                key, own, whole = now, [], False
+                inside, at = part.column("_inside")[0].as_py(), part.column("_before")[0].as_py() - 1
+            for line in part.column("value").to_pylist():
+                if inside:
+                    own.append(line)
+                    if b'"' in line and not _ends_open(line, True):
+                        inside = False
+                        out.append((at, b"\n".join(own), whole))
+                elif line not in (b"", b"\r"):
+                    at += 1
+                    if b'"' in line and _ends_open(line, False):
+                        inside, own, whole = True, [line], True
+                    else:
+                        out.append((at, line, True))
+            if out:
+                yield batch(key, out)
+        if inside and own:
+            yield batch(key, [(at, b"\n".join(own), False)])
+
+    def batch(key, out):
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(out), pa.string()), pa.array([key[1]] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()),
+                                           pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.bool_())], ["_file", "_blk", "_row", "_text", "_whole"])
+
+    at = starts.select(F.col("_file").alias("_sf"), F.col("_blk").alias("_sb"), "_inside", "_before")
+    placed = lines.join(F.broadcast(at), (F.col("_file") == F.col("_sf")) & (F.col("_blk") == F.col("_sb"))).drop("_sf", "_sb")
+    found = placed.mapInArrow(scan, "_file string, _blk long, _row long, _text binary, _whole boolean")
+    found = staged(found.withColumn("_text", F.col("_text").cast("string")), "csv-records")
+    over = (found.filter(~F.col("_whole")).groupBy("_file", "_row").agg(F.array_sort(F.collect_list(F.struct("_blk", "_text"))).alias("_parts"))
+            .select("_file", "_row", F.array_join(F.transform("_parts", lambda x: x["_text"]), "\n").alias("_text")))
+    return found.filter("_whole").select("_file", "_row", "_text").unionByName(over).withColumn("_text", F.regexp_replace("_text", "\r$", ""))
 
 
 def land_csv(spark: SparkSession, path: str, source: str, tenant_id: str,
@@ -160,7 +234,8 @@ def land_csv(spark: SparkSession, path: str, source: str, tenant_id: str,
     per file.
 
     Files are read in splits, also where quoted cells hold newlines (in the
-    header too): a scan over the quotes finds the record ends.  One scan serves
+    header too): a scan over the quotes finds the state that each split starts
+    in, a second one the records.  They are parsed once and staged.  One scan serves
     files whose headers differ; each file's first record names its cells
     (of equal names the last counts).  Short rows land with '' in the cells
     they lack, as empty cells do.  Rows with a value beyond the header go to
@@ -168,10 +243,14 @@ def land_csv(spark: SparkSession, path: str, source: str, tenant_id: str,
     closed makes the rest of its file one record.
     """
     target = bronze_table_name(source, tenant_id)
-    records = _csv_records(spark, path)
+    bounded_batches(spark)
+    lines = (spark.read.option("lineSep", "\n").text(path)
+             .select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk")))
+    starts = split_starts(_csv_splits(lines, BLOCK))
+    records = _csv_records(lines, starts, BLOCK)
     header = records.filter("_row = 0").select(F.col("_file").alias("_of"), F.col("_text").alias("_header"))
     # commas of a header record: at least as many as it has cells
-    most = header.agg(F.max(F.length("_header") - F.length(F.translate("_header", ",", "")))).first()[0]
+    most, size = header.agg(F.max(F.length("_header") - F.length(F.translate("_header", ",", ""))), F.sum(F.length("_header") + F.length("_of"))).first()
     if most is None:
         empty = spark.createDataFrame([], ENVELOPE_SCHEMA)
         rej = spark.createDataFrame([], "file string, row_number long, raw string")
@@ -189,20 +268,21 @@ def land_csv(spark: SparkSession, path: str, source: str, tenant_id: str,
     header = (header.withColumn("_cells", cells("_header")).select("_of", F.slice(full, 1, F.coalesce(width, F.lit(1))).alias("_names"))
               .withColumn("_keep", F.filter(F.sequence(F.lit(0), F.size("_names") - 1), lambda i: ~F.array_contains(
                   F.slice("_names", i + 2, F.size("_names")), F.get("_names", i)))))
-    # a frame of one row per file; a big file's rows are split by the skew join
-    rows = (records.filter("_row > 0").withColumn("_row_number", F.col("_row") - 1).join(header, F.col("_file") == F.col("_of"))
+    # a frame of one row per file
+    rows = (records.filter("_row > 0").withColumn("_row_number", F.col("_row") - 1)
+            .join(F.broadcast(header) if size <= BROADCAST_HEADERS else header, F.col("_file") == F.col("_of"))
             .withColumn("_cells", cells("_text"))
             .withColumn("_bad", F.exists(F.slice("_cells", F.size("_names") + 1, len(names)), lambda x: x.isNotNull())))
     payload = F.to_json(F.map_from_arrays(
         F.transform("_keep", lambda i: F.get("_names", i)),
         F.transform("_keep", lambda i: F.coalesce(F.get("_cells", i), F.lit("")))))
+    rows = staged(rows.select("_file", "_row_number", "_bad", F.when(~F.col("_bad"), payload).alias("payload"), F.when(F.col("_bad"), F.col("_text")).alias("raw")), "csv-rows")
     meta = F.to_json(F.struct(F.lit("csv").alias("format"), F.col("_row_number").alias("row_number")))
     bronze = rows.filter(~F.col("_bad")).select(
         record_id(batch_id, source, F.concat_ws("#", F.col("_file"), F.col("_row_number")), F.col("_row_number")).alias("id"),
         F.lit(tenant_id).alias("tenant_id"), F.lit(ingested_at).alias("ingested_at"),
-        F.lit(source).alias("source"), payload.alias("payload"), meta.alias("metadata"))
-    rejects = rows.filter("_bad").select(
-        F.col("_file").alias("file"), F.col("_row_number").alias("row_number"), F.col("_text").alias("raw"))
+        F.lit(source).alias("source"), "payload", meta.alias("metadata"))
+    rejects = rows.filter("_bad").select(F.col("_file").alias("file"), F.col("_row_number").alias("row_number"), "raw")
     return Landing(bronze, rejects, landing_run(bronze, rejects, batch_id, ingested_at, target))
 
 
