@@ -172,3 +172,15 @@ def test_crc_split(spark):
     for r in df.select("doc_id", crc_mod("doc_id", 4).alias("m")).collect():
         assert r.m == zlib.crc32(str(r.doc_id).encode()) % 4
     assert spark.createDataFrame([(None,)], "doc_id long").select(crc_mod("doc_id", 4).alias("m")).where(F.col("m").isNull()).count() == 1
+
+
+def test_frequent_matches_outlast_a_full_table(monkeypatch):
+    from tierline.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 4)
+    t = bpe.Tokenizer({bytes([i]): i for i in range(256)}, r"\w+")
+    merged, plain = [], t.merge
+    monkeypatch.setattr(t, "merge", lambda piece: merged.append(piece) or plain(piece))
+    for i in range(20):
+        assert t.encode(f"often rare{i}") == b"".join(bytes([c, 0, 0, 0]) for c in f"oftenrare{i}".encode())
+    assert merged.count(b"often") == 1 and len(t.kept) <= 4 and len(t.older) <= 4

@@ -8,7 +8,9 @@ leaf gives the lowest rank without a search.  Entries whose pair has changed
 since are stale and skipped when met.  Work per merge does not depend on the
 length, so a match of a million bytes costs a million times one of one byte.
 
-Ranks of short matches are kept in a table of bounded size per Python worker.
+Ranks of short matches are kept in two tables of bounded size per Python
+worker: when the newer is full it becomes the older, whose entries move to the
+newer when met again, so frequent matches stay.
 The vocabulary is read from ``path`` on each worker and never copied.
 
 Defined results: a null text encodes as the empty text, to no ids and empty
@@ -33,8 +35,9 @@ from pyspark.sql import functions as F
 
 from tierline.llm.common import bounded_batches
 
-#: Matches kept with their ids per worker, and the longest kept (characters).
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 32
+#: Matches kept with their ids per worker, in each of two generations, and the
+#: longest kept (characters).
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 32
 #: Ids that are decoded at once.
 DECODED = 1 << 16
 _LEAF_BITS = 8
@@ -89,7 +92,11 @@ class Tokenizer:
         self.joined = np.frombuffer(b"".join(bytes_of), np.uint8)
         self.sizes = np.array([len(x) for x in bytes_of])
         self.starts = np.cumsum(self.sizes) - self.sizes
+        # ranks of single bytes, and of two bytes by both values (-1: none)
+        self.bytes = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.pairs = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}    # the generation before; what is met again moves over
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match."""
@@ -104,9 +111,11 @@ class Tokenizer:
         # the queue's steps are written out here: a call each would cost as much as they do
         buckets, leaves, root = self.queue.buckets, self.queue.leaves, 0
         fresh = []                           # pairs to push: rank, start
-        for i in range(n - 1):
-            rank = rank_of(piece[i:i + 2])
-            if rank is not None:
+        single, pairs = self.bytes, self.pairs
+        token = [single[b] for b in piece]   # id of the token that starts here
+        for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False)):
+            rank = pairs[a << 8 | b]
+            if rank >= 0:
                 waiting[i] = rank
                 if rank in buckets:
                     buckets[rank].append(i)  # starts ascend: still a heap
@@ -134,6 +143,7 @@ class Tokenizer:
             j = end[i]
             k = end[j]
             end[i] = k
+            token[i] = rank
             waiting[j] = waiting[i] = -1
             if k < n:
                 before[k] = i
@@ -157,20 +167,25 @@ class Tokenizer:
                     leaves[rank >> _LEAF_BITS] |= 1 << (rank & _LEAF_MASK)
                     root |= 1 << (rank >> _LEAF_BITS)
             fresh.clear()
-        ids, i, ranks = [], 0, self.ranks
+        ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i:end[i]]])
+            ids.append(token[i])
             i = end[i]
+        if -1 in ids:
+            raise KeyError("a byte has no rank")
         return ids
 
     def _ids(self, match: str) -> bytes:
-        ids = self.merge(match.encode())
-        ids = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(match)
+        if packed is None:
+            ids = self.merge(match.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(match) <= CACHE_CHARS:
             if len(self.kept) >= CACHE_ENTRIES:
-                self.kept.clear()
-            self.kept[match] = ids
-        return ids
+                self.older = self.kept.copy()
+                self.kept.clear()            # ``encode`` holds this table
+            self.kept[match] = packed
+        return packed
 
     def encode(self, text: str) -> bytes:
         kept, ids = self.kept, self._ids
