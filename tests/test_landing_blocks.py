@@ -141,3 +141,25 @@ def test_csv_rows_are_parsed_once(spark, tmpdir_path):
     assert not [f for df in (land.bronze, land.rejects, land.run) for f in df.inputFiles() if f.endswith(".csv")]
     assert sorted(r.payload for r in land.bronze.collect()) == ['{"a":"1","b":"x\\ny"}', '{"b":"7"}']
     assert [(r.row_number, r.raw) for r in land.rejects.collect()] == [(1, "2,z,beyond")]
+
+
+@pytest.mark.parametrize("size", [256, 1 << 20])
+def test_json_long_lines_are_read_in_pieces(spark, tmpdir_path, monkeypatch, size):
+    """Files whose lines are too long to be one value: documents come from
+    their pieces, other files by lines; nothing is read of them again."""
+    monkeypatch.setattr("tierline.sources.landing.LONG_LINE", 200)
+    doc = [{"n": i, "t": ["a, b", "]},{", 'q"']} for i in range(40)]
+    lines = [{"n": 100 + i, "t": "x" * (300 if i == 7 else i)} for i in range(20)]
+    files = {"one.json": json.dumps(doc), "two.json": json.dumps({"k": doc}), "many.json": "\n".join(map(json.dumps, lines)),
+             "short.json": '{"n": 1}\r\n{"n": 2}\r\n', "broken.json": json.dumps(doc)[:-1] + "\n[5]", "blank.json": " " * 500}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        land = land_json(spark, _write(f"{tmpdir_path}/in", files), "items", "t", "b1", "2024-01-01T00:00:00")
+        rows = land.bronze.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    key = lambda x: json.dumps(x, sort_keys=True)
+    assert sorted(key(json.loads(r.payload)) for r in rows) == sorted(map(key, [*doc, {"k": doc}, *lines, {"n": 1}, {"n": 2}, [5]]))
+    assert [r.raw for r in land.rejects.collect()] == [json.dumps(doc)[:-1]]
+    assert not [f for df in (land.bronze, land.rejects, land.run) for f in df.inputFiles() if f.endswith(".json")]

@@ -1,12 +1,10 @@
-"""Prefix scans over the lines or pieces of split files.
+"""Prefix scans over the splits of files.
 
-A piece of a file (a line, or what stands between two commas) means different
-things inside and outside of quotes, and whether it starts inside depends on
-everything before it.  Each piece is therefore summarised for both starting
-states; the summaries of a block's pieces are composed inside the block, those
-of the blocks of a file over the file, and every piece gets its own starting
-state from the two.  Rows of one block are ordered in one task, blocks of a
-file by one row each; a file is never gathered.
+A line, or what stands between two commas, means different things inside and
+outside of quotes, and whether it starts inside depends on everything before
+it.  Each split is therefore summarised for both starting states (one row a
+split); the summaries of the splits of a file are composed in order, and every
+split gets its own starting state from them.  A file is never gathered.
 """
 
 from __future__ import annotations
@@ -14,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pieces of a block.
+#: Lines or pieces that a scan works on at once.
 BLOCK = 1 << 16
 
 
@@ -40,37 +38,6 @@ def _given(start: Column) -> Column:
     return F.coalesce(F.col("_fixed"), start) != F.col("_odd")
 
 
-def starting_states(df: DataFrame, position: str) -> DataFrame:
-    """``df`` (_file, ``position``, _o, _i) with ``_inside``: the state before
-    each piece, when files start outside; and ``_block``."""
-    df = df.withColumn("_block", F.floor(F.col(position) / BLOCK))
-    df = _compose(df, ["_file", "_block"], position)
-
-    def after(start: bool) -> Column:
-        return F.max_by(F.when(_given(F.lit(start)), F.col("_i")).otherwise(F.col("_o")), position)
-
-    blocks = df.groupBy("_file", "_block").agg(after(False).alias("_o"), after(True).alias("_i"))
-    starts = _compose(blocks, ["_file"], "_block").select("_file", "_block", _given(F.lit(False)).alias("_start"))
-    return (df.join(starts, ["_file", "_block"]).withColumn("_inside", _given(F.col("_start")))
-            .drop("_fixed", "_odd", "_start"))
-
-
-def running(df: DataFrame, position: str, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None) -> DataFrame:
-    """``df`` (with _file and _block) and, by name, sums and maxima over the
-    pieces of the file up to and with each."""
-    inside = Window.partitionBy("_file", "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    ways = [(name, F.sum, c) for name, c in (sums or {}).items()] + [(name, F.max, c) for name, c in (maxima or {}).items()]
-    blocks = df.groupBy("_file", "_block").agg(*[f(c).alias(name) for name, f, c in ways])
-    over = _before(["_file"], "_block")
-    blocks = blocks.select("_file", "_block", *[f(name).over(over).alias(f"_{name}_before") for name, f, _ in ways])
-    out = df.withColumns({name: f(c).over(inside) for name, f, c in ways}).join(blocks, ["_file", "_block"])
-    for name, f, _ in ways:
-        own, before = F.col(name), F.col(f"_{name}_before")
-        both = F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0)) if f is F.sum else F.coalesce(own, before)
-        out = out.withColumn(name, both)
-    return out.drop(*[f"_{name}_before" for name, _, _ in ways])
-
-
 def split_starts(splits: DataFrame) -> DataFrame:
     """_file, _blk, ``_inside`` and ``_before`` of splits given by what they do
     to either state (_o, _i) and how much they hold when they start in it

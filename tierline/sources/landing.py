@@ -18,14 +18,15 @@ from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierline.functions.jsonx import TO_JSON_OPTS, is_json, json_elements
 from tierline.functions.text import source_table_name, tenant_slug
 from tierline.session import bounded_batches, cut_lineage, staged
-from tierline.sources.blocks import BLOCK, running, split_starts, starting_states
+from tierline.sources.blocks import BLOCK, split_starts
 from tierline.sources.files import file_row_number
 
 ENVELOPE_SCHEMA = T.StructType([
@@ -41,6 +42,8 @@ ENVELOPE_COLUMNS = [f.name for f in ENVELOPE_SCHEMA.fields]
 NOT_WORD = r"[\W_]"
 #: Characters of all files' headers that are sent to every task.
 BROADCAST_HEADERS = 64 << 20
+#: Bytes from which on a line is not read as one value without need.
+LONG_LINE = 64 << 20
 
 
 def bronze_table_name(source: str, tenant_id: str) -> str:
@@ -286,49 +289,177 @@ def land_csv(spark: SparkSession, path: str, source: str, tenant_id: str,
     return Landing(bronze, rejects, landing_run(bronze, rejects, batch_id, ingested_at, target))
 
 
-def _outside_strings(piece: Column) -> Column:
-    """What of a JSON text without escapes stands outside of its strings."""
-    return F.regexp_replace(piece, '"[^"]*+(?:"|$)', "")
+#: What a character does to the depth, by its code.
+_STEP = np.zeros(256, np.int64)
+_STEP[list(b"[{")], _STEP[list(b"]}")] = 1, -1
+_ESCAPED = re.compile(rb"\\.", re.S)
+#: No depth: more than any.
+_NO_DEPTH = 1 << 60
 
 
-def _depth(text: Column) -> Column:
-    return F.length(F.translate(text, "]}", "")) - F.length(F.translate(text, "[{", ""))
+class _Pieces:
+    """Pieces between commas: their text with the commas again, where each
+    starts and ends in it, and what their quotes and brackets do."""
+
+    def __init__(self, values: pa.Array):
+        self.text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), b",")[0].as_py()
+        length = pc.binary_length(values).to_numpy().astype(np.int64)
+        self.ends = np.cumsum(length + 1) - 1
+        self.starts = self.ends - length
+        codes = np.frombuffer(_ESCAPED.sub(b"__", self.text) if b"\\" in self.text else self.text, np.uint8)
+        self.quotes = np.flatnonzero(codes == ord('"'))
+        self.brackets = np.flatnonzero(_STEP[codes])
+        self.steps = _STEP[codes[self.brackets]]
+        self.odd = np.searchsorted(self.quotes, self.brackets) & 1
+
+    def inside(self, now: bool) -> np.ndarray:
+        """Whether each piece starts inside a string when the first does or does not."""
+        return (np.searchsorted(self.quotes, self.starts) & 1) != now
+
+    def depth(self, now: bool, deep: int) -> np.ndarray:
+        """Depth at the end of each piece, from the state and depth before the first."""
+        total = np.concatenate([[0], np.cumsum(np.where(self.odd == now, self.steps, 0))])
+        return deep + total[np.searchsorted(self.brackets, self.ends)]
+
+    def after(self, now: bool) -> bool:
+        return bool(now) != bool(len(self.quotes) & 1)
+
+
+def _json_splits(pieces: DataFrame, rows: int) -> DataFrame:
+    """A row per split: for both states it can start in, the state it ends in
+    (_o, _i), how much deeper it ends (_n_o, _n_i), and the least depth at the
+    end of a piece but its last (_m_o, _m_i); the bracket it starts with, and
+    its last character."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row():
+            return pa.RecordBatch.from_pylist([{"_file": key[0], "_blk": key[1], "_o": state[0], "_i": state[1], "_n_o": deep[0], "_n_i": deep[1],
+                                                "_m_o": least[0], "_m_i": least[1], "_left": left, "_right": right}], schema)
+
+        key = None
+        for own, part in _by_split(batches, rows):
+            p, values = _Pieces(part.column("value")), part.column("value")
+            if own != key:
+                if key is not None:
+                    yield row()
+                key, state, deep, least = own, [False, True], [0, 0], [_NO_DEPTH, _NO_DEPTH]
+                left = re.match(rb"\s*([\[{]?)", values[0].as_py())[1].decode()
+            else:
+                least = [min(x, y) for x, y in zip(least, deep, strict=True)]
+            for k in (0, 1):
+                depth = p.depth(state[k], deep[k])
+                least[k], deep[k] = min([least[k], *depth[:-1].min(initial=_NO_DEPTH, keepdims=True).tolist()]), int(depth[-1])
+            state = [p.after(state[0]), p.after(state[1])]
+            right = values[-1].as_py().rstrip()[-1:].decode("latin-1")
+        if key is not None:
+            yield row()
+
+    fields = [("_file", pa.string()), ("_blk", pa.int64()), ("_o", pa.bool_()), ("_i", pa.bool_()), *((c, pa.int64()) for c in ("_n_o", "_n_i", "_m_o", "_m_i")),
+              ("_left", pa.string()), ("_right", pa.string())]
+    schema = pa.schema(fields)
+    return pieces.mapInArrow(scan, "_file string, _blk long, _o boolean, _i boolean, _n_o long, _n_i long, _m_o long, _m_i long, _left string, _right string")
+
+
+def _json_cut(pieces: DataFrame, starts: DataFrame, rows: int) -> DataFrame:
+    """_file, _blk, _at (number in the split, -1 for what goes on from an
+    earlier one), _text and _whole of every part, or what of it stands in the
+    split.  ``starts`` has a row per split."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []                          # own: text of the part at hand
+        at, whole, head, tail = -1, False, False, False
+
+        def batch(out):
+            texts = [re.sub(rb"^\s*[\[{]", b"", t) if head and n == 0 else t for n, t, _ in out]
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(out), pa.string()), pa.array([key[1]] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()),
+                                               pa.array(texts, pa.binary()), pa.array([x[2] for x in out], pa.bool_())], ["_file", "_blk", "_at", "_text", "_whole"])
+
+        def last():
+            text = b",".join(own)
+            return batch([(at, re.sub(rb"[\]}]\s*$", b"", text) if tail else text, whole and tail)])
+
+        for now, part in _by_split(batches, rows):
+            if now != key:
+                if own:
+                    yield last()
+                key, own, at, whole = now, [], -1, False
+                inside, deep, head, tail = (part.column(c)[0].as_py() for c in ("_inside", "_before", "_head", "_tail"))
+                opening = head
+            else:
+                opening = False
+            p = _Pieces(part.column("value"))
+            depth = p.depth(inside, deep)
+            first = ~p.inside(inside) & (np.concatenate([[deep], depth[:-1]]) == 1)
+            first[0] |= opening
+            inside, deep, first = p.after(inside), int(depth[-1]), np.flatnonzero(first)
+            if not len(first):
+                own.append(p.text)
+                continue
+            cuts, out = p.starts[first].tolist(), []
+            if first[0] > 0:
+                own.append(p.text[:cuts[0] - 1])
+            if own:
+                out.append((at, b",".join(own), whole))
+            out += [(at + 1 + n, p.text[x:y - 1], True) for n, (x, y) in enumerate(itertools.pairwise(cuts))]
+            if out:
+                yield batch(out)
+            at, own, whole = at + len(cuts), [p.text[cuts[-1]:]], True
+        if own:
+            yield last()
+
+    at = starts.select(F.col("_file").alias("_sf"), F.col("_blk").alias("_sb"), "_inside", "_before", "_head", "_tail")
+    placed = pieces.join(F.broadcast(at), (F.col("_file") == F.col("_sf")) & (F.col("_blk") == F.col("_sb"))).drop("_sf", "_sb")
+    return placed.mapInArrow(scan, "_file string, _blk long, _at long, _text binary, _whole boolean")
 
 
 def _json_parts(spark: SparkSession, files: list[str]) -> DataFrame:
     """What stands between the outermost brackets of files that are one JSON
-    array or object, cut at the commas there: _file, _array, _part, _text.
-    Files of any other shape are left out.
-
-    Files are read in pieces between commas.  Quotes say which pieces start
-    inside a string, brackets outside of strings how deep they are; pieces
-    that start at depth one outside of a string start a part."""
-    pieces = file_row_number(spark.read.option("lineSep", ",").text(files), "_at")
-    plain = F.regexp_replace("value", r"(?s)\\.", "")                          # without escaped characters
-    odd = (F.length(plain) - F.length(F.translate(plain, '"', ""))) % 2 == 1
-    marks = pieces.select("_file", "_at", odd.alias("_o"), (~odd).alias("_i"), _depth(_outside_strings(plain)).cast("long").alias("_from_out"),
-                          _depth(_outside_strings(F.concat(F.lit('"'), plain))).cast("long").alias("_from_in"),
-                          F.regexp_extract("value", r"^\s*([\[{]?)", 1).alias("_left"), F.rtrim(F.regexp_replace("value", r"\s+$", "")).substr(-1, 1).alias("_right"),
-                          (F.trim(F.regexp_replace("value", r"\s+", "")) == "").alias("_blank"))
-    marks = starting_states(cut_lineage(marks), "_at")
-    step = F.when(F.col("_inside"), F.col("_from_in")).otherwise(F.col("_from_out"))
-    marks = running(marks.withColumn("_step", step), "_at", sums={"_deep": F.col("_step")})
-    first = ~F.col("_inside") & (F.col("_deep") - F.col("_step") == 1)
-    marks = running(marks.withColumn("_first", first | (F.col("_at") == 0)), "_at",
-                    maxima={"_part": F.when(F.col("_first"), F.col("_at"))})
+    array or object, cut at the commas there: _file, _array, _part (from 0),
+    _text.  Files of any other shape are left out.
+
+    Files are read in splits of pieces between commas.  A scan says what the
+    quotes and brackets of a split do, so where every split starts; a second
+    one cuts it: pieces that start at depth one outside of a string start a
+    part.  Parts over split ends are put together by a grouping."""
+    bounded_batches(spark)
+    pieces = (spark.read.option("lineSep", ",").text(files)
+              .select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk")))
+    splits = cut_lineage(_json_splits(pieces, BLOCK))                     # a row per split
+    least = F.when(F.col("_inside"), F.col("_m_i")).otherwise(F.col("_m_o"))
+    deeper = F.when(F.col("_inside"), F.col("_n_i")).otherwise(F.col("_n_o"))
+    splits = splits.join(split_starts(splits), ["_file", "_blk"]).withColumns({
+        "_ends": F.col("_before") + deeper, "_least": F.col("_before") + least,
+        "_head": F.col("_blk") == F.min("_blk").over(Window.partitionBy("_file")), "_tail": F.col("_blk") == F.max("_blk").over(Window.partitionBy("_file"))})
     # one pair of brackets around all of it: depth stays above zero up to the last piece and ends at zero there
-    shape = marks.groupBy("_file").agg(
-        F.max("_at").alias("_last"), F.min_by("_left", "_at").alias("_opens"), F.max_by("_right", "_at").alias("_closes"),
-        F.max_by("_deep", "_at").alias("_ends"), F.max(F.when(F.col("_deep") < 1, F.col("_at"))).alias("_out"),
-        F.min(F.when(F.col("_deep") < 1, F.col("_at"))).alias("_first_out"))
-    shape = (shape.filter("_ends = 0 and _first_out = _last and ((_opens = '[' and _closes = ']') or (_opens = '{' and _closes = '}'))")
-             .select("_file", "_last", (F.col("_opens") == "[").alias("_array")))
-    rows = pieces.join(marks.select("_file", "_at", "_part"), ["_file", "_at"]).join(shape, "_file")
-    rows = rows.withColumn("value", F.when(F.col("_at") == 0, F.regexp_replace("value", r"^\s*[\[{]", "")).otherwise(F.col("value")))
-    rows = rows.withColumn("value", F.when(F.col("_at") == F.col("_last"), F.regexp_replace("value", r"[\]}]\s*$", "")).otherwise(F.col("value")))
-    return (rows.groupBy("_file", "_array", "_last", "_part").agg(F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("_pieces"))
-            .select("_file", "_array", "_part", (F.col("_part") == 0).alias("_head"),
-                    F.array_join(F.transform("_pieces", lambda x: x["value"]), ",").alias("_text")))
+    shape = splits.groupBy("_file").agg(
+        F.max(F.when(F.col("_head"), F.col("_left"))).alias("_opens"), F.max(F.when(F.col("_tail"), F.col("_right"))).alias("_closes"),
+        F.max(F.when(F.col("_tail"), F.col("_ends"))).alias("_end"), F.min("_least").alias("_least"),
+        F.min(F.when(~F.col("_tail"), F.col("_ends"))).alias("_between"))
+    shape = cut_lineage(shape.filter("_end = 0 and _least > 0 and coalesce(_between, 1) > 0 and ((_opens = '[' and _closes = ']') or (_opens = '{' and _closes = '}'))")
+                        .select("_file", (F.col("_opens") == "[").alias("_array")))
+    found = _json_cut(pieces, splits.join(shape, "_file"), BLOCK)
+    found = staged(found.withColumn("_text", F.col("_text").cast("string")), "json-parts")
+    count = found.groupBy("_file", "_blk").agg((F.max("_at") + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = found.join(F.broadcast(count.select("_file", "_blk", before.alias("_before"))), ["_file", "_blk"]).withColumn("_part", F.col("_before") + F.col("_at"))
+    over = (found.filter(~F.col("_whole")).groupBy("_file", "_part").agg(F.array_sort(F.collect_list(F.struct("_blk", "_text"))).alias("_parts"))
+            .select("_file", "_part", F.array_join(F.transform("_parts", lambda x: x["_text"]), ",").alias("_text")))
+    found = found.filter("_whole").select("_file", "_part", "_text").unionByName(over)
+    return found.join(F.broadcast(shape), "_file")
+
+
+def _with_long_lines(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files below ``path`` that hold a line of ``LONG_LINE`` bytes or more, and
+    all others if there are any such: read with that most length, what is read
+    does not add up to their size."""
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
+    large = [unquote(r[0]) for r in listed.filter(F.col("_size") >= LONG_LINE).collect()]       # names alone are read
+    if not large:
+        return [], []
+    lines = (spark.read.option("lineSep", "\n").option("mapreduce.input.linerecordreader.line.maxlength", str(LONG_LINE)).text(large)
+             .groupBy(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
+             .agg(F.sum(F.octet_length("value") + F.lit(1).cast("long")).alias("_read")))
+    short = {unquote(r[0]) for r in lines.filter(F.col("_read").isin(F.col("_size"), F.col("_size") + 1)).select("_file").collect()}
+    long = [f for f in large if f not in short]
+    return long, [f for f in (unquote(r[0]) for r in listed.collect()) if f not in set(long)] if long else []
 
 
 def land_json(spark: SparkSession, path: str, source: str, tenant_id: str,
@@ -343,40 +474,52 @@ def land_json(spark: SparkSession, path: str, source: str, tenant_id: str,
     fails the whole upload, quirk Q14; ours lands the rest, status partial).
 
     Files are read in splits.  Those that can be one document of several lines
-    or elements (named on the driver) are cut at their outermost commas by a
-    scan over quotes and brackets; they are documents if every part is a JSON
+    or elements (named on the driver) are cut at their outermost commas by two
+    scans over quotes and brackets; they are documents if every part is a JSON
     value (or member).  Only an object document, which is one record, is put
-    together again.
+    together again.  Lines and parts are parsed once and staged.  Files with a
+    line of ``LONG_LINE`` bytes are only read by lines if they are no document.
     """
-    lines = file_row_number(spark.read.text(path), "_line")
-    lines = lines.filter(F.trim("value") != "").withColumn("_ok", is_json("value"))
+    def by_line(files: str | list[str]) -> DataFrame:
+        lines = file_row_number(spark.read.text(files).select("value"), "_line")
+        return staged(lines.filter(F.trim("value") != "").withColumn("_ok", is_json("value")), "json-lines")
+
+    long, others = _with_long_lines(spark, path)
+    linewise = by_line(others if long else path) if others or not long else None
     head = F.substring(F.ltrim("value"), 1, 1)
-    per_file = lines.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_ok", "_line").alias("_first_ok"),
-                                          F.min_by(head, "_line").alias("_head"))
-    maybe = per_file.filter(((F.col("_n") == 1) & (F.col("_head") == "[")) | (~F.col("_first_ok") & F.col("_head").isin("[", "{")))
-    files = [unquote(r[0]) for r in maybe.select("_file").collect()]
-    linewise = lines
+    files = list(long)
+    if linewise is not None:
+        per_file = linewise.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_ok", "_line").alias("_first_ok"),
+                                                 F.min_by(head, "_line").alias("_head"))
+        maybe = per_file.filter(((F.col("_n") == 1) & (F.col("_head") == "[")) | (~F.col("_first_ok") & F.col("_head").isin("[", "{")))
+        files += [unquote(r[0]) for r in maybe.select("_file").collect()]
     recs = None
     if files:
         parts = _json_parts(spark, files)
         empty = F.trim(F.regexp_replace("_text", r"\s+", "")) == ""
         whole = F.when(F.col("_array"), is_json("_text")).otherwise(is_json(F.concat(F.lit("{"), "_text", F.lit("}"))))
         # nothing between the brackets is fine, an empty part beside others is not
-        parts = cut_lineage(parts.withColumns({"_empty": empty, "_valid": whole}))
+        parts = parts.withColumns({"_empty": empty, "_valid": whole})
+        element = F.get(json_elements(F.concat(F.lit("["), "_text", F.lit("]"))), F.lit(0))
+        parts = staged(parts.withColumn("_text", F.when(F.col("_array") & F.col("_valid") & ~F.col("_empty"), element).otherwise(F.col("_text"))), "json-records")
         good = (parts.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("_valid") & ~F.col("_empty"), 1).otherwise(0)).alias("_good"),
                                            F.max("_empty").alias("_any_empty"))
                 .filter("_n = _good or (_n = 1 and _any_empty)").select("_file"))
-        parts = parts.join(good, "_file", "left_semi")
-        order = _before_in_file(parts)
-        elements = (parts.filter("_array and not _empty").join(order, ["_file", "_part"])
-                    .select("_file", "_pos", F.get(json_elements(F.concat(F.lit("["), "_text", F.lit("]"))), F.lit(0)).alias("payload")))
+        good = cut_lineage(good)
+        rest = set(long) - {unquote(r[0]) for r in good.collect()} if long else None
+        if rest:                                     # no document: their lines, however long
+            linewise = by_line(sorted(rest)) if linewise is None else linewise.unionByName(by_line(sorted(rest)))
+        parts = parts.join(F.broadcast(good), "_file", "left_semi")
+        elements = parts.filter("_array and not _empty").select("_file", F.col("_part").alias("_pos"), F.col("_text").alias("payload"))
         objects = (parts.filter(~F.col("_array")).groupBy("_file").agg(F.array_sort(F.collect_list(F.struct("_part", "_text"))).alias("_members"))
                    .select("_file", F.lit(0).cast("long").alias("_pos"),
                            F.concat(F.lit("{"), F.array_join(F.transform("_members", lambda x: x["_text"]), ","), F.lit("}")).alias("payload")))
         recs = elements.unionByName(objects)
-        linewise = lines.join(good, "_file", "left_anti")
-    by_line = linewise.filter("_ok").select("_file", F.col("_line").alias("_pos"), F.trim("value").alias("payload"))
-    recs = by_line if recs is None else recs.unionByName(by_line)
+        linewise = None if linewise is None else linewise.join(F.broadcast(good), "_file", "left_anti")
+    if linewise is None:
+        linewise = spark.createDataFrame([], "value string, _file string, _line long, _ok boolean")
+    landed = linewise.filter("_ok").select("_file", F.col("_line").alias("_pos"), F.trim("value").alias("payload"))
+    recs = landed if recs is None else recs.unionByName(landed)
     bronze = recs.select(
         record_id(batch_id, source, F.concat_ws("#", F.col("_file"), F.col("_pos")), F.col("_pos")).alias("id"),
         F.lit(tenant_id).alias("tenant_id"), F.lit(ingested_at).alias("ingested_at"),
@@ -387,12 +530,6 @@ def land_json(spark: SparkSession, path: str, source: str, tenant_id: str,
     return Landing(bronze, rejects, landing_run(bronze, rejects, batch_id, ingested_at, target))
 
 
-def _before_in_file(parts: DataFrame) -> DataFrame:
-    """_file, _part, _pos: the number of parts before each in its file."""
-    marks = parts.select("_file", "_part", F.floor(F.col("_part") / BLOCK).alias("_block"))
-    return running(marks, "_part", sums={"_n": F.lit(1).cast("long")}).select("_file", "_part", (F.col("_n") - 1).alias("_pos"))
-
-
 __all__ = ["ENVELOPE_SCHEMA", "ENVELOPE_COLUMNS", "envelope", "land_csv", "land_json",
            "landing_run", "Landing", "bronze_table_name", "record_id", "source_table_name",
            "tenant_slug"]
