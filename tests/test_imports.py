@@ -76,3 +76,14 @@ def test_statement_forms(spark, tmpdir_path):
                 "CREATE TABLE silver.x (id INT)", "CREATE TABLE gold.y (id NOSUCHTYPE)", "CREATE TABLE gold.y (a b c d)", "", "-- only a comment",
                 "SELECT reflect('java.lang.System', 'exit', 1) FROM bronze.x", "UPDATE silver.x SET id = 1; SELECT 1"):
         assert _run(spark, tmpdir_path, bad, t).run.first().status == "failed", bad
+
+
+def test_one_call_import_reads_its_table_once(spark, tmpdir_path):
+    """What the query returns comes from the landed rows, not from the table again."""
+    from tierline.plans.storage import q_one_call_import
+
+    (spark.range(20).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 3 AS user_id", "'view' AS event_type",
+                                "id / 4 AS value", "'{}' AS props").write.parquet(f"{tmpdir_path}/events.parquet"))
+    out = q_one_call_import(spark, tmpdir_path)
+    assert sorted((r.event_id, r.value) for r in out.collect()) == [(n, round(n / 4, 2)) for n in range(20)]
+    assert not [f for f in out.inputFiles() if "events.parquet" in f]

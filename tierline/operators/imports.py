@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tierline.functions import jsonx
 from tierline.operators.flatten import TYPED, column_names, field_tuples
 from tierline.operators.infer import infer_fields
-from tierline.session import cut_lineage
+from tierline.session import cut_lineage, staged
 from tierline.sources import sinks
 from tierline.sources.landing import Landing, envelope, land_csv, land_json, landing_run
 
@@ -80,7 +80,7 @@ def import_records(spark: SparkSession, records: DataFrame, source: str, tenant:
     (inline samples, webhook bodies).  Other texts are rejects."""
     rows = records.select(F.col(payload).cast("string").alias("payload"),
                           (F.monotonically_increasing_id() if position is None else F.col(position).cast("long")).alias("pos"))
-    rows = cut_lineage(rows.withColumn("ok", jsonx.is_json("payload") & F.ltrim("payload").startswith("{")), spark)
+    rows = staged(rows.withColumn("ok", jsonx.is_json("payload") & F.ltrim("payload").startswith("{")), "import-records")
     good = envelope(rows.filter("ok"), source, tenant, batch_id, ingested_at, position=F.col("pos"), payload=F.trim("payload"))
     bad = rows.filter("NOT coalesce(ok, false)").select(F.lit(None).cast("string").alias("file"), F.col("pos").alias("row_number"), F.col("payload").alias("raw"))
     run = landing_run(good, bad, batch_id, ingested_at, f"bronze.{_name(source)}")
@@ -119,7 +119,7 @@ def register(spark: SparkSession, landing: Landing, source: str, tenant: str, ro
     """
     name = _name(source)
     at = sinks.layer_path(root, tenant, "bronze", name)
-    landed = cut_lineage(landing.bronze, spark)
+    landed = staged(landing.bronze, "import-landed")
     sinks.append_bronze(landed, at)
     # ids of a batch sort in landing order
     position = F.conv(F.substring("id", 1, 16), 16, 10).cast("long")

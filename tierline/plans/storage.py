@@ -15,7 +15,7 @@ from tierline.operators.introspect import visible_tables
 from tierline.operators.infer import infer_fields
 from tierline.plans import control, lineage as lin
 from tierline.plans.common import BATCH, TENANT, dealt, r2, table, ts_text
-from tierline.session import scratch_dir
+from tierline.session import cut_lineage, scratch_dir, staged
 from tierline.sources import sinks
 from tierline.sources.landing import envelope
 
@@ -181,7 +181,8 @@ def q_one_call_import(spark, sf_dir):
     e = dealt(table(spark, sf_dir, "events"))
     bronze = envelope(e, "events", TENANT, BATCH, "2024-02-01T00:00:00", position=F.col("event_id")) \
         .withColumn("_pos", F.get_json_object("payload", "$.event_id").cast("long"))
-    fields = infer_fields(bronze, "_pos", entity_name="events")
+    bronze = staged(bronze, "import-bronze")                                  # landed once; inference and silver read it
+    fields = cut_lineage(infer_fields(bronze, "_pos", entity_name="events"))  # one row a field
     pk = [r["name"] for r in fields.filter("is_pk").select("name").collect()]   # one row: schema
     tuples = fl.field_tuples(fields)                                          # schema-sized list
     silver = fl.flatten(bronze, tuples, pk[0] if pk else tuples[0][0])
