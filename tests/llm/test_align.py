@@ -111,3 +111,27 @@ def test_cuts_of_random_ends(seed):
         b = np.unique(np.append(rng.integers(1, 40, 30), n * 3))        # all cuts at one end
     assert a[align.shared_cuts(a, b)].tolist() == np.intersect1d(a, b).tolist()
     assert align.shared_cuts(a[-1:], a[-1:]).tolist() == [0] and len(align.shared_cuts(a[:0], a[:0])) == 0
+
+
+class _Calls:
+    def __init__(self, real):
+        self.real, self.seen = real, []
+
+    def encode(self, given, **more):
+        self.seen.append(given)
+        return self.real.encode(given, **more)
+
+
+def test_units_of_both_sides_are_coded_side_by_side():
+    """B gets joined units in one string, not a list; each unit's ids are those it has alone."""
+    rng = np.random.default_rng(5)
+    parts = ["the", "naïve", "世界", "x" * 70, "12,5", "don't", "e\u0301", "\u0308a", "\U0001f600", "a\n\nb", "a  b", "\ufb01n", "\u2581q", "re-do"]
+    units = sorted({"".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(600)})
+    p = align.Pair(A, B)
+    alone = {u: p._encode([u], set())[0] for u in units}
+    p.b = calls = _Calls(p.b)
+    plain = [u for u in units if alone[u][0]]
+    assert len(plain) > 3 * align.JOINED
+    assert p._encode(plain, set()) == [alone[u] for u in plain]
+    assert all(isinstance(x, str) for x in calls.seen) and len(calls.seen) <= -(-len(plain) // align.JOINED)
+    assert p._encode(units, set()) == [alone[u] for u in units]          # also where some have no ids

@@ -53,7 +53,7 @@ from tierline.llm.common import bounded_batches, slices, staged
 SHARED_PAIRS = 1 << 21
 #: Units a generation of kept ones has, the longest kept, text of a numpy step.
 CACHE_UNITS, CACHE_CHARS, STEP_BYTES = 150_000, 48, 1 << 18
-#: Units that one call of A's library gets as one string.
+#: Units that one call of either library gets as one string.
 JOINED = 64
 #: Distinct pairs that a task holds before it writes them out, and pairs of a row.
 HELD_PAIRS, ROW_PAIRS = 1 << 19, 1 << 15
@@ -104,8 +104,8 @@ class Pair:
 
     def _encode(self, units: list[str], alone: set[str]) -> list[tuple[bytes, bytes]]:
         """Packed ids of units; two empty strings where the bytes differ.
-        Units go to A side by side, as if in one text, and are cut again at the
-        bytes where they end; but for those of ``alone``."""
+        Units go to A and B side by side, as if in one text, and are cut again
+        at the bytes where they end; but for those of ``alone``."""
         if alone and len(units) > 1:
             rest = [u for u in units if u not in alone]
             coded = dict(zip(rest, self._encode(rest, set()), strict=True))
@@ -115,16 +115,19 @@ class Pair:
             own = units[lo:lo + JOINED]
             joined = "".join([" " + u for u in own])
             a = self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids
-            b = self.b.encode(own, num_threads=1)
+            b = self.b.encode(" ".join(own))
             want = joined.encode()
-            n_b = [len(x) for x in b]
-            b = [i for x in b for i in x]
+            unit_end = np.cumsum([len(u.encode()) + 1 for u in own])
             if (b"".join(map(self.a_bytes.__getitem__, a)) == want
                     and b"".join(map(self.b_bytes.__getitem__, b)) == want):
                 a, b = np.array(a, "<u4"), np.array(b, "<u4")
-                b_cut = np.cumsum(n_b)
-                a_cut = np.searchsorted(np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])[b_cut - 1]) + 1
-                a, b, a_cut, b_cut = a.tobytes(), b.tobytes(), (4 * a_cut).tolist(), (4 * b_cut).tolist()
+                a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+                a_cut, b_cut = np.searchsorted(a_end, unit_end), np.searchsorted(b_end, unit_end)
+                same = bool((a_end[a_cut] == unit_end).all() and (b_end[b_cut] == unit_end).all())
+            else:
+                same = False
+            if same:
+                a, b, a_cut, b_cut = a.tobytes(), b.tobytes(), (4 * a_cut + 4).tolist(), (4 * b_cut + 4).tolist()
                 out += [(a[x:y], b[v:w]) for x, y, v, w in zip([0, *a_cut], a_cut, [0, *b_cut], b_cut)]
             elif len(own) == 1:
                 out.append((b"", b""))
