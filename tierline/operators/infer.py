@@ -41,29 +41,40 @@ def _kind(schema_col):
     drops zero fractions (``1.0`` -> DECIMAL(1,0)).  So DECIMAL(p,0) is a
     float literal unless p >= 19 (an integer literal beyond a long)."""
     s = schema_col
-    return (F.when(s.isNull() | (s == "VOID"), "null").when(s == "BOOLEAN", "bool")
+    return (F.when(s == "STRING", "string").when(s.isNull() | (s == "VOID"), "null").when(s == "BOOLEAN", "bool")
             .when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT")
                   | s.rlike(r"^DECIMAL\((19|[2-9]\d|\d{3,}),0\)$"), "int")
             .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "float")
-            .when(s == "STRING", "string").when(s.startswith("ARRAY"), "array")
+            .when(s.startswith("ARRAY"), "array")
             .when(s.startswith("OBJECT"), "object").otherwise("string"))
 
 
 def _entries(v) -> Column:
-    """Array of (key, kind, stripped, value) of an object variant.  Kinds and
-    stripped texts are worked out here, once a value: as columns of a plain
-    projection they would be repeated inside of every rule that reads them."""
+    """Array of (key, kind, stripped, value) of an object variant, null for
+    any other.  Kinds and stripped texts are worked out here, once a value: as
+    columns of a plain projection they would be repeated inside of every rule
+    that reads them."""
     held = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
     held = F.transform(held, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("schema")))
     held = F.transform(held, lambda e: F.struct(e["key"].alias("key"), _kind(e["schema"]).alias("kind"), e["value"].alias("value")))
     # the text rules only ever look at string values (numbers are decided by
     # kind, and bool / list / object values fail every text rule)
+    held = F.transform(held, lambda e: F.struct(
+        e["key"].alias("key"), e["kind"].alias("kind"),
+        F.when(e["kind"] == "string", F.variant_get(e["value"], "$", "string")).alias("text"), e["value"].alias("value")))
+    # the pattern only runs where the first or last character can be white space
     return F.transform(held, lambda e: F.struct(
         e["key"].alias("key"), e["kind"].alias("kind"),
-        F.regexp_replace(F.when(e["kind"] == "string", F.variant_get(e["value"], "$", "string")), r"(?U)^\s+|\s+$", "").alias("stripped"),
+        F.when(_printed(e["text"].substr(1, 1)) & _printed(e["text"].substr(-1, 1)), e["text"])
+        .otherwise(F.regexp_replace(e["text"], r"(?U)^\s+|\s+$", "")).alias("stripped"),
         e["value"].alias("value")))
 
 
+def _printed(char: Column) -> Column:
+    """Whether a character is one of ASCII's that are printed."""
+    return (char > " ") & (char < "\x7f")
+
+
 def key_values(bronze: DataFrame, position: str, payload: str = "payload",
                entity: str | None = None, sentinel: bool = False) -> DataFrame:
     """(entity, rec, key, key_pos, kind, stripped, value) for every key of
@@ -72,8 +83,8 @@ def key_values(bronze: DataFrame, position: str, payload: str = "payload",
     ent = F.col(entity) if entity else F.lit("")
     base = bronze.select(ent.alias("entity"), F.col(position).alias("rec"),
                          F.col(payload).alias("_p"), F.try_parse_json(payload).alias("_v"))
-    objs = base.filter(F.schema_of_variant("_v").startswith("OBJECT")).select(
-        "entity", "rec", F.json_object_keys("_p").alias("_keys"), "_v")
+    # what is no object has no entries (a filter would parse every record twice)
+    objs = base.select("entity", "rec", F.json_object_keys("_p").alias("_keys"), "_v")
     entries = _entries("_v")
     if sentinel:
         # one extra (null key) row per record: record totals in the same pass
